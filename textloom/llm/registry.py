@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.huffman_store import op3_huffman_store
+from textloom.llm.packing import op8_vector_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_vector_packing": op8_vector_packing,
         "op3_huffman_store": op3_huffman_store,
     }
 
