@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.huffman_store import op3_huffman_store
 from textloom.llm.packing import op8_vector_packing
+from textloom.llm.bpe_transducer import op10_bpe_transducer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_bpe_transducer": op10_bpe_transducer,
         "op8_vector_packing": op8_vector_packing,
         "op3_huffman_store": op3_huffman_store,
     }
