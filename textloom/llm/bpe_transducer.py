@@ -58,6 +58,8 @@ class BpeTransducer:
             if len(token) == 1 or rank in self.parts:
                 self._add(token, rank)
         self.compatible_memo: dict[tuple[int, int], bool] = {}
+        #: Matches that a worker has met: ids, and the ids as text.
+        self.memory: dict[str, tuple[tuple[int, ...], str]] = {}
         self._reset()
 
     def _compile_merges(self) -> None:
@@ -181,13 +183,11 @@ def decode_stream(tokens: Iterable[int], bytes_of: dict[int, bytes], chunk: int
 
 
 _loaded: dict[str, BpeTransducer] = {}
-_memory: dict[str, dict[str, tuple[tuple[int, ...], str]]] = {}
 
 
 def transducer(path: str) -> BpeTransducer:
     if path not in _loaded:
         _loaded[path] = BpeTransducer(read_ranks(path))
-        _memory[path] = {}
     return _loaded[path]
 
 
@@ -195,7 +195,8 @@ def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, fst, memory = regex.compile(pattern).findall, transducer(path), _memory[path]
+        find, fst = regex.compile(pattern).findall, transducer(path)
+        memory = fst.memory
         for b in batches:
             rows, met = [], dict.fromkeys(())
             for text in b.column("text").to_pylist():
