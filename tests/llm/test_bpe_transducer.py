@@ -23,7 +23,7 @@ def test_query(spark, sf_tables):
     for i, t in docs:
         ids = lib.encode_ordinary(t or "")
         want.append((i, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode()), len(t or "")))
-    key = lambda r: (r[0] is None, r[0] or 0)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
