@@ -10,10 +10,12 @@ from textloom.llm.huffman_store import op3_huffman_store
 from textloom.llm.packing import op8_vector_packing
 from textloom.llm.bpe_transducer import op10_bpe_transducer
 from textloom.llm.bpe_transducer import op10_bpe_transducer
+from textloom.llm.quality_rules import op4_robust_outliers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_robust_outliers": op4_robust_outliers,
         "op10_bpe_transducer": op10_bpe_transducer,
         "op10_bpe_transducer": op10_bpe_transducer,
         "op8_vector_packing": op8_vector_packing,
