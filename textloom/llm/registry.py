@@ -11,10 +11,12 @@ from textloom.llm.packing import op8_vector_packing
 from textloom.llm.bpe_transducer import op10_bpe_transducer
 from textloom.llm.bpe_transducer import op10_bpe_transducer
 from textloom.llm.quality_rules import op4_robust_outliers
+from textloom.llm.near_dedup import op2_minhash_forest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_minhash_forest": op2_minhash_forest,
         "op4_robust_outliers": op4_robust_outliers,
         "op10_bpe_transducer": op10_bpe_transducer,
         "op10_bpe_transducer": op10_bpe_transducer,
