@@ -77,3 +77,24 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)
+
+
+def small_or_shuffled(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df``, whose rows are a few dozen bytes, marked for broadcast up to ``max_rows`` counted rows."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Rows from which no label is learned: crc32 of the id's text is a multiple of 5; null ids are not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string")) % 5 == 0, F.lit(False))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, text, label`` of the rows from which labels may be learned, as a written table.
+
+    Null labels and ids are left out; of several labels for an id the largest counts.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return written(texts.join(small_or_shuffled(known), "doc_id"))
