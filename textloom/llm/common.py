@@ -89,12 +89,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``doc_id, text, label`` of the rows from which labels may be learned, as a written table.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, *more: str) -> DataFrame:
+    """``doc_id, text, label`` (and ``more`` columns) of the rows from which labels may be learned, as a written table.
 
     Null labels and ids are left out; of several labels for an id the largest counts.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
     return written(texts.join(small_or_shuffled(known), "doc_id"))

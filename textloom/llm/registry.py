@@ -13,10 +13,12 @@ from textloom.llm.bpe_transducer import op10_bpe_transducer
 from textloom.llm.quality_rules import op4_robust_outliers
 from textloom.llm.near_dedup import op2_minhash_forest
 from textloom.llm.toxicity import op9_lexicon_toxicity
+from textloom.llm.quality_classifier import op7_factorisation_machine
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_factorisation_machine": op7_factorisation_machine,
         "op9_lexicon_toxicity": op9_lexicon_toxicity,
         "op2_minhash_forest": op2_minhash_forest,
         "op4_robust_outliers": op4_robust_outliers,
