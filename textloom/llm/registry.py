@@ -14,10 +14,13 @@ from textloom.llm.quality_rules import op4_robust_outliers
 from textloom.llm.near_dedup import op2_minhash_forest
 from textloom.llm.toxicity import op9_lexicon_toxicity
 from textloom.llm.quality_classifier import op7_factorisation_machine
+from textloom.llm.license_scan import oracle as license_sql
+from textloom.llm.license_scan import op6_license_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_license_join": op6_license_join,
         "op7_factorisation_machine": op7_factorisation_machine,
         "op9_lexicon_toxicity": op9_lexicon_toxicity,
         "op2_minhash_forest": op2_minhash_forest,
@@ -30,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_join": license_sql()}
