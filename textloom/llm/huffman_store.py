@@ -37,7 +37,7 @@ LANE = 256
 BLOCK_TOKENS = 1 << 16
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-BATCH_ROWS = 3000
+BATCH_ROWS = 1000
 
 
 # --- the code -------------------------------------------------------------

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker remembers (some 60 MB of Arrow and numpy); beyond, words are encoded by batch.
-CACHE_WORDS = 1_200_000
+#: Words a worker remembers (some 40 MB of Arrow and numpy); beyond, words are encoded by batch.
+CACHE_WORDS = 800_000
 #: Words of more bytes are encoded each time and not remembered.
 CACHE_WORD_BYTES = 64
 #: Unknown words that go to the library as one text.
@@ -33,8 +33,9 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     total = int(lens.sum())
     if not total:
         return flat[:0]
-    shift = np.repeat(starts - (np.cumsum(lens) - lens), lens)
-    return flat[np.arange(total) + shift]
+    at = np.repeat((starts - (np.cumsum(lens) - lens)).astype(np.int32), lens)
+    at += np.arange(total, dtype=np.int32)
+    return flat[at]
 
 
 class WordEncoder:
@@ -51,9 +52,10 @@ class WordEncoder:
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words and their number by word; a line of words is one call to the library."""
-        lines = [words[i : i + WORDS_A_LINE] for i in range(0, len(words), WORDS_A_LINE)]
         flat, lens = [], []
-        for line, e in zip(lines, self.tokenizer.encode_batch(["\n".join(x) for x in lines], add_special_tokens=False), strict=True):
+        for i in range(0, len(words), WORDS_A_LINE):
+            line = words[i : i + WORDS_A_LINE]
+            e = self.tokenizer.encode("\n".join(line), add_special_tokens=False)
             begin = np.cumsum([0, *(len(w) + 1 for w in line[:-1])])
             at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
             lens.append(np.bincount(np.searchsorted(begin, at, "right") - 1, minlength=len(line)))
@@ -85,7 +87,10 @@ class WordEncoder:
         each = lens[code]
         out = ragged(flat, starts[code], each)
         ends = np.concatenate([[0], np.cumsum(each)])
-        return out, np.diff(ends[bounds - bounds[0]])
+        counts = np.diff(ends[bounds - bounds[0]])
+        del words, coded, uniq, code, slot, each, ends
+        pa.default_memory_pool().release_unused()
+        return out, counts
 
 
 _encoders: dict[str, WordEncoder] = {}
