@@ -6,29 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.bpe_transducer import op10_bpe_transducer
+from textloom.llm.embedding_dedup import op5_pca_tiles
+from textloom.llm.html_wrapper import op1_wrapper_inference
 from textloom.llm.huffman_store import op3_huffman_store
+from textloom.llm.license_scan import op6_license_join
+from textloom.llm.license_scan import oracle as license_sql
+from textloom.llm.near_dedup import op2_minhash_forest
 from textloom.llm.packing import op8_vector_packing
-from textloom.llm.bpe_transducer import op10_bpe_transducer
-from textloom.llm.bpe_transducer import op10_bpe_transducer
+from textloom.llm.quality_classifier import op7_factorisation_machine
 from textloom.llm.quality_rules import op4_robust_outliers
-from textloom.llm.near_dedup import op2_minhash_forest
 from textloom.llm.toxicity import op9_lexicon_toxicity
-from textloom.llm.quality_classifier import op7_factorisation_machine
-from textloom.llm.license_scan import oracle as license_sql
-from textloom.llm.license_scan import op6_license_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_wrapper_inference": op1_wrapper_inference,
+        "op2_minhash_forest": op2_minhash_forest,
+        "op3_huffman_store": op3_huffman_store,
+        "op4_robust_outliers": op4_robust_outliers,
+        "op5_pca_tiles": op5_pca_tiles,
         "op6_license_join": op6_license_join,
         "op7_factorisation_machine": op7_factorisation_machine,
+        "op8_vector_packing": op8_vector_packing,
         "op9_lexicon_toxicity": op9_lexicon_toxicity,
-        "op2_minhash_forest": op2_minhash_forest,
-        "op4_robust_outliers": op4_robust_outliers,
-        "op10_bpe_transducer": op10_bpe_transducer,
         "op10_bpe_transducer": op10_bpe_transducer,
-        "op8_vector_packing": op8_vector_packing,
-        "op3_huffman_store": op3_huffman_store,
     }
 
 
