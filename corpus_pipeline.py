@@ -1,14 +1,52 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: quality rules, toxicity, near duplicates, packing.
+
+Each stage reads what its predecessor kept.  The first three return rows of
+``documents`` with their columns; the last returns pieces of token sequences.
+The verdicts are models and sketches, so no SQL states the result (ORACLE_SQL
+is None); tests hold the stages against plain versions.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from textloom.llm import near_dedup, packing, quality_rules, toxicity
+from textloom.llm.common import shared_dir, table
+from textloom.llm.word_tokens import public_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.reject(docs)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_path(packing.TOKENIZER))
+
+
+STAGES = [("quality_rules", quality), ("toxicity", toxic), ("near_dedup", dedup), ("packing", pack)]
 ORACLE_SQL = None
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        path = shared_dir(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
 def queries() -> dict:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
