@@ -1,0 +1,388 @@
+"""Text rules that no expression states exactly, as Arrow functions: one batch in, one batch out."""
+
+from __future__ import annotations
+
+import html
+import json
+import re
+import unicodedata
+from collections.abc import Callable
+from itertools import groupby
+from urllib.parse import urljoin, urlsplit
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from textloom.functions import fixed
+
+
+def column(fn: Callable, kind: T.DataType):
+    """A column function of a function on one value; null gives null."""
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else fn(v) for v in values.to_pylist()], arrow)
+
+    arrow = {"string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[kind.simpleString()]
+    return F.arrow_udf(run, kind)
+
+
+# --- JSON -------------------------------------------------------------------
+
+
+def parses(text: str) -> bool:
+    text = text.strip()
+    if text[:1] not in ("[", "{") or not text:
+        return False
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+def _dumps(value) -> str:
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+
+def _short(s: str) -> str:
+    return s if len(s) <= fixed.MAX_CELL else f"{s[: fixed.MAX_CELL]}…<+{len(s) - fixed.MAX_CELL}c>"
+
+
+def _shared_keys(items: list) -> list[str]:
+    """Keys that all items have, sorted; none if an item is no object."""
+    if not items or not all(isinstance(x, dict) for x in items):
+        return []
+    shared = set(items[0])
+    for x in items[1:]:
+        shared &= x.keys()
+    return sorted(shared)
+
+
+def _others(items: list[dict], keys: list[str]) -> dict:
+    """The first value of each key that not all items have."""
+    known, out = set(keys), {}
+    for x in items:
+        for k in x.keys() - known:
+            if k not in out:
+                out[k] = None
+    for k in out:
+        out[k] = next(x[k] for x in items if k in x)
+    order = [k for x in items for k in x]
+    return {k: out[k] for k in dict.fromkeys(order) if k in out}
+
+
+def _cell(value) -> str:
+    match value:
+        case None:
+            return ""
+        case bool():
+            return str(value).lower()
+        case int() | float():
+            return str(value)
+        case str():
+            return _short(value)
+    return _dumps(value)
+
+
+def _field(s: str) -> str:
+    return '"' + s.replace('"', '""') + '"' if re.search('[,"\n\r]', s) else s
+
+
+def _named(kind: str, cells: dict[str, str]) -> str:
+    return f" {kind}({','.join(f'{k}={_field(v)}' for k, v in cells.items())})" if cells else ""
+
+
+def table_text(items: list[dict], keys: list[str]) -> str:
+    """A header with constant columns named once, then a line for each item."""
+    columns = {k: [_cell(x[k]) for x in items] for k in keys}
+    constant = {k: v[0] for k, v in columns.items() if len(set(v)) == 1}
+    varying = [k for k in keys if k not in constant]
+    extra = {k: _cell(v) for k, v in _others(items, keys).items()}
+    head = "@csv" + _named("const", constant) + " cols=" + ",".join(map(_field, varying)) + _named("extra", extra)
+    lines = (",".join(_field(columns[k][i]) for k in varying) for i in range(len(items)))
+    return "\n".join([head, *lines])
+
+
+def _shrunk(value, depth: int = 0):
+    if isinstance(value, str):
+        return _short(value)
+    if isinstance(value, dict):
+        drop = fixed.REDUNDANT_KEYS if depth else ()
+        return {k: _shrunk(v, depth + 1) for k, v in value.items() if k not in drop and v is not None and v not in ("", [], {})}
+    if isinstance(value, list):
+        objects = len(value) > 2 and all(isinstance(x, dict) for x in value)
+        keys = _shared_keys(value) if objects else []
+        if len(keys) < 2:
+            return [_shrunk(x, depth + 1) for x in value]
+        out = {"k": keys, "v": [[_shrunk(x[k], depth + 1) for k in keys] for x in value]}
+        extra = {k: _shrunk(v, depth + 1) for k, v in _others(value, keys).items()}
+        return out | ({"x": extra} if extra else {})
+    return value
+
+
+def compress_json(text: str) -> str:
+    """Arrays of like objects as tables, other values shrunk; what doesn't parse stays."""
+    try:
+        value = json.loads(text)
+    except (ValueError, RecursionError):
+        return text
+    if isinstance(value, list) and len(value) >= 3 and len(keys := _shared_keys(value)) >= 2:
+        return table_text(value, keys)
+    return _dumps(_shrunk(value))
+
+
+# --- logs -------------------------------------------------------------------
+
+_HIT = re.compile(f"{fixed.LOG_IMPORTANT}|{fixed.LOG_SUMMARY}", re.I)
+_BLOCK = re.compile(fixed.LOG_BLOCK)
+_SAME = [(re.compile(p), r) for p, r in fixed.LOG_SAME]
+
+
+def kept_lines(lines: list[str]) -> np.ndarray:
+    """Head, tail, hits, what follows them closely, and unbroken blocks around them."""
+    n = len(lines)
+    at = np.arange(n)
+    hit = np.fromiter((_HIT.search(s) is not None for s in lines), bool, n)
+    block = np.fromiter((_BLOCK.match(s) is not None for s in lines), bool, n)
+    blank = np.fromiter((not s.strip() for s in lines), bool, n)
+    far = 10 * n + 10 * fixed.LOG_REACH
+
+    def before(mask: np.ndarray) -> np.ndarray:
+        """The last marked place at or before each."""
+        return np.maximum.accumulate(np.where(mask, at, -far))
+
+    def after(mask: np.ndarray) -> np.ndarray:
+        return np.minimum.accumulate(np.where(mask, at, far)[::-1])[::-1]
+
+    last, following = np.concatenate([[-far], before(hit)[:-1]]), np.concatenate([after(hit)[1:], [far]])
+    up = (following - at <= fixed.LOG_REACH) & (after(~block) >= following)
+    down = (at - last <= fixed.LOG_REACH) & (before(~block) <= last)
+    close = (at - last <= fixed.LOG_AFTER) & ~blank
+    return hit | close | up | down | (at < fixed.LOG_HEAD) | (at >= n - fixed.LOG_TAIL)
+
+
+def _same_line(line: str) -> str:
+    for pattern, mark in _SAME:
+        line = pattern.sub(mark, line)
+    return line.strip()
+
+
+def compress_logs(text: str) -> str:
+    """Kept lines, counts in place of dropped runs, repeated lines once with their number."""
+    lines = text.split("\n")
+    if len(lines) < fixed.LOG_MIN_LINES:
+        return text
+    shown: list[str] = []
+    for keep, run in groupby(zip(kept_lines(lines).tolist(), lines, strict=True), key=lambda x: x[0]):
+        own = [line for _, line in run]
+        shown += own if keep else [f"… {len(own)} lines omitted …"]
+    out: list[str] = []
+    for same, run in groupby(shown, key=_same_line):
+        own = list(run)
+        out += [f"{own[0]} (x{len(own)})"] if same and len(own) > 1 else own
+    return "\n".join(out)
+
+
+# --- code -------------------------------------------------------------------
+
+_INLINE_COMMENT = re.compile(r"/\*.*?\*/")
+_TRIPLE = ('"""', "'''")
+_LANGUAGES = {k: [re.compile(p) for p in v] for k, v in fixed.LANGUAGE_PATTERNS.items()}
+_FENCED = re.compile(r"```(\w*)\n(.*?)```", re.S)
+
+
+def language_of(code: str, hint: str = "") -> str:
+    if (known := fixed.LANGUAGE_HINTS.get(hint.strip().lower())) is not None:
+        return known
+    lines = code.split("\n", 30)[:30]
+    for name, patterns in _LANGUAGES.items():
+        if sum(any(p.search(s) for p in patterns) for s in lines) >= 2:
+            return name
+    return "unknown"
+
+
+def _uncommented(lines: list[str], lang: str):
+    comment = re.compile(fixed.LINE_COMMENT.get(lang, fixed.ANY_COMMENT))
+    inside = False
+    for line in lines:
+        opens, closes = line.find("/*"), line.find("*/")
+        if opens >= 0 and closes >= 0:
+            line = _INLINE_COMMENT.sub("", line)
+        elif opens >= 0:
+            inside, line = True, line[:opens]
+        elif inside:
+            if closes < 0:
+                continue
+            inside, line = False, line[closes + 2 :]
+        if lang == "python" and line.strip().startswith(_TRIPLE):
+            continue
+        line = comment.sub("", line).rstrip()
+        if line:
+            yield line
+
+
+def _imports_folded(lines, prefixes: tuple[str, ...]):
+    for is_import, run in groupby(lines, key=lambda s: s.strip().startswith(prefixes)):
+        if not is_import:
+            yield from run
+            continue
+        own = [s.strip() for s in run]
+        if len(own) <= 3:
+            yield from own
+        else:
+            yield from (f"# {len(own)} imports collapsed", own[0], own[1], f"# ... +{len(own) - 2} more")
+
+
+def compress_code(text: str, hint: str = "") -> str:
+    """Without comments, blank lines and doc markers; long runs of imports folded.  Fences stay around their code."""
+    if fence := _FENCED.search(text):
+        inner = compress_code(fence[2].rstrip("\n"), fence[1])
+        return f"{text[: fence.start()]}```{fence[1]}\n{inner}\n```{text[fence.end() :]}"
+    lang = language_of(text, hint)
+    lines = _uncommented(text.split("\n"), lang)
+    if lang in fixed.IMPORT_PREFIXES:
+        lines = _imports_folded(lines, fixed.IMPORT_PREFIXES[lang])
+    if lang in ("python", "javascript", "typescript"):
+        marks = {*_TRIPLE, "/**", "*/", "*"}
+        lines = (s for s in lines if s.strip() not in marks and not (lang != "python" and s.strip().startswith("* ")))
+    return "\n".join(lines)
+
+
+# --- prose ------------------------------------------------------------------
+
+
+def _longest_first(words):
+    return sorted(words, key=len, reverse=True)
+
+
+_PROSE = [
+    *((re.compile(p, re.I), "") for p in fixed.BOILERPLATE),
+    *((re.compile(rf"\b{re.escape(k)}\b", re.I), fixed.PHRASES[k]) for k in _longest_first(fixed.PHRASES)),
+    *((re.compile(rf"\s*,?\s*\b{re.escape(k)}\b\s*,?\s*", re.I), " ") for k in _longest_first(fixed.FILLERS)),
+    (re.compile(r"[ \t]++"), " "),
+    (re.compile(r" *+\n *+"), "\n"),
+    (re.compile(r"(?<!\s)\s++([,.;:!?])"), r"\1"),
+    (re.compile(r"(?:,\s*+){2,}"), ", "),
+    (re.compile(r"^[ \t]*+[,;:][ \t]*+", re.M), ""),
+    (re.compile(r"\n{3,}"), "\n\n"),
+]
+#: A word that each rule needs: most texts hold none, and a plain search is far cheaper than the rule.
+_NEEDS = ["as mentioned", "as ", "for more ", "see ", *_longest_first(fixed.PHRASES), *_longest_first(fixed.FILLERS)]
+_CAPITAL = re.compile(r"(^\s*|[.!?]\s+|\n\s*)([a-z])")
+
+
+def once(text: str) -> str:
+    """Later copies of long lines dropped."""
+    seen: set[str] = set()
+    out = []
+    for line in text.split("\n"):
+        key = line.strip()
+        if len(key) > fixed.MIN_DUPLICATE_LINE and key in seen:
+            continue
+        seen.add(key)
+        out.append(line)
+    return "\n".join(out)
+
+
+def compress_prose(text: str) -> str:
+    low = text.lower()
+    for k, (pattern, by) in enumerate(_PROSE):
+        if k < len(_NEEDS) and _NEEDS[k] not in low:
+            continue
+        new = pattern.sub(by, text)
+        if new is not text and new != text:
+            text, low = new, new.lower()
+    return _CAPITAL.sub(lambda m: m[1] + m[2].upper(), once(text)).strip()
+
+
+def truncate_paragraphs(text: str, limit: int = fixed.LONG_PARAGRAPH) -> str:
+    """Opt-in: first and last sentence of lines over ``limit``, or their start, and what was left out."""
+    out = []
+    for line in text.split("\n"):
+        if len(line) > limit:
+            parts = re.split(r"(?<=[.!?])\s+", line)
+            line = f"{parts[0]} [... {len(parts) - 2} sentences removed ...] {parts[-1]}" if len(parts) > 3 else f"{line[:limit]}[... {len(line) - limit} characters removed ...]"
+        out.append(line)
+    return "\n".join(out)
+
+
+# --- scripts, pages ---------------------------------------------------------
+
+_LETTERS = re.compile(r"[^\W\d_]{2,}")
+
+
+def mixed_script_words(text: str, limit: int = 50) -> list[str]:
+    """Words of Latin and other letters at once, by the letters' names."""
+    out: list[str] = []
+    if text.isascii():
+        return out
+    for word in _LETTERS.findall(text):
+        if not word.isascii():
+            names = {unicodedata.name(c, "?").split(" ")[0] for c in word if c.isalpha()}
+            if "LATIN" in names and len(names) > 1:
+                out.append(word)
+                if len(out) == limit:
+                    break
+    return out
+
+
+_TABLE = re.compile(r"<table\b[^>]*>(.*?)</table>", re.S | re.I)
+_ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.S | re.I)
+_CELL = re.compile(r"<(t[hd])\b[^>]*>(.*?)</\1>", re.S | re.I)
+
+
+def tables(page: str) -> list[dict]:
+    """Each table's header, and rows as maps by header, or as positions where there is none."""
+    out = []
+    for number, body in enumerate(_TABLE.findall(page)):
+        header, rows = [], []
+        for row in _ROW.findall(body):
+            cells = _CELL.findall(row)
+            texts = [" ".join(html.unescape(re.sub("<[^>]+>", " ", c)).split()) for _, c in cells]
+            if not texts:
+                continue
+            if not header and all(kind.lower() == "th" for kind, _ in cells):
+                header = texts
+            else:
+                rows.append(dict(zip(header or map(str, range(len(texts))), texts, strict=False)))
+        if header or rows:
+            out.append({"table_no": number, "headers": header, "rows": rows})
+    return out
+
+
+def links(page: str, url: str) -> list[str]:
+    """Targets on the page's own host, without fragments, in order."""
+    host = urlsplit(url).netloc
+    out = []
+    for target in re.findall(r"href=[\"']([^\"']+)[\"']", page, re.I):
+        try:
+            full = urljoin(url, target).split("#")[0]
+            at = urlsplit(full)
+        except ValueError:
+            continue
+        if at.scheme in ("http", "https") and at.netloc == host:
+            out.append(full)
+    return out
+
+
+json_parses = column(parses, T.BooleanType())
+json_compressed = column(compress_json, T.StringType())
+logs_compressed = column(compress_logs, T.StringType())
+code_compressed = column(compress_code, T.StringType())
+prose_compressed = column(compress_prose, T.StringType())
+paragraphs_truncated = column(truncate_paragraphs, T.StringType())
+unescaped = column(html.unescape, T.StringType())
+mixed_scripts = column(mixed_script_words, T.ArrayType(T.StringType()))
+TABLES = T.ArrayType(T.StructType([T.StructField("table_no", T.IntegerType()), T.StructField("headers", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(T.MapType(T.StringType(), T.StringType())))]))
+
+
+@F.udf(TABLES, useArrow=True)
+def page_tables(page):
+    return [] if page is None else tables(page)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def page_links(page: pa.Array, url: pa.Array) -> pa.Array:
+    return pa.array([[] if p is None or u is None else links(p, u) for p, u in zip(page.to_pylist(), url.to_pylist(), strict=True)], pa.list_(pa.string()))

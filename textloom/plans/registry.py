@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.plans.oracles import SQL
+from textloom.plans.queries import QUERY_FUNCTIONS
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERY_FUNCTIONS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
