@@ -37,7 +37,8 @@ LANE = 256
 BLOCK_TOKENS = 1 << 16
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-BATCH_ROWS = 1000
+#: Rows of text per Arrow batch: a batch looks its words up in all that the worker knows, so larger ones cost less.
+BATCH_ROWS = 4000
 
 
 # --- the code -------------------------------------------------------------
@@ -132,14 +133,19 @@ def unpack_lanes(payloads: list[bytes], marks: list[np.ndarray], counts: list[in
 # --- writing --------------------------------------------------------------
 
 
-def _tokenize(path: str, end_id: int):
+def id_type(tokenizer_path: str, end_id: int) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    return "<u2" if max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def _tokenize(path: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seq = encoder(path), 0
         for b in batches:
             flat, n = enc.encode(b.column("text"))
             ends = np.cumsum(n)
-            ids = np.insert(flat.astype("<u4"), ends, end_id)
-            cuts = np.concatenate([[0], ends + np.arange(1, len(n) + 1)]) * 4
+            ids = np.insert(flat.astype(dtype), ends, end_id)
+            cuts = np.concatenate([[0], ends + np.arange(1, len(n) + 1)]) * ids.itemsize
             binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)])
             order = pa.array(np.arange(seq, seq + len(n)), pa.int64())
             seq += len(n)
@@ -148,27 +154,29 @@ def _tokenize(path: str, end_id: int):
     return run
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Every document's ids with the end id, ``part`` and ``seq`` giving the order by doc_id."""
+def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, dtype: str) -> DataFrame:
+    """Every document's ids of ``dtype`` with the end id, ``part`` and ``seq`` giving the order by doc_id."""
     text_batches(docs.sparkSession, BATCH_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return rows.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "text").mapInArrow(_tokenize(tokenizer_path, end_id), "part int, seq long, doc_id long, ids binary")
+    return rows.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "text").mapInArrow(_tokenize(tokenizer_path, end_id, dtype), "part int, seq long, doc_id long, ids binary")
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for b in batches:
-        for x in b.column(0):
-            n = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+def _count(dtype: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for b in batches:
+            n = np.bincount(np.frombuffer(b"".join(x.as_buffer() for x in b.column(0)), dtype))
             if len(n) > len(total):
                 total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
             total[: len(n)] += n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
+
+    return run
 
 
-def _blocks(lengths: np.ndarray, codes: np.ndarray):
+def _blocks(lengths: np.ndarray, codes: np.ndarray, dtype: str):
     def block(part: int, seq: int, docs: list, n: list[int], parts: list[np.ndarray]) -> dict:
         payload, marks = pack_bits(np.concatenate(parts), lengths, codes)
         return {"part": part, "block": seq, "doc_ids": docs, "doc_tokens": n, "marks": marks.astype("<u4").tobytes(), "payload": payload}
@@ -186,7 +194,7 @@ def _blocks(lengths: np.ndarray, codes: np.ndarray):
                 if not held:
                     part, seq = p, s
                 docs.append(d)
-                held.append(np.frombuffer(ids.as_buffer(), "<u4"))
+                held.append(np.frombuffer(ids.as_buffer(), dtype))
                 n.append(len(held[-1]))
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema)
@@ -199,10 +207,11 @@ def _blocks(lengths: np.ndarray, codes: np.ndarray):
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Encode ``docs(doc_id, text)`` to files below ``path``, in ascending doc_id order."""
     spark = docs.sparkSession
-    token_table(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(f"{path}/ids")
+    dtype = id_type(tokenizer_path, end_id)
+    token_table(docs, tokenizer_path, end_id, dtype).write.option("compression", "zstd").parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids")
     # as many rows as the vocabulary has ids, whatever the corpus
-    counted = ids.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = ids.select("ids").mapInArrow(_count(dtype), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
     counts[counted["id"]] = counted["n"]
     lengths = code_lengths(counts)
@@ -210,7 +219,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID)
     rows = pa.table({"id": pa.array(at.astype(np.int32)), "bits": pa.array(lengths[at].astype(np.int32))})
     spark.createDataFrame(rows).coalesce(1).write.parquet(f"{path}/code")
     kinds = "part int, block long, doc_ids array<long>, doc_tokens array<int>, marks binary, payload binary"
-    ids.mapInArrow(_blocks(lengths, canonical(lengths)), kinds).write.option("compression", "none").parquet(f"{path}/blocks")
+    ids.mapInArrow(_blocks(lengths, canonical(lengths), dtype), kinds).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 # --- reading --------------------------------------------------------------

@@ -70,7 +70,7 @@ class WordEncoder:
         uniq, code = coded.dictionary, coded.indices.to_numpy()
         slot = pc.fill_null(pc.index_in(uniq, value_set=self.known), -1).to_numpy()
         new = np.flatnonzero(slot < 0)
-        starts, lens, flat = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64), self.flat
+        starts, lens, flat = np.zeros(len(uniq), np.int32), np.zeros(len(uniq), np.int32), self.flat
         old = slot >= 0
         starts[old], lens[old] = self.starts[slot[old]], self.lens[slot[old]]
         if len(new):
