@@ -98,3 +98,13 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, *more: str) -
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
     return written(texts.join(small_or_shuffled(known), "doc_id"))
+
+
+def sampled(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of ``rows(doc_id, text, ...)`` with the least hash of id and text; copies of the last one may come on top.
+
+    Only hashes are sorted and gathered, so no task reads the texts of others.
+    """
+    key = F.xxhash64("doc_id", "text")
+    last = rows.select(key.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.where(key <= last) if last is not None else rows.limit(0)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import held_out, labelled_texts, table, text_batches
+from textloom.llm.common import held_out, labelled_texts, sampled, table, text_batches
 from textloom.llm.text_stats import text_stats
 
 SLOTS, RANK = 1 << 14, 8
@@ -170,8 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factorisa
     if "n_chars" not in docs.columns:
         docs = docs.withColumn("n_chars", F.lit(None))
     known = labelled_texts(docs.withColumn("n_chars", F.col("n_chars").cast("long")), labels, "quality", "n_chars")
-    some = known.orderBy(F.xxhash64("doc_id", "text")).limit(rows).select("text", "n_chars", "label")
-    got: pd.DataFrame = some.mapInArrow(_entries, "slots array<int>, values array<float>, label int").toPandas()
+    some = sampled(known, rows).select("text", "n_chars", "label")
+    got: pd.DataFrame = some.mapInArrow(_entries, "slots array<int>, values array<float>, label int").limit(rows).toPandas()
+    # tasks may hand in their rows in any order, and the model depends on it
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (list(got["slots"].iat[i]), list(got["values"].iat[i]), got["label"].iat[i]))]
     size = np.array([len(x) for x in got["slots"]], np.int64)
     row = np.repeat(np.arange(len(got)), size)
     slot = np.concatenate([*got["slots"], np.zeros(0, np.int64)]).astype(np.int64)
