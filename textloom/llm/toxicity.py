@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import held_out, labelled_texts, table, text_batches
+from textloom.llm.common import held_out, labelled_texts, sampled, table, text_batches
 
 MIN_SHARE, MIN_TEXTS = 0.01, 5
 #: A term's rate in other texts may be this part of its rate in toxic ones.
@@ -207,8 +207,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         if n >= max(least, MIN_CONTEXTS * rare[term]):
             weights[term] = float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((elsewhere.get(term, 0) + 0.5) / (n_clean + 1)))
     lexicon = Lexicon({t: max(0.1, w) for t, w in weights.items()})
-    some = rows.orderBy(F.xxhash64("doc_id", "text")).limit(CURVE_ROWS).select("text", "label")
-    x = some.mapInArrow(_features(lexicon), "x0 double, x1 double, label int").toPandas()
+    some = sampled(rows, CURVE_ROWS).select("text", "label")
+    x = some.mapInArrow(_features(lexicon), "x0 double, x1 double, label int").limit(CURVE_ROWS).toPandas()
     lexicon.curve = _curve(x[["x0", "x1"]].to_numpy(), x["label"].to_numpy(float))
     return lexicon
 
