@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import quality_rules as qr
 
@@ -52,5 +54,37 @@ def test_estimate_resists_outliers(spark):
     assert np.abs(np.array(got["mean"]) - 0.3).max() < 0.05
 
 
+@pytest.mark.parametrize("junk", [0.28, 0.33, 0.4])
+def test_much_junk(spark, junk):
+    rng = np.random.default_rng(5)
+    n, floor = 3000, np.array(qr.FLOOR)
+    bad = int(junk * n)
+    rows = np.concatenate([rng.normal(0, 1, (n - bad, qr.DIMS)), rng.normal(10, 1, (bad, qr.DIMS))]) * floor
+    columns = ",".join(f"x{i} double" for i in range(qr.DIMS))
+    frame = spark.createDataFrame([("g", *map(float, r)) for r in rows], "key string," + columns)
+    model = qr.estimates(frame)
+    assert model.count() == 1 and model.first()["n"] == n
+    far = frame.join(model, "key").select("x0", qr._distance([F.col(f"x{i}") for i in range(qr.DIMS)], "mean", "inverse").alias("d")).collect()
+    rejected = {good: [r.d > qr.CUTOFF for r in far if (r.x0 < 5 * floor[0]) == good] for good in (True, False)}
+    assert np.mean(rejected[False]) > 0.99 and np.mean(rejected[True]) < 0.01
+
+
+def test_a_third_of_a_source_is_spam(spark, sf_tables):
+    rng = random.Random(6)
+    texts = [(prose(rng), False) for _ in range(400)] + [(" ".join(w + "%%%" for w in prose(rng).split()), True) for _ in range(200)]
+    rows = [(i, t, "en", "small" if i % 20 == 0 else "s") for i, (t, _) in enumerate(texts)]
+    got = {r.doc_id: r.kept for r in qr.op4_robust_outliers(spark, sf_tables(documents=(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert all(got[i] != bad for i, (_, bad) in enumerate(texts))
+
+
+def test_keys_are_split_beyond_the_broadcast_bound(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    frame = spark.createDataFrame([(str(k % 3), *map(float, r)) for k, r in enumerate(rng.normal(0, 1, (900, qr.DIMS)))], "key string," + ",".join(f"x{i} double" for i in range(qr.DIMS)))
+    small = sorted(qr.estimates(frame).collect())
+    monkeypatch.setattr(qr, "BROADCAST_GROUPS", 1)
+    large = sorted(qr.estimates(frame).collect())
+    assert len(large) == 3 and all(a.n == b.n and np.allclose(a["mean"], b["mean"], atol=0.05) for a, b in zip(small, large, strict=True))
+
+
 def test_empty_table(spark, sf_tables):
     assert qr.op4_robust_outliers(spark, sf_tables(documents=([], "doc_id long, text string, lang string, source string"))).collect() == []

@@ -3,11 +3,14 @@
 Method: minimum-covariance-determinant estimates per language and source.  Each
 document gives a vector of transformed statistics (arcsine square roots of
 symbol, capital, digit and punctuation shares, and the log word length).  Per
-group, an estimate starts from medians and median deviations; C-steps then take
-the mean and covariance of the ``SUBSET`` of rows with the least Mahalanobis
-distance, over and over.  Every step is a grouped aggregate over the statistics
-of all documents, so a group of any size is summed map-side and never gathered.
-A document is rejected when its squared distance passes ``CUTOFF``.
+group, three deterministic starts around the medians (median deviations,
+correlations of bounded values, correlations of directions) go through C-steps:
+each takes the mean and covariance of the half of all rows with the least
+Mahalanobis distance, until the determinant stops falling.  The estimate of
+least determinant is kept, so just under half of a group may be junk.  Every
+step is a grouped aggregate over the statistics of all documents, so a group of
+any size is summed map-side and never gathered.  A document is rejected when its
+squared distance passes ``CUTOFF``, a quantile of the chi-square distribution.
 
 Groups with fewer than ``MIN_GROUP`` rows use the estimate of their language,
 and that of all documents if the language is small too.  ``FLOOR`` is added to
@@ -27,17 +30,23 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import table, text_batches, written
+from textloom.llm.common import small_or_shuffled, table, text_batches, written
 from textloom.llm.text_stats import NAMES, text_stats
 
 MIN_WORDS, REPEAT_PERCENT = 10, 20
-SUBSET, STEPS, MIN_GROUP, CUTOFF = 0.75, 4, 200, 36.0
-#: Makes the covariance of the inner 75 % of a normal cloud in five dimensions that of the whole.
-CONSISTENCY = 1.41
+SUBSET, MIN_GROUP = 0.5, 200
+#: Quantile 0.999 of the chi-square distribution with five degrees of freedom.
+CUTOFF = 20.515
+#: Makes the covariance of the inner half of a normal cloud in five dimensions that of the whole.
+CONSISTENCY = 1.912
+#: C-steps end where the log determinant falls by less.
+LEAST_FALL = 1e-3
+#: Estimates are broadcast up to this number (some 400 bytes each); beyond, their keys are split by ``SALTS``.
+BROADCAST_GROUPS, SALTS = 100_000, 64
 #: Word characters by which shares of short texts are drawn to the usual share.
 SHRINK = 40
 USUAL = {"n_symbols": 0.0, "n_upper": 0.016, "n_digits": 0.0, "n_punct": 0.028}
@@ -73,37 +82,79 @@ def _distance(x: list[Column], mean: str, inverse: str) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def _rows(key, start, n, mean, cov) -> pd.DataFrame:
+    """Estimates by key and start, from means and covariances."""
+    cov = cov + np.diag(np.square(FLOOR))
+    upper = [[float(m[i, j]) for i, j in PAIRS] for m in np.linalg.inv(cov)]
+    return pd.DataFrame({"key": key, "start": start, "n": n, "mean": [list(map(float, m)) for m in mean], "inverse": upper, "size": np.linalg.slogdet(cov)[1]})
+
+
+def _matrices(pdf: pd.DataFrame, names: list[str]) -> np.ndarray:
+    out = np.zeros((len(pdf), DIMS, DIMS))
+    for name, (i, j) in zip(names, PAIRS, strict=True):
+        out[:, i, j] = out[:, j, i] = pdf[name]
+    return out
+
+
+def _starts(rows):
+    """Three estimates for each group around its medians; their sizes aren't comparable and count as infinite."""
+    for pdf in rows:
+        spread = np.array(pdf["spread"].to_list(), float).reshape(-1, DIMS)
+        scale = spread[:, :, None] * spread[:, None, :]
+        kinds = [np.eye(DIMS)[None], *(_matrices(pdf, [f"{kind}{k}" for k in range(len(PAIRS))]) for kind in "bd")]
+        for start, kind in enumerate(kinds):
+            yield _rows(pdf["key"], start, pdf["n"], pdf["mean"], kind * scale).assign(size=np.inf)
+
+
 def _inverse(rows):
-    """Means and inverse covariances of the groups' sums."""
+    """Estimates from the groups' sums; ``before`` is the log determinant of the step before."""
     for pdf in rows:
-        mean = np.stack(pdf["mean"].to_list()) if len(pdf) else np.zeros((0, DIMS))
-        cov = np.zeros((len(pdf), DIMS, DIMS))
-        for k, (i, j) in enumerate(PAIRS):
-            cov[:, i, j] = cov[:, j, i] = pdf[f"c{k}"]
-        cov = cov * CONSISTENCY + np.diag(np.square(FLOOR))
-        inv = np.linalg.inv(cov)
-        upper = [[float(m[i, j]) for i, j in PAIRS] for m in inv]
-        yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "mean": [m.tolist() for m in mean], "inverse": upper})
+        cov = _matrices(pdf, [f"c{k}" for k in range(len(PAIRS))]) * CONSISTENCY
+        yield _rows(pdf["key"], pdf["start"], pdf["n"], pdf["mean"], cov).assign(before=pdf["before"])
+
+
+MODEL = "key string, start int, n long, mean array<double>, inverse array<double>, size double"
+
+
+def _with(vectors: DataFrame, model: DataFrame, n: int) -> DataFrame:
+    """``vectors(key, salt, ..)`` with the ``n`` rows of ``model`` by key; no key is one task."""
+    if n <= BROADCAST_GROUPS:
+        return vectors.join(F.broadcast(model), "key")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return vectors.join(model.select("*", salts), ["key", "salt"])
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return written(rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")))
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
     """``key, n, mean, inverse`` by group of ``vectors(key, x0..)``; x0.. without nulls."""
     xs = [f"x{i}" for i in range(DIMS)]
     x = [F.col(c) for c in xs]
-    n = F.count("*").alias("n")
-    med = vectors.groupBy("key").agg(n, F.array(*(F.percentile_approx(c, 0.5) for c in xs)).alias("mean"))
-    off = vectors.join(med, "key").select("key", "n", "mean", *(F.abs(c - F.element_at("mean", i + 1)).alias(f"x{i}") for i, c in enumerate(x)))
-    start = off.groupBy("key").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *(F.percentile_approx(c, 0.5).alias(f"m{i}") for i, c in enumerate(xs)))
-    spread = [F.greatest(F.lit(FLOOR[i]), 1.4826 * F.col(f"m{i}")) for i in range(DIMS)]
-    inverse = F.array(*((1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)) for i, j in PAIRS))
-    model = written(start.select("key", "n", "mean", inverse.alias("inverse")))
-    for _ in range(STEPS):
-        far = vectors.join(model, "key").select("key", "n", *xs, _distance(x, "mean", "inverse").alias("d"))
-        near = far.groupBy("key").agg(F.percentile_approx("d", SUBSET).alias("cut"))
-        inner = far.join(near, "key").where("d <= cut")
-        sums = inner.groupBy("key").agg(F.first("n").alias("n"), F.array(*(F.avg(c) for c in xs)).alias("mean"), *(F.covar_pop(xs[i], xs[j]).alias(f"c{k}") for k, (i, j) in enumerate(PAIRS)))
-        model = written(sums.mapInPandas(_inverse, "key string, n long, mean array<double>, inverse array<double>"))
-    return model
+    vectors = _salted(vectors.select("key", *xs))
+    med = written(vectors.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.percentile_approx(c, 0.5) for c in xs)).alias("mean")))
+    groups = med.count()
+    off = [F.abs(c - F.element_at("mean", i + 1)) for i, c in enumerate(x)]
+    spread = _with(vectors, med, groups).groupBy("key").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.array(*(F.greatest(F.lit(FLOOR[i]), 1.4826 * F.percentile_approx(o, 0.5)) for i, o in enumerate(off))).alias("spread"))
+    z = [(c - F.element_at("mean", i + 1)) / F.element_at("spread", i + 1) for i, c in enumerate(x)]
+    scaled = _with(vectors, written(spread), groups).select("key", "n", "mean", "spread", *(v.alias(f"z{i}") for i, v in enumerate(z)))
+    long = reduce(lambda a, b: a + b, (F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMS)))
+    bounded = [F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"b{k}") for k, (i, j) in enumerate(PAIRS)]
+    directions = [F.avg(F.when(long > 0, F.col(f"z{i}") * F.col(f"z{j}") / long).otherwise(0.0)).alias(f"d{k}") for k, (i, j) in enumerate(PAIRS)]
+    start = scaled.groupBy("key").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("spread").alias("spread"), *bounded, *directions)
+    active, steps = written(start.mapInPandas(_starts, MODEL)), []
+    while left := active.count():
+        far = _with(vectors, active, left).select("key", "start", _distance(x, "mean", "inverse").alias("d"))
+        cut = far.groupBy("key", "start").agg(F.percentile_approx("d", SUBSET).alias("cut"))
+        model = written(active.join(cut, ["key", "start"]))
+        inner = _with(vectors, model, left).where(_distance(x, "mean", "inverse") <= F.col("cut"))
+        sums = inner.groupBy("key", "start").agg(F.first("n").alias("n"), F.first("size").alias("before"), F.array(*(F.avg(c) for c in xs)).alias("mean"), *(F.covar_pop(xs[i], xs[j]).alias(f"c{k}") for k, (i, j) in enumerate(PAIRS)))
+        steps.append(written(sums.mapInPandas(_inverse, MODEL + ", before double")))
+        active = steps[-1].where(F.col("size") < F.col("before") - LEAST_FALL).drop("before")
+    every = reduce(DataFrame.unionByName, (s.drop("before") for s in steps)) if steps else active
+    best = every.groupBy("key").agg(F.min(F.struct("size", "start", "n", "mean", "inverse")).alias("m"))
+    return written(best.select("key", "m.n", "m.mean", "m.inverse"))
 
 
 def fit(docs: DataFrame) -> DataFrame:
@@ -112,14 +163,19 @@ def fit(docs: DataFrame) -> DataFrame:
     rows = docs.select(_name("lang").alias("by_lang"), F.concat_ws("\u0001", _name("lang"), _name("source")).alias("by_source"), stats_of("text").alias("s"))
     rows = rows.where(~base_failed("s"))
     vectors = written(rows.select("by_lang", "by_source", *(v.alias(f"x{i}") for i, v in enumerate(vector("s")))))
-    keys = F.explode(F.array(F.lit("*"), F.col("by_lang"), F.col("by_source"))).alias("key")
-    model = estimates(vectors.select(keys, *(f"x{i}" for i in range(DIMS))))
-    groups = vectors.select("by_source", "by_lang").distinct()
-    for name, key, least in (("s", F.col("by_source"), MIN_GROUP), ("l", F.col("by_lang"), MIN_GROUP), ("a", F.lit("*"), 1)):
-        own = model.where(F.col("n") >= least).select(F.col("key").alias("k"), F.struct("mean", "inverse").alias(name))
-        groups = groups.withColumn("k", key).join(own, "k", "left").drop("k")
-    best = F.coalesce("s", "l", "a")
-    return written(groups.select("by_source", best["mean"].alias("mean"), best["inverse"].alias("inverse")))
+    # the group whose estimate each source uses; only these groups are estimated
+    groups = written(vectors.groupBy("by_source", "by_lang").agg(F.count("*").alias("n")))
+    by_lang = Window.partitionBy("by_lang")
+    sized = groups.withColumn("n_lang", F.sum("n").over(by_lang))
+    own, lang = F.col("n") >= MIN_GROUP, F.col("n_lang") >= MIN_GROUP
+    uses = sized.withColumn("uses", F.when(own, F.col("by_source")).when(lang, F.col("by_lang")).otherwise("*"))
+    uses = written(uses.withColumn("lang_used", F.max(F.col("uses") == F.col("by_lang")).over(by_lang)))
+    any_all = F.lit(bool(uses.where("uses = '*'").head(1)))
+    keys = F.filter(F.array(F.when(any_all, "*"), F.when(F.col("lang_used"), F.col("by_lang")), F.when(F.col("uses") == F.col("by_source"), F.col("by_source"))), lambda k: k.isNotNull())
+    xs = [f"x{i}" for i in range(DIMS)]
+    keyed = _with(_salted(vectors.select(F.col("by_source").alias("key"), *xs)), uses.select(F.col("by_source").alias("key"), keys.alias("keys")), uses.count())
+    model = estimates(keyed.select(F.explode("keys").alias("key"), *xs))
+    return written(uses.join(small_or_shuffled(model.withColumnRenamed("key", "uses"), BROADCAST_GROUPS), "uses").select("by_source", "mean", "inverse"))
 
 
 def judged(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -128,7 +184,7 @@ def judged(docs: DataFrame, model: DataFrame) -> DataFrame:
     rows = docs.withColumn("rules", stats_of("text"))
     key = F.concat_ws("\u0001", _name("lang"), _name("source"))
     to = model.select(F.col("by_source").alias("__key"), F.struct("mean", "inverse").alias("__model"))
-    rows = rows.withColumn("__key", key).join(to, "__key", "left")
+    rows = rows.withColumn("__key", key).join(small_or_shuffled(to, BROADCAST_GROUPS), "__key", "left")
     failed = base_failed("rules")
     distance = _distance(vector("rules"), "__model.mean", "__model.inverse")
     rows = rows.withColumn("__d", F.when(~failed, distance))
