@@ -44,6 +44,34 @@ def test_learned_terms_and_copies(spark):
     assert all((r.toxicity.score >= 0.5) == bool(r.toxic) for r in both)
 
 
+@pytest.mark.parametrize("text, words", [("a$$hole $cum", " asshole cum scum "), ("@$$hole, @idiot", " hole asshole idiot aidiot "), ("costs $5 or 5$", " costs 5 or 5 ")])
+def test_fold_signs(text, words):
+    assert tx.fold(text) == words
+
+
+def test_terms_stay_when_the_corpus_grows(spark, monkeypatch):
+    monkeypatch.setattr(tx, "SEED", ())
+    usual = ["an", "you", "the", "such", "these", "what", "that", "stupid", "total", "real"]
+    weights = []
+    for n in (200, 1000, 5000):
+        rng = random.Random(n)
+        word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(5))  # noqa: B023, E731
+        rows = []
+        for i in range(3 * n):
+            words = [word() for _ in range(12)]
+            if i % 3 == 0:  # natural prose: an insult follows few different words
+                words[5:7] = [rng.choice(usual), "grobian"]
+                if i % 9 == 0:  # a passage inside many toxic texts
+                    words[8:8] = ["copied", "passage", "everywhere"]
+            rows.append((i, " ".join(words), int(i % 3 == 0)))
+        rows += [(3 * n + k, "boring repeated message here", 1) for k in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        learned = tx.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).weights
+        assert " passage " not in learned and " repeated " not in learned
+        weights.append(learned[" grobian "])
+    assert all(b >= a for a, b in zip(weights, weights[1:], strict=False))
+
+
 def test_held_out_accuracy(spark):
     got = tx.op9_lexicon_toxicity(spark, SF).alias("g").join(spark.read.parquet(f"{SF}/labels.parquet").alias("l"), "doc_id").where("held_out and toxic is not null").select("toxic", "predicted").collect()
     assert len(got) > 300 and sum(r.toxic == r.predicted for r in got) / len(got) > 0.98

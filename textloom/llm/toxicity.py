@@ -7,10 +7,13 @@ automaton.  A term is a word or the beginning of a word.  Matches inside an
 exception phrase don't count.  The sum of weights and its share of the text's
 length go through a logistic curve.
 
-Weights are learned from labelled rows that are not held out: a term needs
-``MIN_SHARE`` of the toxic texts, must be rare in others, and must follow many
-different words, so that a text which was copied often doesn't make all its
-words toxic.  These counts are Spark aggregates over all labelled rows; as a
+Weights are learned from labelled rows that are not held out.  Copies of a text
+count as one text.  A term needs ``MIN_SHARE`` of the toxic texts and must be
+rare in others; its weight is the log ratio of these shares.  So that a passage
+inside many texts doesn't make all its words toxic, two texts that hold the term
+must seldom have the same word before it, or the same word after it: the chance
+of that is estimated without bias, so it doesn't drift with the corpus' size.
+These counts are Spark aggregates over all labelled rows; as a
 term needs a share of the toxic texts, the lexicon's size doesn't grow with the
 corpus.  The curve's three numbers are fitted on at most ``CURVE_ROWS`` rows.
 
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import held_out, labelled_texts, sampled, table, text_batches
+from textloom.llm.common import held_out, labelled_texts, sampled, small_or_shuffled, table, text_batches, written
 
 MIN_SHARE, MIN_TEXTS = 0.01, 5
 #: A term's rate in other texts may be this part of its rate in toxic ones.
 MAX_CLEAN = 0.05
-#: Different preceding words a term needs, as a part of the texts it occurs in.
-MIN_CONTEXTS = 0.3
+#: Chance that two texts with a term have the same word before it, or after it.
+MAX_SAME = 0.4
 STEM_CHARS = (4, 5, 6)
 CURVE_ROWS = 20_000
 THRESHOLD = 0.5
@@ -61,7 +64,9 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | dict.fromkeys(map(ord, INVISIBLE))
 _DIGITS = str.maketrans(DIGITS)
-_INSIDE = re.compile(r"[0134578]+(?=[a-z])|(?<=[a-z])[0134578]+|(?<=[a-z])[@$](?=[a-z])")
+_INSIDE = re.compile(r"[0134578]+(?=[a-z])|(?<=[a-z])[0134578]+|(?<=[a-z])[@$]+(?=[a-z])")
+#: Signs before a word are letters of it or none (@name, $cum): both readings are kept.
+_BEFORE = re.compile(r"(?<![^\W_])([@$]+)([a-z][^\W_]*)")
 _GAPS = re.compile(r"[\W_]+")
 
 
@@ -70,6 +75,8 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).lower().translate(_FOLD)
     text = _INSIDE.sub(lambda m: m.group().translate(_DIGITS), text.lower())
+    if "@" in text or "$" in text:
+        text = _BEFORE.sub(lambda m: f"{m[2]} {m[1].translate(_DIGITS)}{m[2]}", text)
     return f" {_GAPS.sub(' ', text).strip()} "
 
 
@@ -126,40 +133,53 @@ class Lexicon:
 # --- learning ---------------------------------------------------------------
 
 
-def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n: Counter[str] = Counter()
-        for text in b.column("text").to_pylist():
-            n.update({t for w in set(fold(text).split()) for t in terms_of(w)})
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+def _counted(n: dict[str, float]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64())], ["term", "n"])
 
 
-def _clean_terms(wanted: frozenset[str]):
+def _terms(wanted: frozenset[str] | None):
+    """Texts that hold each term, a copied text's ``weight`` being its part of one text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: Counter[str] = Counter()
-            for text in b.column("text").to_pylist():
-                n.update(wanted.intersection(t for w in set(fold(text).split()) for t in terms_of(w)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+            n: defaultdict[str, float] = defaultdict(float)
+            for text, weight in zip(b.column("text").to_pylist(), b.column("weight").to_pylist(), strict=True):
+                terms = {t for w in set(fold(text).split()) for t in terms_of(w)}
+                for t in terms if wanted is None else wanted & terms:
+                    n[t] += weight
+            yield _counted(n)
 
     return run
 
 
 def _contexts(wanted: frozenset[str]):
+    """Texts by term and the words around its first place, where ``side`` is 0 before and 1 after."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = set()
-            for text in b.column("text").to_pylist():
-                before = ""
-                for w in fold(text).split():
-                    seen.update((t, before) for t in terms_of(w) if t in wanted)
-                    before = w
-            cols = list(zip(*seen, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["term", "before"])
+            n: defaultdict[tuple[str, int, str], float] = defaultdict(float)
+            for text, weight in zip(b.column("text").to_pylist(), b.column("weight").to_pylist(), strict=True):
+                words, seen = ["", *fold(text).split(), ""], set()
+                for i, w in enumerate(words[1:-1], 1):
+                    for t in wanted.intersection(terms_of(w)) - seen:
+                        seen.add(t)
+                        n[t, 0, words[i - 1]] += weight
+                        n[t, 1, words[i + 1]] += weight
+            cols = list(zip(*n, strict=True)) or [[], [], []]
+            types = (pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array(list(n.values()), pa.float64())], ["term", "side", "word", "n"])
 
     return run
 
 
+def _weighted(rows: DataFrame) -> DataFrame:
+    """``rows(text, label)`` with ``weight``, one by the number of rows with the label and text.  Only hashes leave their rows."""
+    on = [F.col("label"), F.xxhash64("text").alias("h"), F.length("text").alias("size")]
+    copies = rows.select(*on).groupBy("label", "h", "size").agg(F.count("*").alias("copies")).where("copies > 1")
+    all_rows = rows.select("text", *on).join(small_or_shuffled(written(copies)), ["label", "h", "size"], "left")
+    return all_rows.select("text", "label", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+
+
 def _features(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,25 +207,27 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     text_batches(docs.sparkSession)
     rows = labelled_texts(docs, labels, "toxic")
     seed = {f" {w} ": SEED_WEIGHT for w in SEED}
-    count = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+    texts = _weighted(rows)
+    count = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.round(F.sum("weight")).alias("n")).collect()}  # two rows
     n_toxic, n_clean = count.get(1, 0), count.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon(seed)
-    toxic, clean = rows.where("label = 1").select("text"), rows.where("label = 0").select("text")
+    toxic, clean = texts.where("label = 1").select("text", "weight"), texts.where("label = 0").select("text", "weight")
     least = max(MIN_TEXTS, MIN_SHARE * n_toxic)
 
-    def totals(df: DataFrame, fn) -> DataFrame:
-        return df.mapInArrow(fn, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    def totals(df: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+        return df.mapInArrow(_terms(wanted), "term string, n double").groupBy("term").agg(F.round(F.sum("n")).alias("n"))
 
-    often = {r["term"]: r["n"] for r in totals(toxic, _toxic_terms).where(F.col("n") >= least).toLocalIterator()}
-    elsewhere = {r["term"]: r["n"] for r in totals(clean, _clean_terms(frozenset(often))).toLocalIterator()}
+    often = {r["term"]: r["n"] for r in totals(toxic, None).where(F.col("n") >= least).toLocalIterator()}
+    elsewhere = {r["term"]: r["n"] for r in totals(clean, frozenset(often)).toLocalIterator()}
     rare = {t: n for t, n in often.items() if elsewhere.get(t, 0) / n_clean <= MAX_CLEAN * n / n_toxic}
-    contexts = toxic.mapInArrow(_contexts(frozenset(rare)), "term string, before string").distinct().groupBy("term").count()
+    around = toxic.mapInArrow(_contexts(frozenset(rare)), "term string, side int, word string, n double").groupBy("term", "side", "word").agg(F.round(F.sum("n")).alias("n"))
+    same = around.groupBy("term", "side").agg((F.sum(F.col("n") * (F.col("n") - 1)) / (F.sum("n") * (F.sum("n") - 1))).alias("same"))
     weights = dict(seed)
-    for r in contexts.toLocalIterator():
-        term, n = r["term"], r["count"]
-        if n >= max(least, MIN_CONTEXTS * rare[term]):
-            weights[term] = float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((elsewhere.get(term, 0) + 0.5) / (n_clean + 1)))
+    for r in same.groupBy("term").agg(F.max("same").alias("same")).toLocalIterator():
+        term = r["term"]
+        if r["same"] <= MAX_SAME:
+            weights[term] = float(np.log((rare[term] + 0.5) / (n_toxic + 1)) - np.log((elsewhere.get(term, 0) + 0.5) / (n_clean + 1)))
     lexicon = Lexicon({t: max(0.1, w) for t, w in weights.items()})
     some = sampled(rows, CURVE_ROWS).select("text", "label")
     x = some.mapInArrow(_features(lexicon), "x0 double, x1 double, label int").limit(CURVE_ROWS).toPandas()
