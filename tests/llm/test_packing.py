@@ -61,5 +61,20 @@ def test_query(spark, sf_tables):
         assert at == 4096 or at < 4096 and at & (at - 1) == 0
 
 
+def test_heads_and_loss_limit(spark):
+    rng = random.Random(4)
+    rows = [(i, "some words to learn " * rng.randrange(1, 60), rng.choice([None, -3, 0, 1, 7, 40, 10_000])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, prompt int")
+    got = packing.pack(docs, public("word_bpe_49k.json"), max_tokens=256, max_segments=8, max_loss=100, head="prompt").collect()
+    head, by_seq, by_doc = {i: max(1, h or 0) for i, _, h in rows}, defaultdict(list), defaultdict(int)
+    for r in got:
+        by_seq[r.sequence_id].append((r.length, r.start + r.length - max(r.start, min(head[r.doc_id], r.start + r.length)), r.loss_tokens))
+        by_doc[r.doc_id, r.doc_tokens] += r.length
+    assert len(by_doc) == 200 and all(n == total for (_, n), total in by_doc.items())
+    for pieces in by_seq.values():
+        assert len(pieces) <= 8 and sum(p[0] for p in pieces) <= 256 and sum(p[1] for p in pieces) <= 100
+        assert all(want == loss for _, want, loss in pieces)
+
+
 def test_empty_table(spark, sf_tables):
     assert packing.op8_vector_packing(spark, sf_tables(documents=([], "doc_id long, text string"))).collect() == []

@@ -14,7 +14,7 @@ first: such sequences need no padding, so nothing is padded at all.
 
 Cases: a null text counts as empty and is its end id alone; null and repeated
 doc_ids are packed like others, row by row; an empty table gives no pieces;
-other columns are not read.
+other columns are not read, but for the one that ``head`` names.
 """
 
 from __future__ import annotations
@@ -150,9 +150,9 @@ def _pack(path: str, end_id: int, limits: tuple[int, int, int]):
             ids = np.insert(flat.astype("<u4"), ends, end_id)
             cuts = np.concatenate([[0], ends + np.arange(1, len(counts) + 1)]).tolist()
             done: list[list[Piece]] = []
-            for k, doc_id in enumerate(b.column("doc_id").to_pylist()):
+            for k, (doc_id, head) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("head").to_pylist(), strict=True)):
                 held[seen] = doc_id, ids[cuts[k] : cuts[k + 1]]
-                done += packer.add(seen, cuts[k + 1] - cuts[k])
+                done += packer.add(seen, cuts[k + 1] - cuts[k], head)
                 seen += 1
             done += packer.pack(POOL)
             yield rows(done)
@@ -164,14 +164,16 @@ def _pack(path: str, end_id: int, limits: tuple[int, int, int]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, head: str | None = None) -> DataFrame:
     """Pieces of ``docs(doc_id, text)`` in sequences under all three limits.
 
-    A document's first token has no context and bears no loss.  Pieces of a
+    A document's first token has no context and bears no loss; nor do the first
+    ``docs[head]`` tokens (a prompt's), where that column is named.  Pieces of a
     document tile its ids; ``sequence_id`` is unique, ``offset`` is gapless.
     """
     text_batches(docs.sparkSession, BATCH_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    heads = F.greatest(F.lit(1), F.col(head).cast("long")) if head else F.lit(1).cast("long")  # a null counts as 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", heads.alias("head"))
     return rows.mapInArrow(_pack(tokenizer_path, end_id, (max_tokens, max_segments, max_loss)), PIECES)
 
 
