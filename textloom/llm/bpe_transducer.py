@@ -24,20 +24,19 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, text_batches
+from textloom.llm.common import slices, table
 from textloom.llm.word_tokens import public_path
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: States and remembered matches of a worker; beyond, states are made anew and matches encoded each time.
 MAX_STATES, MAX_MATCHES, MAX_MATCH_CHARS = 200_000, 250_000, 48
 ROOT = 0
-BATCH_ROWS = 1500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -176,10 +175,12 @@ class BpeTransducer:
 def decode_stream(tokens: Iterable[int], bytes_of: dict[int, bytes], chunk: int = 4096) -> Iterator[tuple[bytes, str]]:
     """Bytes and the text that they complete, chunk by chunk; bytes that are no UTF-8 become U+FFFD."""
     machine = codecs.getincrementaldecoder("utf-8")("replace")
-    tokens = list(tokens)
-    for k in range(0, len(tokens), chunk):
-        part = b"".join(map(bytes_of.__getitem__, tokens[k : k + chunk]))
-        yield part, machine.decode(part, final=k + chunk >= len(tokens))
+    tokens = iter(tokens)
+    while some := list(islice(tokens, chunk)):
+        part = b"".join(map(bytes_of.__getitem__, some))
+        yield part, machine.decode(part)
+    if rest := machine.decode(b"", final=True):
+        yield b"", rest
 
 
 _loaded: dict[str, BpeTransducer] = {}
@@ -197,7 +198,7 @@ def _encode(path: str, pattern: str):
 
         find, fst = regex.compile(pattern).findall, transducer(path)
         memory = fst.memory
-        for b in batches:
+        for b in slices(batches):
             rows, met = [], dict.fromkeys(())
             for text in b.column("text").to_pylist():
                 matches = find(text or "")
@@ -231,7 +232,7 @@ def _ids(path: str, pattern: str):
         import regex
 
         find, fst = regex.compile(pattern).findall, transducer(path)
-        for b in batches:
+        for b in slices(batches):
             ids = [list(chain.from_iterable(fst.encode(m.encode()) for m in find(t or ""))) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -240,7 +241,6 @@ def _ids(path: str, pattern: str):
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id, ids`` of ``docs(doc_id, text)``."""
-    text_batches(docs.sparkSession, BATCH_ROWS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ids(ranks_path, pattern), "doc_id long, ids array<int>")
 
 
@@ -261,7 +261,6 @@ def decode(ids: DataFrame, ranks_path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to, in one pass."""
-    text_batches(docs.sparkSession, BATCH_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_encode(ranks_path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
 

@@ -1,39 +1,77 @@
-"""Shared plumbing: tables in the cluster's shared folder, and components."""
+"""Shared plumbing: tables in the cluster's shared folder, Arrow slices, joins on hot keys, and components."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII letters only: ``lower()`` would also change other scripts.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of text per Arrow batch; documents are some kB, the longest some 100 kB.
-TEXT_BATCH_ROWS = 1000
+#: A slice of an Arrow batch that a Python worker works on at once: rows, and bytes of its columns.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+#: A key is hot when it holds one row in so many, and ``HOT_ROWS`` at least: so there are never more hot keys than ``HOT_PARTS``.
+HOT_PARTS, HOT_ROWS = 10_000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the Arrow batches that Python workers hold at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+# --- Arrow slices -----------------------------------------------------------
+
+
+def slices(batches, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and some ``most`` bytes; a longer single row is a slice of its own.
+
+    The session's batch settings stay as the user has them.
+    """
+    for b in batches:
+        n, at = len(b), 0
+        while at < n:
+            k = min(rows, n - at)
+            while k > 1 and b.slice(at, k).nbytes > most:
+                k = (k + 1) // 2
+            # copied, so that no function meets an offset
+            yield b if k == n else b.take(pa.array(range(at, at + k), pa.int64()))
+            at += k
+
+
+def sliced(fn: Callable[..., pa.Array], rows: int = SLICE_ROWS) -> Callable[..., pa.Array]:
+    """A function of Arrow arrays, called slice by slice."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays(list(columns), [str(k) for k in range(len(columns))])
+        parts = [fn(*b.columns) for b in slices([whole], rows)] or [fn(*columns)]
+        return pa.concat_arrays(parts)
+
+    return run
+
+
+# --- tables of a job --------------------------------------------------------
+
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests on one machine, a folder of our own is set.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    session on one machine, as in tests, gets a folder of its own; a cluster is
+    told to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "/tmp/checkpoints/textloom"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -43,45 +81,92 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def tables_made() -> int:
+    """How many tables this driver has written; a mark for ``discard``."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables written after the mark ``since``; call it once the results that read them are stored."""
+    for path in [p for p in _made[since:] if p not in keep]:
+        _made.remove(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+# --- joins ------------------------------------------------------------------
+
+
+def small_or_shuffled(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df``, whose rows are a few dozen bytes, marked for broadcast up to ``max_rows`` counted rows."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def joined_by(rows: DataFrame, values: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``values`` (one row a ``key``, with the ``count`` of rows that hold it) where keys may be hot.
+
+    Keys with more than ``total / HOT_PARTS`` rows are at most ``HOT_PARTS``, so
+    their values are broadcast and their rows stay where they are; the others
+    are shuffled.  Rows whose key has no value are left out.
+    """
+    least = max(HOT_ROWS, total // HOT_PARTS)
+    hot = F.broadcast(values.where(F.col(count) >= least).drop(count))
+    cold = values.where(F.col(count) < least).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+# --- components -------------------------------------------------------------
+
+
+def _least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges(u, v)`` with the least of u and all v of that u as ``m``; a hub's edges aren't gathered."""
+    low = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return joined_by(edges, low, "u", "n", total)
+
+
+def connected(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node.
 
     Alternating large-star and small-star steps: each step shuffles the edge
     list only, the edge count never grows, and the number of steps grows with
-    the logarithm of the longest path.  Each round is written to the shared
-    folder.  No edges give no rows.
+    the logarithm of the longest path.  They go on until nothing changes.  A
+    node with very many edges is joined by broadcast (``joined_by``).  Each
+    round is written to the shared folder, and the round before deleted.  No
+    edges give no rows.
     """
+    spark = edges.sparkSession
+    mark = tables_made()
     e = written(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    state = None
-    for _ in range(max_rounds):
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    state = digest(e)
+    while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
-            F.col("m").alias("v"),
-        )
+        large = _least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _least(large, state[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = written(small.where("u <> v").distinct())
-        # a star forest is a fixed point; two equal digests in a row end the loop
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        discard(spark, mark, (_made[-1],))
+        # a star forest is the fixed point: a round that changes nothing is the last
+        before, state = state, digest(e)
+        if state == before:
             break
-        state = now
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)
 
 
-def small_or_shuffled(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``df``, whose rows are a few dozen bytes, marked for broadcast up to ``max_rows`` counted rows."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+# --- labels -----------------------------------------------------------------
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -89,15 +174,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, *more: str) -> DataFrame:
-    """``doc_id, text, label`` (and ``more`` columns) of the rows from which labels may be learned, as a written table.
-
-    Null labels and ids are left out; of several labels for an id the largest counts.
-    """
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, label`` of rows that may be learned from; null labels and ids are left out, of several for an id the largest counts."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, *more: str) -> DataFrame:
+    """``doc_id, text, label`` (and ``more`` columns) of the rows from which labels may be learned, as a written table."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
-    return written(texts.join(small_or_shuffled(known), "doc_id"))
+    return written(texts.join(small_or_shuffled(known_labels(labels, label)), "doc_id"))
 
 
 def sampled(rows: DataFrame, n: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import connected, table, text_batches, written
+from textloom.llm.common import connected, sliced, slices, table, written
 
 THRESHOLD = 0.93
 CELL_AXES, TILE, STEP = 3, 512, 8
@@ -163,7 +163,6 @@ def _tile(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors(vec_id, embedding, label)``."""
     spark = vectors.sparkSession
-    text_batches(spark, 4000)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     unit = F.arrow_udf(_unit, T.ArrayType(T.DoubleType()))("embedding")
     good = rows.where("vec_id is not null and label is not null and embedding is not null").withColumn("unit", unit).where("unit is not null")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, text_batches, written
+from textloom.llm.common import table, written
 
 MAX_DEPTH, MAX_PERIOD = 200, 3
 #: Lists longer than this are aligned in order of places, without the full table of prefixes.
@@ -548,7 +548,6 @@ def _with_host(pages: DataFrame) -> DataFrame:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host, wrapper`` for each host of ``pages(url, html)``, as a written table."""
-    text_batches(pages.sparkSession)
     kinds = "host string, wrapper string"
     found = _with_host(pages.select("url", "html")).select("host", "html").mapInArrow(_learn, kinds)
     salted = found.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))

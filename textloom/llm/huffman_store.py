@@ -16,7 +16,7 @@ File format (two Parquet tables below one path, written by Spark):
 
 Cases: a null text counts as empty and holds the end id alone; a null doc_id
 sorts first and is kept; repeated doc_ids keep a row each, in the order of
-their texts; an empty table gives empty tables; other columns are not read.
+their texts' digests; an empty table gives empty tables; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import shared_dir, table, text_batches
+from textloom.llm.common import shared_dir, slices, table
 from textloom.llm.word_tokens import encoder, public_path
 
 MAX_BITS = 20
@@ -38,7 +38,7 @@ BLOCK_TOKENS = 1 << 16
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Rows of text per Arrow batch: a batch looks its words up in all that the worker knows, so larger ones cost less.
-BATCH_ROWS = 4000
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
 
 # --- the code -------------------------------------------------------------
@@ -141,7 +141,7 @@ def id_type(tokenizer_path: str, end_id: int) -> str:
 def _tokenize(path: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seq = encoder(path), 0
-        for b in batches:
+        for b in slices(batches, BATCH_ROWS, BATCH_BYTES):
             flat, n = enc.encode(b.column("text"))
             ends = np.cumsum(n)
             ids = np.insert(flat.astype(dtype), ends, end_id)
@@ -156,9 +156,9 @@ def _tokenize(path: str, end_id: int, dtype: str):
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, dtype: str) -> DataFrame:
     """Every document's ids of ``dtype`` with the end id, ``part`` and ``seq`` giving the order by doc_id."""
-    text_batches(docs.sparkSession, BATCH_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")  # so that one id with many texts isn't one task
+    rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     return rows.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "text").mapInArrow(_tokenize(tokenizer_path, end_id, dtype), "part int, seq long, doc_id long, ids binary")
 
 
@@ -230,26 +230,23 @@ def _decode(lengths: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tab = decoding_table(lengths)
-        for whole in batches:
-            for k in range(0, len(whole), 32):
-                b = whole.slice(k, 32)
-                n = b.column("doc_tokens").to_pylist()
-                marks = [np.frombuffer(x, "<u4") for x in b.column("marks").to_pylist()]
-                flat = unpack_lanes(b.column("payload").to_pylist(), marks, [sum(x) for x in n], tab).astype("<u4")
-                sizes = np.array([y for x in n for y in x], np.int64)
-                cuts = np.concatenate([[0], np.cumsum(sizes)]) * 4
-                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
-                each = np.array([len(x) for x in n])
-                take = pa.array(np.repeat(np.arange(len(b)), each))
-                at = np.concatenate([np.arange(x) for x in each])
-                yield pa.RecordBatch.from_arrays([b.column("part").take(take), b.column("block").take(take), pa.array(at), b.column("doc_ids").flatten(), binary.cast(pa.binary())], schema=schema)
+        for b in slices(batches, 32):
+            n = b.column("doc_tokens").to_pylist()
+            marks = [np.frombuffer(x, "<u4") for x in b.column("marks").to_pylist()]
+            flat = unpack_lanes(b.column("payload").to_pylist(), marks, [sum(x) for x in n], tab).astype("<u4")
+            sizes = np.array([y for x in n for y in x], np.int64)
+            cuts = np.concatenate([[0], np.cumsum(sizes)]) * 4
+            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+            each = np.array([len(x) for x in n])
+            take = pa.array(np.repeat(np.arange(len(b)), each))
+            at = np.concatenate([np.arange(x) for x in each])
+            yield pa.RecordBatch.from_arrays([b.column("part").take(take), b.column("block").take(take), pa.array(at), b.column("doc_ids").flatten(), binary.cast(pa.binary())], schema=schema)
 
     return run
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``part, block, at, doc_id, ids`` (little-endian uint32 bytes) of every document in the files."""
-    text_batches(spark, 64)
     code = spark.read.parquet(f"{path}/code").toPandas()
     lengths = np.zeros(int(code["id"].max()) + 1 if len(code) else 1, np.uint8)
     lengths[code["id"]] = code["bits"]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, text_batches
+from textloom.llm.common import slices, table
 from textloom.llm.word_tokens import encoder, public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -144,7 +144,7 @@ def _pack(path: str, end_id: int, limits: tuple[int, int, int]):
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for b in batches:
+        for b in slices(batches, BATCH_ROWS):
             flat, counts = enc.encode(b.column("text"))
             ends = np.cumsum(counts)
             ids = np.insert(flat.astype("<u4"), ends, end_id)
@@ -171,7 +171,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, max_tokens:
     ``docs[head]`` tokens (a prompt's), where that column is named.  Pieces of a
     document tile its ids; ``sequence_id`` is unique, ``offset`` is gapless.
     """
-    text_batches(docs.sparkSession, BATCH_ROWS)
     heads = F.greatest(F.lit(1), F.col(head).cast("long")) if head else F.lit(1).cast("long")  # a null counts as 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", heads.alias("head"))
     return rows.mapInArrow(_pack(tokenizer_path, end_id, (max_tokens, max_segments, max_loss)), PIECES)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import held_out, labelled_texts, sampled, table, text_batches
+from textloom.llm.common import held_out, labelled_texts, sampled, sliced, slices, table
 from textloom.llm.text_stats import text_stats
 
 SLOTS, RANK = 1 << 14, 8
@@ -156,17 +156,16 @@ def train(row: np.ndarray, slot: np.ndarray, value: np.ndarray, y: np.ndarray) -
 
 
 def _entries(rows):
-    for b in rows:
+    for b in slices(rows):
         row, slot, value = vectors(b.column("text"), b.column("n_chars"))
         y = b.column("label").to_numpy(zero_copy_only=False)
-        for i in range(len(y)):
-            lo, hi = np.searchsorted(row, [i, i + 1])
-            yield pa.RecordBatch.from_pydict({"slots": pa.array([slot[lo:hi].astype(np.int32)], pa.list_(pa.int32())), "values": pa.array([value[lo:hi].astype(np.float32)], pa.list_(pa.float32())), "label": pa.array([int(y[i])], pa.int32())})
+        ends = pa.array(np.searchsorted(row, np.arange(len(y) + 1)).astype(np.int32))
+        each = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (slot.astype(np.int32), value.astype(np.float32))]
+        yield pa.RecordBatch.from_arrays([*each, pa.array(y.astype(np.int32))], ["slots", "values", "label"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FactorisationMachine:
     """A model from at most ``rows`` labelled rows of ``docs(doc_id, text, n_chars)`` that are not held out."""
-    text_batches(docs.sparkSession)
     if "n_chars" not in docs.columns:
         docs = docs.withColumn("n_chars", F.lit(None))
     known = labelled_texts(docs.withColumn("n_chars", F.col("n_chars").cast("long")), labels, "quality", "n_chars")
@@ -184,14 +183,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factorisa
 def scored(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """``docs`` with ``quality_score``."""
     spark = docs.sparkSession
-    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(texts: pa.Array, n_chars: pa.Array) -> pa.Array:
         return pa.array(shared.value.score(*vectors(texts, n_chars), len(texts)).astype(np.float64))
 
     n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.withColumn("quality_score", F.arrow_udf(run, "double")("text", n_chars))
+    return docs.withColumn("quality_score", F.arrow_udf(sliced(run), "double")("text", n_chars))
 
 
 def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import small_or_shuffled, table, text_batches, written
+from textloom.llm.common import fresh, sliced, small_or_shuffled, table, written
 from textloom.llm.text_stats import NAMES, text_stats
 
 MIN_WORDS, REPEAT_PERCENT = 10, 20
@@ -56,11 +56,13 @@ DIMS = len(FLOOR)
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
 
-@F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in NAMES]))
-def stats_of(texts: pa.Array) -> pa.Array:
+def _stats(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in text_stats(texts).values()], list(NAMES))
 
 
+stats_of = F.arrow_udf(sliced(_stats), T.StructType([T.StructField(n, T.LongType()) for n in NAMES]))
+
+
 def vector(s: str) -> list[Column]:
     """The transformed statistics of the struct column ``s``."""
     chars = F.col(f"{s}.word_chars") + SHRINK
@@ -159,7 +161,6 @@ def estimates(vectors: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> DataFrame:
     """``by_source, mean, inverse``: the estimate for each language and source of ``docs(text, lang, source)``."""
-    text_batches(docs.sparkSession)
     rows = docs.select(_name("lang").alias("by_lang"), F.concat_ws("\u0001", _name("lang"), _name("source")).alias("by_source"), stats_of("text").alias("s"))
     rows = rows.where(~base_failed("s"))
     vectors = written(rows.select("by_lang", "by_source", *(v.alias(f"x{i}") for i, v in enumerate(vector("s")))))
@@ -178,24 +179,23 @@ def fit(docs: DataFrame) -> DataFrame:
     return written(uses.join(small_or_shuffled(model.withColumnRenamed("key", "uses"), BROADCAST_GROUPS), "uses").select("by_source", "mean", "inverse"))
 
 
-def judged(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``docs`` with the struct ``rules``: its counts, ``base_failed``, ``distance`` and ``kept``."""
-    text_batches(docs.sparkSession)
-    rows = docs.withColumn("rules", stats_of("text"))
-    key = F.concat_ws("\u0001", _name("lang"), _name("source"))
-    to = model.select(F.col("by_source").alias("__key"), F.struct("mean", "inverse").alias("__model"))
-    rows = rows.withColumn("__key", key).join(small_or_shuffled(to, BROADCAST_GROUPS), "__key", "left")
-    failed = base_failed("rules")
-    distance = _distance(vector("rules"), "__model.mean", "__model.inverse")
-    rows = rows.withColumn("__d", F.when(~failed, distance))
-    kept = ~failed & (F.coalesce(F.col("__d"), F.lit(0.0)) <= CUTOFF)
-    rows = rows.withColumn("rules", F.col("rules").withField("base_failed", failed).withField("distance", F.col("__d")).withField("kept", kept))
-    return rows.drop("__key", "__model", "__d")
+def judged(docs: DataFrame, model: DataFrame, name: str = "rules") -> DataFrame:
+    """``docs`` with the struct ``name``: its counts, ``base_failed``, ``distance`` and ``kept``."""
+    by, of = fresh(docs, "by_source"), fresh(docs, "model")
+    rows = docs.withColumn(name, stats_of("text")).withColumn(by, F.concat_ws("\u0001", _name("lang"), _name("source")))
+    to = model.select(F.col("by_source").alias(by), F.struct("mean", "inverse").alias(of))
+    rows = rows.join(small_or_shuffled(to, BROADCAST_GROUPS), by, "left")
+    failed = base_failed(name)
+    distance = F.when(~failed, _distance(vector(name), f"{of}.mean", f"{of}.inverse"))
+    rows = rows.withColumn(name, F.col(name).withField("base_failed", failed).withField("distance", distance))
+    kept = ~failed & (F.coalesce(F.col(f"{name}.distance"), F.lit(0.0)) <= CUTOFF)
+    return rows.withColumn(name, F.col(name).withField("kept", kept)).drop(by, of)
 
 
 def reject(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass base rules and the outlier test, with their columns."""
-    return judged(docs, fit(docs)).where("rules.kept").select(*docs.columns)
+    name = fresh(docs, "rules")
+    return judged(docs, fit(docs), name).where(f"{name}.kept").select(*docs.columns)
 
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

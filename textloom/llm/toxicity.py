@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import held_out, labelled_texts, sampled, small_or_shuffled, table, text_batches, written
+from textloom.llm.common import fresh, held_out, labelled_texts, sampled, sliced, slices, small_or_shuffled, table, written
 
 MIN_SHARE, MIN_TEXTS = 0.01, 5
 #: A term's rate in other texts may be this part of its rate in toxic ones.
@@ -141,7 +141,7 @@ def _terms(wanted: frozenset[str] | None):
     """Texts that hold each term, a copied text's ``weight`` being its part of one text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n: defaultdict[str, float] = defaultdict(float)
             for text, weight in zip(b.column("text").to_pylist(), b.column("weight").to_pylist(), strict=True):
                 terms = {t for w in set(fold(text).split()) for t in terms_of(w)}
@@ -156,7 +156,7 @@ def _contexts(wanted: frozenset[str]):
     """Texts by term and the words around its first place, where ``side`` is 0 before and 1 after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n: defaultdict[tuple[str, int, str], float] = defaultdict(float)
             for text, weight in zip(b.column("text").to_pylist(), b.column("weight").to_pylist(), strict=True):
                 words, seen = ["", *fold(text).split(), ""], set()
@@ -182,7 +182,7 @@ def _weighted(rows: DataFrame) -> DataFrame:
 
 def _features(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [lexicon.features(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in x], pa.float64()), pa.array([r[1] for r in x], pa.float64()), b.column("label")], ["x0", "x1", "label"])
 
@@ -204,7 +204,6 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """A lexicon from the labelled rows of ``docs(doc_id, text)`` that are not held out."""
-    text_batches(docs.sparkSession)
     rows = labelled_texts(docs, labels, "toxic")
     seed = {f" {w} ": SEED_WEIGHT for w in SEED}
     texts = _weighted(rows)
@@ -240,20 +239,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 VERDICT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n_matches", T.LongType())])
 
 
-def judged(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with the struct ``toxicity``: ``score`` and ``n_matches``."""
-    text_batches(docs.sparkSession)
+def judged(docs: DataFrame, lexicon: Lexicon, name: str = "toxicity") -> DataFrame:
+    """``docs`` with the struct ``name``: ``score`` and ``n_matches``."""
 
     def verdict(texts: pa.Array) -> pa.Array:
         x = np.array([lexicon.features(t or "") for t in texts.to_pylist()], float).reshape(-1, 3)
         return pa.StructArray.from_arrays([pa.array(lexicon.score(x)), pa.array(x[:, 2].astype(np.int64))], ["score", "n_matches"])
 
-    return docs.withColumn("toxicity", F.arrow_udf(verdict, VERDICT)("text"))
+    return docs.withColumn(name, F.arrow_udf(sliced(verdict), VERDICT)("text"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their columns."""
-    return judged(docs, learn(docs, labels)).where(F.col("toxicity.score") < THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "toxicity")
+    return judged(docs, learn(docs, labels), name).where(F.col(f"{name}.score") < THRESHOLD).select(*docs.columns)
 
 
 def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

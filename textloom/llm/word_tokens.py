@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker remembers (some 40 MB of Arrow and numpy); beyond, words are encoded by batch.
-CACHE_WORDS = 800_000
-#: Words of more bytes are encoded each time and not remembered.
+#: Words a worker remembers; beyond, words are encoded by batch.
+CACHE_WORDS = 300_000
+#: Words of more bytes are encoded each time and not remembered, so the memory is bounded in bytes too.
 CACHE_WORD_BYTES = 64
 #: Unknown words that go to the library as one text.
 WORDS_A_LINE = 200
@@ -62,6 +62,17 @@ class WordEncoder:
             flat.append(np.array(e.ids, self.dtype))
         return np.concatenate(flat), np.concatenate(lens).astype(np.int32)
 
+    def _remember(self, words: pa.Array, ids: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
+        """Keeps the short ones of new words with their ids, and nothing of the others."""
+        keep = np.flatnonzero(pc.less_equal(pc.binary_length(words), CACHE_WORD_BYTES).to_numpy(zero_copy_only=False))
+        keep = keep[: max(0, CACHE_WORDS - len(self.known))]
+        if len(keep):
+            own = n[keep]
+            self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(own) - own).astype(np.int32)])
+            self.lens = np.concatenate([self.lens, own])
+            self.flat = np.concatenate([self.flat, ragged(ids, begin[keep], own)])
+            self.known = pa.concat_arrays([self.known, words.take(pa.array(keep))])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, n)``: all ids in order, and each text's count; null texts are empty."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -76,14 +87,10 @@ class WordEncoder:
         if len(new):
             some = uniq.take(pa.array(new))
             extra, n = self._encode(some.to_pylist())
-            begin = (len(flat) + np.cumsum(n) - n).astype(np.int32)
-            starts[new], lens[new] = begin, n
+            begin = (np.cumsum(n) - n).astype(np.int32)
+            starts[new], lens[new] = len(flat) + begin, n
             flat = np.concatenate([flat, extra])
-            short = pc.less_equal(pc.binary_length(some), CACHE_WORD_BYTES)
-            if len(self.known) < CACHE_WORDS and (keep := short.to_numpy(zero_copy_only=False)).any():
-                self.known = pa.concat_arrays([self.known, some.filter(short)])
-                self.flat = flat
-                self.starts, self.lens = np.concatenate([self.starts, begin[keep]]), np.concatenate([self.lens, n[keep]])
+            self._remember(some, extra, begin, n)
         each = lens[code]
         out = ragged(flat, starts[code], each)
         ends = np.concatenate([[0], np.cumsum(each)])
