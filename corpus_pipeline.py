@@ -4,6 +4,13 @@ Each stage reads what its predecessor kept.  The first three return rows of
 ``documents`` with their columns; the last returns pieces of token sequences.
 The verdicts are models and sketches, so no SQL states the result (ORACLE_SQL
 is None); tests hold the stages against plain versions.
+
+Cases: a null or empty text fails the quality rules and goes; a null lang or
+source is a group of its own; rows with a null doc_id are judged by their text
+and stay as such; of repeated rows, and of rows that share a doc_id, one stays
+after the third stage; ties are settled by digests of rows, so a run's answer
+doesn't depend on how rows are spread; further columns, whatever their names,
+stay until the last stage; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import near_dedup, packing, quality_rules, toxicity
-from textloom.llm.common import shared_dir, table
+from textloom.llm.common import discard, shared_dir, table, tables_made
 from textloom.llm.word_tokens import public_path
 
 
@@ -36,11 +43,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all stages in turn; tables that a stage no longer needs are deleted once it is stored."""
     docs = table(spark, sf_dir, "documents")
+    mark = tables_made()
     for _, stage in STAGES:
         path = shared_dir(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard(spark, mark, (path,))
     return docs
 
 
