@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 from public_tokenizers import path as public
 
+from textloom.llm import common
 from textloom.llm.common import connected, discard, fresh, joined_by, shared_dir, sliced, slices, tables_made, written
 from textloom.llm.word_tokens import WordEncoder
 
@@ -16,12 +17,13 @@ def test_slices_bound_rows_and_bytes():
     assert double(b.column("text")).to_pylist()[50] == "y" * 200_000 and len(double(b.column("text").slice(0, 0))) == 0
 
 
-@pytest.mark.parametrize("n", [2, 3000])
-def test_connected_long_path(spark, n):
+@pytest.mark.parametrize("n", [2, 100_000])
+def test_connected_long_path(spark, n, monkeypatch):
     """A path needs the most steps; nothing is left unfinished."""
+    monkeypatch.setattr(common, "STAR_EDGES", 400)
     rng = np.random.default_rng(1)
     ids = rng.permutation(n).tolist()
-    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long").repartition(8)
     got = connected(edges).collect()
     assert len(got) == n and all(r.component == 0 for r in got)
 

@@ -1,9 +1,10 @@
+import random
 import re
 from html import unescape
 
 import duckdb
 
-from textloom.llm.html_wrapper import dumps, expression, loads, main_text, merge, op1_wrapper_inference, parse, wrapper_of, wrappers
+from textloom.llm.html_wrapper import _common, _table, aligned, dumps, expression, loads, main_text, merge, op1_wrapper_inference, parse, wrapper_of, wrappers
 from textloom.llm.html_wrapper import _known
 
 SF = "/root/testdata/sf0.01"
@@ -70,6 +71,10 @@ def test_broken_markup():
     assert main_text("") == "" == main_text(None)
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     assert main_text(f"<article>{deep}<p>after</p></article>") == "deep\n\nafter"
+    unclosed = "".join(f"<div>t{k} " for k in range(5000))
+    assert main_text(f"<article>{unclosed}</article>") == "\n\n".join(f"t{k}" for k in range(5000))
+    w = infer([f"<article>{deep}</article>", f"<article>{deep}<p>x</p></article>"])
+    assert dumps(loads(dumps(w))) == dumps(w)
     assert main_text("<article>" + "<p>y</p><h3>z</h3><hr>" * 20000 + "</article>").count("y") == 20000
 
 
@@ -86,3 +91,50 @@ def test_cases(spark, sf_tables):
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in got) == [("1", "one", 3), ("1", "one", 3), ("2", "", 0), ("3", "alone", 5), ("None", "", 0)]
     empty = spark.createDataFrame([], schema)
     assert wrappers(empty).count() == 0
+
+
+def test_alignment_is_longest_at_every_size():
+    rng = random.Random(1)
+    for n, m, k in ((5, 7, 3), (90, 80, 4), (150, 400, 9), (300, 299, 2)):
+        a, b = [rng.randrange(k) for _ in range(n)], [rng.randrange(k) for _ in range(m)]
+        got = aligned(a, b)
+        assert len(got) == len(_table(a, b)) == _common(a, b)[-1]
+        assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+    a = [rng.randrange(50) for _ in range(10_000)]
+    assert aligned(a, a[:5000] + [99] + a[5000:])[-1] == (9999, 10_000)
+    assert aligned([1], [2] * 9000 + [1]) == [(0, 9000)] and aligned([], [1]) == []
+
+
+def test_ten_thousand_siblings_and_long_periods():
+    names = ["p", "h2", "h3", "h4", "blockquote"]
+    page = "".join(f"<{names[k % 5]}>{k}</{names[k % 5]}>" for k in range(10_000))
+    assert expression(wrapper_of(parse(page))) == "(<p>#</><h2>#</><h3>#</><h4>#</><blockquote>#</>)+"
+    rng = random.Random(2)
+    mixed = [rng.choice(names) for _ in range(10_000)]
+    page = "<article>" + "".join(f"<{x}>{k}</{x}>" for k, x in enumerate(mixed)) + "</article>"
+    w = infer([page, "<article><p>a</p><h2>b</h2></article>"])
+    assert main_text(page, *_known(dumps(w))) == "\n\n".join(map(str, range(10_000)))
+
+
+def test_every_article_and_telling_words():
+    assert main_text("<main><article class=a>part 1</article><div class=ad>buy</div><article class=b>part 2 is longer</article></main>") == "part 1\n\npart 2 is longer"
+    assert main_text("<article><p>Text.</p><div class='notice-of-award'>Awarded.</div><section class='related-work'>Others did.</section><div class='comment-list'>first!</div><div class='site-notice'>n</div></article>") == "Text.\n\nAwarded.\n\nOthers did."
+    assert main_text("<article>the article itself</article><div><article class='teaser'>Read this</article><article><a href=x>A link to more</a></article></div>") == "the article itself"
+    assert main_text("<article><p>a</p><div class='related-reading'><a href=x>More of it</a> <a href=y>And more</a></div></article>") == "a"
+
+
+def test_page_inside_a_form():
+    page = "<body><form id=aspnet><div class=menu><a href=x>Home</a></div><div><h2>Title</h2><p>" + "words of the story " * 20 + "</p></div></form></body>"
+    assert main_text(page) == "Title\n\n" + " ".join(["words of the story"] * 20)
+    assert main_text("<div><p>" + "story " * 30 + "</p><form><label>Your name</label></form></div>") == " ".join(["story"] * 30)
+
+
+def test_wrappers_are_merged_in_steps(spark, monkeypatch):
+    from textloom.llm import html_wrapper
+
+    monkeypatch.setattr(html_wrapper, "FAN", 2)
+    rows = [(k, "http://h/x", f"<article><p>{k}</p>{'<ul><li>a</ul>' * (k % 7)}</article>") for k in range(24)]
+    known = wrappers(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8))
+    assert known.count() == 1
+    w = _known(known.first()["wrapper"])
+    assert all(main_text(html, *w).startswith(str(k)) for k, _, html in rows)

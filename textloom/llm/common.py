@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,28 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A slice of an Arrow batch that a Python worker works on at once: rows, and bytes of its columns.
 SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+#: Bytes of an Arrow batch, in place of Spark's default.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = 4 << 20, "67108864"
 #: A key is hot when it holds one row in so many, and ``HOT_ROWS`` at least: so there are never more hot keys than ``HOT_PARTS``.
 HOT_PARTS, HOT_ROWS = 10_000, 1000
+#: Edges that a task makes stars of at once (some 100 bytes each).
+STAR_EDGES = 500_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Spark cut Arrow batches at ``BATCH_BYTES``, unless the session has a bound of its own.
+
+    Spark's default of 64 MB costs an executor some hundred MB a task.  The
+    value is the same for all operators, so none undoes what another set.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in (DEFAULT_BATCH_BYTES, f"{DEFAULT_BATCH_BYTES}b"):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, as the queries read it."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -126,6 +144,41 @@ def joined_by(rows: DataFrame, values: DataFrame, key: str, count: str, total: i
 # --- components -------------------------------------------------------------
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges that is not the smallest of its component, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    to = np.arange(len(nodes))
+    while True:
+        p, q = to[x], to[y]
+        on = p != q
+        if not on.any():
+            break
+        np.minimum.at(to, np.maximum(p[on], q[on]), np.minimum(p[on], q[on]))
+        while (to[to] != to).any():
+            to = to[to]
+    low = to != np.arange(len(nodes))
+    return nodes[low], nodes[to[low]]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task, some at a time, as stars."""
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["u", "v"])
+
+    for b in batches:
+        held = tuple(np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("u", "v"), strict=True))
+        if len(held[0]) >= STAR_EDGES:
+            held = stars(*held)
+            if 2 * len(held[0]) >= STAR_EDGES:
+                yield out()
+                held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held = stars(*held)
+    yield out()
+
+
 def _least(edges: DataFrame, total: int) -> DataFrame:
     """``edges(u, v)`` with the least of u and all v of that u as ``m``; a hub's edges aren't gathered."""
     low = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
@@ -135,32 +188,32 @@ def _least(edges: DataFrame, total: int) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node.
 
-    Alternating large-star and small-star steps: each step shuffles the edge
-    list only, the edge count never grows, and the number of steps grows with
-    the logarithm of the longest path.  They go on until nothing changes.  A
-    node with very many edges is joined by broadcast (``joined_by``).  Each
-    round is written to the shared folder, and the round before deleted.  No
-    edges give no rows.
+    Each task first makes stars of its own edges.  While these aren't stars as a
+    whole, large-star and small-star steps follow, and stars by task again: each
+    shuffles the edge list only, the edge count never grows, and the number of
+    rounds grows with the logarithm of the longest path at most.  A node with
+    very many edges is joined by broadcast (``joined_by``).  Each round is
+    written to the shared folder, and the round before deleted.  No edges give
+    no rows.
     """
     spark = edges.sparkSession
     mark = tables_made()
-    e = written(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    state = digest(e)
-    while state[0]:
+
+    def contracted(df: DataFrame) -> DataFrame:
+        return written(df.where("u is not null and v is not null and u <> v").distinct().mapInArrow(_stars, "u long, v long"))
+
+    e = contracted(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")))
+    while True:
+        ends = e.select("u", F.lit(1).alias("as_leaf"), F.lit(0).alias("as_root")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("as_leaf"), F.lit(1).alias("as_root")))
+        ends = ends.groupBy("u").agg(F.sum("as_leaf").alias("leaf"), F.max("as_root").alias("root"))
+        total, crossed = ends.agg(F.sum("leaf"), F.count_if(F.expr("leaf > 1 or leaf = 1 and root = 1"))).first()
+        if not crossed:
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _least(large, state[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = written(small.where("u <> v").distinct())
+        large = _least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _least(large, total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = contracted(small)
         discard(spark, mark, (_made[-1],))
-        # a star forest is the fixed point: a round that changes nothing is the last
-        before, state = state, digest(e)
-        if state == before:
-            break
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)

@@ -11,45 +11,54 @@ repeated group.
 
 Each slot knows how many texts it took, their length, how much of it was links,
 and whether all were equal.  From these the wrapper's regions get a role: menus,
-headers, footers, adverts, forms, comments and the like by tag or by the words
-of class, id and role; the article by its tag, else by descending to the
-container of most changing, unlinked text.  A page is aligned with its host's
-wrapper and yields the texts of slots in the article.
-
-Wrappers are folded inside each task and then merged by host and salt, then by
-host: what is shuffled is a wrapper for each task and host, never a page, so a
-host with a third of all pages is like any other.
+headers, footers, adverts, forms, comments and the like by tag or by a class, id
+or role that says nothing else; where such a word stands among others
+(``notice-of-award``), the slots decide: what is mostly links, or the same on
+``FIXED_PAGES`` pages and more.  A form around half of the text or more is a
+plain container.  Article regions go by their tag, all of them but those that
+are mostly links or teasers beside others; without such a tag, by descending to
+the container of most changing, unlinked text.  A page is aligned with its
+host's wrapper and yields the texts of slots in the article.
+
+Alignment is a longest common subsequence at every size, in linear space.
+Wrappers are folded inside each task and then merged by host, some ``FAN`` at a
+time until one is left: what is shuffled is a wrapper for each task and host,
+never a page, so a host with a third of all pages is like any other.  Which
+slots become optional or repeated can depend on how pages fall into tasks; the
+order of merging inside a group is fixed.
 
 Cases: null or empty html gives empty text; a null url is a host of its own;
 equal pages and page_ids are extracted row by row; a page whose article is not
 where its host has it is judged by itself; cut-off pages and unclosed tags close
-at the end of what encloses them; tags nested deeper than ``MAX_DEPTH`` are
-blocks of the tag at that depth, with their text; an empty table gives no rows;
-other columns are not read.
+at the end of what encloses them; tags may nest to any depth; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, written
+from textloom.llm.common import slices, table, written
 
-MAX_DEPTH, MAX_PERIOD = 200, 3
-#: Lists longer than this are aligned in order of places, without the full table of prefixes.
-LONG_LIST = 300
+#: Lists whose lengths multiply to less are aligned by a full table; longer ones are halved first.
+SMALL_TABLE = 4096
 #: Hosts that a task folds at a time before it hands on their wrappers.
 HELD_HOSTS = 500
-SALTS = 16
+#: Wrappers of a host that a task merges at once.
+FAN = 32
+SALTS = 64
 #: Wrappers are broadcast up to this many characters in all, and joined by host and salt beyond.
 BROADCAST_CHARS = 32_000_000
 #: A slot is fixed text of the host if so many pages at least had the same text there.
@@ -71,6 +80,12 @@ CHROME_WORDS = frozenset(
 )
 #: The same, but only outside an article.
 HEADER_WORDS = frozenset(("header", "masthead"))
+#: Words that may stand beside those of CHROME_WORDS in a class and change nothing.
+SOFT_WORDS = frozenset(
+    "area article author bar block body bottom box button buttons col column container content count entry feed form group head heading holder icon icons inner item items left link links list main message module more outer page panel post right row section site slot story thread title top unit wrap wrapper".split()
+)
+#: Articles of these classes are pointers to others.
+TEASER_WORDS = frozenset("card excerpt preview promo related teaser teasers tile".split())
 ARTICLE_ROLES = frozenset(("main", "articlebody"))
 
 _MARKUP = re.compile(
@@ -209,7 +224,7 @@ def parse(html: str) -> Node:
                     break
                 if tags[at] in ("ul", "ol", "dl", "table", "select"):
                     break
-        if tag in VOID or len(stack) > MAX_DEPTH:
+        if tag in VOID:
             continue
         node = Node(_key(tag, attributes))
         stack[-1].kids.append(node)
@@ -223,24 +238,46 @@ def parse(html: str) -> Node:
 # --- wrappers ---------------------------------------------------------------
 
 
-def fold(kids: list) -> list[Group]:
-    """Groups of siblings: what stands twice or more in a row is a repeated group."""
-    groups, i, n = [], 0, len(kids)
-    keys = [k.key for k in kids]
+def _periods(keys: list[str]) -> list[tuple[int, np.ndarray]]:
+    """Periods that may repeat, the shortest first, and for each place how many of its keys equal those a period later."""
+    code = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+    if len(code) == len(keys):
+        return []
+    x = np.array([code[k] for k in keys])
+    order = np.argsort(x, kind="stable")
+    near = np.diff(order)[x[order][1:] == x[order][:-1]]  # distances of equal keys that follow each other
+    out = []
+    for p in np.unique(near).tolist():
+        same = np.append(x[:-p] == x[p:], False)
+        stop = np.flatnonzero(~same)
+        run = stop[np.searchsorted(stop, np.arange(len(same)))] - np.arange(len(same))
+        if (run >= p).any():
+            out.append((p, np.append(run, np.zeros(p, np.int64))))
+    return out
+
+
+def _runs(kids: list) -> Iterator[tuple[int, int, int]]:
+    """``(place, period, times)``: siblings cut where what stands twice or more in a row begins and ends."""
+    i, n = 0, len(kids)
+    periods = _periods([k.key for k in kids]) if n > 1 else []
     while i < n:
         best, period = 1, 1
-        for p in range(1, MAX_PERIOD + 1):
-            times = 1
-            first = keys[i : i + p]
-            while keys[i + times * p : i + (times + 1) * p] == first:
-                times += 1
+        for p, run in periods:
+            times = 1 + int(run[i]) // p
             if times > 1 and times * p > best * period:
                 best, period = times, p
+        yield i, period, best
+        i += best * period
+
+
+def fold(kids: list) -> list[Group]:
+    """Groups of siblings: what stands twice or more in a row is a repeated group."""
+    groups = []
+    for i, period, times in _runs(kids):
         units = [_wrap(kids[i + j]) for j in range(period)]
-        for t in range(1, best):
+        for t in range(1, times):
             units = [merge(u, _wrap(kids[i + t * period + j])) for j, u in enumerate(units)]
-        groups.append(Group(units, repeated=best > 1))
-        i += best * period
+        groups.append(Group(units, repeated=times > 1))
     return groups
 
 
@@ -286,45 +323,64 @@ def _collapse(groups: list[Group], periods: set[tuple[str, ...]]) -> list[Group]
     return out
 
 
-def aligned(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence; for long lists, of a common subsequence in order of places."""
+def _table(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence by the table of all suffixes."""
     n, m = len(a), len(b)
-    head = 0
-    while head < min(n, m) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
-        tail += 1
-    pairs = [(i, i) for i in range(head)]
-    n, m = n - head - tail, m - head - tail
-    if n and m and max(n, m) <= LONG_LIST:
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            row, under = best[i], best[i + 1]
-            for j in range(m - 1, -1, -1):
-                row[j] = under[j + 1] + 1 if a[head + i] == b[head + j] else max(under[j], row[j + 1])
-        i = j = 0
-        while i < n and j < m:
-            if a[head + i] == b[head + j]:
-                pairs.append((head + i, head + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    elif n and m:
-        places: dict[tuple, list[int]] = {}
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        row, under = best[i], best[i + 1]
         for j in range(m - 1, -1, -1):
-            places.setdefault(b[head + j], []).append(head + j)
-        least = head
-        for i in range(head, head + n):
-            own = places.get(a[i], [])
-            while own and own[-1] < least:
-                own.pop()
-            if own:
-                least = own[-1] + 1
-                pairs.append((i, own.pop()))
-    return pairs + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+            row[j] = under[j + 1] + 1 if a[i] == b[j] else max(under[j], row[j + 1])
+    pairs, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return pairs
+
+
+def _common(a: list, b: list) -> np.ndarray:
+    """Lengths of the longest common subsequence of ``a`` with each beginning of ``b``; a row of the table is one number's bits."""
+    at: dict = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        both = row & at.get(x, 0)
+        row = ((row + both) | (row - both)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def aligned(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; long lists are halved where both halves have most in common."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= SMALL_TABLE:
+            out += [(i + x, j + y) for x, y in _table(a[i:n], b[j:m])]
+        elif n - i == 1:
+            if a[i] in b[j:m]:
+                out.append((i, b.index(a[i], j, m)))
+        else:
+            mid = (i + n) // 2
+            cut = int(np.argmax(_common(a[i:mid], b[j:m]) + _common(a[mid:n][::-1], b[j:m][::-1])[::-1]))
+            todo += [(mid, n, j + cut, m), (i, mid, j, j + cut)]
+    return sorted(out)
 
 
 def generalise(a: list[Group], b: list[Group]) -> list[Group]:
@@ -356,23 +412,53 @@ def generalise(a: list[Group], b: list[Group]) -> list[Group]:
 
 
 def dumps(unit: Node) -> str:
-    def plain(u):
-        if isinstance(u, Leaf):
-            return [u.n, u.chars, u.linked, u.same]
-        return [u.key, [[[plain(x) for x in g.units], int(g.optional) + 2 * int(g.repeated)] for g in u.groups]]
-
-    return json.dumps(plain(unit), separators=(",", ":"), ensure_ascii=False)
+    """A flat list, a unit's groups and their units following it, so that no depth is too much."""
+    out: list = []
+    todo: list = [unit]
+    while todo:
+        u = todo.pop()
+        if isinstance(u, Group):
+            out += [len(u.units), int(u.optional) + 2 * int(u.repeated)]
+            todo += reversed(u.units)
+        elif isinstance(u, Leaf):
+            out += ["#", u.n, u.chars, u.linked, u.same]
+        else:
+            out += [u.key, len(u.groups)]
+            todo += reversed(u.groups)
+    return json.dumps(out, separators=(",", ":"), ensure_ascii=False)
 
 
 def loads(text: str) -> Node:
-    def unit(x):
-        if not isinstance(x[0], str):
-            return Leaf("", *x)
-        out = Node(x[0])
-        out.groups = [Group([unit(u) for u in units], bool(how & 1), bool(how & 2)) for units, how in x[1]]
-        return out
-
-    return unit(json.loads(text))
+    flat = iter(json.loads(text))
+    root = Node(next(flat))
+    root.groups = []
+    #: What is still to be read: groups of a node, or units of a group.
+    todo: list[tuple[Node | list, int]] = [(root, next(flat))]
+    whole: list[Node] = [root]
+    while todo:
+        into, left = todo.pop()
+        if not left:
+            continue
+        todo.append((into, left - 1))
+        if isinstance(into, Node):
+            n, how = next(flat), next(flat)
+            g = Group([], bool(how & 1), bool(how & 2))
+            into.groups.append(g)
+            todo.append((g.units, n))
+            continue
+        key = next(flat)
+        if key == "#":
+            into.append(Leaf("", next(flat), next(flat), next(flat), next(flat)))
+        else:
+            node = Node(key)
+            node.groups = []
+            into.append(node)
+            whole.append(node)
+            todo.append((node, next(flat)))
+    for node in whole:
+        for g in node.groups:
+            g.keys = tuple(u.key for u in g.units)
+    return root
 
 
 def expression(unit: Node | Leaf) -> str:
@@ -386,13 +472,27 @@ def expression(unit: Node | Leaf) -> str:
 # --- roles ------------------------------------------------------------------
 
 
-def is_chrome(key: str, in_article: bool) -> bool:
-    tag, words = _tag(key), _words(key)
+@lru_cache(65536)
+def _said(key: str) -> int:
+    """Whether class, id or role name a menu, advert or the like: 2 if they say nothing else, 1 if such a word stands among others."""
+    out = 0
+    for token in key.partition(".")[2].split():
+        plain = {w.lower() for w in re.split(r"[^A-Za-z]+", token) if w}
+        for words in (plain, {w.lower() for w in _PARTS.findall(token)}):
+            if words & CHROME_WORDS:
+                out = max(out, 2 if words <= CHROME_WORDS | SOFT_WORDS else 1)
+    return out
+
+
+def is_chrome(key: str, in_article: bool) -> int:
+    """2 for what is no article by tag or class, 1 for what may be none."""
+    tag = _tag(key)
+    words = _words(key)
     if tag in ("article", "main", "h1", ""):
-        return "hidden" in words
-    if tag in CHROME_TAGS or "hidden" in words or words & CHROME_WORDS:
-        return True
-    return not in_article and (tag == "header" or bool(words & HEADER_WORDS))
+        return 2 if "hidden" in words else 0
+    if tag in CHROME_TAGS or "hidden" in words or not in_article and (tag == "header" or words & HEADER_WORDS):
+        return 2
+    return _said(key)
 
 
 def is_article(key: str) -> bool:
@@ -403,104 +503,158 @@ def _units(node: Node) -> list:
     return [u for g in node.groups for u in g.units]
 
 
-def _articles(node: Node, out: list[Node]) -> None:
-    """Article regions; those in menus, adverts and the like don't count, but a form may enclose one."""
-    for u in _units(node):
-        if isinstance(u, Node):
-            if _tag(u.key) == "main" and not is_chrome(u.key, False):
-                inner: list[Node] = []
-                _articles(u, inner)
-                out += [x for x in inner if _tag(x.key) == "article"] or [u]
-            elif is_article(u.key):
-                out.append(u)
-            elif _tag(u.key) == "form" or not is_chrome(u.key, False):
-                _articles(u, out)
+def _measured(wrapper: Node) -> dict[int, tuple[int, int, bool]]:
+    """Of each node, by id(): characters, linked ones, and whether all its slots are fixed text of the host."""
+    out: dict[int, tuple[int, int, bool]] = {}
+    todo: list[tuple[Node, bool]] = [(wrapper, False)]
+    while todo:
+        u, seen = todo.pop()
+        if not seen:
+            todo.append((u, True))
+            todo += [(x, False) for x in _units(u) if isinstance(x, Node)]
+            continue
+        chars = linked = 0
+        fixed = True
+        for x in _units(u):
+            c, k, f = (x.chars, x.linked, _fixed(x)) if isinstance(x, Leaf) else out[id(x)]
+            chars, linked, fixed = chars + c, linked + k, fixed and (f or not c)
+        out[id(u)] = chars, linked, fixed
+    return out
 
 
-def _mass(node: Node | Leaf, sizes: dict[int, int], lively: bool) -> int:
-    """Characters of text that is no link, no menu or the like, and (``lively``) not fixed for the host."""
-    if isinstance(node, Leaf):
-        fixed = lively and node.same is not None and node.n >= FIXED_PAGES
-        total = 0 if fixed else node.chars - node.linked
-    elif is_chrome(node.key, False):
-        total = 0
-    else:
-        total = sum(_mass(u, sizes, lively) for u in _units(node))
-    sizes[id(node)] = total
-    return total
+def _fixed(slot: Leaf) -> bool:
+    return slot.same is not None and slot.n >= FIXED_PAGES
 
 
-def roles(wrapper: Node) -> dict[int, bool]:
-    """Whether each slot's text belongs to the article, by the slot's id()."""
-    keep: dict[int, bool] = {}
-    sizes: dict[int, int] = {}
-    lively = bool(_mass(wrapper, sizes, True))
-    if not lively:  # every page of the host has the same text
-        _mass(wrapper, sizes, False)
-    found: list[Node] = []
-    _articles(wrapper, found)
-    by_tag = bool(found)
-    if found:
-        regions = [max(found, key=lambda u: sizes.get(id(u), 0))]
-    else:
-        at = wrapper
+class _Roles:
+    """Which regions of a wrapper are the article."""
+
+    def __init__(self, wrapper: Node):
+        self.wrapper, self.of = wrapper, _measured(wrapper)
+
+    def dropped(self, u: Node, in_article: bool) -> bool:
+        how = is_chrome(u.key, in_article)
+        chars, linked, fixed = self.of[id(u)]
+        if how == 2 and _tag(u.key) == "form" and "hidden" not in _words(u.key) and 2 * chars >= self.of[id(self.wrapper)][0]:
+            how = _said(u.key)  # a form around the page
+        return how == 2 or how == 1 and (2 * linked > chars or fixed)
+
+    def articles(self) -> list[Node]:
+        """Article regions, none inside another; those in menus, adverts and the like don't count."""
+        out: list[Node] = []
+        todo = [(u, None) for u in reversed(_units(self.wrapper)) if isinstance(u, Node)]
+        mains: dict[int, tuple[Node, list[Node]]] = {}
+        while todo:
+            u, main = todo.pop()
+            tag = _tag(u.key)
+            if is_article(u.key) and tag != "main":
+                out.append(u)
+                if main is not None:
+                    mains[id(main)][1].append(u)
+                continue
+            if tag != "form" and self.dropped(u, False):
+                continue
+            if tag == "main" and main is None:
+                main = u
+                mains[id(u)] = u, []
+                out.append(u)
+            todo += [(x, main) for x in reversed(_units(u)) if isinstance(x, Node)]
+        out = [u for u in out if not (id(u) in mains and mains[id(u)][1])]
+        some = [u for u in out if 2 * self.of[id(u)][1] <= self.of[id(u)][0] and not _words(u.key) & TEASER_WORDS]
+        return some or out
+
+    def largest(self) -> Node:
+        """The container of most changing, unlinked text."""
+        sizes: dict[int, int] = {}
+        for lively in (True, False):  # where every page of the host has the same text, that text counts
+            todo: list[tuple[Node, bool]] = [(self.wrapper, False)]
+            while todo:
+                u, seen = todo.pop()
+                if self.dropped(u, False):
+                    sizes[id(u)] = 0
+                elif not seen:
+                    todo.append((u, True))
+                    todo += [(x, False) for x in _units(u) if isinstance(x, Node)]
+                else:
+                    total = 0
+                    for x in _units(u):
+                        total += sizes[id(x)] if isinstance(x, Node) else 0 if lively and _fixed(x) else x.chars - x.linked
+                    sizes[id(u)] = total
+            self.lively = lively
+            if sizes[id(self.wrapper)]:
+                break
+        at = self.wrapper
         while True:
-            parts = [u for u in _units(at) if isinstance(u, Node) and sizes[id(u)] >= DESCEND * sizes[id(at)] > 0]
-            inner = [u for u in parts if _tag(u.key) in CONTAINERS]
+            inner = [u for u in _units(at) if isinstance(u, Node) and sizes[id(u)] >= DESCEND * sizes[id(at)] > 0 and _tag(u.key) in CONTAINERS]
             if not inner:
-                break
+                return at
             at = inner[0]
-        regions = [at]
-
-    def mark(u: Node | Leaf, on: bool) -> None:
-        if isinstance(u, Leaf):
-            fixed = not by_tag and lively and u.same is not None and u.n >= FIXED_PAGES
-            listed = not by_tag and 2 * u.linked > u.chars
-            keep[id(u)] = on and not fixed and not listed
-            return
-        for x in _units(u):
-            mark(x, on and not (isinstance(x, Node) and is_chrome(x.key, True)))
 
-    for r in regions:
-        mark(r, True)
-    return keep
+    def kept(self) -> dict[int, bool]:
+        found = self.articles()
+        by_tag = bool(found)
+        keep: dict[int, bool] = {}
+        todo = list(found) if by_tag else [self.largest()]
+        while todo:
+            for x in _units(todo.pop()):
+                if isinstance(x, Node):
+                    if not self.dropped(x, True):
+                        todo.append(x)
+                else:
+                    keep[id(x)] = by_tag or not (self.lively and _fixed(x)) and 2 * x.linked <= x.chars
+        return keep
+
+
+def roles(wrapper: Node) -> dict[int, bool]:
+    """Slots whose text belongs to the article, by the slot's id()."""
+    return _Roles(wrapper).kept()
+
+
+def _spans(kids: list, periods: set[tuple[str, ...]]) -> list[tuple[int, int, int]]:
+    """``_runs``, where single siblings in a row that the wrapper has as one period become that period."""
+    out: list[tuple[int, int, int]] = []
+    for span in _runs(kids):
+        out.append(span)
+        for keys in periods:
+            tail = out[-len(keys) :]
+            if len(tail) == len(keys) and all(p == t == 1 for _, p, t in tail) and tuple(kids[i].key for i, _, _ in tail) == keys:
+                out[-len(keys) :] = [(tail[0][0], len(keys), 1)]
+                break
+    return out
 
 
 def _texts(page: Node, wrapper: Node, keep: dict[int, bool], out: list[str]) -> None:
     """The page's texts whose slots are kept, in order of the page."""
-    groups = fold(page.kids)
-    periods = {g.keys for g in groups if len(g.keys) > 1}
-    slots = _collapse(wrapper.groups, periods)
-    mine = _collapse(groups, {g.keys for g in wrapper.groups if len(g.keys) > 1})
-    to = {x: slots[y].units for x, y in aligned([g.keys for g in mine], [g.keys for g in slots])}
+    kids = page.kids
+    mine = _spans(kids, {g.keys for g in wrapper.groups if len(g.keys) > 1})
+    keys = [tuple(k.key for k in kids[i : i + period]) for i, period, _ in mine]
+    slots = _collapse(wrapper.groups, {k for k in keys if len(k) > 1})
+    to = {x: slots[y].units for x, y in aligned(keys, [g.keys for g in slots])}
     by_key: dict[str, Node | Leaf] = {}
     for s in slots:
         for u in s.units:
             by_key.setdefault(u.key, u)
-    at = 0
-    for x, g in enumerate(mine):
-        period = len(g.keys)
-        # a group takes its period from the page as often as it stands there
-        while True:
-            for j in range(period):
-                kid = page.kids[at + j]
-                unit = to[x][j] if x in to else by_key.get(kid.key)
-                if unit is None:
-                    continue
-                if isinstance(kid, Leaf):
-                    if keep.get(id(unit)):
-                        out.append(kid.text)
-                else:
-                    _texts(kid, unit, keep, out)
-            at += period
-            if not g.repeated or tuple(k.key for k in page.kids[at : at + period]) != g.keys:
-                break
+    for x, (i, period, times) in enumerate(mine):
+        for k in range(period * times):
+            kid = kids[i + k]
+            unit = to[x][k % period] if x in to else by_key.get(kid.key)
+            if isinstance(kid, Leaf):
+                if unit is not None and keep.get(id(unit)):
+                    out.append(kid.text)
+            elif unit is not None:
+                _texts(kid, unit, keep, out)
+
+
+def any_depth() -> None:
+    """Trees are walked by plain functions, whose frames are not on the C stack; pages may nest as they like."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 
 def main_text(html: str | None, wrapper: Node | None = None, keep: dict[int, bool] | None = None) -> str:
     """The article of a page by its host's wrapper, or by the page alone."""
     if not html:
         return ""
+    any_depth()
     page = parse(html)
     out: list[str] = []
     if wrapper is not None:
@@ -522,7 +676,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [dumps(w) for w in held.values()]
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(texts, pa.string())], ["host", "wrapper"])
 
-    for b in batches:
+    any_depth()
+    for b in slices(batches):
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             if html:
                 own = wrapper_of(parse(html))
@@ -534,6 +689,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    any_depth()
     texts = sorted(pdf["wrapper"], key=lambda t: (-len(t), t))
     one = loads(texts[0])
     for t in texts[1:]:
@@ -550,36 +706,47 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """``host, wrapper`` for each host of ``pages(url, html)``, as a written table."""
     kinds = "host string, wrapper string"
     found = _with_host(pages.select("url", "html")).select("host", "html").mapInArrow(_learn, kinds)
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    some = salted.groupBy("host", "salt").applyInPandas(_merged, kinds)
-    return written(some.groupBy("host").applyInPandas(_merged, kinds))
+    while True:
+        found = written(found)
+        most = found.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        if most <= 1:
+            return found
+        salt = F.pmod(F.xxhash64("wrapper"), F.lit(-(-most // FAN)))
+        found = found.withColumn("salt", salt).groupBy("host", "salt").applyInPandas(_merged, kinds)
+        if most <= FAN:
+            return written(found)
 
 
 @lru_cache(4096)
 def _known(text: str) -> tuple[Node, dict[int, bool]]:
+    any_depth()
     wrapper = loads(text)
     return wrapper, roles(wrapper)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = []
-        for html, wrapper in zip(b.column("html").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
-            texts.append(main_text(html, *(_known(wrapper) if wrapper else (None, None))))
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+def _extract(known):
+    """Texts of pages; wrappers come by host from a broadcast, or with the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = b.column("wrapper").to_pylist() if known is None else map(known.value.get, b.column("host").to_pylist())
+            texts = [main_text(html, *(_known(w) if w else (None, None))) for html, w in zip(b.column("html").to_pylist(), own, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return run
 
 
 def extract(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``page_id, url, text`` for each row of ``pages(page_id, url, html)``; ``known`` are wrappers of ``wrappers``."""
     known = wrappers(pages) if known is None else known
     rows = _with_host(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
+    kinds = "page_id long, url string, text string"
     if (known.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS:
-        rows = rows.join(F.broadcast(known), "host", "left")
-    else:
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(64)).cast("int"))
-        copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        rows = rows.join(copies, ["host", "salt"], "left")
-    return rows.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string")
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in known.toLocalIterator()})
+        return rows.select("page_id", "url", "html", "host").mapInArrow(_extract(shared), kinds)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper").mapInArrow(_extract(None), kinds)
 
 
 def op1_wrapper_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
