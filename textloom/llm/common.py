@@ -188,8 +188,8 @@ def _least(edges: DataFrame, total: int) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node.
 
-    Each task first makes stars of its own edges.  While these aren't stars as a
-    whole, large-star and small-star steps follow, and stars by task again: each
+    Each task first makes stars of its own edges, ``STAR_EDGES`` at a time.
+    While these aren't stars as a whole, large-star and small-star steps follow, and stars by task again: each
     shuffles the edge list only, the edge count never grows, and the number of
     rounds grows with the logarithm of the longest path at most.  A node with
     very many edges is joined by broadcast (``joined_by``).  Each round is
@@ -198,12 +198,14 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     mark = tables_made()
-
-    def contracted(df: DataFrame) -> DataFrame:
-        return written(df.where("u is not null and v is not null and u <> v").distinct().mapInArrow(_stars, "u long, v long"))
-
-    e = contracted(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")))
-    while True:
+    e = written(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct())
+    total = e.count()
+    while total:
+        parts = -(-total // STAR_EDGES)
+        e = written(e.coalesce(parts).mapInArrow(_stars, "u long, v long"))
+        discard(spark, mark, (_made[-1],))
+        if parts == 1:
+            break
         ends = e.select("u", F.lit(1).alias("as_leaf"), F.lit(0).alias("as_root")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("as_leaf"), F.lit(1).alias("as_root")))
         ends = ends.groupBy("u").agg(F.sum("as_leaf").alias("leaf"), F.max("as_root").alias("root"))
         total, crossed = ends.agg(F.sum("leaf"), F.count_if(F.expr("leaf > 1 or leaf = 1 and root = 1"))).first()
@@ -212,8 +214,8 @@ def connected(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least(large, total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = contracted(small)
-        discard(spark, mark, (_made[-1],))
+        e = written(small.where("u <> v").distinct())
+        total = e.count()
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)
