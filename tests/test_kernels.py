@@ -7,7 +7,8 @@ import zipfile
 from pyspark.sql import functions as F
 
 from textloom.functions import kernels as k
-from textloom.functions.text import chunks, client_name, invisible, redact
+from textloom.functions import kernels as k_
+from textloom.functions.text import chunks, client_name, invisible
 from textloom.operators import compress, govern, ingest, training
 from textloom.sources.files import docx_text
 
@@ -65,10 +66,10 @@ def test_invisible(spark):
 
 def test_redact(spark):
     key = "sk" + "-" + "a1" * 12
-    got = one(spark, lambda c: redact(c, True), f"key {key} and {key} from x@y.org at 10.1.2.3")
+    got = one(spark, k_.redaction(k_.redacted, True), f"key {key} and {key} from x@y.org at 10.1.2.3")
     assert got["text"] == "key [REDACTED:openai_key] and [REDACTED:openai_key] from [REDACTED:email] at [REDACTED:ipv4]"
     assert got["counts"] == {"openai_key": 2, "email": 1, "ipv4": 1}
-    assert one(spark, redact, "x@y.org")["counts"] == {}
+    assert one(spark, k_.redaction(k_.redacted), "x@y.org")["counts"] == {}
 
 
 def test_chunks(spark):
@@ -106,7 +107,7 @@ def test_pages(spark):
 def test_docx():
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
-        z.writestr("word/document.xml", "<w:p><w:t>one</w:t><w:tab/><w:t>two &amp; three</w:t></w:p><w:p><w:t>four</w:t></w:p>")
+        z.writestr("word/document.xml", "<w:document><w:p><w:t>one</w:t><w:tab/><w:t>two &amp; three</w:t></w:p><w:p><w:t>four</w:t></w:p></w:document>")
     assert docx_text(data.getvalue()) == "one two & three\nfour" and docx_text(b"no") == ""
 
 

@@ -103,13 +103,12 @@ def invisible(x: Column, is_code: Column | bool = False, strip_nbsp: bool = Fals
     return F.when(x.rlike(r"[^\x00-\x7F]"), found).otherwise(plain)
 
 
-def redact(x: Column, pii: bool = False) -> Column:
-    """``text, counts``: secrets replaced by their kind, in order, and how many of each kind were."""
-    text, counts = x, []
-    for name, pattern in (*fixed.SECRETS, *(fixed.PII if pii else ())):
-        counts.append(F.struct(F.lit(name).alias("key"), F.regexp_count(text, F.lit(java(pattern))).cast("long").alias("value")))
-        text = F.regexp_replace(text, java(pattern), f"[REDACTED:{name}]")
-    return F.struct(text.alias("text"), F.map_from_entries(F.filter(F.array(*counts), lambda c: c["value"] > 0)).alias("counts"))
+def scan(x: Column) -> Column:
+    """``invisible, bidi, nbsp, mixed``: what ``invisible`` would find in code, and words of several scripts; nothing is changed."""
+    from textloom.functions.kernels import mixed_scripts
+
+    count = lambda points: F.regexp_count(x, F.lit(_set(points))).cast("long")
+    return F.struct(count(fixed.INVISIBLE + fixed.JOINERS).alias("invisible"), count(fixed.BIDI).alias("bidi"), count(fixed.NBSP).alias("nbsp"), mixed_scripts(x).alias("mixed"))
 
 
 def without_volatile(x: Column) -> Column:

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import fixed, kernels
-from textloom.functions.text import invisible, is_code, is_logs, strip, tokens, without_volatile
-
-KERNELS = {"json": kernels.json_compressed, "logs": kernels.logs_compressed, "code": kernels.code_compressed, "text": kernels.prose_compressed}
-#: Rows of text per Arrow batch.
-BATCH_ROWS = 1000
+from textloom.functions.text import is_code, is_logs, strip, tokens, without_volatile
+from textloom.operators.training import draw
+from textloom.sources.files import load_rows, save_rows
 
 
 def with_type(blocks: DataFrame) -> DataFrame:
@@ -18,7 +16,6 @@ def with_type(blocks: DataFrame) -> DataFrame:
 
     Only texts that begin like JSON are sent to the parser.
     """
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     text = F.coalesce(F.col("text"), F.lit(""))
     candidate = F.when(strip(text).rlike(r"^[\[{]"), text)
     rows = blocks.withColumn("__json", F.coalesce(kernels.json_parses(candidate), F.lit(False)))
@@ -29,19 +26,14 @@ def with_type(blocks: DataFrame) -> DataFrame:
 def compress_blocks(blocks: DataFrame, force: Column | None = None, strip_nbsp: bool = False) -> DataFrame:
     """``blocks(text)`` with ``type, compressed, tokens_before, tokens_after, tokens_saved`` and the counts ``found``.
 
-    Each kernel gets the texts of its own type and nulls for the others, so one
-    scan serves all four.
+    One pass: each text is sent once to the function that detects its type,
+    cleans it and compresses it.
     """
-    rows = with_type(blocks)
-    if force is not None:
-        rows = rows.withColumn("type", F.coalesce(force, F.col("type")))
-    rows = rows.withColumn("found", invisible(F.coalesce(F.col("text"), F.lit("")), F.col("type") == "code", strip_nbsp))
-    for kind, kernel in KERNELS.items():
-        rows = rows.withColumn(f"__as_{kind}", kernel(F.when(F.col("type") == kind, F.col("found.text"))))
-    rows = rows.withColumn("compressed", F.coalesce(*(f"__as_{k}" for k in KERNELS), "found.text"))
-    before, after = tokens(F.col("text")), tokens(F.col("compressed"))
-    rows = rows.withColumns({"tokens_before": before, "tokens_after": after, "tokens_saved": F.greatest(F.lit(0).cast("long"), before - after), "found": F.col("found").dropFields("text")})
-    return rows.drop(*(f"__as_{k}" for k in KERNELS))
+    force = F.lit(None).cast("string") if force is None else force
+    rows = blocks.withColumn("__r", kernels.route(strip_nbsp)(F.coalesce(F.col("text"), F.lit("")), force))
+    before, after = tokens(F.col("text")), tokens(F.col("__r.compressed"))
+    saved = F.greatest(F.lit(0).cast("long"), before - after)
+    return rows.withColumns({"type": F.col("__r.type"), "compressed": F.col("__r.compressed"), "tokens_before": before, "tokens_after": after, "tokens_saved": saved, "found": F.col("__r").dropFields("type", "compressed")}).drop("__r")
 
 
 def align_messages(messages: DataFrame) -> DataFrame:
@@ -63,10 +55,27 @@ def compress_messages(messages: DataFrame, keep_cache: bool = False, system_too:
     if keep_cache:
         rows = rows.withColumn("__last", F.max("turn").over(Window.partitionBy("conv_id")))
         able = able & (F.col("turn") == F.col("__last"))
-    rows = rows.withColumn("__text", F.col("text")).withColumn("text", F.when(able, F.col("text")))
-    out = compress_blocks(rows).withColumns({"touched": F.col("text").isNotNull(), "text": F.col("__text")})
-    zero = {c: F.when(F.col("touched"), F.col(c)).otherwise(0) for c in ("tokens_before", "tokens_after", "tokens_saved")}
-    return out.withColumns({"compressed": F.when(F.col("touched"), F.col("compressed")).otherwise(F.col("text")), **zero}).drop("__text", "__last")
+    rows = rows.withColumn("touched", F.coalesce(able, F.lit(False)))
+    rows = rows.withColumn("__r", kernels.route()(F.when(F.col("touched"), F.col("text")), F.lit(None).cast("string")))
+    before, after = tokens(F.col("text")), tokens(F.col("__r.compressed"))
+    zero = F.lit(0).cast("long")
+    numbers = {"tokens_before": before, "tokens_after": after, "tokens_saved": F.greatest(zero, before - after)}
+    columns = {c: F.when(F.col("touched"), v).otherwise(zero) for c, v in numbers.items()}
+    return rows.withColumns({"type": F.col("__r.type"), "compressed": F.coalesce("__r.compressed", "text"), **columns}).drop("__r", "__last")
+
+
+def savings_measure(compressed: DataFrame, name: str = "kind") -> DataFrame:
+    """Per kind and for all together (kind null): tokens before and after, and the percentage saved."""
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    rows = compressed.rollup(name).agg(total("tokens_before"), total("tokens_after"))
+    return rows.withColumn("saved_percent", F.round((1 - F.col("tokens_after") / F.col("tokens_before")) * 100, 2))
+
+
+def invisible_overhead(cleaned: DataFrame) -> DataFrame:
+    """Tokens of ``cleaned(text, clean)`` as pasted and after cleaning, and the overhead in percent of the latter."""
+    sums = cleaned.agg(F.sum(tokens(F.col("text"))).alias("tokens_pasted"), F.sum(tokens(F.col("clean"))).alias("tokens_clean"))
+    over = (F.col("tokens_pasted") - F.col("tokens_clean")) / F.col("tokens_clean") * 100
+    return sums.withColumn("overhead_percent", F.when(F.col("tokens_clean") > 0, F.round(over, 1)).otherwise(0.0))
 
 
 def savings(compressed: DataFrame, *keys: str) -> DataFrame:
@@ -85,7 +94,7 @@ def shape_messages(messages: DataFrame, instruction: str = fixed.INSTRUCTION) ->
 
 def in_treatment(key: Column, holdout: float = 0.1, seed: int = 0) -> Column:
     """Whether a request is shaped: by a hash of its key, so that a retried task decides alike."""
-    return F.lit(True) if holdout <= 0 else F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) >= int(10_000 * min(1.0, holdout))
+    return F.lit(True) if holdout <= 0 else draw(key, seed) % 10_000 >= int(10_000 * min(1.0, holdout))
 
 
 # --- originals --------------------------------------------------------------
@@ -97,6 +106,16 @@ def store_originals(compressed: DataFrame, now) -> DataFrame:
     return some.select(F.sha2("text", 256).alias("id"), F.col("text").alias("original"), "compressed", F.lit(now).cast("timestamp").alias("stored_at")).dropDuplicates(["id"])
 
 
+STORE = "id string, original string, compressed string, stored_at timestamp"
+
+
+def save_originals(compressed: DataFrame, path: str, now) -> None:
+    """What became smaller, appended to the store below ``path``; an id that it has already is not written again."""
+    spark = compressed.sparkSession
+    new = store_originals(compressed, now)
+    save_rows(new.join(load_rows(spark, path, STORE).select("id"), "id", "left_anti"), path)
+
+
 def _live(now, hours: float) -> Column:
     return F.lit(now).cast("timestamp").cast("double") - F.col("stored_at").cast("double") <= hours * 3600
 
@@ -123,9 +142,14 @@ def cleanup(store: DataFrame, now, hours: float = 24) -> DataFrame:
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` without later copies of long lines, as joins and windows would do it."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("key", strip(F.col("line")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("p"))
-    kept = lines.withColumn("nth", nth).where((F.length("key") <= fixed.MIN_DUPLICATE_LINE) | (F.col("nth") == 1))
-    ordered = F.array_sort(F.collect_list(F.struct("p", "line")))
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    """``doc_id, text`` of each row of ``docs`` without later copies of long lines; a null text counts as empty.
+
+    A long line is kept where it stands first; lines stay in their rows.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.transform(F.split(text, "\n"), lambda line, p: F.struct(strip(line).alias("key"), p.alias("p"), line.alias("line")))
+    # sorted by line and place, the first of equal ones comes first
+    rows = docs.select("doc_id", F.array_sort(lines).alias("x"))
+    first = lambda x, i: F.when((F.length(x["key"]) <= fixed.MIN_DUPLICATE_LINE) | (i == 0) | (F.get("x", i - 1)["key"] != x["key"]), F.struct(x["p"].alias("p"), x["line"].alias("line")))
+    kept = F.array_sort(F.filter(F.transform("x", first), lambda x: x.isNotNull()))
+    return rows.select("doc_id", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"))

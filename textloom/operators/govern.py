@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import java, redact
+from textloom.functions import kernels
+from textloom.functions.text import java
+from textloom.sources.files import save_rows
 
 
 def redacted(docs: DataFrame, pii: bool = False) -> DataFrame:
-    """``docs(text)`` with secrets replaced and ``counts`` by kind."""
-    return docs.withColumn("__r", redact(F.coalesce(F.col("text"), F.lit("")), pii)).withColumns({"text": F.col("__r.text"), "counts": F.col("__r.counts")}).drop("__r")
+    """``docs(text)`` with secrets replaced and ``counts`` by kind; a null text counts as empty."""
+    secret = kernels.redaction(kernels.redacted, pii)(F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumn("__r", secret).withColumns({"text": F.col("__r.text"), "counts": F.col("__r.counts")}).drop("__r")
 
 
 def redaction_counts(docs: DataFrame, pii: bool = False) -> DataFrame:
@@ -89,6 +92,32 @@ def rate_limited(events: DataFrame, limit: int = 60, window: float = 60.0) -> Da
     return rows.repartition("client").sortWithinPartitions("client", "ts", "event_id").mapInPandas(partition, VERDICT)
 
 
+def limiter_stats(events: DataFrame, now, limit: int = 60, window: float = 60.0) -> DataFrame:
+    """``tracked_clients, max_requests, window_seconds``: clients with a request within the window before ``now``."""
+    age = F.lit(now).cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")
+    live = events.where((age >= 0) & (age < window))
+    return live.agg(F.count_distinct(F.coalesce(F.col("client").cast("string"), F.lit(""))).alias("tracked_clients"), F.lit(limit).alias("max_requests"), F.lit(window).alias("window_seconds"))
+
+
+def limiter_reset(events: DataFrame, resets: DataFrame) -> DataFrame:
+    """``events(client, ts)`` without what came before the last of ``resets(client, at)`` of their client; a reset of client null holds for all."""
+    everyone = resets.where("client is null").agg(F.max("at").alias("__all"))
+    own = resets.where("client is not null").groupBy("client").agg(F.max("at").alias("__at"))
+    rows = events.join(own, "client", "left").crossJoin(F.broadcast(everyone))  # one row
+    last = F.greatest(F.coalesce("__at", "__all"), F.coalesce("__all", "__at"))
+    return rows.where(last.isNull() | (F.col("ts").cast("timestamp") >= last)).drop("__at", "__all")
+
+
+def encrypted(rows: DataFrame, column: str, key) -> DataFrame:
+    """A text column at rest: AES in GCM mode with a random nonce, as base64; ``key`` is a column of 16, 24 or 32 bytes."""
+    return rows.withColumn(column, F.base64(F.aes_encrypt(F.col(column).cast("binary"), key, F.lit("GCM"))))
+
+
+def decrypted(rows: DataFrame, column: str, key) -> DataFrame:
+    """What ``encrypted`` made, as text again; null where the key or the data is not right."""
+    return rows.withColumn(column, F.try_aes_decrypt(F.unbase64(column), key, F.lit("GCM")).cast("string"))
+
+
 def sessions(events: DataFrame, timeout_minutes: int = 60) -> DataFrame:
     """``user_id, session_no, started, last_active, n_events``; a pause longer than the timeout starts another."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -109,6 +138,19 @@ def audit_tail(lines: DataFrame, n: int = 100) -> DataFrame:
     return last.withColumn("entry", F.from_json("line", "map<string,string>")).where("entry is not null")
 
 
+def append_audit(entries: DataFrame, path: str) -> None:
+    """``entries(ts, ...)`` appended to the log, a folder a day."""
+    save_rows(entries.withColumn("ts", F.col("ts").cast("timestamp")), path, "ts")
+
+
+def purge(originals: DataFrame, active: DataFrame, audit: DataFrame, now, hours: float = 24, minutes: int = 60, max_days: int = 30) -> DataFrame:
+    """``kind, removed, kept`` of what has run out among ``originals(stored_at)``, ``active(last_active)`` sessions and ``audit(ts)`` entries."""
+    age = lambda c: F.lit(now).cast("timestamp").cast("double") - F.col(c).cast("timestamp").cast("double")
+    rules = (("originals", originals, age("stored_at") > hours * 3600), ("sessions", active, age("last_active") > minutes * 60), ("audit", audit, (age("ts") > max_days * 86400) if max_days > 0 else F.lit(False)))
+    parts = [df.agg(F.lit(kind).alias("kind"), F.count_if(gone).alias("removed"), F.count_if(~gone).alias("kept")) for kind, df, gone in rules]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def audit_trim(entries: DataFrame, now, max_days: int = 30) -> DataFrame:
     """``entries(ts)`` of the last ``max_days``; 0 or less keeps all."""
     if max_days <= 0:

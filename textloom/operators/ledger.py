@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import fixed
+from textloom.sources import files
+from textloom.sources.files import load_rows
 
 NUMBERS = ("before", "after", "saved", "blocks", "output_tokens")
 LABELS = {"tool": 64, "provider": 64, "model": 128}
@@ -99,6 +103,41 @@ def percent_saved(before: Column, after: Column) -> Column:
     return F.when(before > 0, F.round((1 - after / before) * 100, 1)).otherwise(0.0)
 
 
+LEDGER = "ts timestamp, tool string, provider string, model string, before bigint, after bigint, saved bigint, blocks bigint, output_tokens bigint, shaped int, day date"
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return load_rows(spark, path, LEDGER)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    files.clear(spark, path, LEDGER)
+
+
+def dashboard(ledger: DataFrame, today, days: int = 30, started=None) -> DataFrame:
+    """``section, body``: what a dashboard shows, each section as JSON.
+
+    ``session`` (since ``started``) and ``lifetime`` totals with percent and
+    money, ``daily``, the three breakdowns, and ``output_effect``.  Every
+    section is an aggregate or a top-k of the ledger.
+    """
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        return df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("body"))
+
+    def many(name: str, df: DataFrame, *order: Column) -> DataFrame:
+        rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("row")))), lambda x: x["row"])
+        return df.agg(F.to_json(rows).alias("body")).select(F.lit(name).alias("section"), "body")
+
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.withColumns({"percent_saved": percent_saved(F.col("tokens_before"), F.col("tokens_after")), "usd_saved": usd(F.col("tokens_saved"))})
+
+    parts = [one("session", shaped(totals(ledger, started))), one("lifetime", shaped(totals(ledger))), many("daily", daily(ledger, today, days), F.col("day").alias("o"))]
+    parts += [many(f"by_{d}", breakdown(ledger, d), (-F.col("tokens_saved")).alias("o"), F.col("key").alias("k")) for d in LABELS]
+    parts.append(one("output_effect", effect(ledger)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def signature(stats: DataFrame) -> DataFrame:
     """A digest of ``stats`` without its start; a stream tells only when it changes."""
     names = sorted(c for c in stats.columns if c not in ("since", "first_ts"))

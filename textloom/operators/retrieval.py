@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import fixed
-from textloom.functions.text import chunks, cosine, words
+from textloom.functions.text import chunks, cosine, strip, words
+from textloom.sources.files import load_rows
 
 #: Chunk frequencies of query terms are joined by broadcast up to this number of rows.
 BROADCAST_TERMS = 100_000
@@ -94,6 +95,37 @@ def hybrid_topk(chunked: DataFrame, query: str, vector: list[float], k: int = 4)
     return rows.drop("cos", "top_cos", "top_score").where("score > 0").orderBy(F.desc("score"), "doc_id", "chunk_no").limit(k)
 
 
+def search(chunked: DataFrame, query: str, vector: list[float] | None = None, k: int = 4) -> DataFrame:
+    """Hybrid search where the query has a vector and some chunk an ``embedding`` of its length; BM25 alone otherwise."""
+    if vector is None or "embedding" not in chunked.columns or chunked.where(F.size("embedding") == len(vector)).isEmpty():
+        return bm25_topk(chunked, query, k)
+    return hybrid_topk(chunked.withColumn("embedding", F.when(F.size("embedding") == len(vector), F.col("embedding"))), query, vector, k)
+
+
+def save_chunks(docs: DataFrame, path: str, parts: int = 64) -> None:
+    """Chunks of ``docs(doc_id, text)`` put into the store below ``path`` in place of what it had under their ids.
+
+    The store is cut into ``parts`` by id; only parts that hold one of the ids
+    are written again.
+    """
+    spark = docs.sparkSession
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    new = chunk_table(docs).withColumn("part", part)
+    old = load_rows(spark, path, CHUNKS)
+    touched = docs.select(part.alias("part")).distinct()
+    kept = delete_documents(old.join(F.broadcast(touched), "part", "left_semi"), docs)  # at most ``parts`` rows
+    rows = kept.unionByName(new.select(kept.columns))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}.new")
+    spark.read.schema(CHUNKS).parquet(f"{path}.new").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+CHUNKS = "doc_id bigint, chunk_no int, text string, part int"
+
+
+def load_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return load_rows(spark, path, CHUNKS).drop("part")
+
+
 def list_documents(chunked: DataFrame) -> DataFrame:
     return chunked.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
 
@@ -117,4 +149,4 @@ def grep(docs: DataFrame, query: str, k: int = 50) -> DataFrame:
     """``doc_id, line_no, line`` (160 characters) of lines that hold ``query`` in any case, the first ``k``."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     hits = lines.where(F.lower("line").contains(query.lower()))
-    return hits.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.substring(F.trim("line"), 1, 160).alias("line")).orderBy("doc_id", "line_no").limit(k)
+    return hits.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.substring(strip(F.col("line")), 1, 160).alias("line")).orderBy("doc_id", "line_no").limit(k)

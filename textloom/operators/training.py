@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import fixed
 from textloom.functions.text import java, strip
 
 
@@ -22,31 +23,80 @@ def compressed_prompt(text: Column) -> Column:
     return F.array_join(F.transform(lines, lambda s: F.when(s.rlike(r"^[\[{]"), F.concat(F.substring(s, 1, 200), F.lit("..."))).otherwise(s)), "\n")
 
 
+def draw(key: Column, seed: int) -> Column:
+    """A number from 0 to 2^32 - 1 by a digest of the key: the same in every run and every engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), key)), 1, 8), 16, 10).cast("long")
+
+
 def sampled(key: Column, share: float, seed: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    return draw(key, seed) % 1_000_000 < int(share * 1_000_000)
 
 
 def _last_replaced(content: Column) -> Column:
     n = F.size("history")
-    last = F.element_at("history", -1)
+    last = F.try_element_at("history", F.lit(-1))
     return F.concat(F.slice("history", F.lit(1), n - 1), F.array(F.struct(last["role"].alias("role"), content.alias("content"))))
 
 
 def augmented(pairs: DataFrame, compression: float = 0.2, references: float = 0.15, seed: int = 42) -> DataFrame:
     """``pairs`` with ``kind`` plain, and hash-sampled copies of kind compressed (where the prompt changes) and reference."""
     key = F.concat_ws("/", F.col("conv_id"), F.col("turn"))
-    prompt = F.element_at("history", -1)["content"]
+    prompt = F.try_element_at("history", F.lit(-1))["content"]
     short = compressed_prompt(prompt)
     one = pairs.withColumn("kind", F.lit("plain"))
     two = one.where(sampled(key, compression, seed) & (short != prompt)).withColumns({"history": _last_replaced(short), "kind": F.lit("compressed")})
-    told = F.concat(F.lit("[Compressed context with references]\n"), prompt, F.lit("\n\nUse retrieval calls to get original content if needed."))
-    three = one.where(sampled(key, references, seed + 1)).withColumns({"history": _last_replaced(told), "kind": F.lit("reference")})
-    return one.unionByName(two).unionByName(three)
-
-
-def split(rows: DataFrame, key: Column, share: float = 0.1, seed: int = 42) -> DataFrame:
-    """``rows`` with ``part`` eval or train by a hash of the key: no sort of all rows, and stable as rows are added."""
-    return rows.withColumn("part", F.when(sampled(key, share, seed), "eval").otherwise("train"))
+    told = F.concat(F.lit(fixed.REFERENCE_EXAMPLE[0]), prompt, F.lit(fixed.REFERENCE_EXAMPLE[1]))
+    # reference examples are drawn from plain and compressed pairs alike
+    base = one.unionByName(two)
+    three = base.where(sampled(F.concat(key, F.lit("/"), F.col("kind")), references, seed + 1)).withColumns({"history": _last_replaced(told), "kind": F.lit("reference")})
+    return base.unionByName(three)
+
+
+def split(rows: DataFrame, key: Column, share: float = 0.1, seed: int = 42, least: int = 10) -> DataFrame:
+    """``rows`` with ``part``: the ``max(1, int(n * share))`` rows of the lowest digests are eval, the others train.
+
+    Fewer than ``least`` rows give none.  Rows are not sorted: counts of 4,096
+    ranges of the digest find the one in which the last eval row lies, and only
+    that range's rows are ordered.  Rows of the last one's key stay together.
+    """
+    name = "__draw"
+    drawn = rows.withColumn(name, F.struct(draw(key, seed).alias("h"), key.alias("k")))
+    counts = {r["b"]: r["count"] for r in drawn.groupBy(F.shiftright(f"{name}.h", 20).alias("b")).count().collect()}  # at most 4,096 rows
+    n = sum(counts.values())
+    if n < max(1, least):
+        return rows.withColumn("part", F.lit("train")).limit(0)
+    left = max(1, int(n * share))
+    for b in sorted(counts):
+        if left <= counts[b]:
+            break
+        left -= counts[b]
+    some = drawn.where(F.shiftright(f"{name}.h", 20) == b).select(name).orderBy(name).limit(left)
+    last = some.agg(F.max(name).alias("m")).first()["m"]
+    low = (F.col(f"{name}.h") < last["h"]) | (F.col(f"{name}.h") == last["h"]) & (F.col(f"{name}.k") <= last["k"])
+    return drawn.withColumn("part", F.when(low, "eval").otherwise("train")).drop(name)
+
+
+def synth_sentences(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """``id, text``: ``n`` verbose sentences, each by digests of its number."""
+
+    def one_of(words: tuple[str, ...], part: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, words)), (draw(F.col("id").cast("string"), seed + part) % len(words) + 1).cast("int"))
+
+    def chance(share: float, part: int) -> Column:
+        return sampled(F.col("id").cast("string"), share, seed + part)
+
+    filler = one_of(fixed.SYNTH_FILLERS, 1)
+    head = F.when(chance(0.8, 2), F.concat(F.upper(F.substring(filler, 1, 1)), F.substring(filler, 2, 1000), F.lit(",")))
+    more = F.when(chance(0.5, 5), F.concat_ws(" ", F.lit("and"), one_of(fixed.SYNTH_VERBOSE, 6), one_of(fixed.SYNTH_CONTENT, 7)))
+    return spark.range(n).select("id", F.concat(F.concat_ws(" ", head, one_of(fixed.SYNTH_VERBOSE, 3), one_of(fixed.SYNTH_CONTENT, 4), more), F.lit(".")).alias("text"))
+
+
+def token_accuracy(rows: DataFrame) -> DataFrame:
+    """``token_accuracy`` of ``rows(predicted, labels)``, arrays by row; labels of -100 don't count; 0 without any."""
+    both = F.filter(F.arrays_zip("predicted", "labels"), lambda x: x["labels"] != -100)
+    right = F.size(F.filter(both, lambda x: x["predicted"] == x["labels"]))
+    sums = rows.select(F.size(both).alias("n"), right.alias("right")).agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+    return sums.select(F.when(F.col("n") > 0, F.col("right") / F.col("n")).otherwise(0.0).alias("token_accuracy"))
 
 
 def label_words(pairs: DataFrame) -> DataFrame:

@@ -96,16 +96,19 @@ json_blocks AS (
 )"""
 
 
+ITEMS = "'[' || array_to_string(list_transform(items, lambda x: '{\"o_orderkey\":' || x.k || ',\"o_orderstatus\":\"' || x.s || '\",\"o_orderpriority\":\"' || x.p || '\"}'), ',') || ']'"
+
+
 def _field(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '[,\"\\n\\r]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
 
 
 JSON_TABLE = f"""
 WITH {JSON},
-c AS (SELECT block, items, len(list_distinct(list_transform(items, lambda x: x.p))) = 1 AS cp, len(list_distinct(list_transform(items, lambda x: x.s))) = 1 AS cs, items[1].p AS p1, items[1].s AS s1 FROM json_blocks WHERE len(items) >= 3)
-SELECT block, '@csv' || CASE WHEN cp OR cs THEN ' const(' || array_to_string(list_filter([CASE WHEN cp THEN 'o_orderpriority=' || {_field('p1')} END, CASE WHEN cs THEN 'o_orderstatus=' || {_field('s1')} END], lambda x: x IS NOT NULL), ',') || ')' ELSE '' END
+c AS (SELECT block, items, len(list_distinct(list_transform(items, lambda x: x.p))) = 1 AS cp, len(list_distinct(list_transform(items, lambda x: x.s))) = 1 AS cs, items[1].p AS p1, items[1].s AS s1 FROM json_blocks)
+SELECT block, CASE WHEN len(items) < 3 THEN {ITEMS} ELSE '@csv' || CASE WHEN cp OR cs THEN ' const(' || array_to_string(list_filter([CASE WHEN cp THEN 'o_orderpriority=' || {_field('p1')} END, CASE WHEN cs THEN 'o_orderstatus=' || {_field('s1')} END], lambda x: x IS NOT NULL), ',') || ')' ELSE '' END
   || ' cols=o_orderkey' || CASE WHEN cp THEN '' ELSE ',o_orderpriority' END || CASE WHEN cs THEN '' ELSE ',o_orderstatus' END || chr(10)
-  || array_to_string(list_transform(items, lambda x: x.k::VARCHAR || CASE WHEN cp THEN '' ELSE ',' || {_field('x.p')} END || CASE WHEN cs THEN '' ELSE ',' || {_field('x.s')} END), chr(10)) AS text
+  || array_to_string(list_transform(items, lambda x: x.k::VARCHAR || CASE WHEN cp THEN '' ELSE ',' || {_field('x.p')} END || CASE WHEN cs THEN '' ELSE ',' || {_field('x.s')} END), chr(10)) END AS text
 FROM c
 """
 
@@ -156,6 +159,109 @@ ROUTED = f"""
 
 WORDS = r"'[\pL\pM\pN_]+|[^\pL\pM\pN_\s]'"
 
+PAIRS = f"""
+w AS (SELECT *, lag(role) OVER o AS before, lag({CONV}) OVER o AS prompt, row_number() OVER o AS place FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+pairs AS (SELECT conv_id, turn, place, prompt, {CONV} AS response, conv_id || '/' || turn AS key FROM w WHERE role = 'assistant' AND before = 'user')"""
+
+
+def _draw(key: str, seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}/' || {key}), 1, 8))::BIGINT"
+
+
+def _short(t: str) -> str:
+    """The prompt's lines stripped, blank ones dropped, those that look like JSON cut."""
+    lines = f"list_filter(list_transform(string_split({STRIP.format(t)}, chr(10)), lambda s: {STRIP.format('s')}), lambda s: s <> '')"
+    return f"array_to_string(list_transform({lines}, lambda s: CASE WHEN s[1] IN ('[', '{{') THEN s[1:200] || '...' ELSE s END), chr(10))"
+
+
+_HEAD, _TAIL = (_quoted(x) for x in fixed.REFERENCE_EXAMPLE)
+AUGMENTED = f"""
+WITH {PAIRS}, plain AS (SELECT conv_id, turn, key, 'plain' AS kind, chr(10) || chr(10) || prompt AS content FROM pairs),
+short AS (SELECT conv_id, turn, key, 'compressed' AS kind, {_short('content')} AS content FROM plain WHERE {_draw('key', 42)} % 1000000 < 200000 AND {_short('content')} <> content),
+base AS (SELECT * FROM plain UNION ALL SELECT * FROM short),
+told AS (SELECT conv_id, turn, key, 'reference' AS kind, {_HEAD} || content || {_TAIL} AS content FROM base WHERE {_draw("key || '/' || kind", 43)} % 1000000 < 150000)
+SELECT conv_id, turn, kind, md5(content) AS digest FROM (SELECT * FROM base UNION ALL SELECT * FROM told)
+"""
+
+FORMATTED = f"""
+WITH {PAIRS}, h AS (SELECT p.conv_id, p.turn, p.response, string_agg('<|' || w.role || '|>' || chr(10) || coalesce(w.text, ''), chr(10) ORDER BY w.turn) FILTER (w.role IN ('system', 'user', 'assistant')) AS history
+  FROM pairs p JOIN w ON w.conv_id = p.conv_id AND w.place < p.place GROUP BY ALL)
+SELECT conv_id, turn, md5(history || chr(10) || '<|assistant|>' || chr(10) || response) AS digest FROM h
+"""
+
+
+def _one_of(words: tuple[str, ...], part: int) -> str:
+    return f"[{', '.join(map(_quoted, words))}][{_draw('id', 42 + part)} % {len(words)} + 1]"
+
+
+def _chance(share: float, part: int) -> str:
+    return f"{_draw('id', 42 + part)} % 1000000 < {int(share * 1_000_000)}"
+
+
+def _synth(n: int) -> str:
+    filler = _one_of(fixed.SYNTH_FILLERS, 1)
+    return f"""SELECT id, concat_ws(' ', CASE WHEN {_chance(0.8, 2)} THEN upper({filler}[1]) || {filler}[2:] || ',' END, {_one_of(fixed.SYNTH_VERBOSE, 3)}, {_one_of(fixed.SYNTH_CONTENT, 4)},
+  CASE WHEN {_chance(0.5, 5)} THEN 'and ' || {_one_of(fixed.SYNTH_VERBOSE, 6)} || ' ' || {_one_of(fixed.SYNTH_CONTENT, 7)} END) || '.' AS text FROM (SELECT unnest(range({n})) AS id)"""
+
+
+# a user's events in turn: the times that were accepted within the window decide on the next
+RATE_LIMIT = """
+WITH RECURSIVE o AS (SELECT user_id AS client, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT client, event_id, t, n, true AS allowed, [t] AS taken, 0 AS wait FROM o WHERE n = 1
+  UNION ALL
+  SELECT client, event_id, t, n, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, CASE WHEN len(live) < 3 THEN 0 ELSE greatest(1, trunc(86400 - (t - live[1]))::BIGINT + 1) END
+  FROM (SELECT o.*, list_filter(r.taken, lambda x: o.t - x < 86400) AS live FROM r JOIN o ON o.client = r.client AND o.n = r.n + 1))
+SELECT client::VARCHAR AS client, event_id, allowed, wait::INTEGER AS retry_after FROM r
+"""
+
+# pages of the tables have targets below their own root, other hosts' and fragments
+PAGE_LINKS = """
+WITH h AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract_all(html, '(?i)href=["\'']([^"\'']+)["\'']', 1) AS targets FROM pages),
+f AS (SELECT page_id, host, list_transform(targets, lambda x: split_part(CASE WHEN regexp_matches(x, '^https?://') THEN x WHEN starts_with(x, '//') THEN scheme || ':' || x WHEN starts_with(x, '/') THEN scheme || '://' || host || x END, '#', 1)) AS targets FROM h),
+k AS (SELECT page_id, list_filter(targets, lambda x: regexp_extract(x, '^https?://([^/?#]*)', 1) = host) AS links FROM f)
+SELECT page_id, i::BIGINT AS position, links[i + 1] AS link FROM (SELECT page_id, links, unnest(range(len(links))) AS i FROM k)
+"""
+
+
+def _dropped(x: str) -> str:
+    for tag in fixed.DROPPED.split("|"):
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    return x
+
+
+def _unescaped(x: str) -> str:
+    """The references that the tables' pages hold."""
+    for name, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", chr(0xA0)), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+def _gsub(x: str, *rules: tuple[str, str]) -> str:
+    for pattern, by in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+_lines = _gsub(_dropped("html"), ("(?s)<!--.*?-->", " "), ("(?i)<br\\s*/?>", "\n"), (f"(?i)</({fixed.LINE_ENDS})>", "\n"), ("<[^>]+>", " "))
+MAIN_TEXT = STRIP.format(_gsub(_unescaped(_lines), ("[ \\t]+", " "), (" *\\n *", "\n"), ("\\n{3,}", "\n\n")))
+_all = _gsub("html", ("(?is)<script[^>]*>.*?</script>", " "), ("(?is)<style[^>]*>.*?</style>", " "), ("<[^>]+>", " "))
+PLAIN_TEXT = f"trim(regexp_replace({_unescaped(_all)}, '[\\s\\x0b\u00a0]+', ' ', 'g'))"
+
+_TOKENS = "greatest(1, length({0}) // 4)"
+_TS = "1700000000 + turn * 60 + conv_id"
+TITLES = f"""titled AS (SELECT conv_id, CASE WHEN count(*) FILTER (role = 'user') = 0 THEN '{fixed.NEW_TITLE}' ELSE coalesce(arg_min(text, turn) FILTER (role = 'user'), '') END AS said, min({_TS}) AS created_at, max({_TS}) AS updated_at, count(*) AS n_messages FROM conversations GROUP BY conv_id),
+named AS (SELECT *, CASE WHEN length(said) > {fixed.TITLE_CHARS} THEN said[1:{fixed.TITLE_CHARS}] || '…' ELSE said END AS title FROM titled)"""
+
+# the table that an array of three orders or more becomes, and the same inside a tool result
+BLOCK_REQUESTS = f"""
+WITH t AS ({JSON_TABLE}), j AS (SELECT o_custkey AS block, list({{'k': o_orderkey, 's': o_orderstatus, 'p': o_orderpriority}} ORDER BY o_orderkey) AS items FROM orders GROUP BY o_custkey),
+x AS (SELECT j.block, {ITEMS} AS own, t.text FROM j JOIN t USING (block) WHERE len(items) >= 3), n AS (SELECT *, length(own) >= {fixed.MIN_BLOCK} AS able, {_TOKENS.format('own')} AS b, {_TOKENS.format('text')} AS a FROM x)
+SELECT block, CASE WHEN able THEN b ELSE 0 END::BIGINT AS tokens_before, CASE WHEN able THEN a ELSE 0 END::BIGINT AS tokens_after, CASE WHEN able THEN greatest(0, b - a) ELSE 0 END::BIGINT AS tokens_saved, able::BIGINT AS blocks,
+  CASE WHEN able THEN round(a / b, 4) ELSE 1 END::DOUBLE AS ratio, able AS compressed, CASE WHEN able THEN text ELSE own END AS inner, repeat('x', 200) AS image, 'hi' AS short FROM n
+"""
+
+_COST = max(1, len(fixed.INSTRUCTION) // 4)
+
 SQL: dict[str, str] = {
     "bm25_topk": f"{ONE} {BM25} SELECT doc_id, chunk_no, round(score, 4) AS score FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id, chunk_no LIMIT 10)",
     "bm25_batch": f"{SEVERAL} {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS place FROM scored) SELECT query_id, place, round(score, 4) AS score FROM r WHERE place <= 5",
@@ -164,15 +270,12 @@ SQL: dict[str, str] = {
     "replace_document": f"WITH {CHUNKS} SELECT doc_id, count(*) AS n_chunks FROM chunks WHERE doc_id % 10 <> 0 GROUP BY doc_id UNION ALL SELECT DISTINCT doc_id, 1 FROM documents WHERE doc_id % 10 = 0",
     "rag_context": f"{ONE} {BM25}, top AS (SELECT * FROM scored ORDER BY score DESC, doc_id, chunk_no LIMIT 3), t AS (SELECT string_agg('[' || doc_id || '] ' || text, chr(10) || chr(10) ORDER BY score DESC, doc_id, chunk_no) AS c FROM top JOIN chunks USING (doc_id, chunk_no)) SELECT md5(c) AS digest, length(c)::BIGINT AS n_chars FROM t",
     "cosine_topk": "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE score > 0 ORDER BY score DESC, vec_id LIMIT 10)",
-    "hybrid_topk": f"""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-both_ AS (SELECT doc_id, text, list_cosine_similarity(embedding::DOUBLE[], q) AS cos, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') AS words FROM documents JOIN embeddings ON vec_id = doc_id CROSS JOIN q),
-s AS (SELECT count(*) AS n, avg(len(words)) AS avg_words FROM both_), asked AS (SELECT unnest(regexp_extract_all(lower({_quoted(QUERY)}), '[a-z0-9]{{2,}}')) AS term),
-tf AS (SELECT doc_id, dl, term, count(*) AS f FROM (SELECT doc_id, len(words) AS dl, unnest(words) AS term FROM both_) WHERE term IN (SELECT term FROM asked) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-scored AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * f * {fixed.K1 + 1} / (f + {fixed.K1} * ({1 - fixed.B} + {fixed.B} * dl / avg_words))) AS score FROM tf JOIN df USING (term) JOIN asked USING (term) CROSS JOIN s GROUP BY doc_id),
-x AS (SELECT doc_id, cos, coalesce(score, 0) AS bm FROM both_ LEFT JOIN scored USING (doc_id)), m AS (SELECT max(cos) AS mc, max(bm) AS mb FROM x),
-y AS (SELECT doc_id, 0.5 * CASE WHEN mc > 0 THEN cos / mc ELSE 0 END + 0.5 * CASE WHEN mb > 0 THEN bm / mb ELSE 0 END AS score FROM x, m)
-SELECT doc_id, round(score, 4) AS score FROM (SELECT * FROM y WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10)""",
-    "grep_lines": "SELECT doc_id, i::BIGINT AS line_no, substr(trim(string_split(text, chr(10))[i]), 1, 160) AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE contains(lower(string_split(text, chr(10))[i]), 'license') ORDER BY doc_id, line_no LIMIT 50",
+    "hybrid_topk": f"""{ONE} {BM25}, q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+x AS (SELECT c.doc_id, c.chunk_no, coalesce(list_cosine_similarity(embedding::DOUBLE[], q), 0) AS cos, coalesce(score, 0) AS bm FROM chunks c LEFT JOIN embeddings ON vec_id = c.doc_id LEFT JOIN scored s ON s.doc_id = c.doc_id AND s.chunk_no = c.chunk_no CROSS JOIN q),
+m AS (SELECT max(cos) AS mc, max(bm) AS mb FROM x), y AS (SELECT doc_id, chunk_no, 0.5 * CASE WHEN mc > 0 THEN cos / mc ELSE 0 END + 0.5 * CASE WHEN mb > 0 THEN bm / mb ELSE 0 END AS score FROM x, m)
+SELECT doc_id, chunk_no, round(score, 4) AS score FROM (SELECT * FROM y WHERE score > 0 ORDER BY score DESC, doc_id, chunk_no LIMIT 10)""",
+    "search_fallback": f"{ONE} {BM25} SELECT doc_id, chunk_no, round(score, 4) AS score FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id, chunk_no LIMIT 10)",
+    "grep_lines": f"SELECT doc_id, i::BIGINT AS line_no, substr({STRIP.format('string_split(text, chr(10))[i]')}, 1, 160) AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE contains(lower(string_split(text, chr(10))[i]), 'license') ORDER BY doc_id, line_no LIMIT 50",
     "ledger_totals": f"WITH {LEDGER} SELECT count(*) AS requests, {SUMS}, coalesce(sum(blocks), 0)::BIGINT AS blocks FROM ledger WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'",
     "ledger_daily": f"WITH {LEDGER}, d AS (SELECT unnest(generate_series(DATE '2024-02-02' - 39, DATE '2024-02-02', INTERVAL 1 DAY))::DATE AS day), a AS (SELECT ts::DATE AS day, {SUMS}, count(*) AS requests FROM ledger GROUP BY 1) SELECT d.day::VARCHAR AS day, coalesce(tokens_before, 0)::BIGINT AS tokens_before, coalesce(tokens_after, 0)::BIGINT AS tokens_after, coalesce(tokens_saved, 0)::BIGINT AS tokens_saved, coalesce(requests, 0)::BIGINT AS requests FROM d LEFT JOIN a USING (day)",
     **{f"ledger_by_{d}": f"WITH {LEDGER} {_breakdown(d)} ORDER BY tokens_saved DESC, key LIMIT 12" for d in ("tool", "provider", "model")},
@@ -186,11 +289,11 @@ SELECT n_s, n_c, round(mean_s, 4) AS mean_s, round(mean_c, 4) AS mean_c, round(d
     "token_estimate": "SELECT lang, sum(greatest(1, length(text) // 4))::BIGINT AS n_tokens, count(*) AS n FROM documents GROUP BY lang",
     "log_code_rules": f"{BLOCKS} SELECT id, n >= 8 AND hits >= greatest(4, sample // 4) AS is_logs, is_code FROM r",
     "type_counts": f"{ROUTED} SELECT made_as, type, count(*) AS n FROM k GROUP BY ALL",
-    "code_language": "SELECT DISTINCT p_brand AS block, 'python' AS language FROM part",
+    "code_language": f"WITH {CODE}, l AS (SELECT block, string_split(text, chr(10))[1:30] AS lines FROM code_blocks) SELECT block, CASE " + " ".join(f"WHEN len(list_filter(lines, lambda s: regexp_matches(s, {_quoted(a)}) OR regexp_matches(s, {_quoted(b)}))) >= 2 THEN '{name}'" for name, (a, b) in fixed.LANGUAGE_PATTERNS.items()) + " ELSE 'unknown' END AS language FROM l",
     "log_triage": LOG_TRIAGE,
     "json_csv_schema": JSON_TABLE,
-    "dedupe_lines": f"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
-k AS (SELECT *, {STRIP.format('line')} AS key FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS nth FROM k), t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM r WHERE length(key) <= 20 OR nth = 1 GROUP BY doc_id)
+    "dedupe_lines": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT r, doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT r, doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
+k AS (SELECT *, {STRIP.format('line')} AS key FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY r, key ORDER BY i) AS nth FROM k), t AS (SELECT r, doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM n WHERE length(key) <= 20 OR nth = 1 GROUP BY r, doc_id)
 SELECT doc_id, md5(text) AS digest, length(text)::BIGINT AS n_chars FROM t""",
     "invisible_clean": f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{_chars(*fixed.INVISIBLE)}', '', 'g'), '{_chars(*fixed.BIDI)}', '', 'g'), '{_SMUGGLED}', '', 'g'), '{_chars(*fixed.NBSP)}', ' ', 'g')) AS digest,
   {_count(_chars(*fixed.INVISIBLE))} AS invisible, {_count(_chars(*fixed.BIDI))} AS bidi, {_count(_SMUGGLED)} AS smuggled, {_count(_chars(*fixed.NBSP))} AS nbsp FROM (SELECT doc_id, {HIDDEN} AS t FROM documents)""",
@@ -220,6 +323,43 @@ b AS (SELECT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey = 1 UNI
 k AS (SELECT doc_id, lower(w) AS key, count(*) AS kept FROM (SELECT doc_id, unnest(regexp_extract_all(c, {WORDS})) AS w FROM b) GROUP BY ALL), n AS (SELECT *, lower(w) AS key, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) AS nth FROM o),
 l AS (SELECT n.doc_id, i, CASE WHEN nth <= coalesce(kept, 0) THEN 1 ELSE 0 END AS label FROM n LEFT JOIN k ON n.doc_id = k.doc_id AND n.key = k.key)
 SELECT doc_id, count(*) AS n_words, sum(label)::BIGINT AS n_kept, md5(string_agg(label::VARCHAR, '' ORDER BY i)) AS labels FROM l GROUP BY doc_id""",
-    "fact_retention": "WITH c AS (SELECT item_id AS case_id, trim(regexp_replace(substr(text, 1, 100), '\\s+', ' ', 'g')) AS c, [trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g')), trim(regexp_replace(substr(text, 80, 30), '\\s+', ' ', 'g'))] AS facts FROM benchmark) SELECT case_id, len(facts)::BIGINT AS n_facts, len(list_filter(facts, lambda f: contains(c, f)))::BIGINT AS n_kept FROM c",
+    "fact_retention": "WITH c AS (SELECT item_id AS case_id, trim(regexp_replace(regexp_replace(text, '(^|\\n)[^ \\n]+ ', '\\1', 'g'), '\\s+', ' ', 'g')) AS c, [trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g')), trim(regexp_replace(substr(text, 80, 30), '\\s+', ' ', 'g'))] AS facts FROM benchmark) SELECT case_id, len(facts)::BIGINT AS n_facts, len(list_filter(facts, lambda f: contains(c, f)))::BIGINT AS n_kept FROM c",
+    "json_shrink": """SELECT event_id AS block, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","inner":{"props":"' || replace(props, '"', '\\"') || '"}}' AS text FROM events""",
+    "code_compress": f"""WITH p AS (SELECT p_brand AS block, string_agg('def part_' || p_partkey || '():' || chr(10) || '    return ' || p_size, chr(10) ORDER BY p_partkey) AS body FROM part GROUP BY p_brand)
+SELECT block, '# 4 imports collapsed' || chr(10) || 'import os' || chr(10) || 'import sys' || chr(10) || '# ... +2 more' || chr(10) || body AS text FROM p""",
+    "mixed_script": f"SELECT doc_id, array_to_string(list_filter(regexp_extract_all('p{chr(0x430)}ypal and {chr(0xAA)}1 ' || text, '\\pL{{2,}}'), lambda w: regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(w, '\\p{{Cyrillic}}|\\p{{Greek}}'))[1:10], ' ') AS words FROM documents",
+    "rate_limit_log": RATE_LIMIT,
+    "page_links": PAGE_LINKS,
+    "html_main_text": f"SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT page_id, {MAIN_TEXT} AS t FROM pages)",
+    "page_plain_text": f"SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT page_id, {PLAIN_TEXT} AS t FROM pages)",
+    "training_augmented": AUGMENTED,
+    "training_formatted": FORMATTED,
+    "training_split": f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (ORDER BY {_draw('key', 42)}, key) AS nth, count(*) OVER () AS n FROM pairs) SELECT conv_id, turn, CASE WHEN nth <= greatest(1, floor(n * 0.1)) THEN 'eval' ELSE 'train' END AS part FROM r",
+    "synth_sentences": _synth(500),
+    "token_accuracy": "WITH l AS (SELECT coalesce(quality, 0) AS p1, coalesce(toxic, 0) AS p2, coalesce(toxic, -100) AS l1, coalesce(quality, -100) AS l2 FROM labels) SELECT round(sum((l1 <> -100 AND p1 = l1)::INT + (l2 <> -100 AND p2 = l2)::INT) / sum((l1 <> -100)::INT + (l2 <> -100)::INT), 9) AS token_accuracy FROM l",
+    "label_drop_rate": f"""WITH b AS (SELECT item_id AS doc_id, text, CASE WHEN item_id % 2 = 0 THEN text ELSE regexp_replace(text, '(^|\\n)[^ \\n]+ ', '\\1', 'g') END AS c FROM benchmark), o AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, {WORDS}))) AS key FROM b), k AS (SELECT doc_id, lower(unnest(regexp_extract_all(c, {WORDS}))) AS key FROM b),
+n AS (SELECT doc_id, key, count(*) AS n FROM o GROUP BY ALL), m AS (SELECT doc_id, key, count(*) AS m FROM k GROUP BY ALL), t AS (SELECT n.doc_id, sum(n) AS n, sum(least(n, coalesce(m, 0))) AS kept FROM n LEFT JOIN m ON n.doc_id = m.doc_id AND n.key = m.key GROUP BY n.doc_id) SELECT doc_id, round(1 - kept / n, 6) AS dropped FROM t WHERE kept < n""",
+    "compress_block_requests": BLOCK_REQUESTS,
+    "instruction_cost": f"SELECT event_id, b AS tokens_before, b // 2 + {_COST} AS tokens_after, b - b // 2 - {_COST} AS tokens_saved, CASE WHEN b > 0 THEN round((b // 2 + {_COST}) / b, 4) ELSE 1 END::DOUBLE AS ratio, {_COST}::BIGINT AS instruction_tokens FROM (SELECT event_id, floor(value)::BIGINT AS b FROM events)",
+    "completion_tokens": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN event_id ELSE 0 END::BIGINT AS output_tokens FROM events",
+    "redact_payload": "SELECT doc_id, 'model-x' AS model, ' key [REDACTED:openai_key] mail [REDACTED:email] host [REDACTED:ipv4]' AS content, 1::BIGINT AS keys, 1::BIGINT AS mails FROM documents",
+    "invisible_overhead": f"""WITH c AS (SELECT t, regexp_replace(regexp_replace(regexp_replace(t, '{_chars(*fixed.INVISIBLE, *fixed.JOINERS)}', '', 'g'), '{_chars(*fixed.BIDI)}', '', 'g'), '{_SMUGGLED}', '', 'g') AS clean FROM (SELECT {HIDDEN} AS t FROM documents)),
+n AS (SELECT sum({_TOKENS.format('t')})::BIGINT AS tokens_pasted, sum({_TOKENS.format('clean')})::BIGINT AS tokens_clean FROM c) SELECT *, round((tokens_pasted - tokens_clean) / tokens_clean * 100, 1) AS overhead_percent FROM n""",
+    "invisible_scan": f"SELECT doc_id, {_count(_chars(*fixed.INVISIBLE, *fixed.JOINERS))} AS invisible, {_count(_chars(*fixed.BIDI))} AS bidi, {_count(_chars(*fixed.NBSP))} AS nbsp, 'p{chr(0x430)}ypal' AS mixed FROM (SELECT doc_id, {HIDDEN} AS t FROM documents)",
+    "conversation_titles": f"WITH {TITLES} SELECT conv_id, title, created_at, updated_at, n_messages FROM named WHERE conv_id % 7 <> 0",
+    "recent_conversations": f"WITH {TITLES} SELECT conv_id, title FROM (SELECT * FROM named ORDER BY updated_at DESC, conv_id LIMIT 10)",
+    "dashboard": f"""WITH {LEDGER}, b AS ({' UNION ALL '.join(f"SELECT 'by_{d}' AS section, count(*) AS items FROM (SELECT * FROM ({_breakdown(d)}) ORDER BY tokens_saved DESC, key LIMIT 12)" for d in ('tool', 'provider', 'model'))})
+SELECT 'session' AS section, count(*) AS requests, sum(saved)::BIGINT AS tokens_saved, NULL::BIGINT AS n_s, NULL::BIGINT AS items FROM ledger WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' UNION ALL SELECT 'lifetime', count(*), sum(saved)::BIGINT, NULL, NULL FROM ledger
+UNION ALL SELECT 'daily', NULL, NULL, NULL, 5 UNION ALL SELECT 'output_effect', NULL, NULL, count(*) FILTER (shaped = 1 AND output_tokens > 0), NULL FROM ledger UNION ALL SELECT section, NULL, NULL, NULL, items FROM b""",
+    "purge_expired": f"""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 86400000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM g), a AS (SELECT max(ts) AS last FROM s GROUP BY user_id, n), e AS (SELECT epoch(TIMESTAMP '{NOW}') AS now)
+SELECT 'originals' AS kind, count(*) FILTER (now - stored_at - 6572000 > 86400) AS removed, count(*) FILTER (now - stored_at - 6572000 <= 86400) AS kept FROM {ORIGINALS}, e
+UNION ALL SELECT 'sessions', count(*) FILTER (now - epoch(last) > 86400), count(*) FILTER (now - epoch(last) <= 86400) FROM a, e UNION ALL SELECT 'audit', count(*) FILTER (now - epoch(ts) > 864000), count(*) FILTER (now - epoch(ts) <= 864000) FROM events, e""",
+    "limiter_stats": "SELECT count(DISTINCT user_id) AS tracked_clients, 60 AS max_requests, 3600.0::DOUBLE AS window_seconds FROM events WHERE epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(ts) >= 0 AND epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(ts) < 3600",
+    "limiter_reset": "WITH f AS (SELECT user_id, min(ts) + INTERVAL 5 DAY AS at_ FROM events WHERE user_id % 2 = 0 GROUP BY user_id) SELECT e.user_id AS client, count(*) AS n FROM events e LEFT JOIN f USING (user_id) WHERE at_ IS NULL OR ts >= at_ GROUP BY 1",
+    "encryption_round_trip": "SELECT doc_id, md5(text) AS digest FROM documents",
+    "json_in_text": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN json_extract_string(props, '$.k') END AS k FROM events",
+    "holdout_arms": f"SELECT {_draw('event_id', 0)} % 10000 >= 1000 AS shaped, count(*) AS n FROM events GROUP BY 1",
+    "store_info": f"SELECT id, stored_at::BIGINT AS stored_at, length(original)::BIGINT AS original_chars, length(compressed)::BIGINT AS compressed_chars FROM {ORIGINALS}",
     "model_fit_rank": "WITH p AS (SELECT p_name || '-' || p_partkey AS name, (p_size * 500)::BIGINT AS size_mb FROM part), f AS (SELECT *, CASE WHEN size_mb IS NULL OR size_mb = 0 THEN 'unknown' WHEN size_mb <= 11200 THEN 'comfortable' WHEN size_mb <= 16000 THEN 'tight' ELSE 'too_large' END AS fit FROM p) SELECT name, size_mb, fit FROM f ORDER BY list_position(['comfortable', 'tight', 'unknown', 'too_large'], fit), size_mb DESC, name LIMIT 20",
 }

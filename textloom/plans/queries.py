@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import fixed
-from textloom.functions.text import chunks, client_name, cosine, csv_field, invisible, is_code, is_logs, language, tokens
-from textloom.operators import compress, govern, ingest, ledger, retrieval, training
+from textloom.functions import kernels
+from textloom.functions.text import client_name, invisible, is_code, is_logs, language, scan, strip, tokens
+from textloom.operators import compress, conversations, govern, ingest, ledger, requests, retrieval, training
 
 QUERY = "the erthat of the reanonsh"
 QUERIES = ((1, "the erthat of the"), (2, "ciónosas la de"), (3, "einer der ungsch"), (4, "le que treaux"))
@@ -91,7 +93,7 @@ def table_pages(spark: SparkSession, sf: str) -> DataFrame:
     return n.groupBy(F.col("n_regionkey").cast("long").alias("page_id")).agg(F.concat(F.lit("<table><tr><th>key</th><th>name</th></tr>"), F.array_join(F.transform(ordered, lambda x: x["row"]), ""), F.lit("</table>")).alias("html"))
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
+def request_rows(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     agent = F.element_at(F.array(*map(F.lit, ("curl/8.1", "Cursor/1.2 (x)", "python-httpx/0.28", "MyTool/2.0 linux", ""))), (F.col("event_id") % 5 + 1).cast("int"))
     return e.select("event_id", agent.alias("agent"), F.concat(F.lit("Model-"), F.col("event_type")).alias("model"), F.col("props").alias("text"), F.col("user_id"), "ts")
@@ -149,9 +151,17 @@ def cosine_topk(spark, sf):
 
 
 def hybrid_topk(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_no"), "text")
-    both = d.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return retrieval.hybrid_topk(both, QUERY, _first_vector(spark, sf), 10).select("doc_id", F.round("score", 4).alias("score"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    both = retrieval.chunk_table(table(spark, sf, "documents")).join(vectors, "doc_id", "left")
+    hits = retrieval.search(both, QUERY, _first_vector(spark, sf), 10)
+    return hits.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.round("score", 4).alias("score"))
+
+
+def search_fallback(spark, sf):
+    """No chunk has a vector: words alone."""
+    rows = retrieval.chunk_table(table(spark, sf, "documents")).withColumn("embedding", F.lit(None).cast("array<float>"))
+    hits = retrieval.search(rows, QUERY, [1.0, 0.0], 10)
+    return hits.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.round("score", 4).alias("score"))
 
 
 def grep_lines(spark, sf):
@@ -227,7 +237,7 @@ def log_triage(spark, sf):
 
 
 def json_csv_schema(spark, sf):
-    rows = json_blocks(spark, sf).where(F.size("items") >= 3)
+    rows = json_blocks(spark, sf)
     return compress.compress_blocks(rows, F.lit("json")).select("block", F.col("compressed").alias("text"))
 
 
@@ -242,12 +252,11 @@ def code_compress(spark, sf):
 
 def prose_compress(spark, sf):
     rows = compress.compress_blocks(verbose_docs(spark, sf), F.lit("text"))
-    return rows.select("doc_id", F.length("text").cast("long").alias("chars_before"), F.length("compressed").cast("long").alias("chars_after"))
+    return rows.select("doc_id", F.length("text").cast("long").alias("chars_before"), F.length("compressed").cast("long").alias("chars_after"), F.md5("compressed").alias("digest"))
 
 
 def dedupe_lines(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").dropDuplicates(["doc_id"])
-    return compress.dedupe_lines(d).select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+    return compress.dedupe_lines(table(spark, sf, "documents")).select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
 
 def invisible_clean(spark, sf):
@@ -299,17 +308,17 @@ def redact_text(spark, sf):
 
 
 def policy_check(spark, sf):
-    rows = govern.check_policy(requests(spark, sf), "error, signup", ["\"k\": 9", "(", "\"k\": 1[0-4]"])
+    rows = govern.check_policy(request_rows(spark, sf), "error, signup", ["\"k\": 9", "(", "\"k\": 1[0-4]"])
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def client_names(spark, sf):
-    rows = requests(spark, sf)
+    rows = request_rows(spark, sf)
     return rows.groupBy(client_name(F.col("agent")).alias("client")).agg(F.count("*").alias("n"))
 
 
 def rate_limit_log(spark, sf):
-    rows = govern.rate_limited(requests(spark, sf).select(F.col("user_id").alias("client"), "event_id", "ts"), 3, 86_400)
+    rows = govern.rate_limited(request_rows(spark, sf).select(F.col("user_id").alias("client"), "event_id", "ts"), 3, 86_400)
     return rows.select("client", "event_id", "allowed", "retry_after")
 
 
@@ -365,8 +374,17 @@ def training_pairs(spark, sf):
 
 
 def training_augmented(spark, sf):
-    rows = training.augmented(training.training_pairs(table(spark, sf, "conversations")))
-    return training.formatted(rows.where("kind <> 'compressed'")).groupBy("conv_id").agg(F.count("*").alias("n"))
+    pairs = training.training_pairs(table(spark, sf, "conversations"))
+    last = F.try_element_at("history", F.lit(-1))
+    # prompts with blank lines, so that compression changes them
+    spaced = training._last_replaced(F.concat(F.lit("\n\n"), last["content"]))
+    rows = training.augmented(pairs.withColumn("history", spaced))
+    return rows.select("conv_id", "turn", "kind", F.md5(last["content"]).alias("digest"))
+
+
+def training_formatted(spark, sf):
+    rows = training.formatted(training.training_pairs(table(spark, sf, "conversations")))
+    return rows.select("conv_id", "turn", F.md5("text").alias("digest"))
 
 
 def training_split(spark, sf):
@@ -374,6 +392,22 @@ def training_split(spark, sf):
     return training.split(rows, F.concat_ws("/", "conv_id", "turn")).select("conv_id", "turn", "part")
 
 
+def synth_sentences(spark, sf):
+    rows = training.synth_sentences(spark, 500)
+    return rows.select("id", "text")
+
+
+def token_accuracy(spark, sf):
+    l = table(spark, sf, "labels")
+    rows = l.select(F.array(F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0))).alias("predicted"), F.array(F.coalesce("toxic", F.lit(-100)), F.coalesce("quality", F.lit(-100))).alias("labels"))
+    return training.token_accuracy(rows).select(F.round("token_accuracy", 9).alias("token_accuracy"))
+
+
+def label_drop_rate(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("original"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", "(^|\n)[^ \n]+ ", "$1")).alias("compressed"))
+    return training.dropped_share(training.label_words(b)).select("doc_id", F.round("dropped", 6).alias("dropped"))
+
+
 def prompt_text(spark, sf):
     c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.md5(training.compressed_prompt(F.concat(F.lit("\n [1] x \n\n"), "text"))).alias("digest"))
@@ -386,8 +420,9 @@ def label_words(spark, sf):
 
 
 def fact_retention(spark, sf):
+    """Each line without its first word: the fact at the beginning goes, the other stays where it lies inside a line."""
     b = table(spark, sf, "benchmark")
-    cases = b.select(F.col("item_id").alias("case_id"), F.substring("text", 1, 100).alias("compressed"), F.array(F.substring("text", 1, 30), F.substring("text", 80, 30)).alias("facts"))
+    cases = b.select(F.col("item_id").alias("case_id"), F.regexp_replace("text", "(^|\n)[^ \n]+ ", "$1").alias("compressed"), F.array(F.substring("text", 1, 30), F.substring("text", 80, 30)).alias("facts"))
     return training.fact_retention(cases)
 
 
@@ -396,12 +431,167 @@ def model_fit_rank(spark, sf):
     return training.model_fit(p, F.lit(16000))
 
 
+# --- requests, stores, measures ----------------------------------------------
+
+
+def chat_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """A request for each conversation: messages with texts as they are, and one that is no text."""
+    c = table(spark, sf, "conversations")
+    one = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
+    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    return rows.select("conv_id", F.to_json(F.struct(F.lit("m").alias("model"), F.transform("x", lambda v: v["m"]).alias("messages"))).alias("body"))
+
+
+def block_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """A request for each customer with three orders or more: a system prompt, a text block, an image, and a tool result that holds the orders as JSON."""
+    j = json_blocks(spark, sf).where(F.size("items") >= 3)
+    text = F.struct(F.lit("text").alias("type"), F.lit("short").alias("text"))
+    tool = lambda content: F.struct(F.lit("tool_result").alias("type"), F.lit("t").alias("tool_use_id"), F.array(F.struct(F.lit("text").alias("type"), content.alias("text"))).alias("content"))
+    image = F.struct(F.lit("image").alias("type"), F.lit("x" * 200).alias("data"))
+    as_json = lambda x: F.to_json(x)
+    content = F.concat(F.lit("["), as_json(text), F.lit(","), as_json(image), F.lit(","), as_json(tool(F.col("text"))), F.lit("]"))
+    body = F.concat(F.lit('{"system":"be brief","messages":[{"role":"user","content":"hi"},{"role":"user","content":'), content, F.lit("}]}"))
+    return j.select("block", body.alias("body"), F.col("text").alias("inner"))
+
+
+def compress_chat_requests(spark, sf):
+    rows = requests.compress_requests(chat_requests(spark, sf))
+    return rows.select("conv_id", *requests.SUMS, "ratio", "compressed", F.md5("body").alias("digest"))
+
+
+def compress_block_requests(spark, sf):
+    """Each tool result inside is the table that the customer's array becomes; the rest is as it was."""
+    rows = requests.compress_requests(block_requests(spark, sf), "blocks")
+    inner = F.get_json_object("body", "$.messages[1].content[2].content[0].text")
+    return rows.select("block", *requests.SUMS, "ratio", "compressed", inner.alias("inner"), F.get_json_object("body", "$.messages[1].content[1].data").alias("image"), F.get_json_object("body", "$.messages[0].content").alias("short"))
+
+
+def instruction_cost(spark, sf):
+    e = table(spark, sf, "events")
+    before = F.floor("value").cast("long")
+    rows = e.select("event_id", before.alias("tokens_before"), F.floor(before / 2).alias("tokens_after"), (before - F.floor(before / 2)).alias("tokens_saved"), F.lit(1.0).alias("ratio"))
+    return requests.with_instruction(rows)
+
+
+def completion_tokens(spark, sf):
+    e = table(spark, sf, "events")
+    name = F.when(F.col("event_id") % 3 == 0, "completion_tokens").when(F.col("event_id") % 3 == 1, "output_tokens").otherwise("other")
+    rows = e.select("event_id", F.concat(F.lit('{"usage": {"'), name, F.lit('": '), F.col("event_id").cast("string"), F.lit(', "x": "y"}}')).alias("answer"))
+    return requests.completion_tokens(rows).select("event_id", "output_tokens")
+
+
+def redact_payload(spark, sf):
+    d = secret_docs(spark, sf)
+    body = F.to_json(F.struct(F.lit("model-x").alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.regexp_extract("text", r"(?s)( key .*)$", 1).alias("content"))).alias("messages")))
+    rows = requests.redact_payloads(d.select("doc_id", body.alias("body")), pii=True)
+    return rows.select("doc_id", F.get_json_object("body", "$.model").alias("model"), F.get_json_object("body", "$.messages[0].content").alias("content"), F.coalesce(F.element_at("counts", "openai_key"), F.lit(0)).alias("keys"), F.coalesce(F.element_at("counts", "email"), F.lit(0)).alias("mails"))
+
+
+def savings_measure(spark, sf):
+    """Six kinds made of the tables, by the estimate of tokens; kind null is all together."""
+    kinds = [("json:records", json_blocks(spark, sf).where(F.size("items") >= 3).select("text"))]
+    e = table(spark, sf, "events")
+    hits = e.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", F.lit("https://example.org/").alias("link"), "event_type", F.lit(None).cast("string").alias("note"))))).alias("text"))
+    kinds.append(("json:hits", hits.select("text")))
+    kinds.append(("logs:build", log_blocks(spark, sf).select("text")))
+    frame = F.concat(F.lit('  File "app.py", line '), F.col("event_id").cast("string"), F.lit(", in step\n    run(step)"))
+    trace = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", frame.alias("f")))).alias("x"))
+    kinds.append(("logs:trace", trace.select(F.concat(F.lit("Traceback (most recent call last):\n"), F.array_join(F.transform("x", lambda v: v["f"]), "\n"), F.lit("\nValueError: bad value")).alias("text"))))
+    kinds.append(("code:python", code_blocks(spark, sf).select("text")))
+    kinds.append(("prose:verbose", training.synth_sentences(spark, 200).groupBy(F.floor(F.col("id") / 20)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda v: v["text"]), " ").alias("text")).select("text")))
+    rows = None
+    for kind, df in kinds:
+        own = df.select(F.lit(kind).alias("kind"), "text")
+        rows = own if rows is None else rows.unionByName(own)
+    return compress.savings_measure(compress.compress_blocks(rows))
+
+
+def invisible_overhead(spark, sf):
+    rows = hidden_docs(spark, sf).select("text", invisible(F.col("text"), True)["text"].alias("clean"))
+    return compress.invisible_overhead(rows)
+
+
+def invisible_scan(spark, sf):
+    rows = hidden_docs(spark, sf).select("doc_id", scan(F.concat(F.col("text"), F.lit(" p" + chr(0x430) + "ypal"))).alias("x"))
+    return rows.select("doc_id", "x.invisible", "x.bidi", "x.nbsp", F.array_join("x.mixed", " ").alias("mixed"))
+
+
+def conversation_titles(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60 + F.col("conv_id")))
+    kept = conversations.without(c, c.where("conv_id % 7 = 0").select("conv_id"))
+    rows = conversations.conversations(kept)
+    return rows.select("conv_id", "title", F.unix_seconds("created_at").alias("created_at"), F.unix_seconds("updated_at").alias("updated_at"), "n_messages")
+
+
+def recent_conversations(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60 + F.col("conv_id")))
+    return conversations.recent(c, 10).select("conv_id", "title")
+
+
+def dashboard(spark, sf):
+    rows = ledger.dashboard(ledger_rows(spark, sf), "2024-02-02", 5, F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    field = lambda name: F.get_json_object("body", f"$.{name}").cast("long")
+    items = F.when(F.col("body").startswith("["), F.json_array_length("body")).cast("long")
+    return rows.select("section", field("requests").alias("requests"), field("tokens_saved").alias("tokens_saved"), field("n_s").alias("n_s"), items.alias("items"))
+
+
+def purge_expired(spark, sf):
+    active = govern.sessions(table(spark, sf, "events"), 24 * 60)
+    return govern.purge(originals(spark, sf).withColumn("stored_at", F.timestamp_seconds(F.unix_seconds("stored_at") + 6_572_000)), active, table(spark, sf, "events"), NOW, 24, 60 * 24, 10)
+
+
+def limiter_stats(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("client"), "ts")
+    return govern.limiter_stats(e, "2024-01-20 00:00:00", 60, 3600.0)
+
+
+def limiter_reset(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    resets = e.groupBy("client").agg(F.min("ts").alias("first")).where("client % 2 = 0").select("client", (F.col("first") + F.expr("INTERVAL 5 DAY")).alias("at"))
+    return govern.limiter_reset(e, resets).groupBy("client").agg(F.count("*").alias("n"))
+
+
+def encryption_round_trip(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    key = F.lit("0123456789abcdef").cast("binary")
+    rows = govern.decrypted(govern.encrypted(d, "text", key), "text", key)
+    return rows.select("doc_id", F.md5("text").alias("digest"))
+
+
+def page_plain_text(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", kernels.page_text("html").alias("text"))
+    return p.select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def json_in_text(spark, sf):
+    e = table(spark, sf, "events")
+    text = F.concat(F.lit("The answer is "), F.when(F.col("event_id") % 4 == 0, F.lit("{broken")).otherwise(F.col("props")), F.lit(" as asked."))
+    return e.select("event_id", F.get_json_object(kernels.json_found(text), "$.k").alias("k"))
+
+
+def holdout_arms(spark, sf):
+    e = table(spark, sf, "events").select("event_id", compress.in_treatment(F.col("event_id").cast("string")).alias("shaped"))
+    return e.groupBy("shaped").agg(F.count("*").alias("n"))
+
+
+def store_info(spark, sf):
+    return compress.store_info(originals(spark, sf)).select("id", F.unix_seconds("stored_at").alias("stored_at"), F.col("original_chars").cast("long").alias("original_chars"), F.col("compressed_chars").cast("long").alias("compressed_chars"))
+
+
+def word_dropping(spark, sf):
+    """Words scored by their length, a third of them kept."""
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    keep = kernels.column(lambda t: kernels.drop_words(t, lambda words: [float(len(w)) for w in words], target_ratio=1 / 3), T.StringType())
+    return b.select("item_id", F.md5(keep("text")).alias("digest"))
+
+
 QUERY_FUNCTIONS = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_batch, rag_chunks, list_documents, replace_document, rag_context, cosine_topk, hybrid_topk, grep_lines, ledger_totals, ledger_daily, ledger_breakdowns, ledger_prune, output_effect, late_output_tokens,
-        token_estimate, type_counts, log_code_rules, code_language, compress_corpus, log_triage, json_csv_schema, json_shrink, code_compress, prose_compress, dedupe_lines, invisible_clean, mixed_script, align_messages,
-        shape_last_user, compress_messages, ccr_stats, ccr_cleanup, ccr_retrieve, redact_counts, redact_text, policy_check, client_names, rate_limit_log, session_islands, audit_trim, audit_tail, html_main_text, page_links,
-        html_tables, robots, watch_changes, bfs_depth, training_pairs, training_augmented, training_split, prompt_text, label_words, fact_retention, model_fit_rank,
+        bm25_topk, bm25_batch, rag_chunks, list_documents, replace_document, rag_context, cosine_topk, hybrid_topk, search_fallback, grep_lines, ledger_totals, ledger_daily, ledger_breakdowns, ledger_prune, output_effect, late_output_tokens, dashboard,
+        token_estimate, type_counts, log_code_rules, code_language, compress_corpus, savings_measure, log_triage, json_csv_schema, json_shrink, code_compress, prose_compress, word_dropping, dedupe_lines, invisible_clean, invisible_scan, invisible_overhead, mixed_script,
+        align_messages, shape_last_user, compress_messages, compress_chat_requests, compress_block_requests, instruction_cost, completion_tokens, holdout_arms, ccr_stats, ccr_cleanup, ccr_retrieve, store_info, conversation_titles, recent_conversations,
+        redact_counts, redact_text, redact_payload, policy_check, client_names, rate_limit_log, limiter_stats, limiter_reset, session_islands, audit_trim, audit_tail, purge_expired, encryption_round_trip, html_main_text, page_plain_text, page_links, html_tables, robots,
+        watch_changes, bfs_depth, json_in_text, training_pairs, training_augmented, training_formatted, training_split, synth_sentences, token_accuracy, prompt_text, label_words, label_drop_rate, fact_retention, model_fit_rank,
     )
 } | {f"ledger_by_{d}": _by(d) for d in ("tool", "provider", "model")}

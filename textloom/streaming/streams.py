@@ -21,17 +21,25 @@ def daily_savings(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def rate_limited(events: DataFrame, limit: int = 60, window: float = 60.0) -> DataFrame:
-    """Verdicts on a stream of ``client, event_id, ts``; a client's state is its accepted times of one window."""
+    """Verdicts on a stream of ``client, event_id, ts``; a client's state is its accepted times of one window.
+
+    State that a client hasn't used for twice the window, by the cluster's
+    clock, is dropped: it could no longer reject anything that comes in time.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         log = SlidingLog(limit, window, state.get[0] if state.exists else ())
         verdicts = [log.check(t) for t in pdf["ts"]]
         state.update((log.taken,))
+        state.setTimeoutDuration(max(1000, int(2000 * window)))
         yield pd.DataFrame({"client": pdf["client"].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "allowed": [v[0] for v in verdicts], "retry_after": [v[1] for v in verdicts]})
 
     rows = events.select(F.coalesce(F.col("client").cast("string"), F.lit("")).alias("client"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").cast("double").alias("ts"))
-    return rows.groupBy("client").applyInPandasWithState(run, VERDICT, "taken array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("client").applyInPandasWithState(run, VERDICT, "taken array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sessions(events: DataFrame, timeout_minutes: int = 60, late: str = "1 hour") -> DataFrame:
@@ -44,20 +52,27 @@ def sessions(events: DataFrame, timeout_minutes: int = 60, late: str = "1 hour")
 CHANGE = "url string, digest string, status string"
 
 
-def page_changes(fetched: DataFrame) -> DataFrame:
-    """``url, digest, status`` of a stream of ``url, fetched_at, content``; a url's state is its last digest."""
+def page_changes(fetched: DataFrame, forget_days: float = 400) -> DataFrame:
+    """``url, digest, status`` of a stream of ``url, fetched_at, content``; a url's state is its last digest.
+
+    A url that isn't fetched for ``forget_days`` is forgotten, and its next page is a baseline.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(parts)).sort_values("fetched_at")
         last, status = state.get[0] if state.exists else None, []
         for digest in pdf["digest"]:
             status.append("baseline" if last is None else "same" if digest == last else "changed")
             last = digest
         state.update((last,))
+        state.setTimeoutDuration(int(forget_days * 86_400_000))
         yield pd.DataFrame({"url": key[0], "digest": pdf["digest"].to_numpy(), "status": status})
 
     rows = fetched.select("url", F.col("fetched_at").cast("timestamp").alias("fetched_at"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
-    return rows.groupBy("url").applyInPandasWithState(run, CHANGE, "digest string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("url").applyInPandasWithState(run, CHANGE, "digest string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def live_totals(events: DataFrame) -> DataFrame:
