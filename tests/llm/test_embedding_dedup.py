@@ -40,7 +40,10 @@ def test_against_all_pairs(spark):
     assert answer(near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.4)) == want
 
 
-def test_large_cells(spark):
+def test_large_cells(spark, monkeypatch):
+    from textloom.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "TILE", 200)  # several tiles that meet
     rng = np.random.default_rng(1)
     centre = rng.normal(size=16)
     rows = [(i, [float(x) for x in centre + 0.25 * rng.normal(size=16)], i % 2) for i in range(1500)]
@@ -55,6 +58,31 @@ def test_bounds_drop_no_pair():
     assert {*zip(i.tolist(), j.tolist(), strict=True)} >= {*zip(*(k.tolist() for k in np.nonzero(x @ x.T >= 0.8)), strict=True)}
 
 
+def test_repeated_ids_copies_and_doubles(spark):
+    """Rows with one vec_id are one node with each row's links; null ids link with nothing."""
+    rows = [(1, [1.0, 0.0], 0)] * 3 + [(2, [1.0, 0.1], 0), (2, [0.0, 1.0], 0), (3, [0.1, 1.0], 0), (None, [1.0, 0.0], 0), (4, [-1.0, 0.0], 0)]
+    for kind in ("float", "double"):
+        got = near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()
+        assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (1, 3, 1), (1, 3, 1), (1, 3, 1), (2, 1, 1), (2, 3, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_threshold_is_met_exactly_by_tiles(spark):
+    """Planted pairs on both sides of the threshold, in many dimensions."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(150):
+        x = rng.normal(size=64)
+        x /= np.linalg.norm(x)
+        y = rng.normal(size=64)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        c = 0.93 + rng.uniform(-0.02, 0.02)
+        rows += [(2 * k, x.tolist(), k % 3), (2 * k + 1, (c * x + np.sqrt(1 - c * c) * y).tolist(), k % 3)]
+    want = brute(rows)
+    assert 40 < sum(n for n, _, _ in want.values()) / 2 < 110
+    assert answer(near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))) == want
+
+
 def test_cases(spark):
     schema = "vec_id long, embedding array<float>, label int, unit string, node int"
     rows = [

@@ -23,9 +23,10 @@ def test_limits_and_tiling():
     for s in out:
         total = sum(x[2] for x in s)
         assert 0 < total <= 64 and len(s) <= 5 and sum(p.loss_of(x) for x in s) <= 40
-        assert total == 64 or total & (total - 1) == 0
         for n, start, length in s:
             seen[n].append((start, length))
+    short = [s for s in out if sum(x[2] for x in s) < 64]
+    assert all(len(s) == 5 or sum(p.loss_of(x) for x in s) == 40 for s in short[:-1])  # closed by another limit
     for n in size:
         at = 0
         for start, length in sorted(seen[n]):
@@ -58,7 +59,9 @@ def test_query(spark, sf_tables):
         for r in sorted(pieces, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at == 4096 or at < 4096 and at & (at - 1) == 0
+        assert 0 < at <= 4096
+    # one short sequence in all, however many tasks there are
+    assert sum(sum(r.length for r in pieces) < 4096 for pieces in by_seq.values()) == 1
 
 
 def test_heads_and_loss_limit(spark):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from textloom.llm import toxicity as tx
@@ -44,6 +45,38 @@ def test_learned_terms_and_copies(spark):
     assert all((r.toxicity.score >= 0.5) == bool(r.toxic) for r in both)
 
 
+@pytest.mark.parametrize("text, words", [("ídiot ÏDÏÖT", " idiot idiot "), ("you i d i o t !", " you idiot "), ("vitamins a b c", " vitamins a b c ")])
+def test_fold_accents_and_spelling(text, words):
+    assert tx.fold(text) == words
+
+
+def test_automaton_against_plain_search():
+    """Every term, its weight and the exceptions, by looking each up at every place."""
+    rng = random.Random(11)
+    for _ in range(60):
+        word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))
+        weights = {t: rng.randrange(1, 9) / 2 for w in {word() for _ in range(6)} for t in rng.sample(tx.terms_of(w), 1)}
+        exceptions = tuple({f"{word()} {word()}" for _ in range(3)})
+        text = " ".join(word() for _ in range(rng.randrange(80)))
+        folded, best = tx.fold(text), {}
+        for term, w in weights.items():
+            for at in range(len(folded)):
+                if folded.startswith(term, at):
+                    best[at] = max(w, best.get(at, 0.0))
+        for phrase in exceptions:
+            p = f" {phrase} "
+            for lo in range(len(folded)):
+                if folded.startswith(p, lo):
+                    best = {at: w for at, w in best.items() if not lo <= at < lo + len(p) - 1}
+        got = tx.Lexicon(weights, exceptions).features(text)
+        assert got[2] == len(best) and abs(np.expm1(got[0]) - sum(best.values())) < 1e-9
+
+
+def test_very_long_text():
+    lexicon = tx.Lexicon({" idiot ": 3.0})
+    assert lexicon.features("kind words " * 500_000 + "idiot")[2] == 1
+
+
 @pytest.mark.parametrize("text, words", [("a$$hole $cum", " asshole cum scum "), ("@$$hole, @idiot", " hole asshole idiot aidiot "), ("costs $5 or 5$", " costs 5 or 5 ")])
 def test_fold_signs(text, words):
     assert tx.fold(text) == words

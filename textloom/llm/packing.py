@@ -9,8 +9,10 @@ token limit are cut off first and fill sequences of their own.
 
 Each input partition is packed by itself in one pass, with a pool of some
 thousand examples in memory: no shuffle, and no example needs another task.
-A sequence that stays short of the limit is cut at powers of two, largest
-first: such sequences need no padding, so nothing is padded at all.
+What a task can't fill in the end, less than a sequence or so, goes with its
+token ids to a second, small packing step over all tasks' rests, so that about
+one sequence in ``REST_TOKENS`` tokens of rests is short.  A sequence that the
+limits of segments or loss close early stays whole; short ones are padded.
 
 Cases: a null text counts as empty and is its end id alone; null and repeated
 doc_ids are packed like others, row by row; an empty table gives no pieces;
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices, table
+from textloom.llm.common import slices, table, written
 from textloom.llm.word_tokens import encoder, public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +41,11 @@ BATCH_ROWS = 3000
 POOL = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, loss_tokens long"
 
+#: Tokens of rests that one task of the second step takes.
+REST_TOKENS = 4_000_000
+#: A rest has its token ids, and the number of the document's tokens without loss, instead of a sequence.
+RESTS = f"{PIECES}, head long, ids binary"
+
 #: (example, start, length) of a piece.
 Piece = tuple[int, int, int]
 
@@ -99,51 +106,49 @@ class VectorPacker:
                     item[best] = (n, start + part, length - part)
                     need[best] = (length - part, 1, self.loss_of(item[best]))
                 break
-            yield from self.at_powers(sequence)
+            yield sequence
         self.pool = [p for p, on in zip(item, alive.tolist(), strict=True) if on]
 
-    def at_powers(self, sequence: list[Piece]) -> Iterator[list[Piece]]:
-        """A full sequence as it is; a shorter one cut at powers of two."""
-        total = sum(p[2] for p in sequence)
-        if total == self.limit[0]:
-            yield sequence
-            return
-        rest = list(reversed(sequence))
-        while total:
-            size = 1 << (total.bit_length() - 1)
-            total, out = total - size, []
-            while size:
-                n, start, length = rest.pop()
-                part = min(size, length)
-                out.append((n, start, part))
-                size -= part
-                if part < length:
-                    rest.append((n, start + part, length - part))
-            yield out
 
+_NAMES = [x.split()[0] for x in RESTS.split(", ")]
 
-def _pack(path: str, end_id: int, limits: tuple[int, int, int]):
-    names = [x.split()[0] for x in PIECES.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(path), VectorPacker(*limits)
-        base, made, seen = TaskContext.get().partitionId() << 36, 0, 0
-        held: dict[int, tuple[int | None, np.ndarray]] = {}
-
-        def rows(sequences: list[list[Piece]]) -> pa.RecordBatch:
-            nonlocal made
-            out = []
-            for sequence in sequences:
-                at, total = 0, sum(p[2] for p in sequence)
-                for p in sequence:
-                    n, start, length = p
-                    doc_id, ids = held[n]
-                    out.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), len(ids), base | made, at, total, packer.loss_of(p)))
-                    at += length
-                made += 1
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+class _Writer:
+    """Rows of sequences, and of rests, for examples ``(doc_id, first token's place, ids, document's tokens, head)`` by number."""
+
+    def __init__(self, packer: VectorPacker, base: int):
+        self.packer, self.base, self.made, self.held = packer, base, 0, {}
+
+    def add(self, n: int, doc_id: int | None, begin: int, ids: np.ndarray, total: int, head: int) -> list[list[Piece]]:
+        self.held[n] = doc_id, begin, ids, total, head
+        return self.packer.add(n, len(ids), max(0, head - begin))
+
+    def rows(self, sequences: list[list[Piece]], rests: list[list[Piece]] = ()) -> pa.RecordBatch:
+        out = []
+        for sequence in sequences:
+            at, total = 0, sum(p[2] for p in sequence)
+            for p in sequence:
+                n, start, length = p
+                doc_id, begin, ids, whole, _ = self.held[n]
+                out.append((doc_id, begin + start, length, zlib.crc32(ids[start : start + length]), whole, self.base | self.made, at, total, self.packer.loss_of(p), None, None))
+                at += length
+            self.made += 1
+        for n, start, length in (p for sequence in rests for p in sequence):
+            doc_id, begin, ids, whole, head = self.held[n]
+            out.append((doc_id, begin + start, length, None, whole, None, None, None, None, head, ids[start : start + length].tobytes()))
+        columns = list(zip(*out, strict=True)) or [[]] * len(_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "ids" else pa.int64()) for name, c in zip(_NAMES, columns, strict=True)], _NAMES)
+
+    def forget(self) -> None:
+        """Keeps what waits, copied, so that its batch can go."""
+        own = {p[0] for p in self.packer.pool}
+        self.held = {n: (h[0], h[1], h[2].copy(), *h[3:]) for n, h in self.held.items() if n in own}
+        self.packer.head = {n: self.packer.head[n] for n in own}
+
 
+def _pack(path: str, end_id: int, limits: tuple[int, int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, out, seen = encoder(path), _Writer(VectorPacker(*limits), TaskContext.get().partitionId() << 36), 0
         for b in slices(batches, BATCH_ROWS):
             flat, counts = enc.encode(b.column("text"))
             ends = np.cumsum(counts)
@@ -151,15 +156,31 @@ def _pack(path: str, end_id: int, limits: tuple[int, int, int]):
             cuts = np.concatenate([[0], ends + np.arange(1, len(counts) + 1)]).tolist()
             done: list[list[Piece]] = []
             for k, (doc_id, head) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("head").to_pylist(), strict=True)):
-                held[seen] = doc_id, ids[cuts[k] : cuts[k + 1]]
-                done += packer.add(seen, cuts[k + 1] - cuts[k], head)
+                own = ids[cuts[k] : cuts[k + 1]]
+                done += out.add(seen, doc_id, 0, own, len(own), head)
+                seen += 1
+            done += out.packer.pack(POOL)
+            yield out.rows(done)
+            out.forget()
+        last = list(out.packer.pack())
+        short = [s for s in last if sum(p[2] for p in s) < limits[0]]
+        yield out.rows([s for s in last if s not in short], short)
+
+    return run
+
+
+def _repack(limits: tuple[int, int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, seen = _Writer(VectorPacker(*limits), 1 << 62 | TaskContext.get().partitionId() << 36), 0
+        for b in slices(batches, BATCH_ROWS):
+            done = []
+            for doc_id, start, ids, total, head in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens", "head")), strict=True):
+                done += out.add(seen, doc_id, start, np.frombuffer(ids, "<u4"), total, head)
                 seen += 1
-            done += packer.pack(POOL)
-            yield rows(done)
-            # what waits is copied, so that its batch can go
-            held = {n: (held[n][0], held[n][1].copy()) for n in {p[0] for p in packer.pool}}
-            packer.head = {n: packer.head[n] for n in held}
-        yield rows(list(packer.pack()))
+            done += out.packer.pack(POOL)
+            yield out.rows(done)
+            out.forget()
+        yield out.rows(list(out.packer.pack()))
 
     return run
 
@@ -173,7 +194,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, max_tokens:
     """
     heads = F.greatest(F.lit(1), F.col(head).cast("long")) if head else F.lit(1).cast("long")  # a null counts as 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", heads.alias("head"))
-    return rows.mapInArrow(_pack(tokenizer_path, end_id, (max_tokens, max_segments, max_loss)), PIECES)
+    limits = max_tokens, max_segments, max_loss
+    first = written(rows.mapInArrow(_pack(tokenizer_path, end_id, limits), RESTS))
+    rests = first.where("ids is not null")
+    parts = -(-(rests.agg(F.sum("length")).first()[0] or 1) // REST_TOKENS)
+    again = rests.coalesce(parts).mapInArrow(_repack(limits), RESTS)
+    return first.where("ids is null").unionByName(again).drop("head", "ids")
 
 
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.bpe_transducer import op10_bpe_transducer
 from textloom.llm.embedding_dedup import op5_pca_tiles
+from textloom.llm.embedding_dedup import oracle as vector_sql
 from textloom.llm.html_wrapper import op1_wrapper_inference
 from textloom.llm.huffman_store import op3_huffman_store
 from textloom.llm.license_scan import op6_license_join
 from textloom.llm.license_scan import oracle as license_sql
 from textloom.llm.near_dedup import op2_minhash_forest
+from textloom.llm.near_dedup import oracle as near_sql
 from textloom.llm.packing import op8_vector_packing
 from textloom.llm.quality_classifier import op7_factorisation_machine
 from textloom.llm.quality_rules import op4_robust_outliers
@@ -35,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_join": license_sql()}
+    return {"op2_minhash_forest": near_sql(), "op5_pca_tiles": vector_sql(), "op6_license_join": license_sql()}

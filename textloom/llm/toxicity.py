@@ -1,8 +1,8 @@
 """Operator 9: toxicity by a weighted lexicon and Aho-Corasick.
 
-Method: texts are folded (compatibility forms, homoglyphs of other scripts,
-invisible characters, digits that stand for letters, case), reduced to words
-with one space between, and scanned once for all terms by an Aho-Corasick
+Method: texts are folded (compatibility forms, accents, homoglyphs of other scripts,
+invisible characters, digits and signs that stand for letters, words spelt letter
+by letter, case), reduced to words with one space between, and scanned once for all terms by an Aho-Corasick
 automaton.  A term is a word or the beginning of a word.  Matches inside an
 exception phrase don't count.  The sum of weights and its share of the text's
 length go through a logistic curve.
@@ -68,16 +68,20 @@ _INSIDE = re.compile(r"[0134578]+(?=[a-z])|(?<=[a-z])[0134578]+|(?<=[a-z])[@$]+(
 #: Signs before a word are letters of it or none (@name, $cum): both readings are kept.
 _BEFORE = re.compile(r"(?<![^\W_])([@$]+)([a-z][^\W_]*)")
 _GAPS = re.compile(r"[\W_]+")
+#: Accents and other marks on letters.
+_MARKS = re.compile("[\u0300-\u036f]+")
+#: A word spelt letter by letter.
+_SPELT = re.compile(r"(?<= )[a-z](?: [a-z]){3,}(?= )")
 
 
 def fold(text: str) -> str:
     """Words of a text as the lexicon spells them, with a space before and after each."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).lower().translate(_FOLD)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text).lower()).translate(_FOLD)
     text = _INSIDE.sub(lambda m: m.group().translate(_DIGITS), text.lower())
     if "@" in text or "$" in text:
         text = _BEFORE.sub(lambda m: f"{m[2]} {m[1].translate(_DIGITS)}{m[2]}", text)
-    return f" {_GAPS.sub(' ', text).strip()} "
+    return _SPELT.sub(lambda m: m.group().replace(" ", ""), f" {_GAPS.sub(' ', text).strip()} ")
 
 
 def terms_of(word: str) -> list[str]:
