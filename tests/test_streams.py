@@ -30,6 +30,30 @@ def test_rate_limit(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
 
 
+def in_batches(spark, frames, schema, tmp_path, make, name):
+    """What a stream gives that meets each frame in a batch of its own."""
+    for k, rows in enumerate(frames):
+        frame = spark.createDataFrame(rows, schema)
+        frame.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src/{k}")
+    kinds = spark.read.parquet(f"{tmp_path}/src/0").schema
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/src")
+    return drained(make(stream), name)
+
+
+def test_state_is_carried_between_batches_and_dropped(spark, tmp_path):
+    frames = [[("a", 1, "2024-01-01 00:00:00")], [("a", 2, "2024-01-01 00:00:30")], [("a", 3, "2024-01-01 00:00:40"), ("b", 4, "2024-01-03 00:00:00")], [("b", 5, "2024-01-03 00:00:01")], [("b", 6, "2024-01-03 00:00:02")]]
+    got = in_batches(spark, frames, "client string, event_id long, ts string", tmp_path, lambda s: streams.rate_limited(s, 2, 60), "carried")
+    # the third of a client within a minute is rejected, though it comes in another batch
+    assert {r.event_id: r.allowed for r in got.collect()} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False}
+
+
+def test_page_changes_between_batches(spark, tmp_path):
+    frames = [[("u", "2024-01-01 00:00:00", "x")], [("u", "2024-01-02 00:00:00", "x"), ("v", "2024-01-02 00:00:00", "y")], [("u", "2024-01-03 00:00:00", "z")]]
+    make = lambda s: streams.page_changes(s.select("url", F.col("ts").alias("fetched_at"), "content"))
+    got = in_batches(spark, frames, "url string, ts string, content string", tmp_path, make, "pages_carried")
+    assert sorted((r.url, r.status) for r in got.collect()) == [("u", "baseline"), ("u", "changed"), ("u", "same"), ("v", "baseline")]
+
+
 def test_daily(spark, tmp_path):
     value = F.floor("value").cast("long")
     rows = events(spark).select("ts", value.alias("before"), value.alias("after"), F.lit(1).cast("long").alias("saved"))

@@ -20,11 +20,11 @@ def daily_savings(events: DataFrame, late: str = "1 day") -> DataFrame:
     return out.select(F.to_date("window.start").alias("day"), "tokens_before", "tokens_after", "tokens_saved", "requests")
 
 
-def rate_limited(events: DataFrame, limit: int = 60, window: float = 60.0) -> DataFrame:
+def rate_limited(events: DataFrame, limit: int = 60, window: float = 60.0, late: str = "1 hour") -> DataFrame:
     """Verdicts on a stream of ``client, event_id, ts``; a client's state is its accepted times of one window.
 
-    State that a client hasn't used for twice the window, by the cluster's
-    clock, is dropped: it could no longer reject anything that comes in time.
+    Rows later than ``late`` are left out.  Once the watermark is a window past
+    a client's last row, its state is dropped: it could reject nothing any more.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,11 +35,12 @@ def rate_limited(events: DataFrame, limit: int = 60, window: float = 60.0) -> Da
         log = SlidingLog(limit, window, state.get[0] if state.exists else ())
         verdicts = [log.check(t) for t in pdf["ts"]]
         state.update((log.taken,))
-        state.setTimeoutDuration(max(1000, int(2000 * window)))
+        state.setTimeoutTimestamp(max(int(1000 * (pdf["ts"].max() + window)), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"client": pdf["client"].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "allowed": [v[0] for v in verdicts], "retry_after": [v[1] for v in verdicts]})
 
-    rows = events.select(F.coalesce(F.col("client").cast("string"), F.lit("")).alias("client"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").cast("double").alias("ts"))
-    return rows.groupBy("client").applyInPandasWithState(run, VERDICT, "taken array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select(F.coalesce(F.col("client").cast("string"), F.lit("")).alias("client"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("at"))
+    rows = rows.withWatermark("at", late).withColumn("ts", F.col("at").cast("double"))
+    return rows.groupBy("client").applyInPandasWithState(run, VERDICT, "taken array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(events: DataFrame, timeout_minutes: int = 60, late: str = "1 hour") -> DataFrame:
@@ -52,10 +53,11 @@ def sessions(events: DataFrame, timeout_minutes: int = 60, late: str = "1 hour")
 CHANGE = "url string, digest string, status string"
 
 
-def page_changes(fetched: DataFrame, forget_days: float = 400) -> DataFrame:
+def page_changes(fetched: DataFrame, forget_days: float = 400, late: str = "30 days") -> DataFrame:
     """``url, digest, status`` of a stream of ``url, fetched_at, content``; a url's state is its last digest.
 
-    A url that isn't fetched for ``forget_days`` is forgotten, and its next page is a baseline.
+    Fetches later than ``late`` are left out.  A url that isn't fetched for
+    ``forget_days`` is forgotten, and its next page is a baseline.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,11 +70,12 @@ def page_changes(fetched: DataFrame, forget_days: float = 400) -> DataFrame:
             status.append("baseline" if last is None else "same" if digest == last else "changed")
             last = digest
         state.update((last,))
-        state.setTimeoutDuration(int(forget_days * 86_400_000))
+        last_ms = pdf["fetched_at"].max().timestamp() * 1000
+        state.setTimeoutTimestamp(max(int(last_ms + forget_days * 86_400_000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"url": key[0], "digest": pdf["digest"].to_numpy(), "status": status})
 
-    rows = fetched.select("url", F.col("fetched_at").cast("timestamp").alias("fetched_at"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
-    return rows.groupBy("url").applyInPandasWithState(run, CHANGE, "digest string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = fetched.select("url", F.col("fetched_at").cast("timestamp").alias("fetched_at"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest")).withWatermark("fetched_at", late)
+    return rows.groupBy("url").applyInPandasWithState(run, CHANGE, "digest string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_totals(events: DataFrame) -> DataFrame:
