@@ -85,9 +85,14 @@ def test_one_pass_for_each_text(spark):
 
 
 def test_types_agree_with_expressions(spark):
+    from textloom.functions.text import is_code, is_logs
+
     texts = ["", " ", "[1, 2]", '{"a": ', "x = 1;\n}\n", "def f():\n  pass", "```py\nx```", "\n".join(f"2024-01-0{k} 10:00:00 INFO x" for k in range(1, 9)), "word\n" * 8, "INFO a\n" * 4 + "b\n" * 90, "const a\nlet b", "make: x\n" * 9]
     df = frame(spark, [(t,) for t in texts], "text string")
-    assert [(r.text, r.type) for r in compress.with_type(df).collect()] == [(t, kernels.detect(t)) for t in texts]
+    rows = df.select("text", kernels.json_parses("text").alias("j"), is_logs(F.col("text")).alias("l"), is_code(F.col("text")).alias("c")).collect()
+    by_rules = ["json" if r.j else "logs" if r.l else "code" if r.c else "text" for r in rows]
+    assert by_rules == [kernels.detect(t) for t in texts] == [r.type for r in compress.with_type(df).collect()]
+    assert {"json", "logs", "code", "text"} == set(by_rules)
 
 
 def test_clean_agrees_with_expressions(spark):

@@ -421,6 +421,20 @@ def cleaned(text: str, is_code: bool = False, strip_nbsp: bool = False) -> tuple
     return (_NBSP.sub(" ", out) if strip_nbsp else out), hidden, bidi, smuggled, nbsp
 
 
+CLEANED = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("invisible", "bidi", "smuggled", "nbsp"))])
+
+
+def cleaning(is_code: bool = False, strip_nbsp: bool = False):
+    """A column function with the clean text and the counts; null gives null."""
+    kind = pa.struct([(f.name, pa.string() if f.dataType == T.StringType() else pa.int64()) for f in CLEANED])
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [None if t is None else dict(zip(CLEANED.names, cleaned(t, is_code, strip_nbsp), strict=True)) for t in texts.to_pylist()]
+        return pa.array(rows, kind)
+
+    return F.arrow_udf(run, CLEANED)
+
+
 KERNELS = {"json": compress_json, "logs": compress_logs, "code": compress_code, "text": compress_prose}
 
 

@@ -25,7 +25,7 @@ def tokens(x: Column) -> Column:
 
 def words(x: Column) -> Column:
     """Lower-case runs of two or more ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
 
 
 def chunks(x: Column, target: int = fixed.CHUNK) -> Column:

@@ -6,21 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import fixed, kernels
-from textloom.functions.text import is_code, is_logs, strip, tokens, without_volatile
+from textloom.functions.text import strip, tokens, without_volatile
 from textloom.operators.training import draw
 from textloom.sources.files import load_rows, save_rows
 
 
 def with_type(blocks: DataFrame) -> DataFrame:
-    """``blocks(text)`` with ``type``: json before logs before code before text.
+    """``blocks(text)`` with ``type``: json before logs before code before text; a null text counts as empty.
 
-    Only texts that begin like JSON are sent to the parser.
+    One pass of a function on batches: the rules as expressions (``is_logs``,
+    ``is_code``) look at each line once for each pattern.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    candidate = F.when(strip(text).rlike(r"^[\[{]"), text)
-    rows = blocks.withColumn("__json", F.coalesce(kernels.json_parses(candidate), F.lit(False)))
-    kind = F.when(F.col("__json"), "json").when(is_logs(text), "logs").when(is_code(text), "code").otherwise("text")
-    return rows.withColumn("type", kind).drop("__json")
+    return blocks.withColumn("type", kernels.types(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def compress_blocks(blocks: DataFrame, force: Column | None = None, strip_nbsp: bool = False) -> DataFrame:

@@ -260,7 +260,7 @@ def dedupe_lines(spark, sf):
 
 
 def invisible_clean(spark, sf):
-    rows = hidden_docs(spark, sf).select("doc_id", invisible(F.col("text"), strip_nbsp=True).alias("x"))
+    rows = hidden_docs(spark, sf).select("doc_id", kernels.cleaning(strip_nbsp=True)("text").alias("x"))
     return rows.select("doc_id", F.md5("x.text").alias("digest"), "x.invisible", "x.bidi", "x.smuggled", "x.nbsp")
 
 
