@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,13 @@ from textloom.functions import fixed, kernels
 from textloom.functions.text import java, strip
 
 
+def _rewritten(x: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    return reduce(lambda c, rule: F.regexp_replace(c, *rule), rules, x)
+
+
 def main_text(page: Column) -> Column:
     """Without the elements that hold no text, with a line for each block; blank runs closed up."""
-    x = F.regexp_replace(page, rf"(?is)<({fixed.DROPPED})\b[^>]*>.*?</\1>", " ")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"(?i)<br\s*/?>", "\n")
-    x = F.regexp_replace(x, rf"(?i)</({fixed.LINE_ENDS})>", "\n")
-    x = kernels.unescaped(F.regexp_replace(x, r"<[^>]+>", " "))
-    x = F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r" *\n *", "\n")
-    return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    return strip(_rewritten(kernels.unescaped(_rewritten(page, fixed.MAIN_TEXT_RULES)), fixed.SPACE_RULES))
 
 
 def page_kind(content_type: Column, path: Column, body: Column) -> Column:
