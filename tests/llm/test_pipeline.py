@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from textloom.llm import near_dedup, quality_rules, toxicity
 from textloom.llm.common import table
@@ -33,3 +35,26 @@ def test_empty(spark, sf_tables):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     sf = sf_tables(documents=([], schema), labels=([], "doc_id long, quality int, toxic int"))
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_cases_and_clashing_columns(spark, sf_tables):
+    """Nulls, empties, repeated rows and ids, and columns named as the stages name theirs."""
+    rng = random.Random(4)
+    prose = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 8))) for _ in range(60)) + "."
+    texts = [prose() for _ in range(40)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    rows += [rows[3]] * 3 + [(5, texts[6], "en", "s"), (None, texts[7], None, None), (None, None, "en", "s"), (50, "", "en", None), (51, None, None, "s"), (52, texts[9] + " you idiot moron scum stupid idiot moron", "en", "s")]
+    more = ["rules", "toxicity", "own_id", "least_row", "by_source", "model", "Kept", "h", "u"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in more)
+    sf = sf_tables(documents=([(*r, len(r[1] or ""), *(f"{c}{k}" for c in more)) for k, r in enumerate(rows)], schema), labels=([], "doc_id long, quality int, toxic int"))
+    docs = first = table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, sf)
+        docs.write.parquet(f"{sf}/{name}")
+        docs = spark.read.parquet(f"{sf}/{name}")
+        assert docs.columns == first.columns and docs.exceptAll(before).count() == 0, name
+    kept = docs.collect()
+    assert sorted(r.doc_id for r in kept) == sorted({*range(40)} - {6})  # 5 and 6 are one, null ids join their texts' classes, 52 is toxic
+    again = {name: {tuple(r) for r in spark.read.parquet(f"{sf}/{name}").collect()} for name, _ in corpus_pipeline.STAGES[:-1]}
+    assert len(again["near_dedup"]) == len(kept) < len(again["toxicity"])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == {r.doc_id for r in kept}
