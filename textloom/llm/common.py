@@ -131,6 +131,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def placed(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """``df`` as a written table with each row's place, from 0, in the order of the columns ``order``, nulls first.
+
+    Rows are dealt by range and sorted within their range, so no task meets
+    more than its part, however many rows share a key; a range's first place is
+    the number of rows before it, and one number a range comes to the driver.
+    Rows equal in all of ``order`` take the places between them in any order,
+    which stays as written.
+    """
+    at = fresh(df, "__at")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = written(rows.withColumn(at, F.monotonically_increasing_id()))  # the range above bit 33, the row in it below
+    part = F.shiftright(at, 33)
+    counts = dict(rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = np.cumsum([0, *(counts.get(k, 0) for k in range(max(counts, default=0)))]).tolist()
+    first = F.get(F.lit(before).cast("array<long>"), part.cast("int"))
+    return rows.withColumn(name, first + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at)
+
+
 # --- joins ------------------------------------------------------------------
 
 

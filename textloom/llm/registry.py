@@ -11,6 +11,8 @@ from textloom.llm.embedding_dedup import op5_pca_tiles
 from textloom.llm.embedding_dedup import oracle as vector_sql
 from textloom.llm.html_wrapper import op1_wrapper_inference
 from textloom.llm.huffman_store import op3_huffman_store
+from textloom.llm.lexical_search import op11_lexical_search
+from textloom.llm.lexical_search import oracle as lexical_sql
 from textloom.llm.license_scan import op6_license_join
 from textloom.llm.license_scan import oracle as license_sql
 from textloom.llm.near_dedup import op2_minhash_forest
@@ -33,8 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_packing": op8_vector_packing,
         "op9_lexicon_toxicity": op9_lexicon_toxicity,
         "op10_bpe_transducer": op10_bpe_transducer,
+        "op11_lexical_search": op11_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_forest": near_sql(), "op5_pca_tiles": vector_sql(), "op6_license_join": license_sql()}
+    return {"op2_minhash_forest": near_sql(), "op5_pca_tiles": vector_sql(), "op6_license_join": license_sql(), "op11_lexical_search": lexical_sql()}
