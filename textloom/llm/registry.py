@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.bpe_transducer import op10_bpe_transducer
+from textloom.llm.chat_windows import op13_chat_windows
 from textloom.llm.embedding_dedup import op5_pca_tiles
 from textloom.llm.embedding_dedup import oracle as vector_sql
 from textloom.llm.html_wrapper import op1_wrapper_inference
@@ -15,6 +16,8 @@ from textloom.llm.lexical_search import op11_lexical_search
 from textloom.llm.lexical_search import oracle as lexical_sql
 from textloom.llm.license_scan import op6_license_join
 from textloom.llm.license_scan import oracle as license_sql
+from textloom.llm.merkle_manifest import op12_merkle_manifest
+from textloom.llm.merkle_manifest import oracle as merkle_sql
 from textloom.llm.near_dedup import op2_minhash_forest
 from textloom.llm.near_dedup import oracle as near_sql
 from textloom.llm.packing import op8_vector_packing
@@ -36,8 +39,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lexicon_toxicity": op9_lexicon_toxicity,
         "op10_bpe_transducer": op10_bpe_transducer,
         "op11_lexical_search": op11_lexical_search,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_chat_windows": op13_chat_windows,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_forest": near_sql(), "op5_pca_tiles": vector_sql(), "op6_license_join": license_sql(), "op11_lexical_search": lexical_sql()}
+    return {"op2_minhash_forest": near_sql(), "op5_pca_tiles": vector_sql(), "op6_license_join": license_sql(), "op11_lexical_search": lexical_sql(), "op12_merkle_manifest": merkle_sql()}
