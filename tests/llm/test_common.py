@@ -1,10 +1,13 @@
+import os
+import threading
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from public_tokenizers import path as public
 
 from textloom.llm import common
-from textloom.llm.common import connected, discard, fresh, joined_by, shared_dir, sliced, slices, tables_made, written
+from textloom.llm.common import connected, discard, finished, fresh, job, joined_by, placed, sliced, slices, written
 from textloom.llm.word_tokens import WordEncoder
 
 
@@ -43,15 +46,58 @@ def test_hot_keys_are_joined_alike(spark):
 
 
 def test_tables_are_discarded(spark):
-    mark = tables_made()
-    df = written(spark.range(5))
-    path = df.inputFiles()[0]
-    assert df.count() == 5
-    discard(spark, mark)
-    assert tables_made() == mark
-    with pytest.raises(Exception):
-        spark.read.parquet(path).count()
-    assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    with job() as own:
+        kept = written(spark.range(3))
+        path = own[-1]
+        with job() as inner:
+            written(spark.range(4))
+            assert len(inner) == 1
+        assert len(own) == 2
+        discard(spark, own, (path,))
+        assert own == [path] and kept.count() == 3
+        discard(spark, own)
+    assert not own and not os.path.exists(path.removeprefix("file://"))
+
+
+def test_a_thread_leaves_others_tables(spark):
+    """A table written by another thread between a job's begin and its end stays."""
+    begun, made = threading.Barrier(2), {}
+
+    def other():
+        begun.wait(60)
+        with job():
+            made["df"] = written(spark.range(7))
+        begun.wait(60)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with job() as own:
+        written(spark.range(2))
+        begun.wait(60)
+        begun.wait(60)
+        discard(spark, own)
+    thread.join()
+    assert made["df"].count() == 7
+
+
+def test_a_finished_query_leaves_its_result_alone(spark):
+    made = []
+
+    @finished
+    def query(spark, sf):
+        first = written(spark.range(5))
+        made.extend(first.inputFiles())
+        return first.where("id > 1")
+
+    assert query(spark, "").count() == 3 and made and not any(os.path.exists(f.removeprefix("file://")) for f in made)
+
+
+def test_places(spark):
+    rows = [(i * 7919 % 1000, None if i % 50 == 0 else f"v{i % 3}") for i in range(1000)] + [(5, "v0")] * 300 + [(None, "v1")]
+    got = placed(spark.createDataFrame(rows, "n long, s string"), "s", "n").orderBy("place").collect()
+    key = lambda r: (r[1] is not None, r[1] or "", r[0] is not None, r[0] or 0)
+    assert [r.place for r in got] == list(range(1301)) and [(r.n, r.s) for r in got] == sorted(rows, key=key)
+    assert placed(spark.createDataFrame([], "n long"), "n").collect() == []
 
 
 def test_fresh(spark):

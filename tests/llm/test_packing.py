@@ -81,3 +81,12 @@ def test_heads_and_loss_limit(spark):
 
 def test_empty_table(spark, sf_tables):
     assert packing.op8_vector_packing(spark, sf_tables(documents=([], "doc_id long, text string"))).collect() == []
+
+
+def test_rests_are_read_by_all_tasks(spark, sf_tables):
+    """Rests are dealt anew, so the scan of the pieces isn't one task's."""
+    sf = sf_tables(documents=([(i, "some words " * i) for i in range(40)], "doc_id long, text string"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(8)
+    got = packing.pack(docs, public(packing.TOKENIZER))
+    assert "Coalesce" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() >= 40

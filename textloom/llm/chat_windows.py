@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import shared_dir, slices, table, written
+from textloom.llm.common import finished, shared_dir, slices, table, written
 from textloom.llm.word_tokens import public_path
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -278,6 +278,7 @@ def read_back(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+@finished
 def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, as read back from their windows."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +86,44 @@ def sliced(fn: Callable[..., pa.Array], rows: int = SLICE_ROWS) -> Callable[...,
 
 # --- tables of a job --------------------------------------------------------
 
-_made: list[str] = []
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def job() -> Iterator[list[str]]:
+    """The paths of the tables that this thread writes inside; they go to the job around this one at its end.
+
+    Each thread has jobs of its own, so none deletes what another has written.
+    """
+    outer, own = _tables.get(), []
+    token = _tables.set(own)
+    try:
+        yield own
+    finally:
+        _tables.reset(token)
+        if outer is not None:
+            outer += own
+
+
+def discard(spark: SparkSession, own: list[str], keep: tuple[str, ...] = ()) -> None:
+    """Deletes a job's tables but those to ``keep``; call it once the results that read them are stored."""
+    for path in [p for p in own if p not in keep]:
+        own.remove(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def finished(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result stored, and all other tables that it has written deleted."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with job() as own:
+            result = written(query(spark, sf_dir))
+            discard(spark, own, (own[-1],))
+        return result
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,7 +139,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "/tmp/checkpoints/textloom"
     path = f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
-    _made.append(path)
+    own = _tables.get()
+    if own is not None:
+        own.append(path)
     return path
 
 
@@ -110,19 +152,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tables_made() -> int:
-    """How many tables this driver has written; a mark for ``discard``."""
-    return len(_made)
-
-
-def discard(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the tables written after the mark ``since``; call it once the results that read them are stored."""
-    for path in [p for p in _made[since:] if p not in keep]:
-        _made.remove(path)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}
@@ -227,14 +256,22 @@ def connected(edges: DataFrame) -> DataFrame:
     written to the shared folder, and the round before deleted.  No edges give
     no rows.
     """
+    with job() as own:
+        e = _contracted(edges, own)
+    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return nodes.unionByName(roots)
+
+
+def _contracted(edges: DataFrame, own: list[str]) -> DataFrame:
+    """``u, v``: each node that isn't the smallest of its component, with that smallest one."""
     spark = edges.sparkSession
-    mark = tables_made()
     e = written(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct())
     total = e.count()
     while total:
         parts = -(-total // STAR_EDGES)
         e = written(e.coalesce(parts).mapInArrow(_stars, "u long, v long"))
-        discard(spark, mark, (_made[-1],))
+        discard(spark, own, (own[-1],))
         if parts == 1:
             break
         ends = e.select("u", F.lit(1).alias("as_leaf"), F.lit(0).alias("as_root")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("as_leaf"), F.lit(1).alias("as_root")))
@@ -247,9 +284,7 @@ def connected(edges: DataFrame) -> DataFrame:
         small = _least(large, total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = written(small.where("u <> v").distinct())
         total = e.count()
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionByName(roots)
+    return e
 
 
 # --- labels -----------------------------------------------------------------

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import LOWER, UPPER, placed, shared_dir, slices, table, written
+from textloom.llm.common import LOWER, UPPER, finished, placed, shared_dir, slices, table, written
 
 #: A term is a maximal run of ASCII letters and digits and of all characters beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -201,6 +201,7 @@ def search(spark: SparkSession, path: str, items: DataFrame, k: int = 10) -> Dat
     return rows.join(asked.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
 
 
+@finished
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each benchmark item, from an index of all documents."""
     path = shared_dir(spark)

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import placed, table, written
+from textloom.llm.common import finished, placed, table, written
 
 #: Children of a node.
 FANOUT = 2
@@ -145,6 +145,7 @@ def manifest(rows: DataFrame, tree: str, order: str, fanout: int = FANOUT) -> tu
     return out, starts.join(tops, "tree").select(F.col("__name").alias(tree), "tree", "subroot").orderBy("tree").drop("tree")
 
 
+@finished
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's leaf, subroot, root and proof, and the root that its proof gives for a row that may have been tampered with."""
     docs = table(spark, sf_dir, "documents").select(*FIELDS)

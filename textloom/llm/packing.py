@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices, table, written
+from textloom.llm.common import finished, slices, table, written
 from textloom.llm.word_tokens import encoder, public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -198,9 +198,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, max_tokens:
     first = written(rows.mapInArrow(_pack(tokenizer_path, end_id, limits), RESTS))
     rests = first.where("ids is not null")
     parts = -(-(rests.agg(F.sum("length")).first()[0] or 1) // REST_TOKENS)
-    again = rests.coalesce(parts).mapInArrow(_repack(limits), RESTS)
+    again = rests.repartition(parts).mapInArrow(_repack(limits), RESTS)
     return first.where("ids is null").unionByName(again).drop("head", "ids")
 
 
+@finished
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_path(TOKENIZER))
