@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import near_dedup, packing, quality_rules, toxicity
-from textloom.llm.common import bounded_batches, discard, shared_dir, table, tables_made
+from textloom.llm.common import bounded_batches, discard, job, shared_dir, table
 from textloom.llm.word_tokens import public_path
 
 
@@ -49,12 +49,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all stages in turn; tables that a stage no longer needs are deleted once it is stored."""
     docs = table(spark, sf_dir, "documents")
-    mark = tables_made()
-    for _, stage in STAGES:
-        path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        discard(spark, mark, (path,))
+    with job() as own:
+        for _, stage in STAGES:
+            path = shared_dir(spark)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            discard(spark, own, (path,))
     return docs
 
 
