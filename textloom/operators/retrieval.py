@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import fixed
 from textloom.functions.text import chunks, cosine, strip, words
-from textloom.sources.files import load_rows
+from textloom.sources import versions
 
 #: Chunk frequencies of query terms are joined by broadcast up to this number of rows.
 BROADCAST_TERMS = 100_000
@@ -102,28 +102,39 @@ def search(chunked: DataFrame, query: str, vector: list[float] | None = None, k:
     return hybrid_topk(chunked.withColumn("embedding", F.when(F.size("embedding") == len(vector), F.col("embedding"))), query, vector, k)
 
 
+CHUNKS = "doc_id bigint, chunk_no int, text string"
+
+
 def save_chunks(docs: DataFrame, path: str, parts: int = 64) -> None:
     """Chunks of ``docs(doc_id, text)`` put into the store below ``path`` in place of what it had under their ids.
 
-    The store is cut into ``parts`` by id; only parts that hold one of the ids
-    are written again.
+    The store is cut by id; only parts that hold one of the ids are written
+    again.  A null text leaves nothing under its id.  The store changes at once,
+    when all is written (``versions``).
     """
     spark = docs.sparkSession
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
-    new = chunk_table(docs).withColumn("part", part)
-    old = load_rows(spark, path, CHUNKS)
-    touched = docs.select(part.alias("part")).distinct()
-    kept = delete_documents(old.join(F.broadcast(touched), "part", "left_semi"), docs)  # at most ``parts`` rows
-    rows = kept.unionByName(new.select(kept.columns))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}.new")
-    spark.read.schema(CHUNKS).parquet(f"{path}.new").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    parts = versions.current(spark, path)[2] or parts
+    part = versions.part_of("doc_id", parts)
+    touched = [r.part for r in docs.select(part.alias("part")).distinct().collect()]  # parts at most
+    kept = delete_documents(versions.load(spark, path, "chunks", CHUNKS, touched), docs)
+    rows = kept.unionByName(chunk_table(docs).select(kept.columns)).withColumn("part", part)
+    versions.save(spark, path, {"chunks": rows}, touched, parts)
+
+
+def drop_chunks(ids: DataFrame, path: str) -> None:
+    """Takes the documents ``ids(doc_id)`` out of the store."""
+    save_chunks(ids.select("doc_id", F.lit(None).cast("string").alias("text")), path)
 
 
-CHUNKS = "doc_id bigint, chunk_no int, text string, part int"
+def clear_chunks(spark: SparkSession, path: str) -> None:
+    """A new version without any document."""
+    _, folders, parts = versions.current(spark, path)
+    if parts is not None:
+        versions.save(spark, path, {"chunks": spark.createDataFrame([], f"{CHUNKS}, part int")}, folders, parts)
 
 
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return load_rows(spark, path, CHUNKS).drop("part")
+    return versions.load(spark, path, "chunks", CHUNKS)
 
 
 def list_documents(chunked: DataFrame) -> DataFrame:

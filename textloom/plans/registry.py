@@ -1,4 +1,4 @@
-"""Queries of the library's own operators and their DuckDB SQL."""
+"""All queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans.oracles import SQL
-from textloom.plans.queries import QUERY_FUNCTIONS
+from textloom.plans import index_queries, oracles
+from textloom.plans import queries as q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERY_FUNCTIONS)
+    return {**q.QUERY_FUNCTIONS, **index_queries.QUERY_FUNCTIONS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    both = {**oracles.SQL, **index_queries.SQL}
+    return both | {"hybrid_indexed": both["hybrid_topk"], "cosine_indexed": both["cosine_topk"]}
