@@ -75,5 +75,5 @@ def test_recall_on_the_whole_table(spark, tmp_path):
     found = []
     for r in df.where("vec_id % 100 = 7").limit(20).collect():
         ask = [float(v) for v in r.embedding]
-        found.append(vi.recall(vi.search(df, f"{tmp_path}/e", ask, 10, probes=40), retrieval.cosine_topk(df, ask, 10)))
+        found.append(vi.recall(vi.search(df, f"{tmp_path}/e", ask, 10, probes=48), retrieval.cosine_topk(df, ask, 10)))
     assert np.mean(found) >= 0.95

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import postings, retrieval, vector_index
+from textloom.functions import kernels
+from textloom.operators import dropping, postings, retrieval, training, vector_index
 from textloom.plans.oracles import BM25, CHUNKS, ONE
 from textloom.plans.queries import QUERY, _first_vector, table
 from textloom.sources.versions import scratch
@@ -89,11 +90,30 @@ def cosine_indexed(spark, sf):
 
 
 def cosine_probed(spark, sf):
-    """40 of 64 lists: the table's vectors lie in no clusters, so fewer find less than 0.95 of the best ten."""
-    rows = vector_index.search(table(spark, sf, "embeddings"), _vectors_index(spark, sf), _first_vector(spark, sf), 10, probes=40)
+    """48 of 64 lists: the table's vectors lie in no clusters, so fewer find less than 0.95 of the best ten."""
+    rows = vector_index.search(table(spark, sf, "embeddings"), _vectors_index(spark, sf), _first_vector(spark, sf), 10, probes=48)
     return rows.select("vec_id", F.round("score", 6).alias("score"))
 
 
+def word_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, original, compressed, held_out``: messages with phrases and fillers around them, and what the rules for prose make of them."""
+    c = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
+    wordy = F.concat(F.lit("Basically, in order to read this, it is able to wait. "), "text", F.lit(" As you know, due to the fact that it is very long, it is really important to note that we stop."))
+    return c.select("doc_id", wordy.alias("original"), (F.crc32("doc_id") % 5 == 0).alias("held_out")).withColumn("compressed", kernels.prose_compressed("original"))
+
+
+def word_dropping_learned(spark, sf):
+    """Labels of all messages by weights that four fifths of them have taught."""
+    pairs = word_pairs(spark, sf)
+    path = scratch(spark, "labelled")
+    training.label_words(pairs).join(pairs.select("doc_id", "held_out"), "doc_id").write.parquet(path)
+    rows = spark.read.parquet(path)
+    out = dropping.predicted(rows, dropping.fit(rows.where("NOT held_out")))
+    ones = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    right = F.size(F.filter(F.arrays_zip("labels", "predicted"), lambda x: x["labels"] == x["predicted"])).cast("long")
+    return out.select("doc_id", "held_out", F.size("words").cast("long").alias("n_words"), ones("labels").alias("n_kept"), ones("predicted").alias("n_predicted"), right.alias("n_right"))
+
+
 _ALTERED = "altered AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'the erthat of ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1),"
 _TOP = "SELECT doc_id, chunk_no, round(score, 4) AS score FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id, chunk_no LIMIT 10)"
 
@@ -102,7 +122,7 @@ def _in(text: str) -> str:
     return text.replace("FROM documents", "FROM altered")
 
 
-QUERY_FUNCTIONS = {f.__name__: f for f in (bm25_indexed, hybrid_indexed, index_updated, stored_chunks, cosine_indexed, cosine_probed)}
+QUERY_FUNCTIONS = {f.__name__: f for f in (bm25_indexed, hybrid_indexed, index_updated, stored_chunks, cosine_indexed, cosine_probed, word_dropping_learned)}
 SQL = {
     "bm25_indexed": f"{ONE} {BM25} {_TOP}",
     "index_updated": f"{ONE} {_ALTERED} {_in(BM25)} {_TOP}",
