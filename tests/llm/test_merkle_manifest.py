@@ -80,9 +80,10 @@ def test_few_rows(spark, sf_tables, docs):
 
 def test_wider_fanout_and_subroots(spark):
     docs = some(150)
-    rows = spark.createDataFrame([(d[0], d[2], leaf(*d)) for d in docs], "doc_id long, lang string, leaf string")
+    rows = spark.createDataFrame([(d[0], d[2], bytes.fromhex(leaf(*d))) for d in docs], "doc_id long, lang string, hash binary")
     out, subroots = mm.manifest(rows, "lang", "doc_id", fanout=5)
-    got = out.select("doc_id", "leaf", "subroot", "root", mm.proof("path").alias("p"), mm.folded(mm.F.col("leaf"), mm.F.col("path")).alias("f"))
+    found = (mm.F.col("hash"), mm.F.col("subroot"), mm.F.col("root"), mm.proof(mm.F.col("path")), mm.folded(mm.F.col("hash"), mm.F.col("path")))
+    got = out.select("row.doc_id", *(mm.hexed(x).alias(f"c{k}") for k, x in enumerate(found)))
     want = expected(docs, 5)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(((*r[:5], r[3]) for r in want), key=repr)
     langs = [r.lang for r in subroots.collect()]

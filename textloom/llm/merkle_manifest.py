@@ -26,24 +26,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import finished, placed, table, written
+from textloom.llm.common import discard, finished, job, placed, table, written
 
 #: Children of a node.
 FANOUT = 2
 #: Nodes of a level up to which it stays in one task.
 SMALL = 10_000
-#: Parents whose proofs are sent to all tasks (some 3 kB each at most).
-BROADCAST_PARENTS = 20_000
+#: Parents whose proofs are sent to all tasks (some 2 kB each at most): so few that it takes as many shuffles a row at every size.
+BROADCAST_PARENTS = 2_000
 #: Trees whose places are sent to all tasks.
 BROADCAST_TREES = 100_000
 #: The fields of a leaf, in order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
-PATH = "array<struct<left:string,right:string>>"
+PATH = "array<struct<left:binary,right:binary>>"
+
+
+def hexed(x: Column) -> Column:
+    return F.lower(F.hex(x))
 
 
 def digest(x: Column) -> Column:
-    return F.sha2(x.cast("binary"), 256)
+    """Digests are kept as 32 bytes, and hashed as hex text."""
+    return F.unhex(F.sha2(x.cast("binary"), 256))
 
 
 def leaf(fields: list[Column]) -> Column:
@@ -58,14 +63,17 @@ def leaf(fields: list[Column]) -> Column:
 
 @dataclass
 class Level:
-    """``runs(tree, up, size, kids)``: the children of each node above, and how many nodes the tree has below it."""
+    """``runs(tree, up, size, kids)``: the children of each node above, and how many nodes the level above has."""
 
     runs: DataFrame
     parents: int
 
 
 def levels(nodes: DataFrame, fanout: int = FANOUT) -> tuple[list[Level], DataFrame]:
-    """The levels above ``nodes(tree, idx, size, hash)`` until each tree has one node, and ``(tree, hash, height)`` of those."""
+    """The levels above ``nodes(tree, idx, size, hash, row)`` until each tree has one node, and ``(tree, hash, height)`` of those.
+
+    What a lowest node stands for is its ``row``, which stays beside it.
+    """
     found: list[Level] = []
     total = nodes.count()
     roots = nodes.where("size = 1").select("tree", "hash", F.lit(0).alias("height"))
@@ -73,76 +81,80 @@ def levels(nodes: DataFrame, fanout: int = FANOUT) -> tuple[list[Level], DataFra
         rows = nodes.where("size > 1")
         if total <= SMALL:
             rows = rows.coalesce(1)  # so few that their shuffle costs more
-        kids = F.array_sort(F.collect_list(F.struct("idx", "hash")))
-        up = F.floor(F.col("idx") / fanout) if fanout != 2 else F.shiftright("idx", 1)
-        runs = written(rows.groupBy("tree", up.cast("long").alias("up"), F.ceil(F.col("size") / fanout).cast("long").alias("size")).agg(kids.alias("kids")))
+        kids = F.array_sort(F.collect_list(F.struct("idx", "hash", *(["row"] if not found else []))))
+        up = F.floor(F.col("idx") / fanout).cast("long") if fanout != 2 else F.shiftright("idx", 1)
+        runs = written(rows.groupBy("tree", up.alias("up"), F.ceil(F.col("size") / fanout).cast("long").alias("size")).agg(kids.alias("kids")))
         parents = runs.count()
         if not parents:
             return found, roots
         found.append(Level(runs, parents))
-        nodes = runs.select("tree", F.col("up").alias("idx"), "size", digest(F.array_join(F.transform("kids", lambda k: k["hash"]), "")).alias("hash"))
+        nodes = runs.select("tree", F.col("up").alias("idx"), "size", digest(F.array_join(F.transform("kids", lambda k: hexed(k["hash"])), "")).alias("hash"))
         roots = roots.unionByName(nodes.where("size = 1").select("tree", "hash", F.lit(len(found)).alias("height")))
         total = parents
 
 
 def _siblings(kids: Column, place: Column) -> Column:
     """The digests before and after the child at ``place`` (from 0)."""
-    joined = lambda x: F.array_join(F.transform(x, lambda k: k["hash"]), "")
+    joined = lambda x: F.aggregate(x, F.unhex(F.lit("")), lambda a, k: F.concat(a, k["hash"]))
     return F.struct(joined(F.slice(kids, 1, place)).alias("left"), joined(F.slice(kids, place + 2, F.size(kids))).alias("right"))
 
 
-def paths(found: list[Level], tops: DataFrame) -> DataFrame:
-    """``(tree, idx, path)`` of the lowest nodes: the siblings of each level from below, and then ``tops(tree, height, path)``."""
-    top = lambda height: tops.where(F.col("height") == height).select("tree", F.lit(0).cast("long").alias("idx"), "path")
-    above = top(len(found))
-    for height in range(len(found) - 1, -1, -1):
-        level = found[height]
-        place = F.posexplode(F.transform("kids", lambda k: k["idx"])).alias("place", "idx")
-        kids = level.runs.select("tree", "up", "kids", place).select("tree", "up", "idx", _siblings(F.col("kids"), F.col("place")).alias("own"))
-        parents = above.select("tree", F.col("idx").alias("up"), "path")
-        if level.parents <= SMALL:
-            kids = kids.coalesce(1)
-        if level.parents <= BROADCAST_PARENTS:
-            parents = F.broadcast(parents)
-        rows = kids.join(parents, ["tree", "up"]).select("tree", "idx", F.concat(F.array("own"), "path").cast(PATH).alias("path"))
-        above = written(rows.unionByName(top(height)))
-    return above
+def paths(nodes: DataFrame, found: list[Level], tops: DataFrame) -> DataFrame:
+    """``(tree, row, hash, path)`` of the lowest ``nodes``: the siblings of each level from below, and then ``tops(tree, height, path)``."""
+    spark = nodes.sparkSession
+    first = F.lit(0).cast("long").alias("idx")
+    top = lambda height: tops.where(F.col("height") == height)
+    above = top(len(found)).select("tree", first, "path")
+    with job() as own:
+        for height in range(len(found) - 1, -1, -1):
+            level = found[height]
+            kids = level.runs.select("tree", "up", "kids", F.posexplode("kids").alias("place", "kid"))
+            kids = kids.select("tree", "up", "kid", _siblings(F.col("kids"), F.col("place")).alias("own"))
+            parents = above.select("tree", F.col("idx").alias("up"), "path")
+            if level.parents <= BROADCAST_PARENTS:
+                kids, parents = kids.coalesce(1), F.broadcast(parents)
+            rows = kids.join(parents, ["tree", "up"])
+            path = F.concat(F.array("own"), "path").cast(PATH).alias("path")
+            if height:
+                above = written(rows.select("tree", "kid.idx", path).unionByName(top(height).select("tree", first, "path")))
+                discard(spark, own, (own[-1],))
+    alone = nodes.where("size = 1").join(top(0).select("tree", "path"), "tree").select("tree", "row", "hash", "path")
+    return rows.select("tree", "kid.row", "kid.hash", path).unionByName(alone) if found else alone
 
 
 def proof(path: Column) -> Column:
     """Digest of all siblings of a path, from the leaf to the root."""
-    return digest(F.array_join(F.transform(path, lambda s: F.concat(s["left"], s["right"])), ""))
+    return digest(F.array_join(F.transform(path, lambda s: F.concat(hexed(s["left"]), hexed(s["right"]))), ""))
 
 
 def folded(start: Column, path: Column) -> Column:
     """The root that a leaf and its siblings give."""
-    return F.aggregate(path, start, lambda below, s: digest(F.concat(s["left"], below, s["right"])))
+    return F.aggregate(path, start, lambda below, s: digest(F.concat(hexed(s["left"]), hexed(below), hexed(s["right"]))))
 
 
 def manifest(rows: DataFrame, tree: str, order: str, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (with ``leaf``) with ``subroot``, ``root`` and ``path``, and ``(tree's name, subroot)`` in order.
+    """``row, hash, subroot, root, path`` of ``rows`` (with ``hash``), and ``(tree's name, subroot)`` in order.
 
     Each value of the column ``tree`` is a tree, its leaves in the order of the
     column ``order``.  A tree is known by the place of its first row.
     """
-    at = placed(rows, tree, order, "leaf", name="__place")
+    at = placed(rows, tree, order, "hash", name="__place")
     starts = written(at.groupBy(F.col(tree).alias("__name")).agg(F.min("__place").alias("tree"), F.count("*").alias("size")))
     n_trees = starts.count()
     side = F.broadcast(starts) if n_trees <= BROADCAST_TREES else starts
-    at = written(at.join(side, F.col(tree).eqNullSafe(F.col("__name"))).withColumn("idx", F.col("__place") - F.col("tree")).drop("__name", "__place"))
-    found, roots = levels(at.select("tree", "idx", "size", F.col("leaf").alias("hash")), fanout)
+    nodes = at.join(side, F.col(tree).eqNullSafe(F.col("__name"))).select("tree", (F.col("__place") - F.col("tree")).alias("idx"), "size", "hash", F.struct(*rows.columns).alias("row"))
+    found, roots = levels(nodes, fanout)
     roots = written(roots)
     # the subroots are a tree too, of one name
-    tops = placed(roots.withColumnRenamed("tree", "lang_tree"), "lang_tree", name="idx")
-    above, last = levels(tops.select(F.lit(0).cast("long").alias("tree"), "idx", F.lit(n_trees).cast("long").alias("size"), "hash"), fanout)
-    root = last.first()["hash"] if n_trees else ""
-    none = last.select("tree", "height", F.array().cast(PATH).alias("path"))
-    up = paths(above, none) if above else none.select("tree", F.lit(0).cast("long").alias("idx"), "path")
-    tops = written(tops.join(up.select("idx", "path"), "idx").select(F.col("lang_tree").alias("tree"), "height", "path", F.col("hash").alias("subroot")))
-    low = paths(found, tops.select("tree", "height", "path"))
-    few = F.broadcast(tops.select("tree", "subroot")) if n_trees <= BROADCAST_TREES else tops.select("tree", "subroot")
-    out = at.join(low, ["tree", "idx"]).join(few, "tree").withColumn("root", F.lit(root)).drop("tree", "idx", "size")
-    return out, starts.join(tops, "tree").select(F.col("__name").alias(tree), "tree", "subroot").orderBy("tree").drop("tree")
+    tops = placed(roots, "tree", name="idx")
+    above, last = levels(one := tops.select(F.lit(0).cast("long").alias("tree"), "idx", F.lit(n_trees).cast("long").alias("size"), "hash", F.struct("tree", "height").alias("row")), fanout)
+    root = last.first()["hash"] if n_trees else b""
+    up = paths(one, above, last.select("tree", "height", F.array().cast(PATH).alias("path")))
+    tops = written(up.select("row.tree", "row.height", "path", F.col("hash").alias("subroot")))
+    few = tops.select("tree", "subroot")
+    low = paths(nodes, found, tops.select("tree", "height", "path"))
+    out = low.join(F.broadcast(few) if n_trees <= BROADCAST_TREES else few, "tree").drop("tree").withColumn("root", F.lit(bytes(root)))
+    return out, starts.join(few, "tree").orderBy("tree").select(F.col("__name").alias(tree), hexed(F.col("subroot")).alias("subroot"))
 
 
 @finished
@@ -152,10 +164,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {c: F.col(c) for c in FIELDS}
     touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     changed = F.when(touched, leaf([*(fields | {"n_chars": F.col("n_chars") + 1}).values()]))
-    rows = docs.select("doc_id", "lang", leaf([*fields.values()]).alias("leaf"), changed.alias("changed"))
+    rows = docs.select("doc_id", "lang", leaf([*fields.values()]).alias("hash"), changed.alias("changed"))
     out, _ = manifest(rows, "lang", "doc_id")
-    again = folded(F.coalesce("changed", "leaf"), F.col("path"))
-    out = out.select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), again.alias("folded_root"))
+    again = folded(F.coalesce("row.changed", "hash"), F.col("path"))
+    found = {"leaf": F.col("hash"), "subroot": F.col("subroot"), "root": F.col("root"), "proof_sha256": proof(F.col("path")), "folded_root": again}
+    out = out.select("row.doc_id", *(hexed(x).alias(name) for name, x in found.items()))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
