@@ -125,3 +125,45 @@ def test_a_failed_save_changes_nothing(spark, tmp_path, monkeypatch):
     # a manifest that was never committed
     (tmp_path / "c" / "manifests" / "2").mkdir()
     assert stored(spark, path) == [(1, "one"), (2, "two")]
+
+
+# --- substrings -------------------------------------------------------------------
+
+
+def test_substrings_are_those_of_a_scan(spark, tmp_path, monkeypatch):
+    from textloom.operators import text_index
+
+    rng = random.Random(7)
+    parts = ["alpha ", "Beta\n", "GAMMA é ", "日本語 ", "δelta\n", "x", "yz ", "needle "]
+    rows = [(i, "".join(rng.choices(parts[:-1], k=rng.randrange(60))) + ("Hay NeeDle\nstack" if i % 97 == 5 else "")) for i in range(400)] + [(900, None), (901, ""), (902, "İstanbul ΣΑΣ\n" * 300)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    path = f"{tmp_path}/s"
+    text_index.build(docs, path, 400)
+    total = spark.read.parquet(f"{path}/filters").count()
+    assert total > 20 and spark.read.parquet(f"{path}/texts").count() == len(rows)
+    for query in ("needle", "NEEDLE", "é", "日本", "yz alpha", "x", "σας", "i̇stanbul", "nowhere at all", "", "a\nb"):
+        want = [tuple(r) for r in retrieval.grep(docs, query, 10_000).collect()]
+        assert [tuple(r) for r in text_index.search(spark, path, query, 10_000).collect()] == want, query
+    few = text_index.blocks(spark, path, "needle").count()
+    assert 0 < few < total / 4 and text_index.blocks(spark, path, "nowhere at all").count() < total / 20
+    monkeypatch.setattr(text_index, "LISTED_BLOCKS", 1)
+    assert text_index.search(spark, path, "needle", 100).count() == retrieval.grep(docs, "needle", 100).count() > 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_filters_never_deny(seed):
+    import numpy as np
+
+    from textloom.operators import text_index
+
+    rng = np.random.default_rng(seed)
+    texts = [bytes(rng.integers(97, 110, rng.integers(0, 200)).astype(np.uint8)) for _ in range(30)]
+    n_bits, bits = text_index.block_filter(texts)
+    for t in texts:
+        for _ in range(20):
+            if len(t) > 3:
+                lo = int(rng.integers(0, len(t) - 3))
+                piece = t[lo : lo + int(rng.integers(3, 12))]
+                assert text_index.may_hold(n_bits, bits, text_index.trigrams(np.frombuffer(piece, np.uint8)))
+    absent = sum(text_index.may_hold(n_bits, bits, text_index.trigrams(rng.integers(0, 90, 4).astype(np.uint8))) for _ in range(1000))
+    assert absent < 10

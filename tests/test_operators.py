@@ -297,3 +297,14 @@ def test_chunks_merge_paragraphs(spark):
 def test_page_kind(spark):
     df = frame(spark, [("text/html", "a", ""), (None, "x.PDF", ""), ("application/vnd.wordprocessingml", "", ""), ("", "y", "<HTML>"), (None, None, None)], "c string, p string, b string")
     assert [r[0] for r in df.select(ingest.page_kind(F.col("c"), F.col("p"), F.col("b"))).collect()] == ["html", "pdf", "docx", "html", "raw"]
+
+
+def test_helper_columns_leave_callers_own(spark):
+    """A caller's columns with the names that operators use inside stay as they are."""
+    df = frame(spark, [(1, 1, "user", "some text", "a", "b", "c", "d")], "conv_id int, turn int, role string, text string, __r string, __digest string, __last string, __draw string")
+    for rows in (compress.compress_blocks(df), compress.align_messages(df), compress.compress_messages(df, keep_cache=True), govern.redacted(df), training.split(df, F.col("conv_id"), least=1)):
+        assert tuple(rows.select("__r", "__digest", "__last", "__draw").first()) == ("a", "b", "c", "d")
+    body = frame(spark, [('{"a": "b"}', "own")], "body string, __r string")
+    assert requests.compress_requests(body).first()["__r"] == requests.redact_payloads(body).first()["__r"] == "own"
+    late = frame(spark, [(1, 0, "own")], "request_id int, output_tokens long, __late string")
+    assert tuple(ledger.fill_output(late, frame(spark, [(1, 5)], "request_id int, output_tokens long")).first()) == (1, 5, "own")

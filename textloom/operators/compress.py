@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import fixed, kernels
+from textloom.functions.names import fresh
 from textloom.functions.text import strip, tokens, without_volatile
 from textloom.operators.training import draw
 from textloom.sources.files import load_rows, save_rows
@@ -27,20 +28,22 @@ def compress_blocks(blocks: DataFrame, force: Column | None = None, strip_nbsp:
     cleans it and compresses it.
     """
     force = F.lit(None).cast("string") if force is None else force
-    rows = blocks.withColumn("__r", kernels.route(strip_nbsp)(F.coalesce(F.col("text"), F.lit("")), force))
-    before, after = tokens(F.col("text")), tokens(F.col("__r.compressed"))
+    r = fresh("__r", blocks)
+    rows = blocks.withColumn(r, kernels.route(strip_nbsp)(F.coalesce(F.col("text"), F.lit("")), force))
+    before, after = tokens(F.col("text")), tokens(F.col(f"{r}.compressed"))
     saved = F.greatest(F.lit(0).cast("long"), before - after)
-    return rows.withColumns({"type": F.col("__r.type"), "compressed": F.col("__r.compressed"), "tokens_before": before, "tokens_after": after, "tokens_saved": saved, "found": F.col("__r").dropFields("type", "compressed")}).drop("__r")
+    return rows.withColumns({"type": F.col(f"{r}.type"), "compressed": F.col(f"{r}.compressed"), "tokens_before": before, "tokens_after": after, "tokens_saved": saved, "found": F.col(r).dropFields("type", "compressed")}).drop(r)
 
 
 def align_messages(messages: DataFrame) -> DataFrame:
     """``messages(conv_id, turn, role, text)`` with ``position``: system messages first, by digest, without what changes from call to call."""
     system = F.coalesce(F.col("role") == "system", F.lit(False))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = messages.withColumn("__digest", F.when(system, F.md5(text)).otherwise("")).withColumn("text", strip(F.when(system, without_volatile(text)).otherwise(text)))
+    digest = fresh("__digest", messages)
+    rows = messages.withColumn(digest, F.when(system, F.md5(text)).otherwise("")).withColumn("text", strip(F.when(system, without_volatile(text)).otherwise(text)))
     rows = rows.where(~system | (F.col("text") != ""))
-    order = Window.partitionBy("conv_id").orderBy(~system, "__digest", "turn")
-    return rows.withColumn("position", (F.row_number().over(order) - 1).cast("long")).drop("__digest")
+    order = Window.partitionBy("conv_id").orderBy(~system, digest, "turn")
+    return rows.withColumn("position", (F.row_number().over(order) - 1).cast("long")).drop(digest)
 
 
 def compress_messages(messages: DataFrame, keep_cache: bool = False, system_too: bool = False) -> DataFrame:
@@ -48,17 +51,17 @@ def compress_messages(messages: DataFrame, keep_cache: bool = False, system_too:
     able = F.length("text") >= fixed.MIN_BLOCK
     if not system_too:
         able = able & (F.coalesce(F.col("role"), F.lit("")) != "system")
-    rows = messages
+    rows, r, last = messages, fresh("__r", messages), fresh("__last", messages)
     if keep_cache:
-        rows = rows.withColumn("__last", F.max("turn").over(Window.partitionBy("conv_id")))
-        able = able & (F.col("turn") == F.col("__last"))
+        rows = rows.withColumn(last, F.max("turn").over(Window.partitionBy("conv_id")))
+        able = able & (F.col("turn") == F.col(last))
     rows = rows.withColumn("touched", F.coalesce(able, F.lit(False)))
-    rows = rows.withColumn("__r", kernels.route()(F.when(F.col("touched"), F.col("text")), F.lit(None).cast("string")))
-    before, after = tokens(F.col("text")), tokens(F.col("__r.compressed"))
+    rows = rows.withColumn(r, kernels.route()(F.when(F.col("touched"), F.col("text")), F.lit(None).cast("string")))
+    before, after = tokens(F.col("text")), tokens(F.col(f"{r}.compressed"))
     zero = F.lit(0).cast("long")
     numbers = {"tokens_before": before, "tokens_after": after, "tokens_saved": F.greatest(zero, before - after)}
     columns = {c: F.when(F.col("touched"), v).otherwise(zero) for c, v in numbers.items()}
-    return rows.withColumns({"type": F.col("__r.type"), "compressed": F.coalesce("__r.compressed", "text"), **columns}).drop("__r", "__last")
+    return rows.withColumns({"type": F.col(f"{r}.type"), "compressed": F.coalesce(f"{r}.compressed", "text"), **columns}).drop(r, last)
 
 
 def savings_measure(compressed: DataFrame, name: str = "kind") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import kernels
+from textloom.functions.names import fresh
 from textloom.functions.text import java
 from textloom.sources.files import save_rows
 
@@ -17,7 +18,8 @@ from textloom.sources.files import save_rows
 def redacted(docs: DataFrame, pii: bool = False) -> DataFrame:
     """``docs(text)`` with secrets replaced and ``counts`` by kind; a null text counts as empty."""
     secret = kernels.redaction(kernels.redacted, pii)(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("__r", secret).withColumns({"text": F.col("__r.text"), "counts": F.col("__r.counts")}).drop("__r")
+    r = fresh("__r", docs)
+    return docs.withColumn(r, secret).withColumns({"text": F.col(f"{r}.text"), "counts": F.col(f"{r}.counts")}).drop(r)
 
 
 def redaction_counts(docs: DataFrame, pii: bool = False) -> DataFrame:
@@ -101,11 +103,12 @@ def limiter_stats(events: DataFrame, now, limit: int = 60, window: float = 60.0)
 
 def limiter_reset(events: DataFrame, resets: DataFrame) -> DataFrame:
     """``events(client, ts)`` without what came before the last of ``resets(client, at)`` of their client; a reset of client null holds for all."""
-    everyone = resets.where("client is null").agg(F.max("at").alias("__all"))
-    own = resets.where("client is not null").groupBy("client").agg(F.max("at").alias("__at"))
+    every, at = fresh("__all", events), fresh("__at", events)
+    everyone = resets.where("client is null").agg(F.max("at").alias(every))
+    own = resets.where("client is not null").groupBy("client").agg(F.max("at").alias(at))
     rows = events.join(own, "client", "left").crossJoin(F.broadcast(everyone))  # one row
-    last = F.greatest(F.coalesce("__at", "__all"), F.coalesce("__all", "__at"))
-    return rows.where(last.isNull() | (F.col("ts").cast("timestamp") >= last)).drop("__at", "__all")
+    last = F.greatest(F.coalesce(at, every), F.coalesce(every, at))
+    return rows.where(last.isNull() | (F.col("ts").cast("timestamp") >= last)).drop(at, every)
 
 
 def encrypted(rows: DataFrame, column: str, key) -> DataFrame:

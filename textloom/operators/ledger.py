@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import fixed
+from textloom.functions.names import fresh
 from textloom.sources import files
 from textloom.sources.files import load_rows
 
@@ -31,8 +32,9 @@ def append(events: DataFrame, path: str) -> None:
 
 def fill_output(ledger: DataFrame, responses: DataFrame, key: str = "request_id") -> DataFrame:
     """Output tokens that arrive later, from ``responses(key, output_tokens)``."""
-    late = responses.groupBy(key).agg(F.max("output_tokens").alias("__late"))
-    return ledger.join(late, key, "left").withColumn("output_tokens", F.coalesce("__late", "output_tokens")).drop("__late")
+    told = fresh("__late", ledger)
+    late = responses.groupBy(key).agg(F.max("output_tokens").alias(told))
+    return ledger.join(late, key, "left").withColumn("output_tokens", F.coalesce(told, "output_tokens")).drop(told)
 
 
 def _sums(*names: str) -> list[Column]:

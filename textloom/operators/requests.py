@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.names import fresh
 from textloom.functions import fixed, kernels
 
 SUMS = ("tokens_before", "tokens_after", "tokens_saved", "blocks")
@@ -29,14 +30,15 @@ def compress_requests(requests: DataFrame, dialect: str = "chat", keep_cache: bo
     """
     if dialect not in ("chat", "blocks"):
         raise ValueError(f"no dialect: {dialect}")
+    r = fresh("__r", requests)
     if enabled:
-        rows = requests.withColumn("__r", _compressor(dialect, keep_cache, system_too)("body"))
+        rows = requests.withColumn(r, _compressor(dialect, keep_cache, system_too)("body"))
     else:
         zero = F.lit(0).cast("long")
-        rows = requests.withColumn("__r", F.struct(F.col("body"), *(zero.alias(c) for c in SUMS)))
-    numbers = {c: F.coalesce(F.col(f"__r.{c}"), F.lit(0)) for c in SUMS}
-    ratio = F.when(F.col("__r.tokens_before") > 0, F.round(F.col("__r.tokens_after") / F.col("__r.tokens_before"), 4)).otherwise(1.0)
-    return rows.withColumns({"body": F.col("__r.body"), **numbers, "ratio": ratio, "compressed": F.coalesce(F.col("__r.blocks") > 0, F.lit(False))}).drop("__r")
+        rows = requests.withColumn(r, F.struct(F.col("body"), *(zero.alias(c) for c in SUMS)))
+    numbers = {c: F.coalesce(F.col(f"{r}.{c}"), F.lit(0)) for c in SUMS}
+    ratio = F.when(F.col(f"{r}.tokens_before") > 0, F.round(F.col(f"{r}.tokens_after") / F.col(f"{r}.tokens_before"), 4)).otherwise(1.0)
+    return rows.withColumns({"body": F.col(f"{r}.body"), **numbers, "ratio": ratio, "compressed": F.coalesce(F.col(f"{r}.blocks") > 0, F.lit(False))}).drop(r)
 
 
 def with_instruction(requests: DataFrame, instruction: str = fixed.INSTRUCTION) -> DataFrame:
@@ -59,5 +61,6 @@ def completion_tokens(answers: DataFrame) -> DataFrame:
 
 def redact_payloads(requests: DataFrame, pii: bool = False) -> DataFrame:
     """``requests(body)`` with every string value of the body redacted, and ``counts`` by kind."""
-    rows = requests.withColumn("__r", kernels.redaction(kernels.redacted_payload, pii)("body"))
-    return rows.withColumns({"body": F.col("__r.text"), "counts": F.col("__r.counts")}).drop("__r")
+    r = fresh("__r", requests)
+    rows = requests.withColumn(r, kernels.redaction(kernels.redacted_payload, pii)("body"))
+    return rows.withColumns({"body": F.col(f"{r}.text"), "counts": F.col(f"{r}.counts")}).drop(r)

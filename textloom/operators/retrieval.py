@@ -87,12 +87,21 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int = 4) -> DataFrame
 
 
 def hybrid_topk(chunked: DataFrame, query: str, vector: list[float], k: int = 4) -> DataFrame:
-    """Half cosine, half BM25, each by its largest value; ``chunked`` has ``embedding``."""
-    rows = bm25_scores(chunked, query).withColumn("cos", F.coalesce(cosine(F.col("embedding"), F.array(*map(F.lit, map(float, vector)))), F.lit(0.0)))
-    top = rows.agg(F.max("cos").alias("top_cos"), F.max("score").alias("top_score"))
-    by = lambda x, top: F.when(F.col(top) > 0, F.col(x) / F.col(top)).otherwise(0.0)
-    rows = rows.crossJoin(F.broadcast(top)).withColumn("score", 0.5 * by("cos", "top_cos") + 0.5 * by("score", "top_score"))
-    return rows.drop("cos", "top_cos", "top_score").where("score > 0").orderBy(F.desc("score"), "doc_id", "chunk_no").limit(k)
+    """Half cosine, half BM25, each by its largest value; ``chunked`` has ``embedding`` and is known by document and chunk.
+
+    Both scores are stored once, in a table without texts, for the largest
+    values and the ranking; texts are read for the ``k`` best only.
+    """
+    cos = F.coalesce(cosine(F.col("embedding"), F.array(*map(F.lit, map(float, vector)))), F.lit(0.0))
+    kinds = "doc_id bigint, chunk_no int, cos double, bm double"
+    spark, path = chunked.sparkSession, versions.scratch(chunked.sparkSession, "scores")
+    bm25_scores(chunked, query).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"), cos.alias("cos"), F.col("score").alias("bm")).write.parquet(path)
+    rows = spark.read.schema(kinds).parquet(path)
+    top = rows.agg(F.max("cos").alias("cos"), F.max("bm").alias("bm")).first()
+    by = lambda x, most: F.col(x) / F.lit(most) if most is not None and most > 0 else F.lit(0.0)
+    best = rows.select("doc_id", "chunk_no", (0.5 * by("cos", top.cos) + 0.5 * by("bm", top.bm)).alias("score"))
+    best = best.where("score > 0").orderBy(F.desc("score"), "doc_id", "chunk_no").limit(k)
+    return chunked.join(F.broadcast(best), ["doc_id", "chunk_no"]).select(*chunked.columns, "score").orderBy(F.desc("score"), "doc_id", "chunk_no")
 
 
 def search(chunked: DataFrame, query: str, vector: list[float] | None = None, k: int = 4) -> DataFrame:

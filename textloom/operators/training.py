@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import fixed
+from textloom.functions.names import fresh
 from textloom.functions.text import java, strip
 
 
@@ -59,7 +60,7 @@ def split(rows: DataFrame, key: Column, share: float = 0.1, seed: int = 42, leas
     ranges of the digest find the one in which the last eval row lies, and only
     that range's rows are ordered.  Rows of the last one's key stay together.
     """
-    name = "__draw"
+    name = fresh("__draw", rows)
     drawn = rows.withColumn(name, F.struct(draw(key, seed).alias("h"), key.alias("k")))
     counts = {r["b"]: r["count"] for r in drawn.groupBy(F.shiftright(f"{name}.h", 20).alias("b")).count().collect()}  # at most 4,096 rows
     n = sum(counts.values())

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import kernels
-from textloom.operators import dropping, postings, retrieval, training, vector_index
-from textloom.plans.oracles import BM25, CHUNKS, ONE
+from textloom.functions.json_paths import json_set, json_unset
+from textloom.operators import dropping, ingest, postings, retrieval, text_index, training, vector_index
+from textloom.plans.oracles import BM25, CHUNKS, MAIN_TEXT, ONE
 from textloom.plans.queries import QUERY, _first_vector, table
 from textloom.sources.versions import scratch
 
@@ -114,6 +115,63 @@ def word_dropping_learned(spark, sf):
     return out.select("doc_id", "held_out", F.size("words").cast("long").alias("n_words"), ones("labels").alias("n_kept"), ones("predicted").alias("n_predicted"), right.alias("n_right"))
 
 
+def grep_indexed(spark, sf):
+    def make() -> str:
+        path = scratch(spark, "substrings")
+        text_index.build(table(spark, sf, "documents"), path)
+        return path
+
+    return text_index.search(spark, built(spark, sf, "substrings", make), "license", 50)
+
+
+def json_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """``event_id, body``: an event's settings: nested, flat, without any, with another value on the way, and no JSON object."""
+    e = table(spark, sf, "events").select("event_id", "props")
+    kind = F.col("event_id") % 5
+    nested = F.concat(F.lit('{"env":{"url":"old","props":'), "props", F.lit('},"n":'), F.col("event_id").cast("string"), F.lit("}"))
+    same = F.lit('{"env":{"url":"new"},"keep":[1,{"x":null}]}')
+    body = F.when(kind == 0, nested).when(kind == 1, same).when(kind == 2, F.col("props")).when(kind == 3, '{"env":"text","z":1}').otherwise("[1, 2]")
+    return e.select("event_id", body.alias("body"))
+
+
+def json_paths(spark, sf):
+    """A value set at a path, and another taken out."""
+    rows = json_documents(spark, sf).select("event_id", json_set(F.col("body"), ("env", "url"), F.lit('"new"')).alias("s"), json_unset(F.col("body"), ("env", "url")).alias("u"))
+    at = lambda c, p: F.get_json_object(c, p)
+    return rows.select(
+        "event_id", F.col("s.changed").alias("set_changed"), at("s.body", "$.env.url").alias("url"), at("s.body", "$.env.props.k").alias("k"), at("s.body", "$.n").alias("n"), at("s.body", "$.z").alias("z"),
+        F.col("u.changed").alias("unset_changed"), at("u.body", "$.env.url").alias("url_left"), at("u.body", "$.env.props.k").alias("k_left"),
+    )
+
+
+#: Places that a page of the made web links to: a number times its own, plus one.
+STEPS = (2, 3, 5)
+
+
+def crawl_pages(spark, sf):
+    """The pages as a web of one host: each links to three others, besides what it links to itself."""
+    p = table(spark, sf, "pages").select("page_id", "html")
+    n = p.agg(F.count("*").alias("n"))
+    own = [F.concat(F.lit('<a href="/p'), ((F.col("page_id") * k + 1) % F.col("n")).cast("string"), F.lit('">x</a>')) for k in STEPS]
+    web = p.crossJoin(F.broadcast(n)).select("page_id", F.concat(F.lit("https://web.example/p"), F.col("page_id").cast("string")).alias("url"), F.concat("html", F.lit("<nav>"), *own, F.lit("</nav>")).alias("html"))
+    got = ingest.crawl(web, "https://web.example/p1#top", 25, 4, ("/p7",))
+    return got.select("url", F.col("depth").cast("long").alias("depth"), F.length("text").cast("long").alias("n_chars"))
+
+
+def watch_round(spark, sf):
+    """A watch for each page, checked twice: every third page has changed by then, every seventh can't be fetched."""
+    p = table(spark, sf, "pages").select(F.col("page_id"), F.concat(F.lit("https://web.example/p"), F.col("page_id").cast("string")).alias("url"), "html")
+    none = spark.createDataFrame([], ingest.WATCH)
+    first = p.select("url", F.timestamp_seconds(F.lit(1000)).alias("fetched_at"), F.col("html").alias("content"))
+    content = F.when(F.col("page_id") % 7 == 0, None).when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    second = p.select("url", F.timestamp_seconds(F.lit(5000)).alias("fetched_at"), content.alias("content"))
+    watches = ingest.watches_added(none, p.select("url", (F.col("page_id") % 3).alias("interval_minutes"), F.lit(None).cast("string").alias("notify_url")))
+    watches, _ = ingest.watches_checked(watches, first)
+    watches, told = ingest.watches_checked(watches, second)
+    rows = watches.join(told.select("id", "status"), "id")
+    return rows.select("url", F.col("interval_minutes").cast("long").alias("interval_minutes"), "status", "last_hash", F.unix_seconds("last_changed").alias("last_changed"))
+
+
 _ALTERED = "altered AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'the erthat of ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1),"
 _TOP = "SELECT doc_id, chunk_no, round(score, 4) AS score FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id, chunk_no LIMIT 10)"
 
@@ -122,8 +180,22 @@ def _in(text: str) -> str:
     return text.replace("FROM documents", "FROM altered")
 
 
-QUERY_FUNCTIONS = {f.__name__: f for f in (bm25_indexed, hybrid_indexed, index_updated, stored_chunks, cosine_indexed, cosine_probed, word_dropping_learned)}
+QUERY_FUNCTIONS = {f.__name__: f for f in (bm25_indexed, hybrid_indexed, index_updated, stored_chunks, cosine_indexed, cosine_probed, word_dropping_learned, grep_indexed, json_paths, crawl_pages, watch_round)}
+_BODY = """CASE event_id % 5 WHEN 0 THEN '{"env":{"url":"old","props":' || props || '},"n":' || event_id || '}' WHEN 1 THEN '{"env":{"url":"new"},"keep":[1,{"x":null}]}' WHEN 2 THEN props WHEN 3 THEN '{"env":"text","z":1}' ELSE '[1, 2]' END"""
+_NEXT = ", ".join(f"{{'position': {i}, 'dst': (page_id * {k} + 1) % n}}" for i, k in enumerate(STEPS))
 SQL = {
+    # a merge with {"env": {"url": ...}} sets what isn't an object on the way, and null takes out
+    "json_paths": f"""WITH b AS (SELECT event_id, {_BODY} AS body FROM events), s AS (SELECT event_id, body, CASE WHEN json_type(body) = 'OBJECT' THEN json_merge_patch(body::JSON, '{{"env":{{"url":"new"}}}}'::JSON)::VARCHAR ELSE body END AS put,
+  CASE WHEN json_extract(body, '$.env.url') IS NOT NULL THEN json_merge_patch(body::JSON, '{{"env":{{"url":null}}}}'::JSON)::VARCHAR ELSE body END AS out FROM b)
+SELECT event_id, json_type(body) = 'OBJECT' AND coalesce(json_extract_string(body, '$.env.url'), '') <> 'new' AS set_changed, json_extract_string(put, '$.env.url') AS url, json_extract_string(put, '$.env.props.k') AS k, json_extract_string(put, '$.n') AS n, json_extract_string(put, '$.z') AS z,
+  json_extract(body, '$.env.url') IS NOT NULL AS unset_changed, json_extract_string(out, '$.env.url') AS url_left, json_extract_string(out, '$.env.props.k') AS k_left FROM s""",
+    "crawl_pages": f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), t AS (SELECT page_id, {MAIN_TEXT} AS text FROM (SELECT page_id, html || '<nav></nav>' AS html FROM pages)),
+e AS (SELECT page_id AS src, x.position AS position, x.dst AS dst FROM (SELECT page_id, unnest([{_NEXT}]) AS x FROM pages, n)),
+w AS (SELECT page_id AS node, 0 AS depth, [0] AS place FROM pages WHERE page_id = 1 UNION ALL SELECT dst, depth + 1, list_append(place, position) FROM w JOIN e ON src = node JOIN pages ON page_id = dst WHERE depth < 4 AND NOT starts_with(dst::VARCHAR, '7')),
+f AS (SELECT node, min({{'depth': depth, 'place': place}}) AS x FROM w GROUP BY node)
+SELECT 'https://web.example/p' || node AS url, x.depth::BIGINT AS depth, length(text)::BIGINT AS n_chars FROM f JOIN t ON page_id = node WHERE length(text) > 50 ORDER BY x.depth, x.place LIMIT 25""",
+    "watch_round": """SELECT 'https://web.example/p' || page_id AS url, greatest(1, page_id % 3)::BIGINT AS interval_minutes, CASE WHEN page_id % 7 = 0 THEN 'failed' WHEN page_id % 3 = 0 THEN 'changed' ELSE 'same' END AS status,
+sha256(CASE WHEN page_id % 7 <> 0 AND page_id % 3 = 0 THEN html || '!' ELSE html END) AS last_hash, CASE WHEN page_id % 7 <> 0 AND page_id % 3 = 0 THEN 5000 END::BIGINT AS last_changed FROM pages""",
     "bm25_indexed": f"{ONE} {BM25} {_TOP}",
     "index_updated": f"{ONE} {_ALTERED} {_in(BM25)} {_TOP}",
     "stored_chunks": f"WITH {_ALTERED} {_in(CHUNKS)} SELECT doc_id, chunk_no, md5(text) AS digest FROM chunks",

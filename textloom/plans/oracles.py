@@ -312,7 +312,7 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS se
     "audit_trim": f"SELECT event_id FROM events WHERE epoch(ts) >= epoch(TIMESTAMP '{NOW}') - 10 * 86400",
     "audit_tail": "SELECT event_id AS line_no, json_extract_string(props, '$.k') AS k FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 100) WHERE event_id % 10 <> 0",
     "html_tables": "SELECT n_regionkey::BIGINT AS page_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row_no, n_nationkey::VARCHAR AS key, n_name AS name FROM nation",
-    "robots": "SELECT page_id AS host, unnest(['/private', '/tmp']) AS path FROM pages",
+    "robots": "SELECT page_id AS host, unnest(['/d' || (page_id % 11), '/p/' || page_id]) AS path FROM pages WHERE page_id % 3 < 2",
     "watch_changes": """WITH v AS (SELECT page_id, v AS version, page_id % 3 > 0 AND v > page_id % 3 + 1 AS changed FROM pages, (SELECT unnest([1, 2, 3]) AS v)), l AS (SELECT *, lag(changed) OVER (PARTITION BY page_id ORDER BY version) AS before FROM v)
 SELECT page_id, (version * 1000)::BIGINT AS at, CASE WHEN before IS NULL THEN 'baseline' WHEN before = changed THEN 'same' ELSE 'changed' END AS status FROM l""",
     "bfs_depth": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), e AS (SELECT s_suppkey AS src, (s_suppkey * k + 1) % n AS dst FROM supplier, n, (SELECT unnest([2, 3, 5]) AS k)),
@@ -323,7 +323,7 @@ b AS (SELECT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey = 1 UNI
 k AS (SELECT doc_id, lower(w) AS key, count(*) AS kept FROM (SELECT doc_id, unnest(regexp_extract_all(c, {WORDS})) AS w FROM b) GROUP BY ALL), n AS (SELECT *, lower(w) AS key, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) AS nth FROM o),
 l AS (SELECT n.doc_id, i, CASE WHEN nth <= coalesce(kept, 0) THEN 1 ELSE 0 END AS label FROM n LEFT JOIN k ON n.doc_id = k.doc_id AND n.key = k.key)
 SELECT doc_id, count(*) AS n_words, sum(label)::BIGINT AS n_kept, md5(string_agg(label::VARCHAR, '' ORDER BY i)) AS labels FROM l GROUP BY doc_id""",
-    "fact_retention": "WITH c AS (SELECT item_id AS case_id, trim(regexp_replace(regexp_replace(text, '(^|\\n)[^ \\n]+ ', '\\1', 'g'), '\\s+', ' ', 'g')) AS c, [trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g')), trim(regexp_replace(substr(text, 80, 30), '\\s+', ' ', 'g'))] AS facts FROM benchmark) SELECT case_id, len(facts)::BIGINT AS n_facts, len(list_filter(facts, lambda f: contains(c, f)))::BIGINT AS n_kept FROM c",
+    "fact_retention": "WITH c AS (SELECT item_id AS case_id, trim(regexp_replace(regexp_replace(text, '(^|\\n)[^ \\n]+ ', '\\1', 'g'), '\\s+', ' ', 'g')) AS c, list_transform(range(1, greatest(1, length(text)) + 1, 50), lambda i: trim(regexp_replace(substr(text, i, 30), '\\s+', ' ', 'g'))) AS facts FROM benchmark) SELECT case_id, len(facts)::BIGINT AS n_facts, len(list_filter(facts, lambda f: contains(c, f)))::BIGINT AS n_kept FROM c",
     "json_shrink": """SELECT event_id AS block, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","inner":{"props":"' || replace(props, '"', '\\"') || '"}}' AS text FROM events""",
     "code_compress": f"""WITH p AS (SELECT p_brand AS block, string_agg('def part_' || p_partkey || '():' || chr(10) || '    return ' || p_size, chr(10) ORDER BY p_partkey) AS body FROM part GROUP BY p_brand)
 SELECT block, '# 4 imports collapsed' || chr(10) || 'import os' || chr(10) || 'import sys' || chr(10) || '# ... +2 more' || chr(10) || body AS text FROM p""",
@@ -341,11 +341,11 @@ SELECT block, '# 4 imports collapsed' || chr(10) || 'import os' || chr(10) || 'i
 n AS (SELECT doc_id, key, count(*) AS n FROM o GROUP BY ALL), m AS (SELECT doc_id, key, count(*) AS m FROM k GROUP BY ALL), t AS (SELECT n.doc_id, sum(n) AS n, sum(least(n, coalesce(m, 0))) AS kept FROM n LEFT JOIN m ON n.doc_id = m.doc_id AND n.key = m.key GROUP BY n.doc_id) SELECT doc_id, round(1 - kept / n, 6) AS dropped FROM t WHERE kept < n""",
     "compress_block_requests": BLOCK_REQUESTS,
     "instruction_cost": f"SELECT event_id, b AS tokens_before, b // 2 + {_COST} AS tokens_after, b - b // 2 - {_COST} AS tokens_saved, CASE WHEN b > 0 THEN round((b // 2 + {_COST}) / b, 4) ELSE 1 END::DOUBLE AS ratio, {_COST}::BIGINT AS instruction_tokens FROM (SELECT event_id, floor(value)::BIGINT AS b FROM events)",
-    "completion_tokens": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN event_id ELSE 0 END::BIGINT AS output_tokens FROM events",
-    "redact_payload": "SELECT doc_id, 'model-x' AS model, ' key [REDACTED:openai_key] mail [REDACTED:email] host [REDACTED:ipv4]' AS content, 1::BIGINT AS keys, 1::BIGINT AS mails FROM documents",
+    "completion_tokens": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN floor(value) ELSE 0 END::BIGINT AS output_tokens FROM events",
+    "redact_payload": f"SELECT doc_id, 'model-' || doc_id AS model, md5({_redacted}) AS digest, {dict(_counts)['openai_key']}::BIGINT AS keys, {dict(_counts)['email']}::BIGINT AS mails FROM {SECRET}",
     "invisible_overhead": f"""WITH c AS (SELECT t, regexp_replace(regexp_replace(regexp_replace(t, '{_chars(*fixed.INVISIBLE, *fixed.JOINERS)}', '', 'g'), '{_chars(*fixed.BIDI)}', '', 'g'), '{_SMUGGLED}', '', 'g') AS clean FROM (SELECT {HIDDEN} AS t FROM documents)),
 n AS (SELECT sum({_TOKENS.format('t')})::BIGINT AS tokens_pasted, sum({_TOKENS.format('clean')})::BIGINT AS tokens_clean FROM c) SELECT *, round((tokens_pasted - tokens_clean) / tokens_clean * 100, 1) AS overhead_percent FROM n""",
-    "invisible_scan": f"SELECT doc_id, {_count(_chars(*fixed.INVISIBLE, *fixed.JOINERS))} AS invisible, {_count(_chars(*fixed.BIDI))} AS bidi, {_count(_chars(*fixed.NBSP))} AS nbsp, 'p{chr(0x430)}ypal' AS mixed FROM (SELECT doc_id, {HIDDEN} AS t FROM documents)",
+    "invisible_scan": f"SELECT doc_id, {_count(_chars(*fixed.INVISIBLE, *fixed.JOINERS))} AS invisible, {_count(_chars(*fixed.BIDI))} AS bidi, {_count(_chars(*fixed.NBSP))} AS nbsp, CASE WHEN doc_id % 2 = 0 THEN lang || '{chr(0x430)}' ELSE '' END AS mixed FROM (SELECT doc_id, lang, {HIDDEN} AS t FROM documents)",
     "conversation_titles": f"WITH {TITLES} SELECT conv_id, title, created_at, updated_at, n_messages FROM named WHERE conv_id % 7 <> 0",
     "recent_conversations": f"WITH {TITLES} SELECT conv_id, title FROM (SELECT * FROM named ORDER BY updated_at DESC, conv_id LIMIT 10)",
     "dashboard": f"""WITH {LEDGER}, b AS ({' UNION ALL '.join(f"SELECT 'by_{d}' AS section, count(*) AS items FROM (SELECT * FROM ({_breakdown(d)}) ORDER BY tokens_saved DESC, key LIMIT 12)" for d in ('tool', 'provider', 'model'))})

@@ -351,8 +351,12 @@ def html_tables(spark, sf):
 
 
 def robots(spark, sf):
-    p = table(spark, sf, "pages").select(F.col("url").alias("host"), F.explode(F.array(*(F.struct(F.lit(i).alias("line_no"), F.lit(s).alias("line")) for i, s in enumerate(("User-agent: other", "Disallow: /no", "user-agent: *", "Disallow:", "Disallow: /private ", "User-Agent: loombot", "disallow: /tmp"))))).alias("x"), "page_id")
-    return ingest.robots_disallow(p.select(F.col("page_id").alias("host"), "x.line_no", "x.line"), "loombot")
+    """Rules of each page's host: for another agent, then for all, for this one or for a third."""
+    p = table(spark, sf, "pages").select("page_id")
+    who = F.element_at(F.array(*map(F.lit, ("User-agent: *", "user-agent: LoomBot/2", "User-Agent: third"))), (F.col("page_id") % 3 + 1).cast("int"))
+    lines = (F.lit("User-agent: other"), F.lit("Disallow: /no"), who, F.lit("Disallow:"), F.concat(F.lit("Disallow: /d"), (F.col("page_id") % 11).cast("string"), F.lit(" ")), F.concat(F.lit("disallow:/p/"), F.col("page_id").cast("string")))
+    rows = p.select(F.col("page_id").alias("host"), F.posexplode(F.array(*lines)).alias("line_no", "line"))
+    return ingest.robots_disallow(rows, "loombot")
 
 
 def watch_changes(spark, sf):
@@ -420,9 +424,10 @@ def label_words(spark, sf):
 
 
 def fact_retention(spark, sf):
-    """Each line without its first word: the fact at the beginning goes, the other stays where it lies inside a line."""
+    """Each line without its first word, and 30 characters at every 50 of the text as facts: those that hold a lost word are gone."""
     b = table(spark, sf, "benchmark")
-    cases = b.select(F.col("item_id").alias("case_id"), F.regexp_replace("text", "(^|\n)[^ \n]+ ", "$1").alias("compressed"), F.array(F.substring("text", 1, 30), F.substring("text", 80, 30)).alias("facts"))
+    facts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")), F.lit(50)), lambda i: F.substring(F.col("text"), i, F.lit(30)))
+    cases = b.select(F.col("item_id").alias("case_id"), F.regexp_replace("text", "(^|\n)[^ \n]+ ", "$1").alias("compressed"), facts.alias("facts"))
     return training.fact_retention(cases)
 
 
@@ -476,15 +481,16 @@ def instruction_cost(spark, sf):
 def completion_tokens(spark, sf):
     e = table(spark, sf, "events")
     name = F.when(F.col("event_id") % 3 == 0, "completion_tokens").when(F.col("event_id") % 3 == 1, "output_tokens").otherwise("other")
-    rows = e.select("event_id", F.concat(F.lit('{"usage": {"'), name, F.lit('": '), F.col("event_id").cast("string"), F.lit(', "x": "y"}}')).alias("answer"))
+    rows = e.select("event_id", F.concat(F.lit('{"usage": {"'), name, F.lit('": '), F.floor("value").cast("string"), F.lit(', "x": "y"}}')).alias("answer"))
     return requests.completion_tokens(rows).select("event_id", "output_tokens")
 
 
 def redact_payload(spark, sf):
     d = secret_docs(spark, sf)
-    body = F.to_json(F.struct(F.lit("model-x").alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.regexp_extract("text", r"(?s)( key .*)$", 1).alias("content"))).alias("messages")))
+    body = F.to_json(F.struct(F.concat(F.lit("model-"), F.col("doc_id").cast("string")).alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages")))
     rows = requests.redact_payloads(d.select("doc_id", body.alias("body")), pii=True)
-    return rows.select("doc_id", F.get_json_object("body", "$.model").alias("model"), F.get_json_object("body", "$.messages[0].content").alias("content"), F.coalesce(F.element_at("counts", "openai_key"), F.lit(0)).alias("keys"), F.coalesce(F.element_at("counts", "email"), F.lit(0)).alias("mails"))
+    count = lambda name: F.coalesce(F.element_at("counts", name), F.lit(0)).cast("long")
+    return rows.select("doc_id", F.get_json_object("body", "$.model").alias("model"), F.md5(F.get_json_object("body", "$.messages[0].content")).alias("digest"), count("openai_key").alias("keys"), count("email").alias("mails"))
 
 
 def savings_measure(spark, sf):
@@ -512,7 +518,9 @@ def invisible_overhead(spark, sf):
 
 
 def invisible_scan(spark, sf):
-    rows = hidden_docs(spark, sf).select("doc_id", scan(F.concat(F.col("text"), F.lit(" p" + chr(0x430) + "ypal"))).alias("x"))
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    word = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), "lang", F.lit(chr(0x430)))).otherwise("")
+    rows = hidden_docs(spark, sf).join(d, "doc_id").select("doc_id", scan(F.concat(F.col("text"), word)).alias("x"))
     return rows.select("doc_id", "x.invisible", "x.bidi", "x.nbsp", F.array_join("x.mixed", " ").alias("mixed"))
 
 

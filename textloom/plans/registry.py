@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     both = {**oracles.SQL, **index_queries.SQL, **stream_queries.SQL}
-    return both | {"hybrid_indexed": both["hybrid_topk"], "cosine_indexed": both["cosine_topk"]}
+    return both | {"hybrid_indexed": both["hybrid_topk"], "cosine_indexed": both["cosine_topk"], "grep_indexed": both["grep_lines"]}

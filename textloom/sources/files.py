@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.names import fresh
 from textloom.functions.text import java, strip
 
 
@@ -21,7 +22,8 @@ def json_objects(spark: SparkSession, path: str, schema: str, lines: bool = Fals
     reader = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("multiLine", str(not lines).lower())
     rows = reader.json(path)
     names = [c for c in rows.columns if c != "_corrupt_record"]
-    return rows.withColumn("__bad", F.col("_corrupt_record").isNotNull()).where(~F.col("__bad")).select(*names)
+    bad = fresh("__bad", rows)
+    return rows.withColumn(bad, F.col("_corrupt_record").isNotNull()).where(~F.col(bad)).select(*names)
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
