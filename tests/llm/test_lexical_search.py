@@ -14,8 +14,8 @@ def sql_rows(sf, query):
 
 
 def test_query(spark, sf_tables, monkeypatch):
-    monkeypatch.setattr(ls, "SHARD_DOCS", 50)
     monkeypatch.setattr(ls, "BLOCK_ITEMS", 4)
+    monkeypatch.setitem(ls.LARGE_ROWS, "parquet.block.size", "1000")
     rng = random.Random(3)
     words = [f"w{k}" for k in range(30)] + ["Ünï", "ünï", "A1", "a1", "日本", "x\x00y", "İK"]
     texts = [" ,.\n"[rng.randrange(4)].join(rng.choices(words, k=rng.randrange(40))) for _ in range(400)]
@@ -23,7 +23,12 @@ def test_query(spark, sf_tables, monkeypatch):
     docs = [(i * 7 % 997, t, "x", "y") for i, t in enumerate(texts)] + [(None, "w1 w2", "x", "y"), (None, "w1 w2", "x", "y"), (3, texts[0], "x", "y")]
     items = [(1, "w1 w1 W2"), (2, None), (3, ""), (4, "nothing-known"), (None, "a1 日本"), (5, "w5 " * 40), (6, " ".join(words)), (6, "w7"), (6, "w7"), (7, "ünï"), (8, "w29 x y")]
     sf = sf_tables(documents=(docs, "doc_id long, text string, terms string, part string"), benchmark=([(*r, 1) for r in items], "item_id long, text string, rank int"))
-    got = [tuple(r) for r in ls.op11_lexical_search(spark, sf).collect()]
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")  # so that a task meets several shards
+    try:
+        got = [tuple(r) for r in ls.op11_lexical_search(spark, sf).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     assert sorted(map(repr, got)) == sql_rows(sf, ls.oracle())
     assert {r[0] for r in got} == {1, None, 5, 6, 7, 8} and any(r[2] is None for r in got)
 
