@@ -12,6 +12,7 @@ from urllib.parse import urljoin, urlsplit
 
 import numpy as np
 import pyarrow as pa
+from ahocorasick import Automaton
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,15 +265,49 @@ def _longest_first(words):
     return sorted(words, key=len, reverse=True)
 
 
-_PROSE = [
-    *((re.compile(p, re.I), "") for p in fixed.BOILERPLATE),
-    *((re.compile(rf"\b{re.escape(k)}\b", re.I), fixed.PHRASES[k]) for k in _longest_first(fixed.PHRASES)),
-    *((re.compile(rf"\s*,?\s*\b{re.escape(k)}\b\s*,?\s*", re.I), " ") for k in _longest_first(fixed.FILLERS)),
-    *((re.compile(p), r) for p, r in fixed.CLEANUP),
+#: Rules that begin at a literal text, lower-cased: the text, the rule, what it leaves, and whether it takes a comma and space before.
+_BEGUN = [
+    *((need, re.compile(p, re.I), "", False) for need, p in zip(("as mentioned", "as ", "for more ", "see "), fixed.BOILERPLATE, strict=True)),
+    *((k, re.compile(rf"\b{re.escape(k)}\b", re.I), fixed.PHRASES[k], False) for k in _longest_first(fixed.PHRASES)),
+    *((k, re.compile(rf"\s*,?\s*\b{re.escape(k)}\b\s*,?\s*", re.I), " ", True) for k in _longest_first(fixed.FILLERS)),
 ]
-#: A word that each rule needs: most texts hold none, and a plain search is far cheaper than the rule.
-_NEEDS = ["as mentioned", "as ", "for more ", "see ", *_longest_first(fixed.PHRASES), *_longest_first(fixed.FILLERS)]
-_CAPITAL = re.compile(fixed.SENTENCE_START)
+_CLEANUP = [(re.compile(p), by) for p, by in fixed.CLEANUP]
+#: Letters beyond ASCII that equal ASCII ones in any case: where they stand, a lower-cased text doesn't tell where rules begin.
+_ALIKE = re.compile("[\u0130\u0131\u017f\u212a]")
+#: What the cleanup rule of that place needs: a text without it is left as it is.
+_UNCLEAN = tuple(map(re.compile, (r"  |\t", r" \n|\n ", r"\s[,.;:!?]", r",\s*,", r"(?m)^[ \t]*[,;:]", r"\n\n\n")))
+#: One pass over a text tells which rules may begin in it.
+_BEGINS = Automaton()
+for _k, (_need, *_) in enumerate(_BEGUN):
+    _BEGINS.add_word(_need, _k)
+_BEGINS.make_automaton()
+_LONGEST = max(len(need) for need, *_ in _BEGUN)
+
+
+def _begun(text: str, low: str, need: str, pattern: re.Pattern, by: str, lead: bool) -> tuple[str, list[int]]:
+    """``pattern.sub(by, text)``, tried only where the rule's own text stands, and the places in it where something was replaced."""
+    out, at, size, places, i = [], 0, 0, [], low.find(need)
+    while i >= 0:
+        start = i
+        if lead:
+            while start > at and text[start - 1].isspace():
+                start -= 1
+            if start > at and text[start - 1] == ",":
+                start -= 1
+                while start > at and text[start - 1].isspace():
+                    start -= 1
+        m = pattern.match(text, start)
+        if m:
+            out += text[at:start], by
+            size += start - at
+            places.append(size)
+            size += len(by)
+            at = m.end()
+        i = low.find(need, at if m else i + 1)
+    return "".join((*out, text[at:])), places
+
+
+_FIRST, _CAPITAL = re.compile(r"\s*[a-z]"), re.compile(r"([.!?]\s+|\n\s*)([a-z])")
 
 
 def once(text: str) -> str:
@@ -288,15 +323,32 @@ def once(text: str) -> str:
     return "\n".join(out)
 
 
+def capitals(text: str) -> str:
+    """Sentences and lines begin with a capital."""
+    m = _FIRST.match(text)
+    head = m[0].upper() if m else ""
+    return head + _CAPITAL.sub(lambda m: m[1] + m[2].upper(), text[len(head) :])
+
+
 def compress_prose(text: str) -> str:
     low = text.lower()
-    for k, (pattern, by) in enumerate(_PROSE):
-        if k < len(_NEEDS) and _NEEDS[k] not in low:
+    plain = text.isascii() or len(low) == len(text) and not _ALIKE.search(text)
+    may = {k for _, k in _BEGINS.iter(low)} if plain else set(range(len(_BEGUN)))
+    for k, (need, pattern, by, lead) in enumerate(_BEGUN):
+        if k not in may:
+            continue
+        if not plain:
+            text = pattern.sub(by, text)
             continue
-        new = pattern.sub(by, text)
-        if new is not text and new != text:
-            text, low = new, new.lower()
-    return _CAPITAL.sub(lambda m: m[1] + m[2].upper(), once(text)).strip()
+        text, places = _begun(text, low, need, pattern, by, lead)
+        if places:
+            low = text.lower()
+            for at in places:  # what stands there now may begin other rules
+                may |= {k for _, k in _BEGINS.iter(low, max(0, at - _LONGEST), min(len(low), at + len(by) + _LONGEST))}
+    for (pattern, by), needs in zip(_CLEANUP, _UNCLEAN, strict=True):
+        if needs.search(text):
+            text = pattern.sub(by, text)
+    return capitals(once(text)).strip()
 
 
 def truncate_paragraphs(text: str, limit: int = fixed.LONG_PARAGRAPH) -> str:
@@ -380,6 +432,12 @@ def links(page: str, url: str) -> list[str]:
 
 _LEVEL, _LINE_START = re.compile(fixed.LOG_LEVEL), re.compile(fixed.LOG_LINE_START)
 _STRONG, _WEAK = re.compile(fixed.STRONG_CODE), re.compile(fixed.WEAK_CODE)
+#: A weak sign of code holds one of these.
+_WEAK_PARTS = (";", "}", "=>", "->", "const", "let", "var", "return", "print", "console.log")
+
+
+def _weak(line: str) -> bool:
+    return any(x in line for x in _WEAK_PARTS) and _WEAK.search(line) is not None
 
 
 def detect(text: str) -> str:
@@ -393,7 +451,7 @@ def detect(text: str) -> str:
         if hits >= max(fixed.MIN_LOG_HITS, int(len(sample) * 0.25)):
             return "logs"
     head = sample[: fixed.CODE_LINES]
-    if text.strip().startswith("```") or any(map(_STRONG.search, head)) or sum(1 for s in head if _WEAK.search(s)) >= 2:
+    if text.strip().startswith("```") or any(map(_STRONG.search, head)) or sum(map(_weak, head)) >= 2:
         return "code"
     return "text"
 
@@ -405,11 +463,13 @@ def _chars(*points: int) -> str:
 _HIDDEN = {False: re.compile(_chars(*fixed.INVISIBLE)), True: re.compile(_chars(*fixed.INVISIBLE, *fixed.JOINERS))}
 _BIDI, _NBSP = re.compile(_chars(*fixed.BIDI)), re.compile(_chars(*fixed.NBSP))
 _SMUGGLED = re.compile("(\U0001f3f4[\U000e0020-\U000e007e]{1,6}\U000e007f)|([\U000e0001\U000e0020-\U000e007f\ufe00-\ufe0d\U000e0100-\U000e01ef])")
+#: Any character that the cleaning looks at.
+_UNSEEN = re.compile(_chars(*fixed.INVISIBLE, *fixed.JOINERS, *fixed.BIDI, *fixed.NBSP)[:-1] + "\U000e0001\U000e0020-\U000e007f\ufe00-\ufe0d\U000e0100-\U000e01ef]")
 
 
 def cleaned(text: str, is_code: bool = False, strip_nbsp: bool = False) -> tuple[str, int, int, int, int]:
     """The text without characters that show nothing, and how many invisible, bidi, smuggled and no-break ones it had."""
-    if text.isascii():
+    if text.isascii() or not _UNSEEN.search(text):
         return text, 0, 0, 0, 0
     nbsp = len(_NBSP.findall(text))
     smuggled = sum(1 for m in _SMUGGLED.finditer(text) if m[2])
