@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,8 @@ THRESHOLD = 0.93
 #: Axes whose cells order the vectors, and whose bounds a tile has.
 AXES = 8
 TILE, STEP = 4096, 16
+#: Axes whose cells deal out tiles to be met.
+CELL_AXES = 3
 #: Rows of a tile that are compared at once, and pairs that are confirmed at once.
 ROWS, PAIRS = 256, 1 << 16
 #: Slack of the bounds in single and double precision; whatever passes them is confirmed.
@@ -173,14 +176,27 @@ def _tiles(basis: dict[int, np.ndarray], dtype: str, size: int):
 
 
 def meeting(tiles: DataFrame, width: float) -> DataFrame:
-    """``t1, t2``: tiles whose bounds are within ``width`` of each other; every tile meets itself."""
+    """``t1, t2``: tiles whose bounds are within ``width`` of each other; every tile meets itself.
+
+    Bounds are dealt to cells of ``width`` along the first ``CELL_AXES`` axes,
+    so that the tiles of one large label meet under many keys; a pair is told in
+    the least cell that both reach, and in no other.
+    """
     meta = tiles.select("tile", "label", "dims", "lo", "hi")
-    cell = lambda c: F.floor(F.get(c, F.lit(0)) / width)
-    left = meta.select("label", "dims", F.col("tile").alias("t1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
-    right = meta.select("label", "dims", F.col("tile").alias("t2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("cell"))
+    cell = lambda c, k: F.coalesce(F.floor(F.get(c, F.lit(k)) / width), F.lit(0))
+
+    def dealt(side: str, wider: int) -> DataFrame:
+        rows = meta.select("label", "dims", F.col("tile").alias(f"t{side}"), F.col("lo").alias(f"lo{side}"), F.col("hi").alias(f"hi{side}"))
+        for k in range(CELL_AXES):
+            first = cell(f"lo{side}", k) - wider
+            rows = rows.select("*", first.alias(f"f{side}{k}"), F.explode(F.sequence(first, cell(f"hi{side}", k) + wider)).alias(f"c{k}"))
+        return rows
+
     gap = F.zip_with(F.zip_with("lo2", "hi1", lambda a, b: a - b), F.zip_with("lo1", "hi2", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     apart = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
-    return left.join(right, ["label", "dims", "cell"]).where((F.col("t1") <= F.col("t2")) & (apart <= width * width)).select("t1", "t2").distinct()
+    both = dealt("1", 0).join(dealt("2", 1), ["label", "dims", *(f"c{k}" for k in range(CELL_AXES))])
+    least = reduce(lambda x, y: x & y, (F.col(f"c{k}") == F.greatest(f"f1{k}", f"f2{k}") for k in range(CELL_AXES)))
+    return both.where(least & (F.col("t1") <= F.col("t2")) & (apart <= width * width)).select("t1", "t2")
 
 
 def links_between(x: np.ndarray, y: np.ndarray, threshold: float, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
