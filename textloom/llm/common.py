@@ -307,6 +307,20 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, *more: str) -
     return written(texts.join(small_or_shuffled(known_labels(labels, label)), "doc_id"))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, *more: str) -> DataFrame:
+    """``text, label`` (and ``more`` columns) of the ``n`` documents with a label whose ids hash least; rows that share an id come on top.
+
+    Ids alone are joined and ranked, so only the sample's texts are read out.
+    """
+    h = F.xxhash64("doc_id")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = written(known_labels(labels, label).join(ids, "doc_id", "left_semi"))
+    last = known.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    some = known.where(h <= last) if last is not None else known.limit(0)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    return texts.join(F.broadcast(some), "doc_id").drop("doc_id")  # n ids at most
+
+
 def sampled(rows: DataFrame, n: int) -> DataFrame:
     """The ``n`` rows of ``rows(doc_id, text, ...)`` with the least hash of id and text; copies of the last one may come on top.
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import held_out, labelled_texts, sampled, sliced, slices, table
+from textloom.llm.common import held_out, labelled_sample, sliced, slices, table
 from textloom.llm.text_stats import text_stats
 
 SLOTS, RANK = 1 << 14, 8
@@ -168,8 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factorisa
     """A model from at most ``rows`` labelled rows of ``docs(doc_id, text, n_chars)`` that are not held out."""
     if "n_chars" not in docs.columns:
         docs = docs.withColumn("n_chars", F.lit(None))
-    known = labelled_texts(docs.withColumn("n_chars", F.col("n_chars").cast("long")), labels, "quality", "n_chars")
-    some = sampled(known, rows).select("text", "n_chars", "label")
+    some = labelled_sample(docs.withColumn("n_chars", F.col("n_chars").cast("long")), labels, "quality", rows, "n_chars").select("text", "n_chars", "label")
     got: pd.DataFrame = some.mapInArrow(_entries, "slots array<int>, values array<float>, label int").limit(rows).toPandas()
     # tasks may hand in their rows in any order, and the model depends on it
     got = got.iloc[sorted(range(len(got)), key=lambda i: (list(got["slots"].iat[i]), list(got["values"].iat[i]), got["label"].iat[i]))]
