@@ -88,3 +88,34 @@ def test_keys_are_split_beyond_the_broadcast_bound(spark, monkeypatch):
 
 def test_empty_table(spark, sf_tables):
     assert qr.op4_robust_outliers(spark, sf_tables(documents=([], "doc_id long, text string, lang string, source string"))).collect() == []
+
+
+def test_estimates_against_all_subsets(spark):
+    """Small groups, whose halves nearly lie in a plane: hardly a half of a group has a smaller determinant than the one found, and rows far off are in neither."""
+    import itertools
+
+    rng, n, d = np.random.default_rng(11), 13, qr.DIMS
+    groups = []
+    for k in range(5):
+        x = rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) * 3
+        x[:k] += 40  # up to four rows far off
+        groups.append(x)
+    rows = [(str(k), *map(float, v)) for k, x in enumerate(groups) for v in x]
+    found = qr.estimates(spark.createDataFrame(rows, "key string, " + ", ".join(f"x{i} double" for i in range(d)))).collect()
+    assert len(found) == len(groups)
+    halves, shares = np.array(list(itertools.combinations(range(n), -(-n // 2)))), []
+    for r in found:
+        k, x = int(r.key), groups[int(r.key)]
+        inverse = np.zeros((d, d))
+        for (i, j), v in zip(qr.PAIRS, r.inverse, strict=True):
+            inverse[i, j] = inverse[j, i] = v
+        size = -np.linalg.slogdet(inverse)[1]
+        own = x[halves] - x[halves].mean(1, keepdims=True)
+        cov = own.transpose(0, 2, 1) @ own / halves.shape[1] * qr.CONSISTENCY + np.diag(np.square(qr.FLOOR))
+        every = np.linalg.slogdet(cov)[1]
+        shares.append((every < size - 1e-6).mean())
+        assert size >= every.min() - 1e-6
+        assert not set(halves[every.argmin()]) & set(range(k))
+        far = [(v - r.mean) @ inverse @ (v - r.mean) for v in x]
+        assert not k or min(far[:k]) > 10 * qr.CUTOFF
+    assert max(shares) < 0.1 and np.mean(shares) < 0.03
