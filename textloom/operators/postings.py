@@ -15,8 +15,12 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import fixed
 from textloom.functions.text import cosine, words
@@ -44,13 +48,25 @@ def _block(blocks: int) -> Column:
     return F.shiftleft(F.col("part").cast("long"), 40) + length * blocks + F.pmod(F.xxhash64("doc_id", "chunk_no"), F.lit(blocks))
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("f", T.LongType())])))
+def counted(lists: pa.Array) -> pa.Array:
+    """The distinct words of each row with their numbers."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    vocabulary = max(1, len(coded.dictionary))
+    key, f = np.unique(np.repeat(np.arange(len(n)), n) * vocabulary + coded.indices.to_numpy(), return_counts=True)
+    row, code = np.divmod(key, vocabulary)
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(f.astype(np.int64))], ["term", "f"])
+    return pa.ListArray.from_arrays(pa.array(cuts), pairs)
+
+
 def _postings(chunked: DataFrame, blocks: int) -> DataFrame:
-    """Posting rows of ``chunked(part, doc_id, chunk_no, n_words, text)``."""
-    held = chunked.select("part", "doc_id", "chunk_no", "n_words", F.explode(words(F.col("text"))).alias("term"))
-    tf = held.groupBy("part", "doc_id", "chunk_no", "n_words", "term").agg(F.count("*").alias("f"))
-    entry = F.struct("doc_id", "chunk_no", "f", "n_words")
-    rows = tf.groupBy("part", "term", _block(blocks).alias("block"))
-    return rows.agg(F.count("*").alias("n"), F.max("f").alias("max_f"), F.min("n_words").alias("least_words"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    """Posting rows of ``chunked(part, doc_id, chunk_no, n_words, text)``: a chunk's words are counted where it lies."""
+    held = chunked.select("part", "doc_id", "chunk_no", "n_words", _block(blocks).alias("block"), F.explode(counted(words(F.col("text")))).alias("w"))
+    entry = F.struct("doc_id", "chunk_no", F.col("w.f").alias("f"), "n_words")
+    rows = held.groupBy("part", F.col("w.term").alias("term"), "block")
+    return rows.agg(F.count("*").alias("n"), F.max("w.f").alias("max_f"), F.min("n_words").alias("least_words"), F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
 def put(docs: DataFrame, path: str, parts: int = 64) -> None:
@@ -82,15 +98,12 @@ def drop(ids: DataFrame, path: str) -> None:
 
 def _build(spark: SparkSession, chunked: DataFrame, path: str, touched: list[int], parts: int) -> None:
     rows = chunked.withColumn("part", versions.part_of("doc_id", parts))
-    # written first: the postings are made of what is stored, and their blocks of how many there are
-    stored = versions.scratch(spark, "chunks")
-    rows.write.partitionBy("part").parquet(stored)
-    rows = spark.read.schema(f"{CHUNKS}, part int").parquet(stored)
-    blocks = max(1, rows.count() // max(1, len(touched)) // BLOCK_CHUNKS)
-    sorted_ = _postings(rows, blocks).repartition("part", F.xxhash64("term") % 4).sortWithinPartitions("part", "term", "block")
-    versions.save(spark, path, {"chunks": rows, "postings": sorted_}, touched, parts, OPTIONS)
-    at = spark._jvm.org.apache.hadoop.fs.Path(stored)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def posted(stored: DataFrame) -> DataFrame:
+        blocks = max(1, stored.count() // max(1, len(touched)) // BLOCK_CHUNKS)
+        return _postings(stored, blocks).repartition("part", F.xxhash64("term") % 4).sortWithinPartitions("part", "term", "block")
+
+    versions.save(spark, path, {"chunks": rows, "postings": posted}, touched, parts, OPTIONS)
 
 
 class Index:

@@ -11,7 +11,7 @@ named any more.  Two saves of one version can't both succeed.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,18 +59,23 @@ def load(spark: SparkSession, path: str, table: str, schema: str, parts: Iterabl
     return spark.read.schema(schema).parquet(*wanted) if wanted else spark.createDataFrame([], schema)
 
 
-def save(spark: SparkSession, path: str, tables: dict[str, DataFrame], touched: Iterable[int], parts: int, options: dict[str, str] | None = None) -> None:
+def save(spark: SparkSession, path: str, tables: dict[str, DataFrame | Callable[[DataFrame], DataFrame]], touched: Iterable[int], parts: int, options: dict[str, str] | None = None) -> None:
     """A new version in which ``tables`` (with a column ``part``) are all that the ``touched`` parts hold.
 
     The first table's rows tell which parts are still there; each table's rows
-    of a part go to one folder.
+    of a part go to one folder.  A function makes its table of the first one, as
+    that has been stored.
     """
     version, folders, _ = current(spark, path)
     touched = set(touched)
     folder = f"{path}/data/{version + 1}-{uuid.uuid4().hex}"
+    first, stored = next(iter(tables)), None
     for name, rows in tables.items():
+        rows = rows if isinstance(rows, DataFrame) else rows(stored)
         rows.write.options(**options or {}).partitionBy("part").parquet(f"{folder}/{name}")
-    made = {int(n.removeprefix("part=")) for n in _names(spark, f"{folder}/{next(iter(tables))}") if n.startswith("part=")}
+        if stored is None:
+            stored = spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+    made = {int(n.removeprefix("part=")) for n in _names(spark, f"{folder}/{first}") if n.startswith("part=")}
     kept = {p: f for p, f in folders.items() if p not in touched} | {p: folder for p in made}
     rows = [(p, f, parts) for p, f in sorted(kept.items())] or [(-1, "", parts)]
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{path}/manifests/{version + 1}")
