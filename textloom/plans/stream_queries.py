@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from contextlib import contextmanager
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions import fixed, kernels
+from textloom.operators import ingest
 from textloom.plans.oracles import SQL as BATCH_SQL
 from textloom.plans.queries import table
-from textloom.sources import pdf
+from textloom.sources import files, pdf
 from textloom.sources.versions import scratch
 from textloom.streaming import streams
 
@@ -120,9 +126,49 @@ def pdf_texts(spark, sf):
     return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-QUERY_FUNCTIONS = {f.__name__: f for f in (stream_daily, stream_rate_limit, stream_sessions, stream_late_outputs, stream_originals, pdf_texts)}
+def _as_docx(text: str) -> bytes:
+    """A word-processor file with a paragraph for each line; each word is a run of its own."""
+    paragraphs = "".join("<w:p>" + "".join(f'<w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r>' for x in re.split("( )", line)) + "</w:p>" for line in text.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        z.writestr(zipfile.ZipInfo("word/document.xml"), f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="w"><w:body>{paragraphs}</w:body></w:document>')
+    return out.getvalue()
+
+
+@F.arrow_udf(T.BinaryType())
+def _docx_of(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _as_docx(t) for t in texts.to_pylist()], pa.binary())
+
+
+def docx_texts(spark, sf):
+    """Each document as a word-processor file, and what is read from it; characters that XML can't hold are left out before."""
+    text = F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", "")
+    d = table(spark, sf, "documents").select("doc_id", files.docx_column(_docx_of(text)).alias("text"))
+    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def truncate_paragraphs(spark, sf):
+    """Long lines of all documents cut to their first and last sentence, or to their start."""
+    d = table(spark, sf, "documents").select("doc_id", kernels.paragraphs_truncated("text").alias("text"))
+    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def watches_due(spark, sf):
+    """A watch for each page, some never checked, some just then: those whose interval has passed."""
+    p = table(spark, sf, "pages").select("page_id", ((F.col("page_id") % 4) * 30).cast("int").alias("interval_minutes"))
+    checked = F.when(F.col("page_id") % 5 > 0, F.timestamp_seconds(F.lit(1_700_000_000) - (F.col("page_id") % 100) * 60))
+    return ingest.watches_due(p.withColumn("last_checked", checked), F.timestamp_seconds(F.lit(1_700_000_000))).select("page_id")
+
+
+QUERY_FUNCTIONS = {f.__name__: f for f in (stream_daily, stream_rate_limit, stream_sessions, stream_late_outputs, stream_originals, pdf_texts, docx_texts, truncate_paragraphs, watches_due)}
 _LINES = "regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(regexp_replace(regexp_replace(s, '[ \\t\\xa0]+', ' ', 'g'), '^\\s+', ''), '\\s+$', '')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_SENTENCES = "string_split(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_CUT = f"list_transform(string_split(text, chr(10)), lambda s: CASE WHEN length(s) <= {fixed.LONG_PARAGRAPH} THEN s WHEN len({_SENTENCES}) > 3 THEN ({_SENTENCES})[1] || ' [... ' || (len({_SENTENCES}) - 2) || ' sentences removed ...] ' || ({_SENTENCES})[-1] ELSE s[1:{fixed.LONG_PARAGRAPH}] || '[... ' || (length(s) - {fixed.LONG_PARAGRAPH}) || ' characters removed ...]' END)"
+_KEPT = "regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F]', '', 'g')"
 SQL = {
+    "docx_texts": f"SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_KEPT}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents)",
+    "truncate_paragraphs": f"SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT doc_id, array_to_string({_CUT}, chr(10)) AS t FROM documents)",
+    "watches_due": "SELECT page_id FROM pages WHERE page_id % 5 = 0 OR (page_id % 100) * 60 >= greatest(1, (page_id % 4) * 30) * 60",
     "stream_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, sum(b)::BIGINT AS tokens_before, sum(b - b % 7)::BIGINT AS tokens_after, sum(b % 7)::BIGINT AS tokens_saved, count(*) AS requests FROM (SELECT ts, floor(value * 10)::BIGINT AS b FROM events) GROUP BY 1",
     "stream_rate_limit": BATCH_SQL["rate_limit_log"],
     "stream_sessions": f"SELECT user_id, started, last_active, n_events FROM ({BATCH_SQL['session_islands']})",
