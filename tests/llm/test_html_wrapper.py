@@ -4,7 +4,7 @@ from html import unescape
 
 import duckdb
 
-from textloom.llm.html_wrapper import _common, _table, aligned, dumps, expression, loads, main_text, merge, op1_wrapper_inference, parse, wrapper_of, wrappers
+from textloom.llm.html_wrapper import CHROME_WORDS, KEYS_AT_PLACE, _common, _table, aligned, dumps, expression, is_article, is_chrome, loads, main_text, merge, op1_wrapper_inference, parse, role_key, wrapper_of, wrappers
 from textloom.llm.html_wrapper import _known
 
 SF = "/root/testdata/sf0.01"
@@ -138,3 +138,46 @@ def test_wrappers_are_merged_in_steps(spark, monkeypatch):
     assert known.count() == 1
     w = _known(known.first()["wrapper"])
     assert all(main_text(html, *w).startswith(str(k)) for k, _, html in rows)
+
+
+def page_of_generated_names(rng, k, article):
+    """A page whose classes are all made up: letters only, or letters and digits that take turns."""
+    name = lambda: "".join(rng.choices("bcdfghjklmnpqrstvwxz", k=8)) if rng.random() < 0.7 else f"css-{rng.choice('abc')}{rng.randrange(99)}{rng.choice('xyz')}{rng.randrange(99)}q"
+    parts = [f"Story {k} part {j}: " + " ".join(f"w{rng.randrange(999)}" for _ in range(12)) for j in range(rng.randrange(2, 6))]
+    body = "".join(f"<div class='{name()}'><p class='{name()}'>{x}</p></div>" for x in parts)
+    aside = "".join(f"<div class='{name()}'><a href=x>Other {rng.randrange(9999)}</a></div>" for _ in range(3))
+    return f"<body><div class='{name()} menu'><a href=x>Home</a> and more</div><{article} class='{name()}'>{body}</{article}><div class='{name()}'><div class='{name()} sidebar'>{aside}</div></div></body>", "\n\n".join(parts)
+
+
+def test_wrapper_of_generated_names_stays_small():
+    rng = random.Random(3)
+    w, sizes = None, {}
+    pages = [page_of_generated_names(rng, k, "article") for k in range(10_000)]
+    for k, (html, _) in enumerate(pages, 1):
+        own = wrapper_of(parse(html))
+        w = merge(w, own) if w is not None else own
+        if k in (500, 2000, 10_000):
+            sizes[k] = len(dumps(w))
+    assert sizes[10_000] < 1.5 * sizes[500] and sizes[10_000] < 20_000, sizes
+    known = _known(dumps(w))
+    assert all(main_text(html, *known) == want for html, want in pages[::97])
+
+
+def test_generated_names_without_an_article_tag():
+    rng = random.Random(4)
+    pages = [page_of_generated_names(rng, k, "div") for k in range(3 * KEYS_AT_PLACE)]
+    w = infer([html for html, _ in pages])
+    assert dumps(loads(dumps(w))) == dumps(w)
+    known = _known(dumps(w))
+    assert all(main_text(html, *known) == want for html, want in pages)
+
+
+def test_loose_places_keep_roles():
+    for key in ["div", "div.menu", "div.a-menu-of-b", "div.x hidden", "section.Main", "div.teaser", "header.top", "nav.q", "form.login", "article.card", "x-abc.promo", "div.menu main", *(f"p.{w}" for w in sorted(CHROME_WORDS))]:
+        short = role_key(key)
+        assert role_key(short) == short
+        assert [is_chrome(short, a) for a in (True, False)] == [is_chrome(key, a) for a in (True, False)] and is_article(short) == is_article(key), key
+    # more keys than a place takes in order: one unit a tag and role, whatever the order of merging
+    pages = [f"<main><{t} class=c{chr(97 + k % 26)}{chr(97 + k // 26)}>text {k}</{t}><div class=ads{chr(97 + k % 26)}>x</div></main>" for k, t in enumerate(["p", "div", "h2"] * 60)]
+    one, other = infer(pages), infer(pages[::-1])
+    assert expression(one) == expression(other) == "<main>((<div>#</>)?(<h2>#</>)?(<p>#</>)?)*</>"

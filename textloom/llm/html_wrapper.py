@@ -20,6 +20,14 @@ are mostly links or teasers beside others; without such a tag, by descending to
 the container of most changing, unlinked text.  A page is aligned with its
 host's wrapper and yields the texts of slots in the article.
 
+A wrapper's size does not follow the number of pages.  Parts of names where
+letters and digits take turns (``css-x1y2z3``) are generated and count as one
+name.  A place that has taken more than ``KEYS_AT_PLACE`` different keys or
+``GROUPS_AT_PLACE`` groups becomes *loose*: it holds one unit for each tag and
+role, in any order and number, ``(a?b?)*``.  What a name says about a region's
+role outlives this.  If the article has no tag and the descent ends at a loose
+place, the wrapper doesn't tell its parts apart, and the page is judged alone.
+
 Alignment is a longest common subsequence at every size, in linear space.
 Wrappers are folded inside each task and then merged by host, some ``FAN`` at a
 time until one is left: what is shuffled is a wrapper for each task and host,
@@ -63,6 +71,8 @@ SALTS = 64
 BROADCAST_CHARS = 32_000_000
 #: A slot is fixed text of the host if so many pages at least had the same text there.
 FIXED_PAGES = 5
+#: Different keys, and groups, that a place takes in order; beyond them it is loose.
+KEYS_AT_PLACE, GROUPS_AT_PLACE = 64, 512
 #: Share of a container's changing text that a part must hold to be descended to.
 DESCEND = 0.7
 
@@ -74,6 +84,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: End tags of other elements don't close these.
 CONTAINERS = frozenset("article aside blockquote div footer form header main nav section table td th ul ol dl".split())
+#: Block tags without a rule of their own; other names are those of custom elements.
+PLAIN_TAGS = frozenset("address caption center col colgroup dd details dt fieldset figcaption figure hgroup legend li optgroup option p pre search slot summary tbody tfoot thead tr".split())
 CHROME_TAGS = frozenset("nav footer aside form button select datalist dialog noscript template svg object audio video canvas menu map".split())
 CHROME_WORDS = frozenset(
     "ad ads adbox adslot adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus dropdown footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
@@ -88,6 +100,8 @@ SOFT_WORDS = frozenset(
 TEASER_WORDS = frozenset("card excerpt preview promo related teaser teasers tile".split())
 ARTICLE_ROLES = frozenset(("main", "articlebody"))
 
+_TAGS = INLINE | VOID | HEADINGS | CONTAINERS | PLAIN_TAGS | CHROME_TAGS
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|title|textarea|iframe|xmp)\b.*?(?:</\1\s*>|\Z)"
@@ -100,6 +114,8 @@ _ATTRIBUTE = re.compile(r"(?<![-\w])(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'
 _HIDDEN = re.compile(r"(?<![-\w])hidden(?![-\w=])|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
+#: A part of a name in which letters and digits take turns.
+_GENERATED = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]+\d+[A-Za-z]+\d|\d+[A-Za-z]+\d+[A-Za-z])[A-Za-z0-9]*")
 
 
 class Leaf:
@@ -113,10 +129,11 @@ class Leaf:
 
 
 class Node:
-    __slots__ = ("key", "kids", "groups")
+    __slots__ = ("key", "kids", "groups", "loose")
 
     def __init__(self, key: str):
         self.key = key
+        self.loose = False
         self.kids: list[Node | Leaf] = []
         self.groups: list[Group] | None = None
 
@@ -136,14 +153,14 @@ class Group:
 
 @lru_cache(65536)
 def _key(tag: str, attributes: str) -> str:
-    """The tag, and the class, id and role with digits made equal."""
+    """The tag, and the class, id and role with digits and generated parts made equal."""
     if not attributes.strip(" /"):
         return tag
     found = sorted((k.lower(), v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes))
     name = " ".join(v for _, v in found)
     if _HIDDEN.search(attributes):
         name += " hidden"
-    return f"{tag}.{_DIGITS.sub('0', name)}" if name else tag
+    return f"{tag}.{_DIGITS.sub('0', _GENERATED.sub('0', name))}" if name else tag
 
 
 @lru_cache(65536)
@@ -298,10 +315,28 @@ def merge(a: Node | Leaf, b: Node | Leaf) -> Node | Leaf:
     if isinstance(a, Leaf):
         return Leaf("", a.n + b.n, a.chars + b.chars, a.linked + b.linked, a.same if a.same == b.same else None)
     out = Node(a.key)
-    out.groups = generalise(a.groups, b.groups)
+    out.loose = a.loose or b.loose
+    groups = [*a.groups, *b.groups] if out.loose else generalise(a.groups, b.groups)
+    if not out.loose:
+        out.loose = len(groups) > GROUPS_AT_PLACE or len({u.key for g in groups for u in g.units}) > KEYS_AT_PLACE
+    out.groups = loosened(groups) if out.loose else groups
     return out
 
 
+def loosened(groups: list[Group]) -> list[Group]:
+    """One optional, repeated unit for each tag and role of the groups' units."""
+    held: dict[str, Node | Leaf] = {}
+    for g in groups:
+        for u in g.units:
+            key = role_key(u.key)
+            one = u
+            if isinstance(u, Node):
+                one = Node(key)
+                one.groups, one.loose = u.groups, u.loose
+            held[key] = merge(held[key], one) if key in held else one
+    return [Group([held[key]], True, True) for key in sorted(held)]
+
+
 def _together(a: Group, b: Group, repeated: bool = False) -> Group:
     units = [merge(x, y) for x, y in zip(a.units, b.units, strict=True)]
     return Group(units, a.optional or b.optional, a.repeated or b.repeated or repeated)
@@ -423,18 +458,25 @@ def dumps(unit: Node) -> str:
         elif isinstance(u, Leaf):
             out += ["#", u.n, u.chars, u.linked, u.same]
         else:
-            out += [u.key, len(u.groups)]
+            out += [u.key, 2 * len(u.groups) + u.loose]
             todo += reversed(u.groups)
     return json.dumps(out, separators=(",", ":"), ensure_ascii=False)
 
 
 def loads(text: str) -> Node:
     flat = iter(json.loads(text))
-    root = Node(next(flat))
-    root.groups = []
+    whole: list[Node] = []
+
+    def opened(key: str) -> tuple[Node, int]:
+        n = next(flat)
+        node = Node(key)
+        node.groups, node.loose = [], bool(n & 1)
+        whole.append(node)
+        return node, n >> 1
+
+    root, first = opened(next(flat))
     #: What is still to be read: groups of a node, or units of a group.
-    todo: list[tuple[Node | list, int]] = [(root, next(flat))]
-    whole: list[Node] = [root]
+    todo: list[tuple[Node | list, int]] = [(root, first)]
     while todo:
         into, left = todo.pop()
         if not left:
@@ -450,11 +492,9 @@ def loads(text: str) -> Node:
         if key == "#":
             into.append(Leaf("", next(flat), next(flat), next(flat), next(flat)))
         else:
-            node = Node(key)
-            node.groups = []
+            node, n = opened(key)
             into.append(node)
-            whole.append(node)
-            todo.append((node, next(flat)))
+            todo.append((node, n))
     for node in whole:
         for g in node.groups:
             g.keys = tuple(u.key for u in g.units)
@@ -465,6 +505,9 @@ def expression(unit: Node | Leaf) -> str:
     """The wrapper as a regular expression over tags, with ``#`` for a text slot."""
     if isinstance(unit, Leaf):
         return "#"
+    if unit.loose:
+        inner = "(" + "".join(f"({expression(u)})?" for u in _units(unit)) + ")*"
+        return f"<{unit.key}>{inner}</>" if unit.key else inner
     inner = "".join((f"({x})" if len(g.units) > 1 or g.optional or g.repeated else x) + ("*" if g.optional and g.repeated else "?" if g.optional else "+" if g.repeated else "") for g in unit.groups for x in ["".join(map(expression, g.units))])
     return f"<{unit.key}>{inner}</>" if unit.key else inner
 
@@ -499,6 +542,18 @@ def is_article(key: str) -> bool:
     return _tag(key) in ("article", "main") or bool(_words(key) & ARTICLE_ROLES)
 
 
+@lru_cache(65536)
+def role_key(key: str) -> str:
+    """The tag, and of the names only what they say about a region's role: as many keys as there are tags and roles."""
+    tag, words = _tag(key), _words(key)
+    if tag in ("#", ""):
+        return key
+    says = [name for name, on in (("header", words & HEADER_WORDS), ("hidden", "hidden" in words), ("main", words & ARTICLE_ROLES), ("tile", words & TEASER_WORDS)) if on]
+    says += [("menu-of", "menu")[how - 1] for how in [_said(key)] if how]
+    tag = tag if tag in _TAGS else "div"
+    return f"{tag}.{' '.join(says)}" if says else tag
+
+
 def _units(node: Node) -> list:
     return [u for g in node.groups for u in g.units]
 
@@ -588,13 +643,19 @@ class _Roles:
             inner = [u for u in _units(at) if isinstance(u, Node) and sizes[id(u)] >= DESCEND * sizes[id(at)] > 0 and _tag(u.key) in CONTAINERS]
             if not inner:
                 return at
+            # where it repeats, others of its tag that hold text are more of the same
+            tag = _tag(inner[0].key)
+            if any(g.repeated and inner[0] in g.units for g in at.groups) and any(u is not inner[0] and _tag(u.key) == tag and sizes[id(u)] for u in _units(at)):
+                return at
             at = inner[0]
 
-    def kept(self) -> dict[int, bool]:
+    def kept(self, alone: bool) -> dict[int, bool]:
         found = self.articles()
         by_tag = bool(found)
         keep: dict[int, bool] = {}
         todo = list(found) if by_tag else [self.largest()]
+        if not by_tag and not alone and todo[0].loose:
+            return keep
         while todo:
             for x in _units(todo.pop()):
                 if isinstance(x, Node):
@@ -605,9 +666,9 @@ class _Roles:
         return keep
 
 
-def roles(wrapper: Node) -> dict[int, bool]:
-    """Slots whose text belongs to the article, by the slot's id()."""
-    return _Roles(wrapper).kept()
+def roles(wrapper: Node, alone: bool = False) -> dict[int, bool]:
+    """Slots whose text belongs to the article, by the slot's id(); none where a host's wrapper can't tell (``alone``: it is one page's)."""
+    return _Roles(wrapper).kept(alone)
 
 
 def _spans(kids: list, periods: set[tuple[str, ...]]) -> list[tuple[int, int, int]]:
@@ -626,6 +687,16 @@ def _spans(kids: list, periods: set[tuple[str, ...]]) -> list[tuple[int, int, in
 def _texts(page: Node, wrapper: Node, keep: dict[int, bool], out: list[str]) -> None:
     """The page's texts whose slots are kept, in order of the page."""
     kids = page.kids
+    if wrapper.loose:
+        of_role = {u.key: u for u in _units(wrapper)}
+        for kid in kids:
+            unit = of_role.get(role_key(kid.key))
+            if isinstance(kid, Leaf):
+                if unit is not None and keep.get(id(unit)):
+                    out.append(kid.text)
+            elif unit is not None:
+                _texts(kid, unit, keep, out)
+        return
     mine = _spans(kids, {g.keys for g in wrapper.groups if len(g.keys) > 1})
     keys = [tuple(k.key for k in kids[i : i + period]) for i, period, _ in mine]
     slots = _collapse(wrapper.groups, {k for k in keys if len(k) > 1})
@@ -661,7 +732,7 @@ def main_text(html: str | None, wrapper: Node | None = None, keep: dict[int, boo
         _texts(page, wrapper, keep, out)
     if not out:
         own = wrapper_of(page)
-        _texts(page, own, roles(own), out)
+        _texts(page, own, roles(own, alone=True), out)
     return "\n\n".join(out)
 
 
