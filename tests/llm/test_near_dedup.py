@@ -125,3 +125,103 @@ def test_blocks_of_a_tile(spark, monkeypatch):
     of = {r.node: r.tile for r in tiles.collect()}
     assert all((a, b) in met for a in sizes for b in sizes if of[a] == of[b] and 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b]))
     assert len([key for key in held if key[0] == 0]) > 3 and [key for key in held if key[0] == 9] == [(9, 0, 0)]
+
+
+def test_bucket_is_compared_whole():
+    """Two that resemble each other are candidates wherever they stand in their bucket; rows of a bucket that is too large are noted."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    paths = rng.integers(0, 256, (200, nd.DEPTH + 1)).astype(np.uint8)
+    paths[:, : nd.BASE_DEPTH + 1] = 7
+    paths[:, nd.BASE_DEPTH + 1] = np.arange(200)  # so sorted
+    paths[150, nd.BASE_DEPTH + 2 :] = paths[3, nd.BASE_DEPTH + 2 :]
+    assert [x.tolist() for x in nd.candidates(paths, 0)] == [[3], [150]]
+    assert not nd.full_rows(paths, 199).any() and nd.full_rows(paths, 198).all()
+    paths[:60, 0] = 6
+    assert nd.full_rows(paths, 100).tolist() == [False] * 60 + [True] * 140
+
+
+def test_links_of_a_large_region(spark, sf_tables, monkeypatch):
+    """All texts resemble each other and only few pairs are linked, which lie in no run of their region together."""
+    monkeypatch.setattr(nd, "TILE", 2)
+    monkeypatch.setattr(nd, "PASSES", (range(1),))
+    monkeypatch.setattr(nd, "LIST", 16, raising=False)
+    rng = random.Random(4)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for k in range(120):
+        own = list(base)
+        for at in rng.sample(range(300), 27):
+            own[at] = f"x{k}x{at}"
+        texts.append(" ".join(own))
+        for at in rng.sample(range(300), 14):
+            own[at] = f"y{k}y{at}"
+        texts.append(" ".join(own))
+    docs = list(enumerate(texts))
+    got = nd.op2_minhash_forest(spark, sf_tables(documents=(docs, "doc_id long, text string"))).collect()
+    want = expected(docs)
+    assert 60 < len({r[2] for r in want}) < 200
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_links_of_full_buckets(spark, sf_tables, monkeypatch):
+    """Texts of common passages share buckets and are no candidates of each other; pairs among them are found."""
+    monkeypatch.setattr(nd, "BUCKET", 20, raising=False)
+    monkeypatch.setattr(nd, "LIST", 16, raising=False)
+    rng = random.Random(6)
+    passages, texts = [" ".join(f"p{k}w{i}" for i in range(5)) for k in range(60)], []
+    for k in range(300):
+        own = rng.sample(passages, 36)
+        texts.append(" ".join(own))
+        if k % 5 == 0:
+            texts.append(" ".join([*own[:-3], *(f"own{k}n{i}" for i in range(15))]))
+    docs = list(enumerate(texts)) + [(10, texts[77]), (None, texts[9])]
+    got = nd.op2_minhash_forest(spark, sf_tables(documents=(docs, "doc_id long, text string"))).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(expected(docs), key=key)
+
+
+def test_rows_of_a_list_meet(spark):
+    """Any two groups' rows of a key share a tile, of a few blocks at most; a key of one group has none."""
+    rng = random.Random(8)
+    rows = {(k % 3, node, node % 7, group) for k in range(3) for node in range(60) for group in [0 if node < 45 else rng.randrange(20)]}
+    rows |= {(5, node, 1, 9) for node in range(100)} | {(6, 1, 1, 2), (6, 2, 1, 3)}
+    held = {}
+    for r in nd.in_lists(spark.createDataFrame(sorted(rows), "key long, node long, n long, group long"), 10).collect():
+        held.setdefault(r.tile, []).append((r.node, r.group))
+        assert (r.node, r.n, r.group) in {x[1:] for x in rows}
+    met = {(a[0], b[0]) for tile in held.values() for a in tile for b in tile}
+    assert all((a[1], b[1]) in met for a in rows for b in rows if a[0] == b[0] and a[3] != b[3])
+    assert sorted(held[6]) == [(1, 2), (2, 3)] and all(g != 9 for tile in held.values() for _, g in tile)
+    assert max(map(len, held.values())) < 45
+
+
+def test_exact_bounds_drop_no_link():
+    """Linked sets share a shingle of their first ones in any order, and their parity bits pass."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (1, 2, 4, 5, 9, 10, 60, 400, 3000):
+        base = rng.integers(0, 1 << 64, n + n // 4 + 1, dtype=np.uint64)
+        sets += [np.unique(rng.permutation(base)[: n + rng.integers(0, n // 4 + 1)]) for _ in range(12)]
+    frequent = np.sort(np.concatenate(sets).view(np.int64))[::3].copy()
+    batch = pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets]), *(pa.array(range(len(sets))) for _ in range(3))], ["shingles", "node", "n", "group"])
+    first = {}
+    for b in nd._prefixes(80, frequent, np.arange(len(frequent)) % 5)([batch]):
+        for r in b.to_pylist():
+            first.setdefault(r["node"], set()).add(r["key"])
+    size, group = np.array([len(s) for s in sets]), np.arange(len(sets))
+    may = nd.may_link(np.stack([nd.parity(s) for s in sets]), size, group, 80, 0, len(sets))[0]
+    count = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            if i != j and 100 * both >= 80 * (len(a) + len(b) - both):
+                count += 1
+                assert may[i, j] and first[i] & first[j]
+    assert count > 50
+    exact = nd.spanning_links(sets, group, 80, True)
+    roots = nd._Roots(len(sets))
+    assert all(roots.join(i, j) for i, j in exact)
+    assert all(roots.find(i) == roots.find(j) for i in range(len(sets)) for j in range(i) if nd.linked([sets[i], sets[j]], 80)[0, 1])

@@ -188,16 +188,18 @@ def small_or_shuffled(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def joined_by(rows: DataFrame, values: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def joined_by(rows: DataFrame, values: DataFrame, key: str, count: str, total: int, keep: bool = False) -> DataFrame:
     """``rows`` joined with ``values`` (one row a ``key``, with the ``count`` of rows that hold it) where keys may be hot.
 
     Keys with more than ``total / HOT_PARTS`` rows are at most ``HOT_PARTS``, so
     their values are broadcast and their rows stay where they are; the others
-    are shuffled.  Rows whose key has no value are left out.
+    are shuffled.  Rows whose key has no value are left out.  The count is dropped
+    unless it is to ``keep``.
     """
     least = max(HOT_ROWS, total // HOT_PARTS)
-    hot = F.broadcast(values.where(F.col(count) >= least).drop(count))
-    cold = values.where(F.col(count) < least).drop(count)
+    dropped = () if keep else (count,)
+    hot = F.broadcast(values.where(F.col(count) >= least).drop(*dropped))
+    cold = values.where(F.col(count) < least).drop(*dropped)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 

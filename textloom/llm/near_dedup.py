@@ -3,12 +3,13 @@
 Method: a text's set of word shingles is hashed to 64 bits; texts with equal
 sets are one *class*, whatever their number.  Each class has ``HASHES`` MinHash
 values, of which the low byte is kept.  The forest has ``TREES`` orders: each
-sorts all classes by another sequence of ``DEPTH`` of these values.  Neighbours
-in an order are candidates: the ``WINDOW`` next classes on either side, as long
-as they share ``BASE_DEPTH`` values with the class, so where many do, the
-longest common prefixes decide and the depth follows the region.  Candidates
-whose values agree to ``SKETCH_AGREES``, well below the threshold, join their
-*regions*.
+sorts all classes by another sequence of ``DEPTH`` of these values.  Classes
+that share the first ``BASE_DEPTH`` values of an order are a *bucket*, and all of
+a bucket are candidates of each other.  Candidates whose values agree to
+``SKETCH_AGREES``, well below the threshold, join their *regions*.  Of a bucket
+of more than ``BUCKET`` + 1 classes only the ``WINDOW`` next ones on either side,
+those with the longest common prefixes, are compared at this point; the bucket
+is noted as *full*.
 
 Links are confirmed on full shingle sets.  A region of at most ``TILE`` classes
 is compared whole.  A larger one is sorted by each order of the forest, its
@@ -18,13 +19,21 @@ that its links hold together is done, as no comparison could change the answer.
 A run whose sets hold more than ``BLOCK_SHINGLES`` shingles is ordered by set
 size and cut into blocks of so many, and pairs of blocks are compared, so no task
 meets more than two; pairs of blocks whose sizes lie too far apart for any link
-are left out.  Only a spanning forest of the links leaves a task.  Components of
-these links are the answer.
+are left out.  Only a spanning forest of the links leaves a task.
+
+The rest is exact.  Full buckets and large regions that the links so far don't
+hold together are *open*.  Their classes are joined by shingles: in any order of
+all shingles, two sets that are linked share one of the first n - ceil(0.8 n) + 1
+of either, so only these are shuffled, the rarest first.  Lists of one shingle in
+which only one component occurs have nothing to add; longer ones than ``LIST`` are
+cut into blocks, and pairs of blocks meet, but for those of one component.  Pairs
+in a list are compared by parity bits, which differ in no more places than the
+sets differ in shingles, so they drop no link; what is left is confirmed on full
+sets.  Components of all these links are the answer.
 
 All orders are range-partitioned sorts, so a region of any size is spread over
 tasks; runs that end at the edge of a task are joined by a second pass over the
-edges.  Nothing grows with the number of copies, and no class is compared with
-all others of a large region.
+edges.  Nothing grows with the number of copies.
 
 Cases: a text without words (null, empty) has no shingles and is linked with
 nothing; fewer words than a shingle make one shingle; rows with equal texts are
@@ -50,11 +59,15 @@ from textloom.llm.common import LOWER, UPPER, connected, finished, fresh, joined
 from textloom.llm.text_stats import mix
 
 HASHES, TREES, DEPTH, BASE_DEPTH = 128, 24, 64, 3
-WINDOW = 16
+WINDOW, BUCKET = 16, 256
 SKETCH_AGREES = 0.6
 TILE = 512
 #: Shingles (8 bytes each) of a block; one longer set is a block of its own.
 BLOCK_SHINGLES = 2_000_000
+#: Rows of a shingle's list that are a block, and parity bits of a set.
+LIST, PARITY = 1024, 2048
+#: Shingles that come last in the order of the exact way: the most frequent ones in some ``ORDER_SETS`` sets.
+FREQUENT, ORDER_SETS = 200_000, 5000
 #: The orders by which large regions are cut, pass by pass; most regions are done after the first.
 PASSES = (range(1), range(1, 8), range(8, TREES))
 #: Tiles of more classes are sketched before sets are compared; beyond so many pairs a class, all sets are compared at once.
@@ -175,13 +188,35 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in paths], pa.binary()), b.column("node")], ["path", "node"])
 
 
-def candidates(paths: np.ndarray, new: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of neighbours in sorted ``paths`` that may be linked; only those with the later one at ``new`` or after."""
-    head = np.ascontiguousarray(paths[:, : BASE_DEPTH + 1]).view(np.uint32).ravel()
+def _heads(paths: np.ndarray) -> np.ndarray:
+    """The buckets of rows: tree and first values."""
+    return np.ascontiguousarray(paths[:, : BASE_DEPTH + 1]).view(np.uint32).ravel()
+
+
+def full_rows(paths: np.ndarray, bucket: int) -> np.ndarray:
+    """Which rows of sorted ``paths`` lie in a bucket of more than ``bucket`` + 1 rows."""
+    head, far = _heads(paths), bucket + 1
+    at = np.flatnonzero(head[:-far] == head[far:])
+    mark = np.zeros(len(head) + 1, np.int64)
+    mark[at] += 1
+    mark[at + far + 1] -= 1
+    return np.cumsum(mark)[:-1] > 0
+
+
+def candidates(paths: np.ndarray, new: int, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted ``paths`` of a bucket's rows that may be linked; only those with the later one at ``new`` or after.
+
+    Rows of full buckets meet those next to them.
+    """
+    head, full = _heads(paths), full_rows(paths, bucket)
     left, right = [], []
-    for step in range(1, min(WINDOW, len(paths) - 1) + 1):
+    for step in range(1, min(max(WINDOW, bucket), len(paths) - 1) + 1):
         at = np.flatnonzero(head[:-step] == head[step:])
+        if not len(at):
+            break
         at = at[at + step >= new]
+        if step > WINDOW:
+            at = at[~(full[at] & full[at + step])]
         at = at[(paths[at, 1:] == paths[at + step, 1:]).mean(1) >= SKETCH_AGREES]
         left.append(at)
         right.append(at + step)
@@ -189,45 +224,61 @@ def candidates(paths: np.ndarray, new: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _neighbours(edges: bool):
-    """A spanning forest of the candidates in a sorted task; with ``edges``, also its first and last rows."""
+def _neighbours(edges: bool, bucket: int):
+    """A spanning forest of the candidates in a sorted task, and the rows of full buckets (by ``path``'s head); with ``edges``, also the rows of its first and last bucket."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.binary()), ("node", pa.int64())])
 
     def pairs(paths: np.ndarray, nodes: np.ndarray, new: int) -> pa.RecordBatch:
-        i, j = candidates(paths, new)
+        i, j = candidates(paths, new, bucket)
         roots = _Roots(len(nodes))
         kept = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if roots.join(x, y)]
         none = pa.nulls(len(kept))
         return pa.RecordBatch.from_arrays([pa.array(nodes[i[kept]]), pa.array(nodes[j[kept]]), none.cast(pa.binary()), none.cast(pa.int64())], schema=schema)
 
-    def edge(paths: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    def rows(paths: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(nodes), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, pa.array([p.tobytes() for p in paths], pa.binary()), pa.array(nodes)], schema=schema)
 
+    def edge(paths: np.ndarray, nodes: np.ndarray, at: int) -> pa.RecordBatch:
+        on = (paths[:, : BASE_DEPTH + 1] == paths[at, : BASE_DEPTH + 1]).all(1)
+        return rows(paths[on], nodes[on])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths, nodes, first = np.zeros((0, DEPTH + 1), np.uint8), np.zeros(0, np.int64), True
+        paths, nodes, first = np.zeros((0, DEPTH + 1), np.uint8), np.zeros(0, np.int64), edges
         for b in slices(batches, 8192):
             old = len(nodes)
             paths, nodes = np.concatenate([paths, _bytes(b.column("path"), DEPTH + 1)]), np.concatenate([nodes, b.column("node").to_numpy()])
-            if first and edges:
-                yield edge(paths[:WINDOW], nodes[:WINDOW])
-            first = False
+            if first and len(nodes) > bucket:
+                yield edge(paths[: bucket + 1], nodes[: bucket + 1], 0)
+                first = False
             yield pairs(paths, nodes, old)
-            paths, nodes = paths[-WINDOW:].copy(), nodes[-WINDOW:].copy()
-        if edges and not first:
-            yield edge(paths, nodes)
+            full = full_rows(paths, bucket)
+            yield rows(paths[full, : BASE_DEPTH + 1], nodes[full])
+            paths, nodes = paths[-bucket - 1 :].copy(), nodes[-bucket - 1 :].copy()
+        if first and len(nodes):
+            yield edge(paths, nodes, 0)
+        if edges and len(nodes):
+            yield edge(paths, nodes, -1)
 
     return run
 
 
-def neighbours(classes: DataFrame) -> DataFrame:
-    """``a, b``: candidates among ``classes(node, signature)``, enough of them to hold their regions together."""
+def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: candidates among ``classes(node, signature)``, enough of them to hold their regions together; ``bin, node``: full buckets."""
     kind = "a long, b long, path binary, node long"
     rows = classes.mapInArrow(_forest, "path binary, node long")
-    found = written(rows.repartitionByRange("path", "node").sortWithinPartitions("path", "node").mapInArrow(_neighbours(True), kind))
-    # a few rows of each task, whatever the tasks hold; all tasks read, one compares
-    seams = found.where("path is not null").select("path", "node").repartition(1).sortWithinPartitions("path", "node").mapInArrow(_neighbours(False), kind)
-    return found.unionByName(seams).where("a <> b").select("a", "b").distinct()
+    found = written(rows.repartitionByRange("path", "node").sortWithinPartitions("path", "node").mapInArrow(_neighbours(True, BUCKET), kind))
+    # two buckets of each task, up to BUCKET + 1 rows of either; all tasks read, one compares
+    ends = found.where(F.length("path") > BASE_DEPTH + 1).select("path", "node").distinct()
+    seams = written(ends.repartition(1).sortWithinPartitions("path", "node").mapInArrow(_neighbours(False, BUCKET), kind))
+    both = found.unionByName(seams)
+    full = both.where(F.length("path") == BASE_DEPTH + 1).select(F.hex("path").alias("bin"), "node").distinct()
+    return both.where("a <> b").select("a", "b").distinct(), full
+
+
+def neighbours(classes: DataFrame) -> DataFrame:
+    """``a, b``: candidates among ``classes(node, signature)``, enough of them to hold their regions together."""
+    return forest(classes)[0]
 
 
 # --- links ------------------------------------------------------------------
@@ -273,10 +324,46 @@ def _similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left)[order], np.concatenate(right)[order]
 
 
-def spanning_links(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between ``sets`` that join all groups that any of their links joins."""
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles fall on each of ``PARITY`` places, as bits in 64-bit words."""
+    odd = np.bincount((shingles % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def may_link(bits: np.ndarray, size: np.ndarray, group: np.ndarray, percent: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows ``first`` to ``last`` and all rows: whether they may be linked and are of two groups, and in how many bits they differ.
+
+    Bits differ in no more places than sets differ in shingles, and linked sets
+    differ in at most (100 - percent) / (100 + percent) of their sizes' sum.
+    """
+    a, n = bits[first:last], size[first:last, None]
+    differ = np.bitwise_count(a[:, None] ^ bits[None]).sum(2, dtype=np.int64)
+    on = ((100 + percent) * differ <= (100 - percent) * (n + size)) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+    return on & (group[first:last, None] != group), differ
+
+
+def _possible(sets: list[np.ndarray], group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of different groups that may be linked, those that differ least first."""
+    bits, size, left, right, how = np.stack([parity(s) for s in sets]), np.array([len(s) for s in sets]), [], [], []
+    for i in range(0, len(sets), 32):
+        on, differ = may_link(bits, size, group, percent, i, i + 32)
+        x, y = np.nonzero(on)
+        later = x + i < y
+        x, y = x[later], y[later]
+        left.append(x + i)
+        right.append(y)
+        how.append(differ[x, y] / (size[x + i] + size[y]))
+    order = np.argsort(np.concatenate(how), kind="stable")
+    return np.concatenate(left)[order], np.concatenate(right)[order]
+
+
+def spanning_links(sets: list[np.ndarray], group: np.ndarray, percent: int, exact: bool = False) -> list[tuple[int, int]]:
+    """Links between ``sets`` that join all groups that any of their links joins; with ``exact``, without sketches."""
     n, size, out = len(sets), np.array([len(s) for s in sets]), []
-    i, j = _similar(sets) if n > SKETCHED else np.triu_indices(n, 1)
+    if n <= SKETCHED:
+        i, j = np.triu_indices(n, 1)
+    else:
+        i, j = _possible(sets, group, percent) if exact else _similar(sets)
     on = (group[i] != group[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
     i, j = i[on], j[on]
     all_at_once = linked(sets, percent) if len(i) > PAIRS_A_CLASS * n else None
@@ -319,11 +406,11 @@ def in_blocks(tiles: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
     return whole(sized.join(heavy, "tile", "left_anti")).unionByName(parts)
 
 
-def _tile(percent: int):
+def _tile(percent: int, exact: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         node, group = pdf["node"].to_numpy(), np.unique(pdf["group"].to_numpy(), return_inverse=True)[1]
-        out = [(int(node[i]), int(node[j])) for i, j in spanning_links(sets, group, percent)]
+        out = [(int(node[i]), int(node[j])) for i, j in spanning_links(sets, group, percent, exact)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -381,39 +468,147 @@ def _cut(size: int):
     return run
 
 
-def links(regions: DataFrame, classes: DataFrame, docs: DataFrame, repeated: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b``: links on full sets inside ``regions(node, region)`` that hold together what their links join; ``repeated`` ids have several rows."""
-    some = docs.select(F.col("doc_id").alias("node"), "text").join(small_or_shuffled(regions.select("node"), BROADCAST_IDS), "node")
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("shingles").to_pylist()), np.int64))], ["key"])
+
+
+def _prefixes(percent: int, frequent: np.ndarray, often: np.ndarray):
+    """The first shingles of each set, rarest first: linked sets share one of them."""
+
+    def first(shingles: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(frequent, shingles), max(0, len(frequent) - 1))
+        count = np.where(frequent[place] == shingles, often[place], 0) if len(frequent) else np.zeros(len(shingles), np.int64)
+        return shingles[np.lexsort((shingles, count))[: len(shingles) + percent * len(shingles) // -100 + 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = [first(np.frombuffer(x, np.int64)) for x in b.column("shingles").to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(b)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), *(b.column(c).take(take) for c in ("node", "n", "group"))], ["key", "node", "n", "group"])
+
+    return run
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        bits = [parity(np.frombuffer(x, np.uint64)).tobytes() for x in b.column("shingles").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.array(bits, pa.binary())], ["node", "n", "bits"])
+
+
+def in_lists(firsts: DataFrame, block: int) -> DataFrame:
+    """``tile, node, n, group``: the rows of ``firsts(key, node, n, group)`` that meet for a key, without those that meet no other group.
+
+    A list of at most ``block`` rows is a tile; a longer one is cut into blocks by group,
+    and a large group into several, and each two blocks that hold two groups are one.
+    """
+    sums = written(firsts.groupBy("key", "group").agg(F.count("*").alias("m")))
+    lists = written(sums.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.sum("m").alias("rows")).where("low < high").select("key", "rows"))
+    rows = written(joined_by(firsts, lists, "key", "rows", firsts.count(), keep=True))
+    short = rows.where(F.col("rows") <= block).select(F.col("key").alias("tile"), "node", "n", "group")
+    long = rows.where(F.col("rows") > block)
+    if long.isEmpty():
+        return short
+    # at most as many as rows / block
+    big = small_or_shuffled(written(sums.where(F.col("m") > block).withColumn("parts", F.ceil(F.col("m") / block)).select("key", "group", "parts")))
+    of_group = F.xxhash64(F.lit(1), "group", F.pmod(F.xxhash64("node"), "parts"))
+    shared = F.xxhash64(F.lit(2), F.pmod(F.xxhash64("group"), F.ceil(F.col("rows") / block)))
+    cut = written(long.join(big, ["key", "group"], "left").withColumn("block", F.when(F.col("parts").isNotNull(), of_group).otherwise(shared)).select("key", "block", "node", "n", "group"))
+    ends = written(cut.groupBy("key", "block").agg(F.min("group").alias("low"), F.max("group").alias("high")))
+    left, right = (ends.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("block", "low", "high"))) for side in ("left", "right"))
+    pairs = left.join(right, "key").where((F.col("left_block") <= F.col("right_block")) & (F.least("left_low", "right_low") < F.greatest("left_high", "right_high")))
+    tile = F.xxhash64("key", "left_block", "right_block").alias("tile")
+    sides = pairs.select("key", tile, F.explode(F.array_distinct(F.array("left_block", "right_block"))).alias("block"))
+    return short.unionByName(cut.join(sides, ["key", "block"]).select("tile", "node", "n", "group"))
+
+
+def _meet(percent: int):
+    """Of each tile in a sorted task the rows that may be linked with another group; tiles that leave the same nodes get one number."""
+    words = PARITY // 64
+
+    def joins(bits: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return np.concatenate([may_link(bits, size, group, percent, i, i + 32)[0].any(1) for i in range(0, len(size), 32)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
+
+        def tiles(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            tile, node, size, group, bits = held
+            cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), *([len(tile)] if last else [])]
+            out = []
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                on = np.flatnonzero(joins(bits[start:end], size[start:end], group[start:end])) + start
+                if len(on):
+                    nodes, at = np.unique(node[on], return_index=True)
+                    number = int.from_bytes(hashlib.blake2b(nodes.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    out.append((np.full(len(nodes), number), nodes, group[on[at]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["tile", "node", "group"])
+            held = tuple(x[cuts[-1] :].copy() for x in held)
+
+        for b in slices(batches, 8192):
+            new = *(b.column(c).to_numpy() for c in ("tile", "node", "n", "group")), _bytes(b.column("bits"), PARITY // 8).view(np.uint64)
+            held = tuple(map(np.concatenate, zip(held, new, strict=True)))
+            yield from tiles(False)
+        yield from tiles(True)
+
+    return run
+
+
+def rest_tiles(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``tile, node, group``: rows of ``rest(node, group)`` such that any two of different groups that are linked share a tile."""
+    own = written(sets.join(small_or_shuffled(rest, BROADCAST_IDS), "node"))
+    # the order decides on the work only, so some sets do
+    thin = own.where(F.pmod(F.xxhash64("node"), F.lit(max(1, own.count() // ORDER_SETS))) == 0)
+    often = thin.select("shingles").mapInArrow(_shingles, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    often = often.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas().sort_values("key")
+    firsts = own.mapInArrow(_prefixes(percent, often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)), "key long, node long, n long, group long")
+    rows = in_lists(written(firsts), LIST).join(own.select("node", "n", "shingles").mapInArrow(_parities, "node long, n long, bits binary"), ["node", "n"])
+    met = rows.repartition("tile").sortWithinPartitions("tile").select("tile", "node", "n", "group", "bits").mapInArrow(_meet(percent), "tile long, node long, group long")
+    return written(met.distinct())
+
+
+def links(regions: DataFrame, full: DataFrame, classes: DataFrame, docs: DataFrame, repeated: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: links on full sets inside ``regions(node, region)`` and ``full(bin, node)`` that hold together what their links join; ``repeated`` ids have several rows."""
+    wanted = written(regions.select("node").unionByName(full.select("node")).distinct())
+    some = docs.select(F.col("doc_id").alias("node"), "text").join(small_or_shuffled(wanted, BROADCAST_IDS), "node")
     if not repeated.isEmpty():  # only their texts are shuffled
         twice = small_or_shuffled(repeated.select(F.col("doc_id").alias("node")))
         some = some.join(twice, "node", "left_anti").unionByName(some.join(twice, "node", "left_semi").dropDuplicates(["node", "text"]))
     sets = written(some.select("node", "text").mapInArrow(_sets(size), "node long, n long, shingles binary"))
     lengths = written(sets.select("node", "n").distinct())
 
-    def found_in(tiles: DataFrame) -> DataFrame:
+    def found_in(tiles: DataFrame, exact: bool = False) -> DataFrame:
         rows = written(in_blocks(tiles, lengths, percent))
-        return written(sets.join(small_or_shuffled(rows, BROADCAST_TILES), ["node", "n"]).groupBy("tile", "left", "right").applyInPandas(_tile(percent), "a long, b long"))
+        return written(sets.join(small_or_shuffled(rows, BROADCAST_TILES), ["node", "n"]).groupBy("tile", "left", "right").applyInPandas(_tile(percent, exact), "a long, b long"))
 
     sizes = written(regions.groupBy("region").agg(F.count("*").alias("n")))
     few = regions.join(sizes.where(F.col("n") <= TILE), "region")
     found = found_in(written(few.select(F.col("region").alias("tile"), "node", F.col("node").alias("group"))))
     # large regions are at most as many as nodes / TILE
     large = written(regions.join(small_or_shuffled(sizes.where(F.col("n") > TILE)), "region").select("region", "node", F.col("node").alias("group")))
-    mine = None
     for trees in PASSES:
         if large.isEmpty():
             break
         rows = large.join(classes, "node").select("region", "node", "group", "signature").mapInArrow(_ordered(trees), "region long, node long, group long, path binary")
         tiles = rows.repartitionByRange("region", "path", "node").sortWithinPartitions("region", "path", "node").mapInArrow(_cut(TILE), "tile long, node long, group long")
         new = found_in(written(tiles))
-        mine = new if mine is None else mine.unionByName(new)
-        if trees is PASSES[-1] or new.isEmpty():
+        if new.isEmpty():
             continue
-        groups = connected(mine).select("node", F.col("component").alias("now"))
-        large = large.join(groups, "node", "left").select("region", "node", F.coalesce("now", "node").alias("group"))
-        open_ = large.groupBy("region", "group").count().groupBy("region").count().where("count > 1").select("region")
+        found = found.unionByName(new)
+        groups = connected(found).select("node", F.col("component").alias("now"))
+        large = large.drop("group").join(groups, "node", "left").select("region", "node", F.coalesce("now", "node").alias("group"))
+        open_ = large.groupBy("region").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("region")
         large = written(large.join(small_or_shuffled(written(open_)), "region"))
-    return found if mine is None else found.unionByName(mine)
+    bins = full.unionByName(large.select(F.col("region").cast("string").alias("bin"), "node"))
+    if bins.isEmpty():
+        return found
+    groups = connected(found).select("node", F.col("component").alias("now"))
+    bins = written(bins.join(groups, "node", "left").select("bin", "node", F.coalesce("now", "node").alias("group")))
+    open_ = written(bins.groupBy("bin").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("bin"))
+    rest = written(bins.join(small_or_shuffled(open_), "bin").select("node", "group").distinct())
+    return found if rest.isEmpty() else found.unionByName(found_in(rest_tiles(rest, sets, percent), True))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -423,9 +618,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     real = rows.where("set_key is not null and doc_id is not null")
     nodes = written(rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature"), F.count("*").alias("n")))
     classes = written(nodes.where("node is not null").select("node", "signature").dropDuplicates(["node", "signature"]))
-    regions = written(connected(neighbours(classes)).select("node", F.col("component").alias("region")))
+    near, full = forest(classes)
+    regions = written(connected(near).select("node", F.col("component").alias("region")))
     repeated = written(real.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    found = links(regions, classes, docs, repeated, shingle, percent)
+    found = links(regions, full, classes, docs, repeated, shingle, percent)
     # an id with several texts stands for all of them
     twice = real.select("doc_id", "set_key").join(small_or_shuffled(repeated), "doc_id").distinct().join(nodes.select("set_key", "node"), "set_key")
     groups = connected(found.unionByName(twice.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
