@@ -38,6 +38,25 @@ def test_connected_hub_nulls_and_repeats(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_few_edges_are_not_shuffled(spark):
+    sc, keys = spark.sparkContext, ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    edges = written(spark.range(100).selectExpr("id as a", "id div 10 as b"))
+    try:
+        for k, v in zip(keys, ("50", "false"), strict=True):
+            spark.conf.set(k, v)
+        sc.setJobGroup("few edges", "")
+        got = connected(edges)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+    tracker = sc.statusTracker()
+    stages = {k for job_id in tracker.getJobIdsForGroup("few edges") for k in tracker.getJobInfo(job_id).stageIds}
+    assert stages and sum(tracker.getStageInfo(k).numTasks for k in stages) < 50
+    assert {r.node: r.component for r in got.collect()} == dict.fromkeys(range(100), 0)
+
+
 def test_hot_keys_are_joined_alike(spark):
     rows = spark.createDataFrame([("hot", i) for i in range(1200)] + [("cold", 1), ("none", 2)], "k string, i int")
     values = spark.createDataFrame([("hot", 1, 1200), ("cold", 2, 1)], "k string, v int, n long")

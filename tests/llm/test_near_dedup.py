@@ -164,6 +164,27 @@ def test_links_of_a_large_region(spark, sf_tables, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_few_open_classes_take_one_pass(spark, sf_tables, monkeypatch):
+    """A pass over few classes costs more than its work, so what the first one leaves open is joined exactly."""
+    monkeypatch.setattr(nd, "TILE", 4)
+    passes, ordered = [], nd._ordered
+    monkeypatch.setattr(nd, "_ordered", lambda trees: passes.append(trees) or ordered(trees))
+    rng = random.Random(6)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for k in range(30):
+        for letter, changes in (("x", 27), ("y", 14)):
+            own = list(base if letter == "x" else own)
+            for at in rng.sample(range(300), changes):
+                own[at] = f"{letter}{k}{letter}{at}"
+            texts.append(" ".join(own))
+    docs = list(enumerate(texts))
+    got = nd.op2_minhash_forest(spark, sf_tables(documents=(docs, "doc_id long, text string"))).collect()
+    want = expected(docs)
+    assert len({r[2] for r in want}) > 10
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert len(passes) == 1
+
+
 def test_links_of_full_buckets(spark, sf_tables, monkeypatch):
     """Texts of common passages share buckets and are no candidates of each other; pairs among them are found."""
     monkeypatch.setattr(nd, "BUCKET", 20, raising=False)

@@ -223,22 +223,27 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[low], nodes[to[low]]
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a task, some at a time, as stars."""
-    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _stars(roots: bool):
+    """The edges of a task, some at a time, as stars; with ``roots``, where a task has all edges, each star's middle too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held = none, none
+
+        def out(more: np.ndarray = none) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, more])) for h in held], ["u", "v"])
+
+        for b in batches:
+            held = tuple(np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("u", "v"), strict=True))
+            if len(held[0]) >= STAR_EDGES:
+                held = stars(*held)
+                if not roots and 2 * len(held[0]) >= STAR_EDGES:
+                    yield out()
+                    held = none, none
+        held = stars(*held)
+        yield out(np.unique(held[1]) if roots else none)
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["u", "v"])
-
-    for b in batches:
-        held = tuple(np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("u", "v"), strict=True))
-        if len(held[0]) >= STAR_EDGES:
-            held = stars(*held)
-            if 2 * len(held[0]) >= STAR_EDGES:
-                yield out()
-                held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held = stars(*held)
-    yield out()
+    return run
 
 
 def _least(edges: DataFrame, total: int) -> DataFrame:
@@ -248,9 +253,10 @@ def _least(edges: DataFrame, total: int) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node.
+    """``(node, component)`` for every node of ``edges(a, b)``, as a written table; component is the smallest node.
 
-    Each task first makes stars of its own edges, ``STAR_EDGES`` at a time.
+    Each task first makes stars of its own edges where they are, ``STAR_EDGES`` at a time;
+    if so many are left at most, one task makes stars of these, and nothing is shuffled.
     While these aren't stars as a whole, large-star and small-star steps follow, and stars by task again: each
     shuffles the edge list only, the edge count never grows, and the number of
     rounds grows with the logarithm of the longest path at most.  A node with
@@ -259,23 +265,28 @@ def connected(edges: DataFrame) -> DataFrame:
     no rows.
     """
     with job() as own:
-        e = _contracted(edges, own)
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionByName(roots)
+        e, rooted = _contracted(edges, own)
+        if not rooted:
+            e = written(e.unionByName(e.select(F.col("v").alias("u"), "v").distinct()))
+            discard(edges.sparkSession, own, (own[-1],))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _contracted(edges: DataFrame, own: list[str]) -> DataFrame:
-    """``u, v``: each node that isn't the smallest of its component, with that smallest one."""
+def _contracted(edges: DataFrame, own: list[str]) -> tuple[DataFrame, bool]:
+    """``u, v``: each node that isn't the smallest of its component, with that smallest one; and whether the smallest ones have rows too."""
     spark = edges.sparkSession
-    e = written(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct())
+    e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    e = written(e.mapInArrow(_stars(False), "u long, v long"))
     total = e.count()
+    if total > STAR_EDGES:
+        e = written(e.distinct())
+        total = e.count()
     while total:
         parts = -(-total // STAR_EDGES)
-        e = written(e.coalesce(parts).mapInArrow(_stars, "u long, v long"))
+        e = written(e.coalesce(parts).mapInArrow(_stars(parts == 1), "u long, v long"))
         discard(spark, own, (own[-1],))
         if parts == 1:
-            break
+            return e, True
         ends = e.select("u", F.lit(1).alias("as_leaf"), F.lit(0).alias("as_root")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("as_leaf"), F.lit(1).alias("as_root")))
         ends = ends.groupBy("u").agg(F.sum("as_leaf").alias("leaf"), F.max("as_root").alias("root"))
         total, crossed = ends.agg(F.sum("leaf"), F.count_if(F.expr("leaf > 1 or leaf = 1 and root = 1"))).first()
@@ -286,7 +297,7 @@ def _contracted(edges: DataFrame, own: list[str]) -> DataFrame:
         small = _least(large, total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = written(small.where("u <> v").distinct())
         total = e.count()
-    return e
+    return e, False
 
 
 # --- labels -----------------------------------------------------------------

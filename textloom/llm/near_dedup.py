@@ -70,10 +70,14 @@ LIST, PARITY = 1024, 2048
 FREQUENT, ORDER_SETS = 200_000, 5000
 #: The orders by which large regions are cut, pass by pass; most regions are done after the first.
 PASSES = (range(1), range(1, 8), range(8, TREES))
+#: Up to so many classes in large regions there is one pass, by the orders of the first two; what it leaves open is joined exactly, as ever.
+FEW_OPEN = 20_000
 #: Tiles of more classes are sketched before sets are compared; beyond so many pairs a class, all sets are compared at once.
 SKETCHED, PAIRS_A_CLASS = 48, 64
 #: Regions' texts are fetched by a broadcast of ids up to this number (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Sets whose parity bits (256 bytes each) are broadcast.
+BROADCAST_BITS = 50_000
 #: Places of classes in tiles (24 bytes each) that are broadcast, so that only the sets they need are shuffled.
 BROADCAST_TILES = 500_000
 
@@ -244,7 +248,7 @@ def _neighbours(edges: bool, bucket: int):
         return rows(paths[on], nodes[on])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths, nodes, first = np.zeros((0, DEPTH + 1), np.uint8), np.zeros(0, np.int64), edges
+        paths, nodes, told, first = np.zeros((0, DEPTH + 1), np.uint8), np.zeros(0, np.int64), np.zeros(0, bool), edges
         for b in slices(batches, 8192):
             old = len(nodes)
             paths, nodes = np.concatenate([paths, _bytes(b.column("path"), DEPTH + 1)]), np.concatenate([nodes, b.column("node").to_numpy()])
@@ -252,9 +256,10 @@ def _neighbours(edges: bool, bucket: int):
                 yield edge(paths[: bucket + 1], nodes[: bucket + 1], 0)
                 first = False
             yield pairs(paths, nodes, old)
+            told = np.concatenate([told, np.zeros(len(b), bool)])
             full = full_rows(paths, bucket)
-            yield rows(paths[full, : BASE_DEPTH + 1], nodes[full])
-            paths, nodes = paths[-bucket - 1 :].copy(), nodes[-bucket - 1 :].copy()
+            yield rows(paths[full & ~told, : BASE_DEPTH + 1], nodes[full & ~told])
+            paths, nodes, told = paths[-bucket - 1 :].copy(), nodes[-bucket - 1 :].copy(), (told | full)[-bucket - 1 :]
         if first and len(nodes):
             yield edge(paths, nodes, 0)
         if edges and len(nodes):
@@ -264,7 +269,7 @@ def _neighbours(edges: bool, bucket: int):
 
 
 def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``a, b``: candidates among ``classes(node, signature)``, enough of them to hold their regions together; ``bin, node``: full buckets."""
+    """``a, b``: candidates among ``classes(node, signature)``, enough of them to hold their regions together; ``bin, node``: full buckets, some rows of which come twice."""
     kind = "a long, b long, path binary, node long"
     rows = classes.mapInArrow(_forest, "path binary, node long")
     found = written(rows.repartitionByRange("path", "node").sortWithinPartitions("path", "node").mapInArrow(_neighbours(True, BUCKET), kind))
@@ -272,8 +277,8 @@ def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = found.where(F.length("path") > BASE_DEPTH + 1).select("path", "node").distinct()
     seams = written(ends.repartition(1).sortWithinPartitions("path", "node").mapInArrow(_neighbours(False, BUCKET), kind))
     both = found.unionByName(seams)
-    full = both.where(F.length("path") == BASE_DEPTH + 1).select(F.hex("path").alias("bin"), "node").distinct()
-    return both.where("a <> b").select("a", "b").distinct(), full
+    full = both.where(F.length("path") == BASE_DEPTH + 1).select(F.hex("path").alias("bin"), "node")
+    return both.where("a <> b").select("a", "b"), written(full)
 
 
 def neighbours(classes: DataFrame) -> DataFrame:
@@ -384,12 +389,12 @@ def spanning_links(sets: list[np.ndarray], group: np.ndarray, percent: int, exac
 
 
 def in_blocks(tiles: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
-    """``tile, left, right, node, n, group``: the rows of ``tiles(tile, node, group)`` for each two blocks that are compared.
+    """``tile, left, right, node, n, group``: the rows of ``tiles(tile, node, group)`` for each two blocks that are compared, as a written table.
 
     ``lengths(node, n)`` are the sizes of the nodes' sets; a tile within
     ``BLOCK_SHINGLES`` is one block, and compared with itself.
     """
-    sized = written(tiles.join(lengths, "node"))
+    sized = written(lengths.join(small_or_shuffled(tiles, BROADCAST_TILES), "node"))
     heavy = written(sized.groupBy("tile").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("tile"))
     whole = lambda df: df.select("tile", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), "node", "n", "group")
     if heavy.isEmpty():
@@ -403,7 +408,7 @@ def in_blocks(tiles: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
     pairs = left.join(right, "tile").where((F.col("left") <= F.col("right")) & (100 * F.col("left_most") >= percent * F.col("right_least")))
     sides = pairs.select("tile", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
     parts = cut.join(sides, ["tile", "block"]).select("tile", "left", "right", "node", "n", "group")
-    return whole(sized.join(heavy, "tile", "left_anti")).unionByName(parts)
+    return written(whole(sized.join(heavy, "tile", "left_anti")).unionByName(parts))
 
 
 def _tile(percent: int, exact: bool):
@@ -502,15 +507,14 @@ def in_lists(firsts: DataFrame, block: int) -> DataFrame:
     A list of at most ``block`` rows is a tile; a longer one is cut into blocks by group,
     and a large group into several, and each two blocks that hold two groups are one.
     """
-    sums = written(firsts.groupBy("key", "group").agg(F.count("*").alias("m")))
-    lists = written(sums.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.sum("m").alias("rows")).where("low < high").select("key", "rows"))
+    lists = written(firsts.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("rows")).where("low < high").select("key", "rows"))
     rows = written(joined_by(firsts, lists, "key", "rows", firsts.count(), keep=True))
     short = rows.where(F.col("rows") <= block).select(F.col("key").alias("tile"), "node", "n", "group")
     long = rows.where(F.col("rows") > block)
     if long.isEmpty():
         return short
     # at most as many as rows / block
-    big = small_or_shuffled(written(sums.where(F.col("m") > block).withColumn("parts", F.ceil(F.col("m") / block)).select("key", "group", "parts")))
+    big = small_or_shuffled(written(long.groupBy("key", "group").agg(F.ceil(F.count("*") / block).alias("parts")).where("parts > 1")))
     of_group = F.xxhash64(F.lit(1), "group", F.pmod(F.xxhash64("node"), "parts"))
     shared = F.xxhash64(F.lit(2), F.pmod(F.xxhash64("group"), F.ceil(F.col("rows") / block)))
     cut = written(long.join(big, ["key", "group"], "left").withColumn("block", F.when(F.col("parts").isNotNull(), of_group).otherwise(shared)).select("key", "block", "node", "n", "group"))
@@ -560,67 +564,80 @@ def rest_tiles(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``tile, node, group``: rows of ``rest(node, group)`` such that any two of different groups that are linked share a tile."""
     own = written(sets.join(small_or_shuffled(rest, BROADCAST_IDS), "node"))
     # the order decides on the work only, so some sets do
-    thin = own.where(F.pmod(F.xxhash64("node"), F.lit(max(1, own.count() // ORDER_SETS))) == 0)
+    total = own.count()
+    thin = own.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total // ORDER_SETS))) == 0)
     often = thin.select("shingles").mapInArrow(_shingles, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
     often = often.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas().sort_values("key")
     firsts = own.mapInArrow(_prefixes(percent, often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)), "key long, node long, n long, group long")
-    rows = in_lists(written(firsts), LIST).join(own.select("node", "n", "shingles").mapInArrow(_parities, "node long, n long, bits binary"), ["node", "n"])
+    bits = own.select("node", "n", "shingles").mapInArrow(_parities, "node long, n long, bits binary")
+    rows = in_lists(written(firsts), LIST).join(F.broadcast(bits) if total <= BROADCAST_BITS else bits, ["node", "n"])
     met = rows.repartition("tile").sortWithinPartitions("tile").select("tile", "node", "n", "group", "bits").mapInArrow(_meet(percent), "tile long, node long, group long")
     return written(met.distinct())
 
 
 def links(regions: DataFrame, full: DataFrame, classes: DataFrame, docs: DataFrame, repeated: DataFrame, size: int, percent: int) -> DataFrame:
     """``a, b``: links on full sets inside ``regions(node, region)`` and ``full(bin, node)`` that hold together what their links join; ``repeated`` ids have several rows."""
-    wanted = written(regions.select("node").unionByName(full.select("node")).distinct())
-    some = docs.select(F.col("doc_id").alias("node"), "text").join(small_or_shuffled(wanted, BROADCAST_IDS), "node")
-    if not repeated.isEmpty():  # only their texts are shuffled
+    some_full = not full.isEmpty()
+    wanted = regions.select("node").unionByName(full.select("node"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else small_or_shuffled(written(wanted.distinct()), BROADCAST_IDS)
+    some = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
+    several = not repeated.isEmpty()
+    if several:  # only their texts are shuffled
         twice = small_or_shuffled(repeated.select(F.col("doc_id").alias("node")))
         some = some.join(twice, "node", "left_anti").unionByName(some.join(twice, "node", "left_semi").dropDuplicates(["node", "text"]))
     sets = written(some.select("node", "text").mapInArrow(_sets(size), "node long, n long, shingles binary"))
-    lengths = written(sets.select("node", "n").distinct())
+    lengths = written(sets.select("node", "n").distinct()) if several else sets.select("node", "n")
 
     def found_in(tiles: DataFrame, exact: bool = False) -> DataFrame:
-        rows = written(in_blocks(tiles, lengths, percent))
-        return written(sets.join(small_or_shuffled(rows, BROADCAST_TILES), ["node", "n"]).groupBy("tile", "left", "right").applyInPandas(_tile(percent, exact), "a long, b long"))
+        rows = small_or_shuffled(in_blocks(tiles, lengths, percent), BROADCAST_TILES)
+        return written(sets.join(rows, ["node", "n"]).groupBy("tile", "left", "right").applyInPandas(_tile(percent, exact), "a long, b long"))
 
-    sizes = written(regions.groupBy("region").agg(F.count("*").alias("n")))
-    few = regions.join(sizes.where(F.col("n") <= TILE), "region")
-    found = found_in(written(few.select(F.col("region").alias("tile"), "node", F.col("node").alias("group"))))
     # large regions are at most as many as nodes / TILE
-    large = written(regions.join(small_or_shuffled(sizes.where(F.col("n") > TILE)), "region").select("region", "node", F.col("node").alias("group")))
-    for trees in PASSES:
-        if large.isEmpty():
+    large = small_or_shuffled(written(regions.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("region")))
+    few = regions.join(large, "region", "left_anti")
+    found = found_in(written(few.select(F.col("region").alias("tile"), "node", F.col("node").alias("group"))))
+    large = written(regions.join(large, "region").select("region", "node", F.col("node").alias("group")))
+    total, more = large.count(), None
+    # few classes: the orders of the first passes at once, as a pass costs more than its work
+    for trees in PASSES if total > FEW_OPEN else (range(PASSES[:2][-1].stop),):
+        if not total:
             break
         rows = large.join(classes, "node").select("region", "node", "group", "signature").mapInArrow(_ordered(trees), "region long, node long, group long, path binary")
         tiles = rows.repartitionByRange("region", "path", "node").sortWithinPartitions("region", "path", "node").mapInArrow(_cut(TILE), "tile long, node long, group long")
         new = found_in(written(tiles))
         if new.isEmpty():
             continue
-        found = found.unionByName(new)
-        groups = connected(found).select("node", F.col("component").alias("now"))
-        large = large.drop("group").join(groups, "node", "left").select("region", "node", F.coalesce("now", "node").alias("group"))
-        open_ = large.groupBy("region").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("region")
-        large = written(large.join(small_or_shuffled(written(open_)), "region"))
-    bins = full.unionByName(large.select(F.col("region").cast("string").alias("bin"), "node"))
-    if bins.isEmpty():
-        return found
-    groups = connected(found).select("node", F.col("component").alias("now"))
-    bins = written(bins.join(groups, "node", "left").select("bin", "node", F.coalesce("now", "node").alias("group")))
-    open_ = written(bins.groupBy("bin").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("bin"))
-    rest = written(bins.join(small_or_shuffled(open_), "bin").select("node", "group").distinct())
+        more = new if more is None else more.unionByName(new)
+        groups = small_or_shuffled(connected(more).select("node", F.col("component").alias("now")), BROADCAST_IDS)  # links of a region lie inside it
+        large = written(large.drop("group").join(groups, "node", "left").select("region", "node", F.coalesce("now", "node").alias("group")))
+        large = written(large.join(open_parts(large, "region"), "region"))
+        total = large.count()
+    found = found if more is None else found.unionByName(more)
+    rest = large.select("node", "group")
+    if some_full:
+        groups = small_or_shuffled(connected(found).select("node", F.col("component").alias("now")), BROADCAST_IDS)
+        bins = written(full.join(groups, "node", "left").select("bin", "node", F.coalesce("now", "node").alias("group")))
+        rest = written(rest.unionByName(bins.join(open_parts(bins, "bin"), "bin").select("node", "group")).distinct())
     return found if rest.isEmpty() else found.unionByName(found_in(rest_tiles(rest, sets, percent), True))
 
 
+def open_parts(rows: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` in whose ``rows`` there is more than one ``group``."""
+    return small_or_shuffled(written(rows.groupBy(key).agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select(key)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(docs.mapInArrow(_features(shingle), "doc_id long, n_shingles long, set_key binary, signature binary"))
     real = rows.where("set_key is not null and doc_id is not null")
     nodes = written(rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature"), F.count("*").alias("n")))
-    classes = written(nodes.where("node is not null").select("node", "signature").dropDuplicates(["node", "signature"]))
-    near, full = forest(classes)
-    regions = written(connected(near).select("node", F.col("component").alias("region")))
     repeated = written(real.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    classes = nodes.where("node is not null").select("node", "signature")
+    if not repeated.isEmpty():  # else each set has a node of its own
+        classes = written(classes.dropDuplicates(["node", "signature"]))
+    near, full = forest(classes)
+    regions = connected(near).select("node", F.col("component").alias("region"))
     found = links(regions, full, classes, docs, repeated, shingle, percent)
     # an id with several texts stands for all of them
     twice = real.select("doc_id", "set_key").join(small_or_shuffled(repeated), "doc_id").distinct().join(nodes.select("set_key", "node"), "set_key")
