@@ -14,7 +14,8 @@ is noted as *full*.
 Links are confirmed on full shingle sets.  A region of at most ``TILE`` classes
 is compared whole.  A larger one is sorted by each order of the forest, its
 prefixes deepened until ``TILE`` classes are left, and each such run compared,
-but for classes that agree with none they aren't yet joined with.  A region
+but for classes that agree with none they aren't yet joined with; where such
+regions hold few classes in all, by the first orders only.  A region
 that its links hold together is done, as no comparison could change the answer.
 A run whose sets hold more than ``BLOCK_SHINGLES`` shingles is ordered by set
 size and cut into blocks of so many, and pairs of blocks are compared, so no task
