@@ -1,10 +1,14 @@
+import json
 import os
+import random
+import string
 import threading
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from public_tokenizers import path as public
+from tokenizers import Tokenizer
 
 from textloom.llm import common
 from textloom.llm.common import connected, discard, finished, fresh, job, joined_by, placed, sliced, slices, written
@@ -132,3 +136,39 @@ def test_encoder_keeps_no_more_than_it_remembers():
         again = enc.encode(texts)
         assert (again[0] == first[0]).all() and (again[1] == first[1]).all()
     assert (len(enc.flat), len(enc.known)) == size and enc.lens.sum() == len(enc.flat)
+
+
+def test_encoder_gives_the_librarys_ids():
+    rng, tok = random.Random(3), Tokenizer.from_file(public("word_bpe_49k.json"))
+    parts = ["a", "the", "Qu", "É", "é", "ñ", "ß", "ẞ", "ÿ", "Ÿ", "×", "÷", "ª", "µ", "İ", "Σ", "Σς", "ﬁ", "\u0301", "\u0338", "\xad", "\x85", "\xa0", "\x00", "\x1f", "9", "½", "٣", "語", "한", "😀"]
+    parts += [*string.punctuation, "'s", "'LL", "<|endoftext|>", "<|", "</w>", "_", " ", " ", "\n", "\t"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(3000)] + ["", None, "É" * 300 + "!" * 300, "...", "'"]
+    enc = WordEncoder(public("word_bpe_49k.json"))
+    for some in (texts[:1000], texts, [], ["", None]):
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in some]
+        ids, n = enc.encode(pa.array(some, pa.string()))
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_encoder_learns_a_word_once_in_all_cases_and_before_all_marks():
+    enc = WordEncoder(public("word_bpe_49k.json"))
+    words = [f"{a}{b}ñ" for a in "abcdefg" for b in "uvwxyz"]
+    enc.encode(pa.array([" ".join(f"{w} {w.upper()} {w.title()}, {w}!" for w in words)]))
+    assert len(enc.known) == len(words) + 3  # "", "," and "!"
+
+
+@pytest.mark.parametrize("change", ["rules", "added"])
+def test_encoder_under_other_rules(tmp_path, change):
+    with open(public("word_bpe_49k.json")) as f:
+        file = json.load(f)
+    if change == "rules":
+        file["normalizer"]["normalizers"].pop()  # upper case stays
+    else:
+        file["added_tokens"].append({**file["added_tokens"][0], "id": 49408, "content": "Stop!"})
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(file, f)
+    texts, tok = ["Hello HELLO, hello! Stop! stop!", "éÉ É."], Tokenizer.from_file(path)
+    ids, n = WordEncoder(path).encode(pa.array(texts))
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
