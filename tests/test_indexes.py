@@ -79,6 +79,48 @@ def test_replace_drop_and_null(spark, tmp_path):
     assert hits(postings.Index(spark, f"{tmp_path}/none").topk("w1", 5)) == []
 
 
+def shuffled(spark):
+    """Bytes that the session's stages have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_build_shuffles_neither_texts_nor_postings(spark, tmp_path):
+    path = f"{tmp_path}/i"
+    rows = docs(spark, 1000)
+    texts = rows.agg(F.sum(F.length("text"))).first()[0]
+    before = shuffled(spark)
+    postings.put(rows, path, 4)
+    postings.put(rows.where("doc_id % 10 = 0"), path)
+    postings.drop(rows.where("doc_id % 10 = 1"), path)
+    assert shuffled(spark) - before < texts / 50
+
+
+@pytest.mark.parametrize("ids", [0, 1_000_000])
+def test_slices_and_pieces(spark, tmp_path, monkeypatch, ids):
+    for name, value in (("BLOCK_CHUNKS", 5), ("SLICE_WORDS", 700), ("BATCH_ENTRIES", 40), ("BROADCAST_IDS", ids)):
+        monkeypatch.setattr(postings, name, value)
+    path = f"{tmp_path}/i"
+    more = spark.createDataFrame([(None, "w1 of no id"), (700, ""), (701, " ?! a"), (702, "w1 w1")], DOCS)
+    postings.put(docs(spark, 200).unionByName(more), path, 3)
+    postings.put(docs(spark, 40, seed=2), path)
+    want = retrieval.chunk_table(docs(spark, 200).where("doc_id >= 40").unionByName(docs(spark, 40, seed=2)).unionByName(more))
+    ix = postings.Index(spark, path)
+    for query in ("w1 w2", "w3 w5 w8 w13"):
+        # a chunk without an id counts, but is no answer
+        assert hits(ix.topk(query, 12)) == [h for h in scanned(want, query, 13) if h[0] is not None][:12]
+    rows = ix.postings.select("term", "block", "n", "max_f", "least_words", "entries").collect()
+    assert all(r.n == len(r.entries) and r.max_f == max(e.f for e in r.entries) and r.least_words == min(e.n_words for e in r.entries) for r in rows)
+    of = {}
+    for r in rows:
+        for e in r.entries:
+            of.setdefault(r.block, set()).add((e.doc_id, e.chunk_no))
+    assert max(map(len, of.values())) == 5 and sum(map(len, of.values())) == len(set().union(*of.values()))  # a chunk is in one block
+
+
 def test_hybrid_is_that_of_a_scan(spark, index):
     rng = random.Random(5)
     vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(0, 300, 3)] + [(1, None), (2, [1.0])], "doc_id long, embedding array<float>")

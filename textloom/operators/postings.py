@@ -6,6 +6,10 @@ length, so that its bound is close.  A posting row keeps the largest number of
 occurrences and the least length of its entries: with these no entry of the row
 scores more than ``bound``, whatever the corpus has become meanwhile.
 
+Postings are made by the tasks that read a part's stored chunks, slice by
+slice, and written by them: neither texts nor postings are shuffled, so a build
+needs no more disk than the version that it writes.
+
 A question reads the rows of its terms only.  It first scores the blocks that
 promise most; a block whose bounds add up to less than the k-th score found
 there is skipped.  The answer is that of a full scan.
@@ -14,10 +18,12 @@ there is skipped.  The answer is that of a full scan.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +33,14 @@ from textloom.functions.text import cosine, words
 from textloom.operators.retrieval import _idf, chunk_table, query_terms
 from textloom.sources import versions
 
-#: Chunks of a part for each number that a length's chunks are dealt to; lengths are some ten, so a block has a few hundred chunks at most.
-BLOCK_CHUNKS = 2048
+#: Chunks of a block at most; they are of one part, one slice and about one length.
+BLOCK_CHUNKS = 512
+#: Words of a slice (but for what its last batch is over), so that a task's memory doesn't follow its chunks.
+SLICE_WORDS = 2_000_000
+#: Entries that a task passes on at a time.
+BATCH_ENTRIES = 100_000
+#: Ids put or dropped at once that are sent to all tasks; with more, the old chunks are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Blocks that are scored first, to learn what the k-th score is at least.
 FIRST_BLOCKS = 32
 #: Blocks that may still hold one of the best, up to which their numbers are sent to all tasks.
@@ -39,34 +51,97 @@ SLACK = 1 + 1e-9
 CHUNKS = "doc_id bigint, chunk_no int, n_words int, text string"
 POSTINGS = "term string, block bigint, n bigint, max_f bigint, least_words int, entries array<struct<doc_id:bigint,chunk_no:int,f:bigint,n_words:int>>"
 #: Row groups are small and sorted by term, so that most are skipped by their least and largest term.
-OPTIONS = {"parquet.block.size": str(4 << 20)}
-
-
-def _block(blocks: int) -> Column:
-    """A chunk's block: its part, its length by quarters of powers of two, then its id's hash."""
-    length = F.floor(4 * F.log2(F.col("n_words") + 1)).cast("long")
-    return F.shiftleft(F.col("part").cast("long"), 40) + length * blocks + F.pmod(F.xxhash64("doc_id", "chunk_no"), F.lit(blocks))
-
-
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("f", T.LongType())])))
-def counted(lists: pa.Array) -> pa.Array:
-    """The distinct words of each row with their numbers."""
-    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+OPTIONS = {"parquet.block.size": str(4 << 20), "compression": "zstd"}
+
+
+ENTRY = pa.struct([("doc_id", pa.int64()), ("chunk_no", pa.int32()), ("f", pa.int64()), ("n_words", pa.int32())])
+NUMBER = 20  # bits of a block's number in its task, and of a task's number
+
+
+def _blocks(part: np.ndarray, n_words: np.ndarray, doc_id: np.ndarray, size: int) -> np.ndarray:
+    """A block for each chunk, from 0: its part, its length by quarters of powers of two, then ``size`` chunks at most in the order of their lengths."""
+    length = np.floor(4 * np.log2(n_words + 1)).astype(np.int64)
+    order = np.lexsort((doc_id, n_words, length, part))
+    starts = np.ones(len(order), bool)
+    starts[1:] = (np.diff(part[order]) != 0) | (np.diff(length[order]) != 0)
+    at = np.arange(len(order))
+    rank = at - np.maximum.accumulate(np.where(starts, at, 0))
+    blocks = np.empty(len(order), np.int64)
+    blocks[order] = np.cumsum(rank % size == 0) - 1
+    return blocks
+
+
+def _slices(batches: Iterable[pa.RecordBatch], slice_words: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += pc.sum(pc.list_value_length(batch.column("words"))).as_py() or 0
+        if n >= slice_words:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _slice_postings(held: pa.Table, first: int, size: int) -> tuple[pa.RecordBatch, int]:
+    """Posting rows of some chunks, by term and block, and the number of blocks; these are numbered from ``first``."""
+    doc_id = held.column("doc_id").combine_chunks()
+    part, chunk_no, n_words = (held.column(c).to_numpy() for c in ("part", "chunk_no", "n_words"))
+    ids = pc.fill_null(doc_id, 0).to_numpy()
+    block = _blocks(part, n_words, ids, size)
+    order = np.lexsort((chunk_no, ids, block))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+
+    lists = held.column("words").combine_chunks()
     coded = lists.flatten().dictionary_encode()
-    vocabulary = max(1, len(coded.dictionary))
-    key, f = np.unique(np.repeat(np.arange(len(n)), n) * vocabulary + coded.indices.to_numpy(), return_counts=True)
-    row, code = np.divmod(key, vocabulary)
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))]).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(f.astype(np.int64))], ["term", "f"])
-    return pa.ListArray.from_arrays(pa.array(cuts), pairs)
-
-
-def _postings(chunked: DataFrame, blocks: int) -> DataFrame:
-    """Posting rows of ``chunked(part, doc_id, chunk_no, n_words, text)``: a chunk's words are counted where it lies."""
-    held = chunked.select("part", "doc_id", "chunk_no", "n_words", _block(blocks).alias("block"), F.explode(counted(words(F.col("text")))).alias("w"))
-    entry = F.struct("doc_id", "chunk_no", F.col("w.f").alias("f"), "n_words")
-    rows = held.groupBy("part", F.col("w.term").alias("term"), "block")
-    return rows.agg(F.count("*").alias("n"), F.max("w.f").alias("max_f"), F.min("n_words").alias("least_words"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    by_term = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(by_term), np.int64)
+    rank[by_term] = np.arange(len(by_term))
+    places = max(1, len(order))
+    key, f = np.unique(rank[coded.indices.to_numpy()] * places + np.repeat(place, pc.list_value_length(lists).to_numpy()), return_counts=True)
+    term, place = np.divmod(key, places)
+    at = order[place]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(term) != 0) | (np.diff(block[at]) != 0)
+    starts = np.flatnonzero(new)
+    lead, cuts = at[starts], np.append(starts, len(at))
+    least = lambda x: np.minimum.reduceat(x, starts) if len(starts) else x
+
+    values = [doc_id.take(pa.array(at)), pa.array(chunk_no[at]), pa.array(f), pa.array(n_words[at])]
+    entries = pa.StructArray.from_arrays([v.cast(kind.type) for v, kind in zip(values, ENTRY, strict=True)], fields=list(ENTRY))
+    columns = {
+        "part": pa.array(part[lead], pa.int32()),
+        "term": coded.dictionary.take(pa.array(by_term[term[starts]])).cast(pa.string()),
+        "block": pa.array((part[lead].astype(np.int64) << 2 * NUMBER) + first + block[lead]),
+        "n": pa.array(np.diff(cuts), pa.int64()),
+        "max_f": pa.array(-least(-f), pa.int64()),
+        "least_words": pa.array(least(n_words[at]), pa.int32()),
+        "entries": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), entries),
+    }
+    return pa.RecordBatch.from_pydict(columns), int(block.max(initial=-1)) + 1
+
+
+def _made(size: int, slice_words: int, batch_entries: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes posting rows of a task's chunks, slice by slice."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << NUMBER
+        for held in _slices(batches, slice_words):
+            made, blocks = _slice_postings(held, first, size)
+            first += blocks
+            upto = made.column("entries").offsets.to_numpy()
+            cuts = [*np.unique(np.searchsorted(upto[:-1], np.arange(0, upto[-1], batch_entries))), made.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                yield made.slice(lo, hi - lo)
+
+    return rows
+
+
+def _postings(chunked: DataFrame) -> DataFrame:
+    """Posting rows of ``chunked(part, doc_id, chunk_no, n_words, text)``, made where the chunks lie; a term and block may have several."""
+    held = chunked.select("part", "doc_id", "chunk_no", "n_words", words(F.col("text")).alias("words"))
+    return held.mapInArrow(_made(BLOCK_CHUNKS, SLICE_WORDS, BATCH_ENTRIES), f"part int, {POSTINGS}").sortWithinPartitions("part", "term", "block")
 
 
 def put(docs: DataFrame, path: str, parts: int = 64) -> None:
@@ -77,33 +152,30 @@ def put(docs: DataFrame, path: str, parts: int = 64) -> None:
     """
     spark = docs.sparkSession
     parts = versions.current(spark, path)[2] or parts
-    ids = docs.select(versions.part_of("doc_id", parts).alias("part")).distinct()
-    touched = [r.part for r in ids.collect()]  # parts at most
-    old = versions.load(spark, path, "chunks", CHUNKS, touched)
-    kept = old.join(docs.select("doc_id").distinct(), "doc_id", "left_anti")
     new = chunk_table(docs).select("doc_id", "chunk_no", F.size(words(F.col("text"))).alias("n_words"), "text")
-    _build(spark, kept.unionByName(new.select(kept.columns)), path, touched, parts)
+    _replace(docs, new, path, parts)
 
 
 def drop(ids: DataFrame, path: str) -> None:
     """Takes the documents ``ids(doc_id)`` out of the index."""
-    spark = ids.sparkSession
-    parts = versions.current(spark, path)[2]
-    if parts is None:
-        return
-    touched = [r.part for r in ids.select(versions.part_of("doc_id", parts).alias("part")).distinct().collect()]
-    kept = versions.load(spark, path, "chunks", CHUNKS, touched).join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
-    _build(spark, kept, path, touched, parts)
-
-
-def _build(spark: SparkSession, chunked: DataFrame, path: str, touched: list[int], parts: int) -> None:
-    rows = chunked.withColumn("part", versions.part_of("doc_id", parts))
-
-    def posted(stored: DataFrame) -> DataFrame:
-        blocks = max(1, stored.count() // max(1, len(touched)) // BLOCK_CHUNKS)
-        return _postings(stored, blocks).repartition("part", F.xxhash64("term") % 4).sortWithinPartitions("part", "term", "block")
-
-    versions.save(spark, path, {"chunks": rows, "postings": posted}, touched, parts, OPTIONS)
+    parts = versions.current(ids.sparkSession, path)[2]
+    if parts is not None:
+        _replace(ids, None, path, parts)
+
+
+def _replace(ids: DataFrame, new: DataFrame | None, path: str, parts: int) -> None:
+    """The chunks ``new``, if any, in place of those of ``ids``, in the parts that hold one of the ids."""
+    spark, ids = ids.sparkSession, ids.select("doc_id")
+    dealt = ids.groupBy(versions.part_of("doc_id", parts).alias("part")).count().collect()  # parts at most
+    touched = [r.part for r in dealt]
+    if set(touched) & set(versions.current(spark, path)[1]):
+        # a few ids are sent to the chunks, so that these are not shuffled
+        gone = F.broadcast(ids) if sum(r["count"] for r in dealt) <= BROADCAST_IDS else ids
+        old = versions.load(spark, path, "chunks", CHUNKS, touched).join(gone, "doc_id", "left_anti")
+        rows = old if new is None else old.unionByName(new.select(old.columns))
+    else:
+        rows = spark.createDataFrame([], CHUNKS) if new is None else new
+    versions.save(spark, path, {"chunks": rows.withColumn("part", versions.part_of("doc_id", parts)), "postings": _postings}, touched, parts, OPTIONS)
 
 
 class Index:

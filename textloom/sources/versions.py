@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MANIFEST = "part int, folder string, parts int"
 
@@ -64,18 +66,20 @@ def save(spark: SparkSession, path: str, tables: dict[str, DataFrame | Callable[
 
     The first table's rows tell which parts are still there; each table's rows
     of a part go to one folder.  A function makes its table of the first one, as
-    that has been stored.
+    that has been stored, part by part: each of its scan's tasks reads one part.
     """
     version, folders, _ = current(spark, path)
     touched = set(touched)
     folder = f"{path}/data/{version + 1}-{uuid.uuid4().hex}"
-    first, stored = next(iter(tables)), None
+    stored = made = None
     for name, rows in tables.items():
         rows = rows if isinstance(rows, DataFrame) else rows(stored)
         rows.write.options(**options or {}).partitionBy("part").parquet(f"{folder}/{name}")
-        if stored is None:
-            stored = spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
-    made = {int(n.removeprefix("part=")) for n in _names(spark, f"{folder}/{first}") if n.startswith("part=")}
+        if made is None:
+            made = {int(n.removeprefix("part=")) for n in _names(spark, f"{folder}/{name}") if n.startswith("part=")}
+            schema = T.StructType([f for f in rows.schema if f.name != "part"])
+            each = [spark.read.schema(schema).parquet(f"{folder}/{name}/part={p}").withColumn("part", F.lit(p)) for p in sorted(made)]
+            stored = reduce(DataFrame.unionByName, each or [spark.createDataFrame([], rows.schema)])
     kept = {p: f for p, f in folders.items() if p not in touched} | {p: folder for p in made}
     rows = [(p, f, parts) for p, f in sorted(kept.items())] or [(-1, "", parts)]
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{path}/manifests/{version + 1}")
