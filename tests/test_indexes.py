@@ -1,6 +1,7 @@
 """Stored indexes and stores against full scans."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,16 @@ def test_slices_and_pieces(spark, tmp_path, monkeypatch, ids):
     assert max(map(len, of.values())) == 5 and sum(map(len, of.values())) == len(set().union(*of.values()))  # a chunk is in one block
 
 
+def test_the_updated_index_keeps_one_version(spark):
+    from textloom.plans import index_queries
+
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(base.glob("updated-*"))
+    got = index_queries.index_updated(spark, "/root/testdata/sf0.01").collect()
+    (path,) = set(base.glob("updated-*")) - before
+    assert len(got) == 10 and len(list(path.glob("data/*"))) == 1 and len(list(path.glob("manifests/*"))) == 1
+
+
 def test_hybrid_is_that_of_a_scan(spark, index):
     rng = random.Random(5)
     vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(0, 300, 3)] + [(1, None), (2, [1.0])], "doc_id long, embedding array<float>")

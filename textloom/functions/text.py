@@ -23,9 +23,13 @@ def tokens(x: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(x, F.lit(""))) / 4)).cast("long")
 
 
+#: What lies between words, and the shortest word.
+WORD_GAP, WORD_CHARS = "[^a-z0-9]+", 2
+
+
 def words(x: Column) -> Column:
     """Lower-case runs of two or more ASCII letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
+    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), WORD_GAP), lambda w: F.length(w) >= WORD_CHARS)
 
 
 def chunks(x: Column, target: int = fixed.CHUNK) -> Column:

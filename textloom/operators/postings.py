@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import fixed
-from textloom.functions.text import cosine, words
+from textloom.functions.text import WORD_CHARS, WORD_GAP, cosine, words
 from textloom.operators.retrieval import _idf, chunk_table, query_terms
 from textloom.sources import versions
 
@@ -75,7 +75,7 @@ def _slices(batches: Iterable[pa.RecordBatch], slice_words: int) -> Iterator[pa.
     held, n = [], 0
     for batch in batches:
         held.append(batch)
-        n += pc.sum(pc.list_value_length(batch.column("words"))).as_py() or 0
+        n += pc.sum(batch.column("n_words")).as_py() or 0
         if n >= slice_words:
             yield pa.Table.from_batches(held)
             held, n = [], 0
@@ -84,7 +84,7 @@ def _slices(batches: Iterable[pa.RecordBatch], slice_words: int) -> Iterator[pa.
 
 
 def _slice_postings(held: pa.Table, first: int, size: int) -> tuple[pa.RecordBatch, int]:
-    """Posting rows of some chunks, by term and block, and the number of blocks; these are numbered from ``first``."""
+    """Posting rows of some chunks with lower-case texts, by term and block, and the number of blocks; these are numbered from ``first``."""
     doc_id = held.column("doc_id").combine_chunks()
     part, chunk_no, n_words = (held.column(c).to_numpy() for c in ("part", "chunk_no", "n_words"))
     ids = pc.fill_null(doc_id, 0).to_numpy()
@@ -93,13 +93,15 @@ def _slice_postings(held: pa.Table, first: int, size: int) -> tuple[pa.RecordBat
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
 
-    lists = held.column("words").combine_chunks()
-    coded = lists.flatten().dictionary_encode()
+    lists = pc.split_pattern_regex(held.column("lower").combine_chunks(), WORD_GAP)
+    found = lists.flatten()
+    long = pc.greater_equal(pc.binary_length(found), WORD_CHARS)
+    coded, of = found.filter(long).dictionary_encode(), pc.list_parent_indices(lists).filter(long)
     by_term = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(by_term), np.int64)
     rank[by_term] = np.arange(len(by_term))
     places = max(1, len(order))
-    key, f = np.unique(rank[coded.indices.to_numpy()] * places + np.repeat(place, pc.list_value_length(lists).to_numpy()), return_counts=True)
+    key, f = np.unique(rank[coded.indices.to_numpy()] * places + place[of.to_numpy()], return_counts=True)
     term, place = np.divmod(key, places)
     at = order[place]
     new = np.ones(len(at), bool)
@@ -140,7 +142,7 @@ def _made(size: int, slice_words: int, batch_entries: int) -> Callable[[Iterable
 
 def _postings(chunked: DataFrame) -> DataFrame:
     """Posting rows of ``chunked(part, doc_id, chunk_no, n_words, text)``, made where the chunks lie; a term and block may have several."""
-    held = chunked.select("part", "doc_id", "chunk_no", "n_words", words(F.col("text")).alias("words"))
+    held = chunked.select("part", "doc_id", "chunk_no", "n_words", F.lower("text").alias("lower"))
     return held.mapInArrow(_made(BLOCK_CHUNKS, SLICE_WORDS, BATCH_ENTRIES), f"part int, {POSTINGS}").sortWithinPartitions("part", "term", "block")
 
 

@@ -10,7 +10,7 @@ from textloom.functions.json_paths import json_set, json_unset
 from textloom.operators import dropping, ingest, postings, retrieval, text_index, training, vector_index
 from textloom.plans.oracles import BM25, CHUNKS, MAIN_TEXT, ONE
 from textloom.plans.queries import QUERY, _first_vector, table
-from textloom.sources.versions import scratch
+from textloom.sources.versions import scratch, vacuum
 
 #: Parts of the indexes that the queries build.
 PARTS = 8
@@ -55,12 +55,14 @@ def _altered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def index_updated(spark, sf):
-    """The index after a tenth of the documents was replaced, and another taken out."""
+    """The index after a tenth of the documents was replaced, and another taken out; no older version is kept."""
     every, new, gone = _altered(spark, sf)
     path = scratch(spark, "updated")
     postings.put(every, path, PARTS)
     postings.put(new, path)
+    vacuum(spark, path)
     postings.drop(gone, path)
+    vacuum(spark, path)
     return _hits(postings.Index(spark, path).topk(QUERY, 10))
 
 
