@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -206,9 +208,11 @@ class Index:
         return {r.term: asked[r.term] * r.idf for r in held.select("term", idf.alias("idf")).collect()}  # the question's terms at most
 
     def _scores(self, rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+        """A chunk has one entry a term; these are added in the terms' order, so that equal chunks score the same to the last bit."""
         each = rows.select("term", F.explode("entries").alias("e"))
         part = self._part(F.col("term"), F.col("e.f"), F.col("e.n_words"), weights)
-        return each.groupBy(F.col("e.doc_id").alias("doc_id"), F.col("e.chunk_no").alias("chunk_no")).agg(F.sum(part).alias("score"))
+        by_term = [F.coalesce(F.max(F.when(F.col("term") == t, part)), F.lit(0.0)) for t in sorted(weights)]
+        return each.groupBy(F.col("e.doc_id").alias("doc_id"), F.col("e.chunk_no").alias("chunk_no")).agg(reduce(add, by_term).alias("score"))
 
     def scores(self, query: str) -> DataFrame:
         """``doc_id, chunk_no, score`` of every chunk with a term of the query."""
